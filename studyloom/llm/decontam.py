@@ -205,24 +205,26 @@ def find_contamination(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
+    prefix: str = "",
 ) -> DataFrame:
     """The documents (their columns ``keep``, or all) with ``n_words``, ``hit_spans`` (first and last-plus-one word of each hit run, flattened) and
     ``item_ids`` (distinct, sorted as strings). One pass, no shuffle; a benchmark above ``block_bytes`` is taken in
-    blocks, each with an automaton below that bound, and the documents are written to the shared folder in between."""
-    if known := set(documents.columns) & set(_HITS.names):
-        raise ValueError(f"the documents already have columns named {sorted(known)}")
-    keep = documents.columns if keep is None else keep
-    out = documents.select(*dict.fromkeys([*keep, text]))
+    blocks, each with an automaton below that bound, and the documents are written to the shared folder in between.
+    Columns with the names of the three (after ``prefix``) are replaced."""
+    hits = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in _HITS.fields])
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in hits.names]
+    every = list(dict.fromkeys([*keep, text]))
+    out = documents.select(*every)
     blocks = _Blocks(benchmark, item_id, item_text, block_bytes)
     for k, items in enumerate(blocks):
         automaton = documents.sparkSession.sparkContext.broadcast(ItemAutomaton(items, window))
-        kept = keep if k == len(blocks) - 1 else out.columns[: len(set([*keep, text]))]
-        schema = T.StructType([*(documents.schema[c] for c in kept), *_HITS.fields])
-        out = (written(out, "decontam") if k else out).mapInArrow(_pass(automaton, text, bool(k), kept), schema)
+        kept = keep if k == len(blocks) - 1 else every
+        schema = T.StructType([*(documents.schema[c] for c in kept), *hits.fields])
+        out = (written(out, "decontam") if k else out).mapInArrow(_pass(automaton, text, bool(k), kept, hits.names), schema)
     return out
 
 
-def _pass(shared, text: str, again: bool, keep: list[str]):
+def _pass(shared, text: str, again: bool, keep: list[str], names_out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
         for batch in slices(batches, text):
@@ -233,14 +235,14 @@ def _pass(shared, text: str, again: bool, keep: list[str]):
                 hit, found = a.stream(np.fromiter(map(a.vocab.get, words, repeat(-1)), np.int64, len(words)))
                 ids = {a.names[f] for f in found}
                 if again:
-                    for s, e in _pairs(batch.column("hit_spans")[i].as_py()):
+                    for s, e in _pairs(batch.column(names_out[1])[i].as_py()):
                         hit[s:e] = True
-                    ids |= set(batch.column("item_ids")[i].as_py())
+                    ids |= set(batch.column(names_out[2])[i].as_py())
                 spans.append(runs_of(hit))
                 names.append(sorted(ids))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                names=[*keep, *_HITS.names],
+                names=[*keep, *names_out],
             )
 
     return run
@@ -250,15 +252,17 @@ def _pairs(flat: list[int]) -> Iterator[tuple[int, int]]:
     return zip(flat[::2], flat[1::2], strict=True)
 
 
-def clean(hits: DataFrame, text: str = "text", min_words: int = WINDOW, coverage: float = 0.5) -> DataFrame:
-    """Remove from the result of :func:`find_contamination` every hit span of at least ``min_words`` words, and the
-    documents of which more than ``coverage`` of the words are hit. Texts without such spans stay as they are."""
-    schema = T.StructType([f for f in hits.schema.fields if f.name not in _HITS.names])
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", min_words: int = WINDOW, coverage: float = 0.5, **settings) -> DataFrame:
+    """The documents without their hit spans of at least ``min_words`` words, and without the documents of which more
+    than ``coverage`` of the words are hit. Texts without such spans stay as they are."""
+    prefix = "__"
+    hits = find_contamination(documents, benchmark, text, prefix=prefix, **settings)
+    schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             kept, texts = [], []
-            for i, (x, flat, n) in enumerate(zip(raw_bytes(batch.column(text)).to_pylist(), batch.column("hit_spans").to_pylist(), batch.column("n_words").to_pylist(), strict=True)):
+            for i, (x, flat, n) in enumerate(zip(raw_bytes(batch.column(text)).to_pylist(), batch.column(f"{prefix}hit_spans").to_pylist(), batch.column(f"{prefix}n_words").to_pylist(), strict=True)):
                 spans = list(_pairs(flat))
                 if sum(e - s for s, e in spans) > coverage * n:
                     continue

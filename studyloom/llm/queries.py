@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitpack, bpe_counts, decontam, hilbert, packing, simhash
+from . import bitpack, bpe_counts, decontam, hilbert, hosts, packing, simhash, substring_dedup
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -44,14 +44,25 @@ def op6_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_files(bitpack.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup.digest_kept(found, ["doc_id"])
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(hilbert.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the rows of labels whose id is the page's; bad is low quality or toxic."""
+    judged = hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_token_counts, op6_bit_packing, op8_hilbert_shards, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_token_counts, op6_bit_packing, op7_substring_dedup, op8_hilbert_shards, op9_host_reputation, op10_packing)}
+ORACLES: dict[str, str] = {"op9_host_reputation": hosts.SQL}
