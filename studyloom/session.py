@@ -40,4 +40,6 @@ def build_session(app: str = "studyloom", master: str | None = None, **conf: str
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ensure_worker_path(spark)
+    return spark
