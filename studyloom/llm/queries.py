@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitpack, bpe_counts, decontam, hilbert, hosts, packing, simhash, substring_dedup
+from . import bitpack, bpe_counts, decontam, hilbert, hosts, media, packing, simhash, substring_dedup, toxicity
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -35,11 +35,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media.described(stored, ["doc_id", "n_bytes"])
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe_counts.with_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), keep=["doc_id"])
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    weights = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(documents, weights, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_files(bitpack.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID))
 
@@ -64,5 +76,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_token_counts, op6_bit_packing, op7_substring_dedup, op8_hilbert_shards, op9_host_reputation, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_audio_features, op4_token_counts, op5_toxicity, op6_bit_packing, op7_substring_dedup, op8_hilbert_shards, op9_host_reputation, op10_packing)}
 ORACLES: dict[str, str] = {"op9_host_reputation": hosts.SQL}
