@@ -4,7 +4,8 @@ Documents stream through the automaton word by word; it yields at every word the
 there. A passage of ``window`` item words (an item with fewer words counts as one window) marks its words as hit.
 
 Defined results: null and wordless texts have no words and no hits; items without words are ignored; repeated items
-each count; repeated documents each get a row; other columns of the documents pass through untouched.
+each count; an item without an id marks words, but isn't named; repeated documents each get a row; other columns of the
+documents pass through untouched.
 """
 
 from __future__ import annotations
@@ -233,7 +234,7 @@ def _pass(shared, text: str, again: bool, keep: list[str], names_out: list[str])
                 words = words_of(x or b"")
                 n_words.append(len(words))
                 hit, found = a.stream(np.fromiter(map(a.vocab.get, words, repeat(-1)), np.int64, len(words)))
-                ids = {a.names[f] for f in found}
+                ids = {a.names[f] for f in found} - {None}
                 if again:
                     for s, e in _pairs(batch.column(names_out[1])[i].as_py()):
                         hit[s:e] = True
