@@ -1,7 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is the sum of its hashed word embedding's and its characters' parts: the mean embedding of the hashed
-4- and 5-byte grams of the word between its edges. Two gated recurrent layers read a window of ``WINDOW`` words
+4- and 5-byte grams of the word between its edges and of its beginnings of 6 to 8 bytes. Two gated recurrent layers read a window of ``WINDOW`` words
 forwards and backwards, attention pools their states, and a logistic unit scores the window. All overlapping windows of
 the whole text are scored; a text's score is its highest window's, mapped so that 0.7 is the fitted threshold.
 
@@ -28,6 +28,8 @@ from .common import raw_bytes, slices
 
 WINDOW, STRIDE = 64, 48
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 14, 15, 8, 8
+#: Bytes of the grams that are taken at a word's beginning alone, its edge counted.
+PREFIXES = (6, 7, 8)
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 10
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.01, 11
 THRESHOLD = 0.7
@@ -61,9 +63,12 @@ class Lexicon:
         for i in range(4):
             code = code << np.uint64(8) | data[place + i]
         grams, owner = [], []
-        for n, c in ((4, code), (5, code << np.uint64(8) | data[place + 4])):
-            fits = left >= n
-            grams.append(((c[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+        begins = place == begin[word]
+        for n in (4, 5, *PREFIXES):
+            if n > 4:
+                code = code << np.uint64(8) | data[place + n - 1]
+            fits = left >= n if n < 6 else (left >= n) & begins
+            grams.append(((code[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
             owner.append(word[fits])
         owner_all = np.concatenate(owner)
         order = np.argsort(owner_all, kind="stable")

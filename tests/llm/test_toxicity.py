@@ -40,7 +40,7 @@ def test_gradients_equal_differences():
 
 
 def test_held_out_accuracy(spark):
-    at = "/root/testdata/sf0.01"
+    at = "/root/testdata/sf0.1"
     scored = {r.doc_id: r for r in op5_toxicity(spark, at).collect()}
     texts = {r.doc_id: r.text for r in table(spark, at, "documents").collect()}
     assert set(scored) == set(texts)
@@ -48,7 +48,7 @@ def test_held_out_accuracy(spark):
     held = [(r.toxic, scored[r.doc_id].predicted) for r in table(spark, at, "labels").collect() if r.doc_id in scored and scored[r.doc_id].held_out and r.toxic is not None]
     toxic = [p for y, p in held if y == 1]
     clean = [p for y, p in held if y == 0]
-    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.05, (np.mean(toxic), len(toxic), np.mean(clean), len(clean))
+    assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.03, (np.mean(toxic), len(toxic), np.mean(clean), len(clean))
     by_text = {}
     assert all(by_text.setdefault(texts[d], r.score) == r.score for d, r in scored.items())
 
