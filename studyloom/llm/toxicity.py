@@ -1,9 +1,10 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word's input is the sum of its hashed word embedding's and its characters' parts: the mean embedding of the hashed
-4- and 5-byte grams of the word between its edges and of its beginnings of 6 to 8 bytes. Two gated recurrent layers read a window of ``WINDOW`` words
-forwards and backwards, attention pools their states, and a logistic unit scores the window. All overlapping windows of
-the whole text are scored; a text's score is its highest window's, mapped so that 0.7 is the fitted threshold.
+A word's input is its hashed word embedding beside its characters' part: the mean embedding of the hashed 4- and 5-byte
+grams of the word between its edges and of its beginnings of 6 to 8 bytes. Two gated recurrent layers read a window of
+``WINDOW`` words forwards and backwards, attention pools their states, and a logistic unit scores the window. All
+overlapping windows of the whole text are scored; a text's score is its highest window's, mapped so that 0.7 is the
+fitted threshold.
 
 Training is by multiple instances: labels belong to documents, so each pass trains on every document's highest window
 (and random ones). The sample is bounded: at most ``SAMPLE_ROWS`` labelled rows of each class, lowest hashes of their
