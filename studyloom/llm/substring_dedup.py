@@ -15,8 +15,9 @@ sampled suffixes are sorted and the order of the others is induced from them:
 4. Induction. For the strings that begin o bytes before the anchor, suffix tuples (left class at o, right class at
    length - o) are made from the common-prefix values; a tuple that occurs twice is a repeated string.
 
-An anchor with more than ``group_limit`` unsettled runs is not sorted in one task: each of its strings is hashed to 128
-bits and counted by a pre-aggregated group-by, which is exact up to collisions of those 128 bits.
+An anchor with more than ``group_limit`` unsettled runs is not sorted in one task: its runs are cut by offset into blocks,
+named as in step 2 and halved again where more than the limit still meet, down to single strings. Names are compared by
+hashes of 128 bits in all, bytes only inside groups, so results are exact up to collisions of those.
 
 Defined results: null texts are empty; texts shorter than ``length`` never lose bytes; repeated rows (also with equal or
 null ids) each count as occurrences; matches never cross documents; other columns pass through; an empty table gives an
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 from .common import raw_bytes, slices, written
 
 LENGTH, K = 400, 48
-GROUP_LIMIT = 1024
+GROUP_LIMIT = 256
 #: Starts handled at once by the sampling step, and unsettled runs by the induction.
 CHUNK, BATCH_RUNS = 1 << 19, 4096
 
@@ -216,24 +218,33 @@ def _induce(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPAN)
 
 
-def _count_strings(pieces: DataFrame, length: int) -> DataFrame:
-    """Runs of crowded anchors: count every string by a 128-bit hash."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "data", 1 << 18):
-            columns: list[list] = [[], [], [], [], []]
-            for k1, k2, lo, x in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "lo")), raw_bytes(batch.column("data")).to_pylist(), strict=True):
-                for s in range(len(x) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(x[s : s + length])
-                    for c, v in zip(columns, (k1, k2, lo + s, h >> 64, h & (1 << 64) - 1), strict=True):
-                        c.append(v)
-            if columns[0]:
-                arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[3:]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "s", "h1", "h2"])
-
-    each = pieces.mapInArrow(strings, "k1 long, k2 long, s long, h1 long, h2 long")
-    often = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return each.join(often, ["h1", "h2"]).select("k1", "k2", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
+def _halve(crowd: DataFrame, length: int, width: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of crowded anchors to (sure spans, pieces of groups within ``limit``), by recursion on halves of the offsets.
+
+    A block is the strings of a run whose offsets before the anchor lie in one of the aligned ranges of ``width``. All
+    strings of a block share its core, so only blocks of equal cores can hold equal strings. As for whole runs, a block
+    whose bytes occur twice is settled, one of each stands for its like, and a core with one block is settled, too. What
+    is left in small groups is compared, in large groups halved again; blocks of one string are always settled."""
+    sure, small = [], []
+    while width >= 1:
+        half = crowd.select("*", F.explode(F.expr(f"sequence((a - hi) div {width}, (a - lo) div {width})")).alias("j"))
+        half = half.withColumns({"new_lo": F.greatest("lo", F.expr(f"a - j * {width} - {width - 1}")), "new_hi": F.least("hi", F.expr(f"a - j * {width}"))})
+        half = half.select("k1", "k2", "anchor", "a", "j", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.expr(f"substring(data, cast(new_lo - lo + 1 as int), cast(new_hi - new_lo + {length} as int))").alias("data"))
+        core = F.expr(f"xxhash64(anchor, j, substring(data, cast(a - j * {width} - lo + 1 as int), {length - width + 1}))")
+        named = half.withColumns({"core": core, "name": F.xxhash64(F.col("a") - F.col("lo"), F.col("hi") - F.col("lo"), "data"), "token": F.xxhash64("k1", "k2", "lo")}).drop("anchor", "j")
+        blocks = written(named.withColumnRenamed("core", "anchor"), "blocks")
+        names = blocks.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min("token").alias("head"))
+        cores = names.groupBy("anchor").agg(F.count("*").alias("names")).where("names > 1")
+        known = names.join(cores, "anchor", "left").where("n > 1 or names > 1")
+        left = written(blocks.join(known, ["anchor", "name"]), "blocks-left")
+        sure.append(left.where("n > 1").select("k1", "k2", "lo", (F.col("hi") + length).alias("hi")))
+        compare = left.where("names is not null and (n = 1 or token = head)")
+        small.append(compare.where(F.col("names") <= limit).select("k1", "k2", "anchor", "lo", "hi", "a", "data"))
+        crowd = compare.where(F.col("names") > limit)
+        if crowd.isEmpty():
+            break
+        width //= 2
+    return reduce(DataFrame.unionByName, sure), reduce(DataFrame.unionByName, small)
 
 
 def _key(documents: DataFrame, doc_id: str, text: str) -> list:
@@ -273,8 +284,13 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     pieces = texts.join(wanted, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, anchor long, lo long, hi long, a long, names long, sure boolean, data binary")
     pieces = written(pieces, "pieces")
-    settled = _induce(pieces.where(F.col("names") <= group_limit), length).unionByName(_count_strings(pieces.where(F.col("names") > group_limit), length))
-    spans = hits.where("sure").select("k1", "k2", "lo", (F.col("hi") + length).alias("hi")).unionByName(settled)
+    sure = hits.where("sure").select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
+    crowd, small = (pieces.where(x).select("k1", "k2", "anchor", "lo", "hi", "a", "data") for x in (F.col("names") > group_limit, F.col("names") <= group_limit))
+    if not crowd.isEmpty():
+        # Offsets are from 0 to length - k; the first halves are of half the next power of two.
+        more_sure, more_small = _halve(crowd, length, max(1, (1 << (length - k).bit_length()) // 2), group_limit)
+        sure, small = sure.unionByName(more_sure), small.unionByName(more_small)
+    spans = sure.unionByName(_induce(small, length))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *_key(documents, doc_id, text))
     joined = rows.join(spans, ["k1", "k2"], "left")

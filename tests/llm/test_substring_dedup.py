@@ -39,7 +39,7 @@ def test_query_equals_brute_force(spark, small):
 
 def test_odd_texts_at_small_lengths_and_limits(spark, odd, empty):
     rows = [(r[0], r[1]) for r in odd_rows()]
-    for length, k, limit in ((400, 48, 1024), (60, 8, 1024), (60, 8, 1), (20, 4, 8)):
+    for length, k, limit in ((400, 48, 256), (60, 8, 256), (60, 8, 1), (20, 4, 8)):
         found = sd.repeated_spans(odd.withColumn("spans", F.lit(1)), length=length, k=k, group_limit=limit)
         assert got(sd.digest_kept(found, ["doc_id"])) == brute(rows, length)
     assert sd.repeated_spans(empty).count() == 0
@@ -47,11 +47,11 @@ def test_odd_texts_at_small_lengths_and_limits(spark, odd, empty):
 
 def test_partial_overlaps(spark):
     common = prose(20, 300)
-    rows = [(i, f"{prose(30 + i, 50 + i)} {common[7 * i : 900 + 11 * i]} {prose(60 + i, 40)}", "en", "s", 1) for i in range(30)]
+    rows = [(i, f"{prose(30 + i, 50 + i)} {common[7 * i : 900 + 11 * i]} {prose(60 + i // 2, 40)}", "en", "s", 1) for i in range(30)]
     rows += [(100, "abc" * 900 + common[:500], "en", "s", 1), (101, "z" * 3000, "en", "s", 1), (102, "y" * 400, "en", "s", 1), (103, "w" * 401, "en", "s", 1)]
     docs = table_of(spark, rows).repartition(5)
-    for length, limit in ((400, 1024), (150, 1024), (150, 3)):
-        found = sd.repeated_spans(docs, length=length, group_limit=limit)
+    for length, limit in ((400, 256), (150, 256), (150, 3), (60, 1)):
+        found = sd.repeated_spans(docs, length=length, k=min(48, length // 5), group_limit=limit)
         assert got(sd.digest_kept(found, ["doc_id"])) == brute([(r[0], r[1]) for r in rows], length)
 
 
