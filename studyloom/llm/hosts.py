@@ -68,10 +68,10 @@ def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id",
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     overall = suffixes.agg(F.coalesce(F.sum("x") / F.nullif(F.sum("n"), F.lit(0.0)), F.lit(0.5)).alias("p"))
     shrunk = lambda rate, m: (F.col("x") + F.col(m) * F.col(rate)) / (F.col("n") + F.col(m))
-    # Each of the broadcast sides is one row, made by an aggregate without keys.
-    s = suffixes.crossJoin(F.broadcast(overall)).crossJoin(F.broadcast(_strength(suffixes, "m"))).select("suffix", shrunk("p", "m").alias("rate_s"))
-    d = domains.join(s, "suffix").crossJoin(F.broadcast(_strength(domains, "m"))).select("domain", shrunk("rate_s", "m").alias("rate_d"))
-    h = hosts.join(d, "domain").crossJoin(F.broadcast(_strength(hosts, "m")))
+    # The overall rate and the strengths are scalar subqueries: aggregates without keys.
+    s = suffixes.withColumns({"p": overall.scalar(), "m": _strength(suffixes, "m").scalar()}).select("suffix", shrunk("p", "m").alias("rate_s"))
+    d = domains.join(s, "suffix").withColumn("m", _strength(domains, "m").scalar()).select("domain", shrunk("rate_s", "m").alias("rate_d"))
+    h = hosts.join(d, "domain").withColumn("m", _strength(hosts, "m").scalar())
     a, b = F.col("m") * F.col("rate_d") + F.col("x"), F.col("m") * (1 - F.col("rate_d")) + F.col("n") - F.col("x")
     posterior = h.withColumns({"_a": a, "_b": b})
     t = F.col("_a") + F.col("_b")
