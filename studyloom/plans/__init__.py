@@ -1 +1,6 @@
+"""The registered queries of the library and their SQL."""
 
+from . import pieces, study, texts, work
+
+QUERIES = pieces.QUERIES | texts.QUERIES | study.QUERIES | work.QUERIES
+ORACLES = pieces.ORACLES | texts.ORACLES | study.ORACLES | work.ORACLES
