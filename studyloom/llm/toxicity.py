@@ -34,8 +34,8 @@ PREFIXES = (6, 7, 8)
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 10
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.01, 11
 THRESHOLD = 0.7
-#: Windows scored at once.
-BLOCK = 2048
+#: Windows scored at once, and words whose inputs are summed at once.
+BLOCK, WORDS = 2048, 1 << 15
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -58,7 +58,7 @@ class Lexicon:
         size = np.array([len(w) for w in edged], np.int64)
         data = np.frombuffer(b"".join(edged) + b"\0" * 8, np.uint8).astype(np.uint64)
         begin = np.append(0, np.cumsum(size)[:-1])
-        word, place = np.repeat(np.arange(len(words)), size), np.arange(size.sum())
+        word, place = np.repeat(np.arange(len(words), dtype=np.int32), size), np.arange(size.sum())
         left = (begin + size)[word] - place  # bytes from here to the word's end
         code = np.zeros(len(place), np.uint64)
         for i in range(4):
@@ -69,7 +69,7 @@ class Lexicon:
             if n > 4:
                 code = code << np.uint64(8) | data[place + n - 1]
             fits = left >= n if n < 6 else (left >= n) & begins
-            grams.append(((code[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+            grams.append(((code[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
             owner.append(word[fits])
         owner_all = np.concatenate(owner)
         order = np.argsort(owner_all, kind="stable")
@@ -95,7 +95,11 @@ def initial(seed: int = SEED) -> dict[str, np.ndarray]:
 
 def inputs(p: dict[str, np.ndarray], features) -> np.ndarray:
     buckets, grams, first = features
-    sums = np.add.reduceat(p["gram"][grams], first, axis=0) if len(grams) else np.zeros((len(buckets), WIDTH), np.float32)
+    sums = np.zeros((len(buckets), WIDTH), np.float32)
+    ends = np.append(first, len(grams))
+    for a in range(0, len(first), WORDS):  # so that memory doesn't follow the number of words
+        b = min(a + WORDS, len(first))
+        sums[a:b] = np.add.reduceat(p["gram"][grams[ends[a] : ends[b]]], first[a:b] - first[a], axis=0)
     counts = np.diff(np.append(first, len(grams)))[:, None].astype(np.float32)
     x = np.concatenate([p["word"][buckets], sums / counts], axis=1)
     x[0] = 0
