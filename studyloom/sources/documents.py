@@ -140,7 +140,7 @@ def completed(sessions: DataFrame, received: DataFrame, chunk: int, session: str
     """``refusal`` of each session (chunks, size, checksum; null: complete), by the joined ``data`` of its chunks."""
     whole = received.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("index", "data"))).alias("_c"))
     joined = missing_chunks(sessions, received, chunk, session).join(whole, session, "left")
-    body = F.aggregate("_c", F.lit(b""), lambda s, x: F.concat(s, x["data"]))
+    body = F.coalesce(F.aggregate("_c", F.lit(b""), lambda s, x: F.concat(s, x["data"])), F.lit(b""))
     refusal = F.when(F.size("missing") > 0, "chunks").when(F.length(body) != F.col("size"), "size").when(F.sha2(body, 256) != F.col("sha256"), "checksum")
     return joined.withColumn("refusal", refusal).drop("_c")
 
