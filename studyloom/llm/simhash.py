@@ -195,4 +195,7 @@ def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str
     differ stay apart only by their fingerprints). Rows with a null id are kept."""
     classes = near_duplicate_classes(documents, doc_id, text, **settings)
     heads = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("_fp")).select(F.col("doc_id").alias("_head"))
-    return documents.join(heads, documents[doc_id] == F.col("_head"), "left").where(F.col("_head").isNotNull() | documents[doc_id].isNull()).drop("_head")
+    # Rows travel as one column, so that no name of theirs can clash.
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(doc_id).alias("_id"))
+    joined = rows.join(heads, F.col("_id") == F.col("_head"), "left").where(F.col("_head").isNotNull() | F.col("_id").isNull())
+    return joined.select("row.*")
