@@ -139,7 +139,7 @@ def budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("project"), F.lit("p").alias("provider"), F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("model"), F.floor("value").alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"))
-    return jobs.ledger(jobs.with_prices(usage, [("p", "click", 2.0, 8.0), ("p", "error", 0.5, 1.5)]), ["project"])
+    return jobs.ledger(jobs.with_prices(usage, [("p", "click", 2.0, 8.0), ("p", "error", 0.5, 1.5)]), ["project"], digits=8)
 
 
 def snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ SELECT project, categories, (categories - 1)::INT AS last, coalesce(edges, 0) AS
     "job_progress": f"WITH {_STATES} SELECT job, count(*) AS total, count(*) FILTER (WHERE done) AS done, count(*) FILTER (WHERE NOT done) AS failed, (count(done) * 100 // count(*))::INT AS progress FROM units LEFT JOIN states USING (job, unit) GROUP BY job",
     "job_pending": f"WITH {_STATES} SELECT job, unit FROM units LEFT JOIN states USING (job, unit) WHERE NOT coalesce(done, false)",
     "budget_stop": "SELECT job, event_id, running FROM (SELECT user_id AS job, event_id, (sum(value::DECIMAL(18,2)) OVER (PARTITION BY user_id ORDER BY event_id))::DOUBLE AS running FROM events) WHERE job % 4 > 0 AND running > 1500 * (job % 4) QUALIFY row_number() OVER (PARTITION BY job ORDER BY event_id) = 1",
-    "cost_ledger": """SELECT project, provider, model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, sum(round(p / 1000000 * i, 6)::DECIMAL(20,6))::DOUBLE AS prompt_cost, sum(round(c / 1000000 * o, 6)::DECIMAL(20,6))::DOUBLE AS completion_cost FROM (
+    "cost_ledger": """SELECT project, provider, model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, sum(round(p / 1000000 * i, 8)::DECIMAL(20,8))::DOUBLE AS prompt_cost, sum(round(c / 1000000 * o, 8)::DECIMAL(20,8))::DOUBLE AS completion_cost FROM (
   SELECT user_id % 5 AS project, 'p' AS provider, event_type AS model, floor(value)::BIGINT AS p, event_id % 50 AS c, CASE event_type WHEN 'click' THEN 2.0 ELSE 0.5 END::DOUBLE AS i, CASE event_type WHEN 'click' THEN 8.0 ELSE 1.5 END::DOUBLE AS o FROM events WHERE event_type <> 'view') WHERE p + c > 0 GROUP BY ALL""",
     "snapshot_export": " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS rows, count(DISTINCT {k}) AS keys FROM {n}" for n, k in (("customer", "c_custkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"))),
 }
