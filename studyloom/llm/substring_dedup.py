@@ -28,6 +28,7 @@ incomplete characters that this leaves.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +42,9 @@ from pyspark.sql import types as T
 from .common import raw_bytes, slices, written
 
 LENGTH, K = 400, 48
+#: Bytes of a word's hash where passages are matched by words.
+CODE = 6
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GROUP_LIMIT = 256
 #: Starts handled at once by the sampling step, and unsettled runs by the induction.
 CHUNK, BATCH_RUNS = 1 << 19, 4096
@@ -327,15 +331,60 @@ def digest_kept(found: DataFrame, keep: list[str], text: str = "text") -> DataFr
     return found.select(*dict.fromkeys([*keep, text, "spans"])).mapInArrow(run, schema)
 
 
-def drop_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents with their remaining text. Incomplete characters at cuts go; untouched texts stay as they are."""
-    spans = "__spans__"
+def _coded(texts: DataFrame) -> DataFrame:
+    """(id, text) to (id, coded): ``CODE`` bytes of a hash for each word, so that strings of words are strings of one size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        for batch in slices(batches, "text", 4 << 20):
+            out = []
+            for x in raw_bytes(batch.column("text")).to_pylist():
+                words = _WORD.findall(x or b"")
+                for w in words:
+                    if w not in known:
+                        if len(known) > 1 << 16:
+                            known = {}
+                        known[w] = xxhash.xxh64_digest(w)[:CODE]
+                out.append(b"".join([known.get(w) or xxhash.xxh64_digest(w)[:CODE] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "coded"])
+
+    return texts.mapInArrow(run, "id long, coded binary")
+
+
+def _with_passages(x: bytes, spans: list[int], passages: list[int]) -> list[int]:
+    """``spans`` together with those of ``passages`` (of a coded text), flattened and maximal."""
+    edges = [m.span() for m in _WORD.finditer(x)]
+    found = list(zip(spans[::2], spans[1::2], strict=True))
+    # Strings that don't begin at a word's code are inside others that do.
+    found += [(edges[-(-s // CODE)][0], edges[e // CODE - 1][1]) for s, e in zip(passages[::2], passages[1::2], strict=True)]
+    out: list[int] = []
+    for s, e in sorted(found):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+    return out
+
+
+def drop_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int | None = None, **settings) -> DataFrame:
+    """The documents with their remaining text. Incomplete characters at cuts go; untouched texts stay as they are. With
+    ``words``, passages of so many words that occur again go as well, however few bytes they have (blanks between words
+    may differ)."""
+    spans, passages, key = "__spans__", "__passages__", "__key__"
     found = repeated_spans(documents, doc_id, text, out=spans, **settings)
+    if words:
+        own = _key(documents, doc_id, text)[1]
+        coded = written(_coded(documents.select(own.alias("id"), F.col(text).alias("text"))), "coded")
+        by_words = repeated_spans(coded, "id", "coded", length=CODE * words, out=passages).where(F.size(passages) > 0).groupBy("id").agg(F.first(passages).alias(passages))
+        found = found.withColumn(key, own).join(by_words.withColumnRenamed("id", key), key, "left")
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            texts = [_kept(x, s).decode("utf-8", "ignore") if s else x for x, s in zip(raw_bytes(batch.column(text)).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
+            gone = batch.column(spans).to_pylist()
+            if words:
+                gone = [_with_passages(x, s, p) if p else s for x, s, p in zip(raw_bytes(batch.column(text)).to_pylist(), gone, batch.column(passages).to_pylist(), strict=True)]
+            texts = [_kept(x, s).decode("utf-8", "ignore") if s else x for x, s in zip(raw_bytes(batch.column(text)).to_pylist(), gone, strict=True)]
             done = pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([done if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
