@@ -8,7 +8,7 @@ hysteresis: a segment begins above the upper threshold and lasts until the energ
 
 Long recordings are handled in blocks of frames with fixed borders, so memory doesn't follow their length and equal
 payloads give equal features. Defined results: null texts are empty; an empty text is 192 blanks; recordings shorter
-than a frame are one zero-padded frame; the last patch is padded with the lowest value; other columns pass through.
+than a frame are one frame, the last frame is padded with zeros; the last patch is padded with the lowest value; other columns pass through.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def n_frames(n_samples: int) -> int:
-    return max(1, 1 + (-(-n_samples * UP // DOWN) - FRAME) // HOP)
+    return max(1, 1 + -(-(-(-n_samples * UP // DOWN) - FRAME) // HOP))
 
 
 def log_mel_blocks(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -193,31 +193,55 @@ def as_tensors(column: pa.Array) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(tensor_type(), fixed)
 
 
-def summary(samples: np.ndarray) -> str:
-    """Frames, segments, active seconds, and the mean of every sixth of the bands, as text."""
-    sums, count, energies = np.zeros(MELS), 0, []
-    for _, values, energy in log_mel_blocks(samples):
-        sums += values.sum(axis=0, dtype=np.float64)
-        count += len(values)
-        energies.append(energy)
-    spans = segments(np.concatenate(energies))
-    means = (sums / count).reshape(6, -1).mean(axis=1)
-    return f"frames={count};segments={len(spans)};active={sum(e - s for s, e in spans):.3f};mel=" + ",".join(f"{m:.2f}" for m in means)
+def summary(values: np.ndarray) -> str:
+    """Frames, segments, active seconds, and the mean of every sixth of the bands of log-mel frames, as text."""
+    energy = np.log10((10.0 ** values.astype(np.float64)).sum(axis=1))
+    spans = segments(energy)
+    means = values.mean(axis=0, dtype=np.float64).reshape(6, -1).mean(axis=1)
+    return f"frames={len(values)};segments={len(spans)};active={sum(e - s for s, e in spans):.3f};mel=" + ",".join(f"{m:.2f}" for m in means)
 
 
-def described(stored: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """``keep`` with what is read back from the stored media: sizes, digests and the feature summary."""
-    extra = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def with_tensors(stored: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """``keep`` with sizes and digests of the stored media, and its tensors with their spans, written and read again: a row
+    for each recording, with lists of ``t0``, ``t1`` and ``tensor`` (as in :func:`patches`)."""
+    extra = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, t0 array<double>, t1 array<double>, tensor array<array<float>>"
     fields = T._parse_datatype_string(extra).fields
     schema = T.StructType([*(stored.schema[c] for c in keep), *fields])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = HOP / OUT_RATE
         for batch in slices(batches, media, 4 << 20):
-            rows = []
+            rows, parts, offsets = [], [], [0]
             for data in batch.column(media).to_pylist():
                 payload = samples_of(data)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), summary(np.frombuffer(payload, np.uint8))))
-            kinds = [pa.string() if f.dataType == T.StringType() else pa.int64() for f in fields]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
+                total = 0
+                for _, values, _ in log_mel_blocks(np.frombuffer(payload, np.uint8)):
+                    parts.append(tensors(values).storage.cast(pa.list_(pa.float32())))
+                    total += len(values)
+                first = np.arange(0, total, PATCH)
+                offsets.append(offsets[-1] + len(first))
+                ends = (np.minimum(first + PATCH, total) - 1) * step + FRAME / OUT_RATE
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), first * step, ends))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), lists], names=schema.names)
 
-    return stored.select(*dict.fromkeys([*keep, media])).mapInArrow(run, schema)
+    return written(stored.select(*dict.fromkeys([*keep, media])).mapInArrow(run, schema), "tensors")
+
+
+def described(stored: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """``keep`` with sizes, digests and the feature summary, which comes from the tensors and spans that are read back."""
+    found = with_tensors(stored, keep, media)
+    kept = [c for c in found.columns if c not in ("t0", "t1", "tensor")]
+    schema = T.StructType([*(found.schema[c] for c in kept), T.StructField("feature", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = []
+            for i, ends in enumerate(batch.column("t1").to_pylist()):
+                values = batch.column("tensor").slice(i, 1).flatten().flatten().to_numpy().reshape(-1, MELS)
+                # The last span tells where the filling begins.
+                features.append(summary(values[: round((ends[-1] * OUT_RATE - FRAME) / HOP) + 1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(features, pa.string())], names=schema.names)
+
+    return found.mapInArrow(run, schema)
