@@ -9,9 +9,9 @@ sampled suffixes are sorted and the order of the others is induced from them:
    a run; there are about 2 runs in ``length`` bytes.
 2. Recursion on names. Runs are named by anchor hash and the hash of all bytes that their strings cover. A name that
    occurs twice settles its runs; an anchor hash with one name only settles its run, too (nothing repeats).
-3. Sorting. What is left is shuffled by anchor and sorted by the suffix at the anchor (Spark's external sort, on disk as
-   needed); neighbours' common-prefix lengths give classes of equal right contexts of any length. The same is done for
-   the reversed text before the anchor.
+3. Sorting. What is left is shuffled and sorted by anchor hash (Spark's sort); suffixes at the anchor are ordered in memory
+   inside its small group, and neighbours' common-prefix lengths give classes of equal right contexts of any length. The
+   same is done for the reversed text before the anchor.
 4. Induction. For the strings that begin o bytes before the anchor, suffix tuples (left class at o, right class at
    length - o) are made from the common-prefix values; a tuple that occurs twice is a repeated string.
 
