@@ -9,12 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table as _table
 from . import bitpack, bpe_counts, decontam, hilbert, hosts, media, packing, simhash, substring_dedup, toxicity
+from .common import bounded
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
+    return _table(spark, sf_dir, name)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     # Spans are flattened: ends count up, starts down.
@@ -57,7 +63,8 @@ def op6_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Beside the strings of 400 bytes, the words in repeated passages of over 50 words, which may be shorter."""
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return substring_dedup.digest_kept(found, ["doc_id"])
 
 

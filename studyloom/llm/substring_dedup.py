@@ -19,6 +19,9 @@ An anchor with more than ``group_limit`` unsettled runs is not sorted in one tas
 named as in step 2 and halved again where more than the limit still meet, down to single strings. Names are compared by
 hashes of 128 bits in all, bytes only inside groups, so results are exact up to collisions of those.
 
+Passages are found the same way over words: each word becomes ``CODE`` bytes of its hash, so a passage of so many words is
+a string of one length whatever its words are.
+
 Defined results: null texts are empty; texts shorter than ``length`` never lose bytes; repeated rows (also with equal or
 null ids) each count as occurrences; matches never cross documents; other columns pass through; an empty table gives an
 empty result. Cutting may split a UTF-8 character, as the bytes are what is compared; ``drop_repeats`` drops the
@@ -31,6 +34,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_bytes, slices, written
+from .common import free_name, lean, raw_bytes, slices, written
 
 LENGTH, K = 400, 48
 #: Bytes of a word's hash where passages are matched by words.
 CODE = 6
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_WORD, _BLANK = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
+_IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)], np.int8)
+#: Repeated passages are so many words or more.
+PASSAGE_WORDS = 51
 GROUP_LIMIT = 256
 #: Starts handled at once by the sampling step, and unsettled runs by the induction.
 CHUNK, BATCH_RUNS = 1 << 19, 4096
@@ -78,6 +85,30 @@ def rolling_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def coded(data: bytes) -> bytes:
+    """``CODE`` bytes of a hash for each word, so that strings of words are strings of one size."""
+    parts, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            found = _BLANK.search(data, end)
+            end = found.start() if found else len(data)
+        piece = np.frombuffer(data[at:end], np.uint8)
+        at = end
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], _IN_WORD[piece], [0]))))
+        if not len(edge):
+            continue
+        first, last = edge[::2], edge[1::2]
+        up, down = _powers(len(piece))
+        total = np.append(np.uint64(0), np.add.accumulate(_RANDOM[piece] * up))
+        h = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        parts.append(h.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
+    return b"".join(parts)
+
+
 def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every w neighbours, from running minima of blocks of w in both directions."""
     n = len(x)
@@ -121,20 +152,21 @@ def runs_of_text(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndar
 _RUN = "k1 long, k2 long, anchor long, name long, lo long, hi long, a long, rest boolean"
 
 
-def _runs(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(k1, k2, text) to one row for each run."""
+def _runs(texts: DataFrame, length: int, k: int, by_words: bool) -> DataFrame:
+    """(k1, k2, text) to one row for each run, of the text's bytes or of its words' codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             rows = []
             for k1, k2, x in zip(batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), raw_bytes(batch.column("text")).to_pylist(), strict=True):
+                x = coded(x) if x and by_words else x
                 if x is not None and len(x) >= length:
                     lo, hi, a, key, name, rest = runs_of_text(x, length, k)
                     rows.append((np.full(len(lo), k1), np.full(len(lo), k2), key, name, lo, hi, a, rest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in _RUN.split(", ")])
 
-    return texts.mapInArrow(run, _RUN)
+    return texts.mapInArrow(lean(run), _RUN)
 
 
 def _common_prefix(rows: np.ndarray) -> np.ndarray:
@@ -219,7 +251,7 @@ def _induce(pieces: DataFrame, length: int) -> DataFrame:
         if held and (out := settle(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPAN)
+    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(run), _SPAN)
 
 
 def _halve(crowd: DataFrame, length: int, width: int, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +291,32 @@ def _key(documents: DataFrame, doc_id: str, text: str) -> list:
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, group_limit: int = GROUP_LIMIT, out: str = "spans") -> DataFrame:
     """All columns of the documents with ``out``: the byte spans that repeated strings cover, flattened (first and
     last-plus-one byte of each maximal span in ascending order). A column of that name is replaced."""
+    return _with_spans(documents, {out: _spans(documents, doc_id, text, length, k, group_limit, False)}, doc_id, text)
+
+
+def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS, k: int = K, group_limit: int = GROUP_LIMIT, out: str = "passages") -> DataFrame:
+    """As :func:`repeated_spans`, for passages of ``words`` words or more: spans of words instead of bytes."""
+    return _with_spans(documents, {out: _words_of(_spans(documents, doc_id, text, CODE * words, k, group_limit, True))}, doc_id, text)
+
+
+def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, words: int = PASSAGE_WORDS, k: int = K, group_limit: int = GROUP_LIMIT, spans: str = "spans", passages: str = "passages") -> DataFrame:
+    """The documents with both: byte spans of repeated strings, word spans of repeated passages."""
+    found = {spans: _spans(documents, doc_id, text, length, k, group_limit, False), passages: _words_of(_spans(documents, doc_id, text, CODE * words, k, group_limit, True))}
+    return _with_spans(documents, found, doc_id, text)
+
+
+def _words_of(spans: DataFrame) -> DataFrame:
+    """Spans of codes as spans of words. Strings that don't begin at a word's code are inside others that do, but for
+    chance equalities of parts of codes, which the rounding drops."""
+    lo, hi = F.expr(f"(s.lo + {CODE - 1}) div {CODE}"), F.expr(f"s.hi div {CODE}")
+    rows = spans.select("k1", "k2", F.explode("found").alias("s")).select("k1", "k2", lo.alias("lo"), hi.alias("hi"))
+    return rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+
+
+def _spans(documents: DataFrame, doc_id: str, text: str, length: int, k: int, group_limit: int, by_words: bool) -> DataFrame:
+    """(k1, k2, found): the spans of repeated strings of ``length``, in no order; documents without any have no row."""
     texts = documents.select(*_key(documents, doc_id, text), F.col(text).alias("text"))
-    runs = written(_runs(texts, length, k), "runs")
+    runs = written(_runs(texts, length, k, by_words), "runs")
     # A joined rest never stands for its name.
     token = F.when(F.col("rest"), F.lit((1 << 63) - 1)).otherwise(F.xxhash64("k1", "k2", "lo"))
     names = runs.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(token).alias("head"))
@@ -281,12 +337,13 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         for batch in slices(batches, "text", 2 << 20):
             out = []
             for k1, k2, x, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2")), raw_bytes(batch.column("text")).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                x = coded(x) if by_words else x
                 out += [(k1, k2, *(r[f] for f in fields), x[r["lo"] : r["hi"] + length]) for r in runs]
             if out:
                 types = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k1", "k2", *fields, "data"])
 
-    pieces = texts.join(wanted, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, anchor long, lo long, hi long, a long, names long, sure boolean, data binary")
+    pieces = texts.join(wanted, ["k1", "k2"]).mapInArrow(lean(cut), "k1 long, k2 long, anchor long, lo long, hi long, a long, names long, sure boolean, data binary")
     pieces = written(pieces, "pieces")
     sure = hits.where("sure").select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
     crowd, small = (pieces.where(x).select("k1", "k2", "anchor", "lo", "hi", "a", "data") for x in (F.col("names") > group_limit, F.col("names") <= group_limit))
@@ -295,18 +352,27 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         more_sure, more_small = _halve(crowd, length, max(1, (1 << (length - k).bit_length()) // 2), group_limit)
         sure, small = sure.unionByName(more_sure), small.unionByName(more_small)
     spans = sure.unionByName(_induce(small, length))
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *_key(documents, doc_id, text))
-    joined = rows.join(spans, ["k1", "k2"], "left")
-    sorted_spans = F.sort_array("found")
-    # One maximal span after the other, in order of starts.
+    return written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "spans")
+
+
+def _maximal(found) -> F.Column:
+    """Spans in any order to one maximal span after the other, flattened, in order of starts."""
+    none = F.array().cast("array<bigint>")
     merged = F.aggregate(
-        sorted_spans,
-        F.array().cast("array<bigint>"),
+        F.sort_array(found),
+        none,
         lambda done, s: F.when((F.size(done) > 0) & (s["lo"] <= F.element_at(done, -1)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(F.element_at(done, -1), s["hi"])))).otherwise(F.concat(done, F.array(s["lo"], s["hi"]))),
     )
-    kept = [c for c in documents.columns if c != out]
-    return joined.select(*(F.col("row")[c].alias(c) for c in kept), F.coalesce(merged, F.array().cast("array<bigint>")).alias(out))
+    return F.coalesce(merged, none)
+
+
+def _with_spans(documents: DataFrame, found: dict[str, DataFrame], doc_id: str, text: str) -> DataFrame:
+    """All columns of the documents (as one, so that none clashes) joined with the spans of their keys."""
+    joined = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *_key(documents, doc_id, text))
+    for i, (name, spans) in enumerate(found.items()):
+        joined = joined.join(spans.withColumnRenamed("found", f"found{i}"), ["k1", "k2"], "left")
+    kept = [c for c in documents.columns if c not in found]
+    return joined.select(*(F.col("row")[c].alias(c) for c in kept), *(_maximal(F.col(f"found{i}")).alias(name) for i, name in enumerate(found)))
 
 
 def _kept(x: bytes, spans: list[int]) -> bytes:
@@ -315,48 +381,32 @@ def _kept(x: bytes, spans: list[int]) -> bytes:
 
 
 def digest_kept(found: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` with bytes, removed bytes, maximal spans and the SHA-256 of the remaining bytes."""
-    schema = T.StructType([*(found.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    """``keep`` with bytes, removed bytes, maximal spans, the SHA-256 of the remaining bytes and, of :func:`repeats`, the
+    words in repeated passages."""
+    both = "passages" in found.columns
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passage_words long" * both
+    schema = T.StructType([*(found.schema[c] for c in keep), *T._parse_datatype_string(fields).fields])
+    kinds = [pa.string() if f.dataType == T.StringType() else pa.int64() for f in schema.fields[len(keep) :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             rows = []
-            for x, spans in zip(raw_bytes(batch.column(text)).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            passages = batch.column("passages").to_pylist() if both else repeat(None)
+            for x, spans, words in zip(raw_bytes(batch.column(text)).to_pylist(), batch.column("spans").to_pylist(), passages):
                 x = x or b""
                 kept = _kept(x, spans)
-                rows.append((len(x), len(x) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                rows.append((len(x), len(x) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest(), *([sum(words[1::2]) - sum(words[::2])] if both else [])))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=schema.names)
 
-    return found.select(*dict.fromkeys([*keep, text, "spans"])).mapInArrow(run, schema)
-
-
-def _coded(texts: DataFrame) -> DataFrame:
-    """(id, text) to (id, coded): ``CODE`` bytes of a hash for each word, so that strings of words are strings of one size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
-        for batch in slices(batches, "text", 4 << 20):
-            out = []
-            for x in raw_bytes(batch.column("text")).to_pylist():
-                words = _WORD.findall(x or b"")
-                for w in words:
-                    if w not in known:
-                        if len(known) > 1 << 16:
-                            known = {}
-                        known[w] = xxhash.xxh64_digest(w)[:CODE]
-                out.append(b"".join([known.get(w) or xxhash.xxh64_digest(w)[:CODE] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "coded"])
-
-    return texts.mapInArrow(run, "id long, coded binary")
+    return found.select(*dict.fromkeys([*keep, text, "spans", *["passages"] * both])).mapInArrow(lean(run), schema)
 
 
 def _with_passages(x: bytes, spans: list[int], passages: list[int]) -> list[int]:
-    """``spans`` together with those of ``passages`` (of a coded text), flattened and maximal."""
+    """``spans`` together with the bytes of ``passages`` (spans of words), flattened and maximal."""
     edges = [m.span() for m in _WORD.finditer(x)]
     found = list(zip(spans[::2], spans[1::2], strict=True))
-    # Strings that don't begin at a word's code are inside others that do.
-    found += [(edges[-(-s // CODE)][0], edges[e // CODE - 1][1]) for s, e in zip(passages[::2], passages[1::2], strict=True)]
+    found += [(edges[s][0], edges[e - 1][1]) for s, e in zip(passages[::2], passages[1::2], strict=True)]
     out: list[int] = []
     for s, e in sorted(found):
         if out and s <= out[-1]:
@@ -366,26 +416,25 @@ def _with_passages(x: bytes, spans: list[int], passages: list[int]) -> list[int]
     return out
 
 
-def drop_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int | None = None, **settings) -> DataFrame:
+def drop_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int | None = None, length: int = LENGTH, **settings) -> DataFrame:
     """The documents with their remaining text. Incomplete characters at cuts go; untouched texts stay as they are. With
     ``words``, passages of so many words that occur again go as well, however few bytes they have (blanks between words
     may differ)."""
-    spans, passages, key = "__spans__", "__passages__", "__key__"
-    found = repeated_spans(documents, doc_id, text, out=spans, **settings)
+    spans = free_name(documents.columns, "spans")
+    passages = free_name([*documents.columns, spans], "passages")
     if words:
-        own = _key(documents, doc_id, text)[1]
-        coded = written(_coded(documents.select(own.alias("id"), F.col(text).alias("text"))), "coded")
-        by_words = repeated_spans(coded, "id", "coded", length=CODE * words, out=passages).where(F.size(passages) > 0).groupBy("id").agg(F.first(passages).alias(passages))
-        found = found.withColumn(key, own).join(by_words.withColumnRenamed("id", key), key, "left")
+        found = repeats(documents, doc_id, text, length, words, spans=spans, passages=passages, **settings)
+    else:
+        found = repeated_spans(documents, doc_id, text, length, out=spans, **settings)
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            gone = batch.column(spans).to_pylist()
+            gone, texts = batch.column(spans).to_pylist(), raw_bytes(batch.column(text)).to_pylist()
             if words:
-                gone = [_with_passages(x, s, p) if p else s for x, s, p in zip(raw_bytes(batch.column(text)).to_pylist(), gone, batch.column(passages).to_pylist(), strict=True)]
-            texts = [_kept(x, s).decode("utf-8", "ignore") if s else x for x, s in zip(raw_bytes(batch.column(text)).to_pylist(), gone, strict=True)]
-            done = pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary()).cast(pa.string())
+                gone = [_with_passages(x, s, p) if p else s for x, s, p in zip(texts, gone, batch.column(passages).to_pylist(), strict=True)]
+            texts = [_kept(x, s).decode("utf-8", "ignore").encode() if s else x for x, s in zip(texts, gone, strict=True)]
+            done = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([done if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)

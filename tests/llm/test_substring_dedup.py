@@ -28,13 +28,29 @@ def brute(docs, length=400):
     return sorted(out, key=str)
 
 
+def passage_words(docs, words=51):
+    """Words in passages of so many words that also begin anywhere else."""
+    lists = [(t or "").encode().split() for _, t in docs]
+    seen = Counter(tuple(x[i : i + words]) for x in lists for i in range(len(x) - words + 1))
+    out = []
+    for (d, _), x in zip(docs, lists, strict=True):
+        gone = set()
+        for i in range(len(x) - words + 1):
+            if seen[tuple(x[i : i + words])] > 1:
+                gone.update(range(i, i + words))
+        out.append((d, len(gone)))
+    return sorted(out)
+
+
 def got(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_query_equals_brute_force(spark, small):
     docs = table(spark, small, "documents").select("doc_id", "text").collect()
-    assert got(op7_substring_dedup(spark, small)) == brute(docs)
+    found = op7_substring_dedup(spark, small)
+    assert got(found.drop("n_passage_words")) == brute(docs)
+    assert sorted((r.doc_id, r.n_passage_words) for r in found.collect()) == passage_words(docs)
 
 
 def test_odd_texts_at_small_lengths_and_limits(spark, odd, empty):
