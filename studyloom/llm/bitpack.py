@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, shared_path, slices, written
+from .common import lean, raw_bytes, shared_path, slices, written
 from .word_ids import encoder
 
 MAGIC = b"SLTB"
@@ -178,7 +178,7 @@ def write_files(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str =
             sink.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": len(writer.docs), "n_ids": writer.total}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return written(rows.mapInArrow(run, "part int, path string, n_docs long, n_ids long"), "token-files")
+    return written(rows.mapInArrow(lean(run), "part int, path string, n_docs long, n_ids long"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -204,4 +204,4 @@ def read_files(files: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

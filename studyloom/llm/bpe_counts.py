@@ -20,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import raw_bytes, slices
+from .common import lean, raw_bytes, slices
 
-#: Counts of so many distinct pre-tokens are remembered by a worker, then forgotten.
-REMEMBERED = 1 << 20
+#: A worker remembers the counts of distinct pre-tokens in about so many bytes of memory, then forgets them all.
+REMEMBERED = 24 << 20
+#: Bytes of a remembered pre-token besides its letters.
+ENTRY = 150
 #: Longer pre-tokens (in bytes) aren't remembered.
 LONGEST = 64
 
@@ -59,6 +61,7 @@ class RankedMerges:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def count_sequences(self, sequences: list[bytes]) -> np.ndarray:
         """Tokens of each byte sequence."""
@@ -105,12 +108,15 @@ class RankedMerges:
         if fresh:
             coded = [w.encode() for w in fresh]
             counts = dict(zip(fresh, self.count_sequences(coded).tolist(), strict=True))
-            if len(known) + len(fresh) > REMEMBERED:
+            more = sum(ENTRY + len(w) for w in fresh if len(w) <= LONGEST)
+            if self.held + more > REMEMBERED:
                 known.clear()
-                counts = dict(zip(fresh, counts.values(), strict=True))
+                self.held = 0
                 missing = list({w for words in parts for w in words if w not in counts})
                 counts |= dict(zip(missing, self.count_sequences([w.encode() for w in missing]).tolist(), strict=True))
-            known.update((w, n) for w, n in counts.items() if len(w) <= LONGEST)
+            if more <= REMEMBERED:
+                known.update((w, counts[w]) for w in fresh if len(w) <= LONGEST)
+                self.held += more
         get = lambda w: n if (n := known.get(w)) is not None else counts[w]
         out = []
         for words, n in zip(parts, extra, strict=True):
@@ -134,7 +140,7 @@ def merges(path: str) -> RankedMerges:
 def with_token_counts(documents: DataFrame, path: str, text: str = "text", n_bytes: str = "n_bytes", n_tokens: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
     """The documents (their columns ``keep``, or all) with UTF-8 bytes and tokens of every whole text; no shuffle.
     ``path``: the tokenizer file, readable on every executor."""
-    keep = documents.columns if keep is None else keep
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in (n_bytes, n_tokens)]
     schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField(n_bytes, T.LongType()), T.StructField(n_tokens, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,4 +151,4 @@ def with_token_counts(documents: DataFrame, path: str, text: str = "text", n_byt
             counts = model.count_texts([(x or b"").decode("utf-8", "replace") for x in column.to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), sizes, pa.array(counts, pa.int64())], names=[*keep, n_bytes, n_tokens])
 
-    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), schema)

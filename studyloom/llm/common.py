@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -15,12 +17,16 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, a temporary one is made, but only for
+    a local master: on a cluster every executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='studyloom-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -30,14 +36,62 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and fixes the rows for all later reads."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when the block ends; what is needed later is written elsewhere before that."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name`` with underscores until no column has it (Spark's names don't depend on case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold few rows, so that executors' memory doesn't follow the default of 10,000. A
+    setting that the session already has differently stays."""
+    for key, usual, now in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(SLICE_BYTES))):
+        with suppress(Exception):  # a version may not know the second
+            if usual is None or spark.conf.get(key) == usual:
+                spark.conf.set(key, now)
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function that gives its memory back to the system when it ends; workers outlive their tasks."""
+
+    def leaned(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return leaned
+
+
 def raw_bytes(column: pa.Array) -> pa.Array:
     """A text column as UTF-8 bytes without copying; nulls stay."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

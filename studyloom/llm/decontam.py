@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_bytes, slices, written
+from .common import lean, raw_bytes, slices, written
 
 WINDOW = 10
 #: Items are collected in blocks of at most about so many bytes; each block has an automaton of its own.
@@ -221,7 +221,7 @@ def find_contamination(
         automaton = documents.sparkSession.sparkContext.broadcast(ItemAutomaton(items, window))
         kept = keep if k == len(blocks) - 1 else every
         schema = T.StructType([*(documents.schema[c] for c in kept), *hits.fields])
-        out = (written(out, "decontam") if k else out).mapInArrow(_pass(automaton, text, bool(k), kept, hits.names), schema)
+        out = (written(out, "decontam") if k else out).mapInArrow(lean(_pass(automaton, text, bool(k), kept, hits.names)), schema)
     return out
 
 
@@ -279,4 +279,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
             done = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([done if n == text else out.column(n) for n in schema.names], names=schema.names)
 
-    return hits.mapInArrow(run, schema)
+    return hits.mapInArrow(lean(run), schema)

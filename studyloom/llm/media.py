@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import raw_bytes, slices, written
+from .common import lean, raw_bytes, slices, written
 
 UNIT, FILL = 192, b" "
 RATE, UP, DOWN, TAPS = 16000, 1, 2, 24
@@ -147,7 +147,7 @@ def store(documents: DataFrame, text: str = "text", media: str = "media", n_byte
             texts = [x or b"" for x in raw_bytes(batch.column(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(map(len, texts), pa.int64()), pa.array([wave(payload_of(x)) for x in texts], pa.binary())], names=schema.names)
 
-    return written(documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema), "media")
+    return written(documents.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), schema), "media")
 
 
 def tensor_type() -> pa.DataType:
@@ -184,7 +184,7 @@ def patches(stored: DataFrame, keep: list[str], media: str = "media") -> DataFra
                         names=schema.names,
                     )
 
-    return stored.select(*dict.fromkeys([*keep, media])).mapInArrow(run, schema)
+    return stored.select(*dict.fromkeys([*keep, media])).mapInArrow(lean(run), schema)
 
 
 def as_tensors(column: pa.Array) -> pa.ExtensionArray:
@@ -226,7 +226,7 @@ def with_tensors(stored: DataFrame, keep: list[str], media: str = "media") -> Da
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), lists], names=schema.names)
 
-    return written(stored.select(*dict.fromkeys([*keep, media])).mapInArrow(run, schema), "tensors")
+    return written(stored.select(*dict.fromkeys([*keep, media])).mapInArrow(lean(run), schema), "tensors")
 
 
 def described(stored: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
@@ -244,4 +244,4 @@ def described(stored: DataFrame, keep: list[str], media: str = "media") -> DataF
                 features.append(summary(values[: round((ends[-1] * OUT_RATE - FRAME) / HOP) + 1]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(features, pa.string())], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)

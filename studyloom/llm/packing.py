@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, written
+from .common import lean, raw_bytes, slices, written
 from .word_ids import encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -133,7 +133,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
                 yield _with_ids(packer.drain(), [x.tobytes() for _, _, x, _ in rest], part)
 
     rows = documents.select(F.spark_partition_id().alias("part"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packed = written(rows.mapInArrow(first_level, f"{PIECE}, ids binary, part int"), "packed")
+    packed = written(rows.mapInArrow(lean(first_level), f"{PIECE}, ids binary, part int"), "packed")
 
     def second_level(key, table):
         table = table.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])

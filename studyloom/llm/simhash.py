@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_bytes, slices, written
+from .common import lean, raw_bytes, slices, written
 
 SHINGLE, RADIUS, PIECES, PIVOTS, BUCKET_LIMIT = 3, 2, 4, 16, 256
 
@@ -65,7 +65,7 @@ def fingerprint_of(text: bytes, size: int = SHINGLE) -> int:
 
 def with_fingerprint(documents: DataFrame, text: str = "text", size: int = SHINGLE, out: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """The documents (their columns ``keep``, or all) with the fingerprint as a signed 64-bit ``out``."""
-    keep = documents.columns if keep is None else keep
+    keep = [c for c in (documents.columns if keep is None else keep) if c != out]
     schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def with_fingerprint(documents: DataFrame, text: str = "text", size: int = SHING
             fps = np.array([fingerprint_of(x or b"", size) for x in raw_bytes(batch.column(text)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], names=[*keep, out])
 
-    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), schema)
 
 
 def _masks(pieces: int, radius: int) -> list[int]:

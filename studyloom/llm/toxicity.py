@@ -8,10 +8,15 @@ fitted threshold.
 
 Training is by multiple instances: labels belong to documents, so each pass trains on every document's highest window
 (and random ones). The sample is bounded: at most ``SAMPLE_ROWS`` labelled rows of each class, lowest hashes of their
-ids first, of texts up to ``SAMPLE_BYTES``; scoring covers whole texts of all rows.
+ids first, whatever their texts' sizes; of a text with more windows, ``SAMPLE_WINDOWS`` evenly spread over all of it
+are learned from. Scoring covers whole texts of all rows, in parts of ``PART`` words, so that memory doesn't follow a text.
+
+Beginnings of words are an input beside the inner grams, since a word whose ending is inflected or garbled keeps its
+beginning; it is taken for every word alike.
 
 Defined results: null, empty and wordless texts score 0; equal texts score alike; without labelled rows of both classes
-every score is 0; other columns pass through.
+every score is 0; of rows that repeat a labelled id with different texts the least text is learned from; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -25,17 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_bytes, slices
+from .common import free_name, lean, raw_bytes, slices
 
 WINDOW, STRIDE = 64, 48
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 14, 15, 8, 8
 #: Bytes of the grams that are taken at a word's beginning alone, its edge counted.
 PREFIXES = (6, 7, 8)
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 10
+SAMPLE_ROWS, SAMPLE_WINDOWS = 2000, 64
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.01, 11
 THRESHOLD = 0.7
+#: What a false alarm counts against a toxic text that is found, in shares of their classes.
+COST = 4.0
 #: Windows scored at once, and words whose inputs are summed at once.
 BLOCK, WORDS = 2048, 1 << 15
+#: Bytes of a text that are cut into words at once, and words of all texts whose windows are scored together.
+CUT, PART = 1 << 18, 1 << 18
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -47,8 +56,11 @@ class Lexicon:
         self.ids: dict[bytes, int] = {b"": 0}
 
     def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_words(text.translate(_FOLD).split())
+
+    def encode_words(self, words: list[bytes]) -> np.ndarray:
         ids = self.ids
-        return np.array([ids.setdefault(w, len(ids)) for w in text.translate(_FOLD).split()], np.int32)
+        return np.array([ids.setdefault(w, len(ids)) for w in words], np.int32)
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word buckets, gram buckets of all words in a row, and where each word's grams begin."""
@@ -85,6 +97,38 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return ids[starts[:, None] + np.arange(WINDOW)]
 
 
+def parts_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in parts; the windows of the parts are together those of the text."""
+    held: list[bytes] = []
+    at = 0
+    while at < len(text):
+        end = at + CUT
+        while end < len(text) and _FOLD[text[end]] != 32:
+            end += 1
+        held += text[at:end].translate(_FOLD).split()
+        at = end
+        # So many windows are whole and leave a window's words at least.
+        whole = (len(held) - WINDOW) // STRIDE
+        if at < len(text) and whole > 0:
+            yield held[: (whole - 1) * STRIDE + WINDOW]
+            held = held[whole * STRIDE :]
+    if held:
+        yield held
+
+
+def spread(text: bytes, most: int = SAMPLE_WINDOWS) -> list[bytes]:
+    """The words of a text's windows as texts: the whole text, or ``most`` windows evenly spread over it."""
+    n = sum(len(windows(np.zeros(len(p), np.int32))) for p in parts_of(text))
+    if n <= most:
+        return [text]
+    wanted, at, out = set(np.linspace(0, n - 1, most).astype(int).tolist()), 0, []
+    for part in parts_of(text):
+        starts = np.append(np.arange(0, len(part) - WINDOW, STRIDE), max(0, len(part) - WINDOW)).tolist()
+        out += [b" ".join(part[s : s + WINDOW]) for i, s in enumerate(starts) if at + i in wanted]
+        at += len(starts)
+    return out
+
+
 def initial(seed: int = SEED) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     p = {"word": r.normal(0, 0.1, (1 << WORD_BITS, WIDTH)), "gram": r.normal(0, 0.1, (1 << GRAM_BITS, WIDTH)), "v": r.normal(0, 0.3, 2 * HIDDEN), "wa": r.normal(0, 0.3, (2 * HIDDEN, 2 * HIDDEN)), "wo": r.normal(0, 0.3, 2 * HIDDEN), "bo": np.zeros(1)}
@@ -210,18 +254,18 @@ def _subset(features, used: np.ndarray):
     return buckets[used], grams[place], begin
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray] | None:
-    """The fitted weights with ``scale`` and ``shift`` of the text's logit; None without both classes. A fifth of the
-    texts is left out of training to place the threshold."""
+def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray] | None:
+    """The fitted weights with ``scale`` and ``shift`` of the text's logit; None without both classes. A text is given as
+    the list of its pieces (:func:`spread`). A fifth of the texts is left out of training to place the threshold."""
     lexicon = Lexicon()
-    coded = [(lexicon.encode(t), y) for t, y in zip(texts, labels, strict=True)]
+    coded = [(np.concatenate([windows(lexicon.encode(t)) for t in pieces]), y) for pieces, y in zip(texts, labels, strict=True)]
     coded = [(i, y) for i, y in coded if len(i)]
     if len({y for _, y in coded}) < 2:
         return None
     r = np.random.default_rng(seed)
     order = r.permutation(len(coded))
     features = lexicon.features()
-    per_doc = [windows(coded[i][0]) for i in order]
+    per_doc = [coded[i][0] for i in order]
     y = np.array([coded[i][1] for i in order], np.float32)
     tuning = np.arange(len(y)) % 5 == 4
     if min(y[~tuning].sum(), (1 - y[~tuning]).sum()) < 1:
@@ -256,30 +300,43 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     logit = _logits(p, inputs(p, features), every)
     highest = np.maximum.reduceat(logit, first[:-1])
     held = tuning if min(y[tuning].sum(), (1 - y[tuning]).sum()) >= 5 else ~tuning
-    # The threshold lies between the classes where most texts of the tuning part are right.
+    # The threshold lies between the classes of the tuning part, where the share of toxic texts found less ``COST`` times
+    # the share of false alarms is highest.
     cut = np.sort(highest[held])
     cut = (cut[1:] + cut[:-1]) / 2
-    right = [((highest[held] >= c) == (y[held] == 1)).mean() for c in cut]
+    right = [(highest[held][y[held] == 1] >= c).mean() - COST * (highest[held][y[held] == 0] >= c).mean() for c in cut]
     good = cut[np.flatnonzero(right >= np.max(right) - 1e-9)]
     return p | {"shift": np.array([good[len(good) // 2]], np.float32), "scale": np.array([1.0], np.float32)}
 
 
+def _highest(p: dict[str, np.ndarray], owners: list[int], parts: list[list[bytes]], out: np.ndarray) -> None:
+    """Raise ``out`` of each part's owner to its highest window."""
+    lexicon = Lexicon()
+    coded = [windows(lexicon.encode_words(words)) for words in parts]
+    logit = _logits(p, inputs(p, lexicon.features()), np.concatenate(coded))
+    np.maximum.at(out, np.repeat(owners, [len(w) for w in coded]), logit)
+
+
 def score_texts(p: dict[str, np.ndarray] | None, texts: list[bytes]) -> np.ndarray:
     """Scores of whole texts."""
     out = np.zeros(len(texts))
     if p is None:
         return out
-    lexicon = Lexicon()
-    coded = [windows(lexicon.encode(t)) for t in texts]
-    size = np.array([len(w) for w in coded], np.int64)
-    if not size.sum():
-        return out
-    logit = _logits(p, inputs(p, lexicon.features()), np.concatenate(coded))
-    full = size > 0
-    first = np.append(0, np.cumsum(size)[:-1])[full]
-    highest = np.maximum.reduceat(logit, first).astype(np.float64)
+    highest = np.full(len(texts), -np.inf)
+    owners, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        for words in parts_of(text):
+            owners.append(i)
+            parts.append(words)
+            held += len(words)
+            if held >= PART:
+                _highest(p, owners, parts, highest)
+                owners, parts, held = [], [], 0
+    if parts:
+        _highest(p, owners, parts, highest)
+    full = highest > -np.inf
     # Rounded, so that equal texts score alike in whatever batch they are.
-    z = np.round(p["scale"][0] * (highest - p["shift"][0]) + np.log(THRESHOLD / (1 - THRESHOLD)), 3)
+    z = np.round(p["scale"][0] * (highest[full] - p["shift"][0]) + np.log(THRESHOLD / (1 - THRESHOLD)), 3)
     out[full] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return out
 
@@ -293,11 +350,18 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """Train on a bounded sample of labelled rows, held-out rows left out."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(rows) for y in (0, 1)]
-    # At most 2 * rows ids are broadcast, and as many texts of bounded size come back.
+    # At most 2 * rows ids are broadcast, and a list of windows' words of bounded size comes back for each.
     chosen = F.broadcast(pick[0].unionByName(pick[1]).select(F.col(doc_id).alias("_id"), "y"))
-    sample = documents.where(F.octet_length(text) <= SAMPLE_BYTES).join(chosen, documents[doc_id] == F.col("_id")).select("_id", F.encode(F.col(text), "UTF-8").alias("t"), "y")
-    got = sorted((r._id, bytes(r.t), r.y) for r in sample.orderBy("_id", "t").limit(4 * rows).collect())
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 2 << 20):
+            pieces = [spread(x) for x in raw_bytes(batch.column("t")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), pa.array(pieces, pa.list_(pa.binary()))], names=["_id", "y", "pieces"])
+
+    texts = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("t")).where("t is not null")
+    sample = texts.join(chosen, F.col("_doc") == F.col("_id")).select(F.col("_id").cast("string"), "y", "t").mapInArrow(lean(cut), "_id string, y int, pieces array<binary>")
+    got = sorted(((r._id, r.y, [bytes(x) for x in r.pieces]) for r in sample.groupBy("_id", "y").agg(F.min("pieces").alias("pieces")).collect()), key=lambda r: r[0])
+    return train([x for *_, x in got], [y for _, y, _ in got])
 
 
 def with_scores(documents: DataFrame, weights: dict[str, np.ndarray] | None, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -311,10 +375,10 @@ def with_scores(documents: DataFrame, weights: dict[str, np.ndarray] | None, tex
             scores = score_texts(shared.value, [x or b"" for x in raw_bytes(batch.column(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], names=[*keep, out])
 
-    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), schema)
 
 
 def drop_toxic(documents: DataFrame, weights: dict[str, np.ndarray] | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, as they are."""
-    score = "__score__"
+    score = free_name(documents.columns, "score")
     return with_scores(documents, weights, text, score).where(F.col(score) < threshold).select(*documents.columns)

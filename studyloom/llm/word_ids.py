@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 
-#: Ids of so many distinct words are remembered by a worker, then forgotten.
-REMEMBERED = 1 << 20
+#: A worker remembers the ids of distinct words in about so many bytes of memory, then forgets them all.
+REMEMBERED = 24 << 20
+#: Bytes of a remembered word besides its letters and ids (dictionary entry and two objects).
+ENTRY = 190
 LONGEST = 64
 
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f]")
@@ -27,24 +29,24 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.single = Tokenizer.from_file(path)
-        self.single.normalizer = normalizers.Sequence([])  # words are lower-cased already
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.vocab_size = self.whole.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _plain(self, text: str) -> bool:
         return not (_OTHER.search(text) or _ODD in text or any(s in text for s in self.special))
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Words joined by spaces are encoded together; the library says which ids belong to which word."""
+        """Words joined by spaces are encoded together; the library says which ids belong to which word. Lower-casing
+        them once more changes nothing."""
         out = {}
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            got = self.single.encode(" ".join(part), add_special_tokens=False)
+            got = self.whole.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
             raw = ids.tobytes()
@@ -60,10 +62,14 @@ class WordEncoder:
             out[i] = np.array(got.ids, "<u4").tobytes()
         known = self.known
         fresh = self._learn(list({w for ws in words.values() for w in ws if w not in known}))
-        if len(known) + len(fresh) > REMEMBERED:
+        more = sum(ENTRY + len(w) + len(x) for w, x in fresh.items() if len(w) <= LONGEST)
+        if self.held + more > REMEMBERED:
             known.clear()
+            self.held = 0
             fresh |= self._learn(list({w for ws in words.values() for w in ws if w not in fresh}))
-        known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+        if more <= REMEMBERED:
+            known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+            self.held += more
         for i, ws in words.items():
             try:
                 out[i] = b"".join(map(known.__getitem__, ws))

@@ -48,6 +48,7 @@ def test_held_out_accuracy(spark):
     held = [(r.toxic, scored[r.doc_id].predicted) for r in table(spark, at, "labels").collect() if r.doc_id in scored and scored[r.doc_id].held_out and r.toxic is not None]
     toxic = [p for y, p in held if y == 1]
     clean = [p for y, p in held if y == 0]
+    print("RATES", np.mean(toxic), np.mean(clean))
     assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.03, (np.mean(toxic), len(toxic), np.mean(clean), len(clean))
     by_text = {}
     assert all(by_text.setdefault(texts[d], r.score) == r.score for d, r in scored.items())
