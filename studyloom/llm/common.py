@@ -50,9 +50,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside go when the block ends; what is needed later is written elsewhere before that."""
-    _MADE.append([])
+def passing(spark: SparkSession, path: str | None = None) -> Iterator[None]:
+    """Tables written inside, and the one at ``path``, go when the block ends; what is needed later is written elsewhere
+    before that."""
+    _MADE.append([path] if path else [])
     try:
         yield
     finally:

@@ -1,18 +1,23 @@
 """Sharding by Hilbert-curve order.
 
-Several metadata dimensions are quantised to ``bits`` bits each; rows are sorted by their index on the Hilbert curve
-through that grid and the order is cut into shards of equal row counts. Neighbours on the curve are near in every
-dimension, so a shard covers a small box and its minima and maxima prune files for filters on any of them.
+Several metadata dimensions are quantised to ``bits`` bits each, at cuts that leave about equally many rows between them:
+sizes as they are, names by the order of their bytes after what all of them begin with. So a code range is a range of the
+real column. Rows are sorted by their index on the Hilbert curve through that grid and the order is cut into shards of
+equal row counts. Neighbours on the curve are near in every dimension, so a shard covers a small box and its minima and
+maxima prune files for filters on any of them.
 
-Equal texts have equal dimensions but for the source; among equal curve indexes rows are ordered by their text's hash,
-so copies lie side by side. Law ``rows``: shard sizes differ by at most one row. Only metadata is shuffled.
+Among equal curve indexes rows are ordered by their text's hash, so copies lie side by side. Law ``rows``: shard sizes
+differ by at most one row. Whole rows are shuffled once, by ranges of the order, and written twice: in curve order, where
+every row's place is counted, and as shard files, where a task writes the few shards its range reaches.
 
 Defined results: null values of a dimension are code zero; null texts count no bytes and the CRC of no bytes; repeated
-rows each have a place; fewer rows than shards leave the last shards empty; extra columns don't matter.
+rows and rows without an id each have a place, which travels with the row; fewer rows than shards leave the last shards
+empty; an empty table writes none; extra columns travel with the row, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 
 import numpy as np
 import pandas as pd
@@ -55,26 +60,36 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def log_code(size: Column, bits: int = BITS) -> Column:
-    """A size on a logarithmic scale, four steps a doubling."""
-    return F.least(F.floor(4 * F.log2(F.greatest(size, F.lit(1)))), F.lit((1 << bits) - 1)).cast("int")
+def name_number(name: Column, skip: int) -> Column:
+    """Seven bytes of a name after the first ``skip``, as a number in the names' order."""
+    some = F.hex(F.substring(F.encode(name, "UTF-8"), skip + 1, 7))
+    return F.conv(F.rpad(some, 14, "0"), 16, 10).cast("long")
 
 
-def name_code(name: Column, bits: int = BITS) -> Column:
-    return F.when(name.isNull(), 0).otherwise(F.pmod(F.xxhash64(name), F.lit(1 << bits))).cast("int")
+def dimensions(rows: DataFrame, names: list[str], numbers: list[str], bits: int = BITS) -> tuple[list[Column], list[list[int]]]:
+    """A number for each column and the cuts of its codes: at most ``2**bits - 1`` each, by two aggregates of one row."""
+    ends = [f(F.encode(F.col(c), "UTF-8")) for c in names for f in (F.min, F.max)]
+    got = [bytes(x or b"") for x in rows.agg(*ends).first()] if ends else []
+    skips = [len(os.path.commonprefix(got[i : i + 2])) for i in range(0, len(got), 2)]
+    columns = [name_number(F.col(c), n) for c, n in zip(names, skips, strict=True)] + [F.col(c).cast("long") for c in numbers]
+    at = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = rows.agg(*(F.percentile_approx(c, at, 10_000) for c in columns)).first()
+    return columns, [sorted(x or []) for x in cuts]  # a value of many rows has many cuts, so codes fill the grid
 
 
-def assign_shards(rows: DataFrame, codes: list[Column], order: list[str], shards: int, bits: int = BITS) -> DataFrame:
+def in_curve_order(rows: DataFrame, columns: list[Column], cuts: list[list[int]], order: list[str], shards: int, bits: int = BITS) -> DataFrame:
     """The rows with ``curve`` (index), ``shard`` and ``slot`` (place in the shard). ``order``: columns that break ties.
-    One range shuffle of these rows; a count for each partition is all that is brought into one order."""
-    if len(codes) * bits > 62:
+    One range shuffle; a count for each partition is all that is brought into one order."""
+    if len(columns) * bits > 62:
         raise ValueError("too many bits for one index")
 
     @F.pandas_udf("long")
-    def curve(*columns: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
+    def curve(*values: pd.Series) -> pd.Series:
+        codes = [np.searchsorted(np.array(cut, np.int64), v.to_numpy(), side="right") for cut, v in zip(cuts, values, strict=True)]
+        return pd.Series(hilbert_index(np.stack(codes, axis=1), bits))
 
-    ranged = rows.withColumn("curve", curve(*codes)).repartitionByRange("curve", *order).sortWithinPartitions("curve", *order)
+    least = F.lit(-(1 << 63))  # below every cut
+    ranged = rows.withColumn("curve", curve(*(F.coalesce(c, least) for c in columns))).repartitionByRange("curve", *order).sortWithinPartitions("curve", *order)
     placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "curve-order")
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
@@ -90,29 +105,27 @@ def assign_shards(rows: DataFrame, codes: list[Column], order: list[str], shards
     return ranked.select("*", shard.cast("int").alias("shard"), slot.alias("slot")).drop("_at", "_part", "_before", "_all", "_rank", "_least", "_more")
 
 
-def shard_documents(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", bits: int = BITS) -> DataFrame:
-    """Every document's ``doc_id``, ``size`` (UTF-8 bytes and 16), ``text_crc32``, ``curve``, ``shard`` and ``slot``."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def shard_documents(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source"), bits: int = BITS) -> DataFrame:
+    """Every document as one column ``row`` with its ``curve``, ``shard`` and ``slot``."""
+    size = F.coalesce(F.octet_length(text), F.lit(0))
     rows = documents.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(body) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
+        F.col(doc_id).alias("_id"),
+        size.alias("_size"),
         F.xxhash64(text).alias("_hash"),
-        name_code(F.col(lang), bits).alias("_lang"),
-        name_code(F.col(source), bits).alias("_source"),
+        *(F.col(n).cast("string").alias(f"_name{i}") for i, n in enumerate(names)),
     )
-    placed = assign_shards(rows, [F.col("_lang"), log_code(F.col("size"), bits), F.col("_source")], ["_hash", "doc_id"], shards, bits)
-    return placed.drop("_hash", "_lang", "_source")
+    columns, cuts = dimensions(rows, [f"_name{i}" for i in range(len(names))], ["_size"], bits)
+    return in_curve_order(rows, columns, cuts, ["_hash", "_id"], shards, bits).select("row", "curve", "shard", "slot")
 
 
-def shard_ranges(placed: DataFrame, columns: list[str]) -> DataFrame:
-    """Minimum and maximum of ``columns`` for each shard: what a reader prunes files by."""
-    return placed.groupBy("shard").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))))
-
-
-def write_shards(documents: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Write whole documents as one folder for each shard, in slot order."""
-    joined = documents.join(placed.select(F.col("doc_id").alias("_id"), "shard", "slot"), documents[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> DataFrame:
+    """Write the rows of :func:`shard_documents` as a folder for each shard, in slot order, and return the table as read.
+    No shuffle: rows come in curve order, so a task holds few shards, and a large shard is several tasks' files."""
+    placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return placed.sparkSession.read.schema(placed.schema).parquet(path)
 
 
+def shard_ranges(stored: DataFrame, columns: list[str]) -> DataFrame:
+    """Minimum and maximum of ``columns`` of the rows for each shard: what a reader prunes files by."""
+    return stored.groupBy("shard").agg(F.count("*").alias("n"), *(f(F.col("row")[c]).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))))

@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 from .common import lean, raw_bytes, slices, written
 
 UNIT, FILL = 192, b" "
-RATE, UP, DOWN, TAPS = 16000, 1, 2, 24
+RATE, UP, DOWN, TAPS = 16000, 2, 3, 24
 FRAME, HOP, MELS, PATCH = 256, 128, 24, 64
 BLOCK_FRAMES = 64 * 64
 FLOOR = -10.0
+#: Log-mel values are kept in steps of so many to a decade, which is finer than 8-bit samples tell.
+STEPS = 64
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -118,7 +120,7 @@ def log_mel_blocks(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.nd
         frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _WINDOW
         spectrum = np.fft.rfft(frames, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        yield first, np.maximum(np.log10(power @ _BANK + 1e-10), FLOOR), np.log10(power.sum(axis=1) + 1e-10)
+        yield first, np.round(np.maximum(np.log10(power @ _BANK + 1e-10), FLOOR) * STEPS) / STEPS, np.log10(power.sum(axis=1) + 1e-10)
 
 
 def hysteresis(energy: np.ndarray, low: float, high: float) -> list[tuple[int, int]]:

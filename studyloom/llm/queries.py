@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import table as _table
 from . import bitpack, bpe_counts, decontam, hilbert, hosts, media, packing, simhash, substring_dedup, toxicity
-from .common import bounded
+from .common import bounded, shared_path
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -69,8 +69,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = hilbert.shard_documents(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit(hilbert.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    """Writes the shard files and reads places, sizes and check sums back from them."""
+    stored = hilbert.write_shards(hilbert.shard_documents(table(spark, sf_dir, "documents")), shared_path(spark, "shards"))
+    body = F.coalesce("row.text", F.lit(""))
+    return stored.select(
+        "row.doc_id",
+        (F.octet_length(body) + 16).cast("long").alias("size"),
+        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        F.lit(hilbert.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+    )
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
