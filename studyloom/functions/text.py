@@ -62,7 +62,8 @@ def in_source(quote: Column, source: Column) -> Column:
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.regexp_count(text, F.lit(f"[{chars}]"))
+    """Characters of a class, by what is left without them (no match becomes a string of its own)."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
 def zh_ratio(text: Column) -> Column:
@@ -76,7 +77,11 @@ def clamped_ratio(text: Column) -> Column:
 
 
 def language(text: Column, threshold: float = ZH_MIN_RATIO) -> Column:
-    return F.when(zh_ratio(text) >= threshold, "zh").otherwise("en")
+    return language_of(zh_ratio(text), threshold)
+
+
+def language_of(ratio: Column, threshold: float = ZH_MIN_RATIO) -> Column:
+    return F.when(ratio >= threshold, "zh").otherwise("en")
 
 
 def cjk_ratio(text: Column) -> Column:
@@ -127,8 +132,8 @@ def _joined_lines(chunk: Column) -> Column:
 def segments(text: Column, min_length: int = 1) -> Column:
     """Sentences of a text. Blank lines part chunks; wrapped lines are joined without a space until one ends a sentence;
     sentences end after 。！？!?… and after . ! ? before white space. Shorter parts than ``min_length`` take on the next."""
-    cut = rf"{BREAK}|(?<=[。！？!?…])|(?<=[.!?])(?=[{SPACE}])"
-    parts = F.transform(paragraphs(text), lambda c: F.filter(F.split(_joined_lines(c), cut, -1), lambda p: F.length(p) > 0))
+    marked = lambda c: F.regexp_replace(_joined_lines(c), rf"([。！？!?…]|\.(?=[{SPACE}]))", f"$1{BREAK}")
+    parts = F.transform(paragraphs(text), lambda c: F.filter(F.split(marked(c), BREAK, -1), lambda p: F.length(p) > 0))
     if min_length > 1:
         glue = lambda done, p: F.when((F.size(done) > 0) & (F.length(F.element_at(done, -1)) < min_length), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), p)))).otherwise(F.concat(done, F.array(p)))
         parts = F.transform(parts, lambda c: F.aggregate(c, F.array().cast("array<string>"), glue))

@@ -135,8 +135,8 @@ def prompt(zh: Column, en: Column, block: Column) -> Column:
     listed = lambda c: F.array_join(F.transform(c, lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s)), "\n")
     count = lambda c: F.size(c).cast("string")
     return F.concat(
-        F.lit("这是第 "), block.cast("string"), F.lit(" 块。\n\n中文句子（共 "), count(zh), F.lit(" 句）：\n"), listed(zh), F.lit("\n\n英文句子（共 "), count(en), F.lit(" 句）：\n"), listed(en),
-        F.lit("\n\n请把中文 1~"), count(zh), F.lit(" 全部映射到英文编号，输出 JSON 数组。"),
+        F.lit("块 "), block.cast("string"), F.lit("\n\n甲方（"), count(zh), F.lit("）\n"), listed(zh), F.lit("\n\n乙方（"), count(en), F.lit("）\n"), listed(en),
+        F.lit('\n\n给出 JSON 数组，每项 {"zh": [...], "en": [...]}，甲方编号全部用到一次。'),
     )
 
 

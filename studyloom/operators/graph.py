@@ -22,7 +22,7 @@ def prompt(title: Column, body: Column) -> Column:
     """The numbered paragraphs (the first 120) that a model is asked to read: a limit of the prompt, not of the data."""
     parts = F.slice(X.paragraphs(body), 1, PARAGRAPHS)
     listed = F.array_join(F.transform(parts, lambda p, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), p)), "\n")
-    return F.concat(F.lit("标题："), title, F.lit("\n\n正文（共 "), F.size(parts).cast("string"), F.lit(" 段）：\n"), listed)
+    return F.concat(F.lit("《"), title, F.lit("》，段落 "), F.size(parts).cast("string"), F.lit(" 个\n"), listed)
 
 
 def json_object(answer: Column) -> Column:

@@ -44,7 +44,8 @@ def ledger(usages: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
 
 
 def unit_key(index: Column, title: Column) -> Column:
-    return F.concat(F.lpad(index.cast("string"), 4, "0"), F.lit(":"), title)
+    """``0007:title``: four digits at least, all of them where there are more."""
+    return F.format_string("%04d:%s", index.cast("long"), title)
 
 
 def absorb(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -83,8 +83,9 @@ def merge_pairs(pairs: DataFrame, merges: DataFrame, piece: str, key: str = "pai
 
 
 def progress(pieces: DataFrame, reports: DataFrame, piece: str) -> DataFrame:
-    """Pieces with ``last_pos`` and ``recited`` of the latest report that isn't older than the piece."""
-    latest = reports.groupBy(piece).agg(F.max_by(F.struct(F.col("last_pos").alias("p"), F.col("recited").alias("r")), "client_ts").alias("_r"), F.max("client_ts").alias("_ts"))
+    """Pieces with ``last_pos`` and ``recited`` of the latest report that isn't older than the piece; of reports of one time
+    the one with the highest place, recited ones last."""
+    latest = reports.groupBy(piece).agg(F.max(F.struct("client_ts", F.col("last_pos").alias("p"), F.col("recited").alias("r"))).alias("_r")).withColumn("_ts", F.col("_r.client_ts"))
     joined = pieces.join(latest, piece, "left")
     fresh = F.coalesce(F.col("_ts") >= F.col("updated_at"), F.lit(False))
     return joined.withColumns({"last_pos": F.when(fresh, F.col("_r.p")).otherwise(F.col("last_pos")), "recited": F.when(fresh, F.coalesce("_r.r", "recited")).otherwise(F.col("recited"))}).drop("_r", "_ts")

@@ -24,9 +24,9 @@ BATCH, OFFSET_MS = 200, 5000
 
 
 def utc(text: Column) -> Column:
-    """A client's time text, with or without a zone, as naive UTC."""
+    """A client's time text, with or without a zone, as naive UTC, whatever the session's time zone is."""
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, F.to_timestamp(text).cast("timestamp_ntz")).otherwise(F.try_to_timestamp(text).cast("timestamp_ntz"))
+    return F.when(zoned, F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))).otherwise(F.try_to_timestamp(text).cast("timestamp_ntz"))
 
 
 def client_time(now: Column, offset_ms: int = OFFSET_MS) -> Column:

@@ -49,9 +49,10 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mastery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By brand; the brands that aren't listed are unknown categories."""
-    brands = table(spark, sf_dir, "part").where("p_brand not like '%3'").select(F.col("p_brand").alias("category_id")).distinct().withColumn("name", F.upper("category_id"))
-    extra = brands.limit(0).unionByName(spark.createDataFrame([("none", "NONE")], "category_id string, name string"))
-    return study.mastery(_nodes(spark, sf_dir), brands.unionByName(extra))
+    part = table(spark, sf_dir, "part")
+    brands = part.where("p_brand not like '%3'").select(F.col("p_brand").alias("category_id")).distinct()
+    types = part.select(F.col("p_type").alias("category_id")).distinct()  # categories without nodes
+    return study.mastery(_nodes(spark, sf_dir), brands.unionByName(types).withColumn("name", F.upper("category_id")))
 
 
 def mastery_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,9 @@ def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir).withColumn("project_id", F.lit(0))
-    return study.layout(nodes, ["project_id"], "category_id", ["node_id"], ["category_id"]).select("node_id", "column", "row")
+    """A project for each size of part."""
+    nodes = _nodes(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("project_id")), "node_id")
+    return study.layout(nodes, ["project_id"], "category_id", ["node_id"], ["category_id"]).select("project_id", "node_id", "column", "row")
 
 
 def project_card(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ ORACLES = {
     "daily_todo": f"WITH {_PLANS}, b AS (SELECT *, {_BUCKET} AS bucket FROM plans) SELECT project_id, bucket, (row_number() OVER (PARTITION BY project_id, bucket ORDER BY CASE WHEN bucket NOT IN ('today', 'unscheduled') THEN coalesce(due_date, DATE '0001-01-01') END, sort_order, plan_id) - 1)::INT AS place, plan_id FROM b",
     "daily_totals": f"WITH {_PLANS} SELECT project_id, count(*) AS total, count(*) FILTER (WHERE status <> 'done') AS open, count(*) FILTER (WHERE status = 'done') AS done FROM plans GROUP BY project_id",
     "open_today": f"WITH {_PLANS} SELECT plan_id, project_id FROM plans WHERE due_date = DATE '{DAY}' AND status <> 'done'",
-    "mastery_stats": f"""WITH {_NODES}, c AS (SELECT DISTINCT p_brand AS id, upper(p_brand) AS name FROM part WHERE p_brand NOT LIKE '%3' UNION ALL SELECT 'none', 'NONE'),
+    "mastery_stats": f"""WITH {_NODES}, c AS (SELECT DISTINCT p_brand AS id, upper(p_brand) AS name FROM part WHERE p_brand NOT LIKE '%3' UNION ALL SELECT DISTINCT p_type, upper(p_type) FROM part),
 n AS (SELECT category_id, count(*) FILTER (WHERE mastery = 'no') AS no, count(*) FILTER (WHERE mastery = 'mid') AS mid, count(*) FILTER (WHERE mastery = 'yes') AS yes FROM nodes GROUP BY ALL)
 SELECT *, no + mid + yes AS total, CASE WHEN no + mid + yes > 0 THEN (mid + yes) / (no + mid + yes) END AS ratio FROM (SELECT coalesce(id, category_id) AS category_id, coalesce(name, '未分类') AS name, coalesce(no, 0) AS no, coalesce(mid, 0) AS mid, coalesce(yes, 0) AS yes FROM n FULL JOIN c ON id = category_id)""",
     "mastery_walk": """SELECT user_id, len(l) AS answers, ['no', 'mid', 'yes'][list_reduce(list_prepend(0, l), lambda a, x: greatest(0, least(2, a + x))) + 1] AS mastery FROM
@@ -109,7 +111,7 @@ SELECT *, no + mid + yes AS total, CASE WHEN no + mid + yes > 0 THEN (mid + yes)
     "flashcards": f"""WITH {_NODES}, q AS (SELECT l_partkey, arg_max(l_returnflag || ' ' || l_orderkey, (l_orderkey, l_linenumber, l_returnflag)) AS quote, arg_max(l_linenumber, (l_orderkey, l_linenumber, l_returnflag)) AS page FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
 SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS answer, page, mastery FROM nodes LEFT JOIN q ON l_partkey = node_id WHERE coalesce(nullif(card_summary, ''), quote) IS NOT NULL""",
     "node_search": f"WITH {_NODES} SELECT node_id, name FROM nodes WHERE contains(lower(name), 'econ') OR coalesce(contains(lower(card_summary), 'econ'), false)",
-    "graph_layout": f"WITH {_NODES}, c AS (SELECT category_id, (row_number() OVER (ORDER BY category_id IS NULL, category_id) - 1)::INT AS col FROM (SELECT DISTINCT category_id FROM nodes)) SELECT node_id, col AS \"column\", (row_number() OVER (PARTITION BY nodes.category_id ORDER BY node_id) - 1)::INT AS row FROM nodes JOIN c ON c.category_id IS NOT DISTINCT FROM nodes.category_id",
+    "graph_layout": f"WITH {_NODES}, n AS (SELECT p_size AS project_id, nodes.* FROM nodes JOIN part ON p_partkey = node_id), c AS (SELECT project_id, category_id, (row_number() OVER (PARTITION BY project_id ORDER BY category_id IS NULL, category_id) - 1)::INT AS col FROM (SELECT DISTINCT project_id, category_id FROM n)) SELECT n.project_id, node_id, col AS \"column\", (row_number() OVER (PARTITION BY n.project_id, n.category_id ORDER BY node_id) - 1)::INT AS \"row\" FROM n JOIN c ON c.project_id = n.project_id AND c.category_id IS NOT DISTINCT FROM n.category_id",
     "project_card": "SELECT o_custkey AS project_id, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS recited, floor(sum(o_orderkey % 9) / count(*) + 0.5)::BIGINT AS avg_pos, max(o_orderdate::DATE) FILTER (WHERE o_orderstatus = 'F' OR o_orderkey % 9 > 0) AS last_study_at FROM orders GROUP BY 1",
     "streak": f"WITH {_CHECKINS}, n AS (SELECT user_id, datediff('day', date, DATE '{LAST_DAY}') AS back, row_number() OVER (PARTITION BY user_id ORDER BY date DESC) - 1 AS i FROM checkins WHERE date <= DATE '{LAST_DAY}') SELECT user_id, coalesce((SELECT count(*) FROM n WHERE n.user_id = u.user_id AND back = i), 0)::INT AS streak FROM (SELECT DISTINCT user_id FROM checkins) u",
 }

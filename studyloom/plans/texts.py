@@ -6,41 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cleaning, jobs
+from ..operators import cleaning, jobs, quotes
 from ..session import table
 from ..sources import documents as D
 
 PRICES = [("src0", "base", 2.0, 8.0), ("src0", "fast", 0.5, 0.5), ("src1", "base", 12.0, 12.0), ("src1", "large", 1.0, 3.0)]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table of one file and row group is one task; its rows are dealt out where cores would stay idle."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios, language, sentences and estimated tokens of every document."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.zh_ratio(t).alias("zh_ratio"), X.language(t).alias("language"), X.cjk_ratio(t).alias("cjk_ratio"), X.count_sentences(t).cast("long").alias("sentences"), X.estimate_tokens(t).alias("tokens"))
+    measured = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", X.zh_ratio(t).alias("zh_ratio"), X.cjk_ratio(t).alias("cjk_ratio"), X.count_sentences(t).cast("long").alias("sentences"), X.estimate_tokens(t).alias("tokens"))
+    return measured.select("doc_id", "zh_ratio", X.language_of(F.col("zh_ratio")).alias("language"), "cjk_ratio", "sentences", "tokens")
 
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one page: lines kept and dropped."""
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    pages = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.split("text", "\n", -1).alias("lines"))
     clean = cleaning.with_clean_lines(pages)
     count = lambda r: F.size(F.filter("reasons", lambda x: x == r)).cast("long").alias(r)
     return clean.select("doc_id", F.size("kept").cast("long").alias("kept"), count("noise"), count("page_no"), count("watermark"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
 
 def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.segments(F.col("text")).alias("s"))
+    docs = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", X.segments(F.col("text")).alias("s"))
     return docs.select("doc_id", F.size("s").cast("long").alias("segments"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = X.count_sentences(F.col("text")).cast("long")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(n).alias("sentences"), F.max(n).alias("most"))
+    return _documents(spark, sf_dir, "lang", "text").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(n).alias("sentences"), F.max(n).alias("most"))
 
 
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated costs by source as provider, at three kinds of price: exact, the provider's lowest, the fallback."""
     t = F.col("text")
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("provider"), F.when(F.col("lang") == "en", "base").otherwise("other").alias("model"), X.estimate_tokens(t).alias("prompt_tokens"), (X.count_sentences(t) * 8).cast("long").alias("completion_tokens"))
+    docs = _documents(spark, sf_dir, "source", "lang", "text").select(F.col("source").alias("provider"), F.when(F.col("lang") == "en", "base").otherwise("other").alias("model"), X.estimate_tokens(t).alias("prompt_tokens"), (X.count_sentences(t) * 8).cast("long").alias("completion_tokens"))
     sums = docs.groupBy("provider", "model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
     priced = jobs.with_prices(sums, PRICES)
     return priced.withColumn("cost", F.round(jobs.cost(F.col("prompt_tokens"), F.col("completion_tokens")), 8))
@@ -52,16 +63,13 @@ def file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document the benchmark passages that stand in it. Passages are few: a block of them is broadcast only as
-    AQE's size check allows; the join itself is on containment."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.fold_space(F.col("text")).alias("source"), X.fold_all(F.col("text")).alias("folded"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.fold_space(F.col("text")).alias("quote"), X.fold_all(F.col("text")).alias("folded_quote"))
-    return docs.join(items, F.contains("source", "quote") | F.contains("folded", "folded_quote")).select("doc_id", "item_id")
+    """For each document the benchmark passages that stand in it."""
+    return quotes.standing(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.md5(X.scrub(t)).alias("scrubbed"), X.truncate(t, 40).alias("short"), F.md5(X.split_en_half(t, F.lit(0.5))["a"]).alias("half"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ RULES = [
     {"id": "e", "priority": 0, "match_on": "file_name", "kind": "contains", "pattern": " ", "category": "blank"},
     {"id": "f", "priority": 0, "match_on": "file_name", "kind": "prefix", "pattern": "http", "category": "off", "enabled": False},
 ]
-CLOCK, FIRST = "2024-01-15 00:00:00", "2024-01-05 00:00:00"
+CLOCK, FIRST, SO_FAR = "2024-01-15 00:00:00", "2024-01-05 00:00:00", "2024-01-10 00:00:00"
 
 
 def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,21 +95,10 @@ def lww_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lww_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay as a stream over the events file, run to its end and read back from the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or _fresh_folder()
-    import uuid
-
-    folder = f"{base.rstrip('/')}/lww-{uuid.uuid4().hex}"
+    folder = f"{replay.shared_folder(spark)}/lww-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    out = replay.replay_stream(_ops(events), CLOCK, FIRST)
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(replay.RESULT).parquet(f"{folder}/out")
-
-
-def _fresh_folder() -> str:
-    import tempfile
-
-    return f"file://{tempfile.mkdtemp(prefix='studyloom-')}"
+    return replay.replay_stream(_ops(events), CLOCK, FIRST, folder)
 
 
 def client_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +108,19 @@ def client_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as outcomes of units: a job for each user, seven units each."""
     outcome = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "view", "skipped").when(F.col("event_type") == "signup", "failed").otherwise("created")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), jobs.unit_key(F.col("event_id") % 7, F.lit("t")).alias("unit"), "event_id", outcome.alias("outcome"), "value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), jobs.unit_key(F.col("event_id") % 7, F.lit("t")).alias("unit"), "event_id", "ts", outcome.alias("outcome"), "value")
 
 
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only early events have happened so far."""
+    """Only events up to ``SO_FAR`` have happened."""
     rows = _outcomes(spark, sf_dir)
-    states = jobs.absorb(rows.where("event_id % 5 = 0"), ["job", "unit"], ["event_id"])
+    states = jobs.absorb(rows.where(F.col("ts") < F.lit(SO_FAR).cast("timestamp_ntz")), ["job", "unit"], ["event_id"])
     return jobs.progress(rows.select("job", "unit").distinct(), states, "job", "unit")
 
 
 def job_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _outcomes(spark, sf_dir)
-    return jobs.pending(rows.select("job", "unit").distinct(), jobs.absorb(rows.where("event_id % 5 = 0"), ["job", "unit"], ["event_id"]), ["job", "unit"])
+    return jobs.pending(rows.select("job", "unit").distinct(), jobs.absorb(rows.where(F.col("ts") < F.lit(SO_FAR).cast("timestamp_ntz")), ["job", "unit"], ["event_id"]), ["job", "unit"])
 
 
 def budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +148,7 @@ links AS (SELECT project, unit, node, 0 AS l, node + 1 AS other, 'next' AS reaso
 _EDITED = """edited AS (SELECT project, unit, node, node_key, CASE WHEN part % 10 = 4 THEN 'new' ELSE part::VARCHAR END AS name, part % 10 = 4 AS edited,
   CASE WHEN part % 10 = 1 THEN CASE WHEN EXISTS (SELECT 1 FROM cats c WHERE c.project = nodes.project AND sort_order = 1) THEN 'c001' ELSE 'c000' END WHEN part % 10 = 2 THEN 'c000' ELSE category_key END AS category_key FROM nodes WHERE part % 10 NOT IN (0, 3))"""
 _EVENTS = "CASE WHEN event_type = 'error' THEN 'rejected' WHEN event_type = 'view' THEN 'skipped' WHEN event_type = 'signup' THEN 'failed' ELSE 'created' END"
-_STATES = f"rows AS (SELECT user_id AS job, printf('%04d', event_id % 7) || ':t' AS unit, event_id, {_EVENTS} AS outcome FROM events), states AS (SELECT job, unit, bool_or(outcome IN ('created', 'replaced', 'skipped')) AS done FROM rows WHERE event_id % 5 = 0 GROUP BY ALL), units AS (SELECT DISTINCT job, unit FROM rows)"
+_STATES = f"rows AS (SELECT user_id AS job, printf('%04d', event_id % 7) || ':t' AS unit, event_id, ts, {_EVENTS} AS outcome FROM events), states AS (SELECT job, unit, bool_or(outcome IN ('created', 'replaced', 'skipped')) AS done FROM rows WHERE ts < TIMESTAMP '{SO_FAR}' GROUP BY ALL), units AS (SELECT DISTINCT job, unit FROM rows)"
 
 
 def _lww(where: str, refuse: str, known: str) -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,12 +140,31 @@ def missing_chunks(sessions: DataFrame, received: DataFrame, chunk: int, session
 
 
 def completed(sessions: DataFrame, received: DataFrame, chunk: int, session: str = "session_id") -> DataFrame:
-    """``refusal`` of each session (chunks, size, checksum; null: complete), by the joined ``data`` of its chunks."""
-    whole = received.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("index", "data"))).alias("_c"))
-    joined = missing_chunks(sessions, received, chunk, session).join(whole, session, "left")
-    body = F.coalesce(F.aggregate("_c", F.lit(b""), lambda s, x: F.concat(s, x["data"])), F.lit(b""))
-    refusal = F.when(F.size("missing") > 0, "chunks").when(F.length(body) != F.col("size"), "size").when(F.sha2(body, 256) != F.col("sha256"), "checksum")
-    return joined.withColumn("refusal", refusal).drop("_c")
+    """``refusal`` of each session (chunks, size, checksum; null: complete). Chunks are sorted by their place and hashed one
+    after the other, so a task holds one chunk at a time, not an upload."""
+    schema = received.select(session, F.lit("").alias("_digest"), F.lit(0).cast("long").alias("_size")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, size = None, None, 0
+        for batch in batches:
+            for key, data in zip(batch.column(session), batch.column("data"), strict=True):
+                if digest is None or key != now:
+                    if digest is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now.as_py()], now.type), pa.array([digest.hexdigest()]), pa.array([size])], names=schema.names)
+                    now, digest, size = key, hashlib.sha256(), 0
+                digest.update(data.as_buffer() if data.is_valid else b"")
+                size += len(data.as_buffer()) if data.is_valid else 0
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now.as_py()], now.type), pa.array([digest.hexdigest()]), pa.array([size])], names=schema.names)
+
+    # A chunk that came twice counts once.
+    once = received.select(session, "index", "data").dropDuplicates([session, "index"])
+    found = once.repartition(session).sortWithinPartitions(session, "index").select(session, "data").mapInArrow(run, schema)
+    joined = missing_chunks(sessions, received, chunk, session).join(found, session, "left")
+    empty = hashlib.sha256().hexdigest()
+    wrong = F.coalesce("_digest", F.lit(empty)) != F.col("sha256")
+    refusal = F.when(F.size("missing") > 0, "chunks").when(F.coalesce("_size", F.lit(0)) != F.col("size"), "size").when(wrong, "checksum")
+    return joined.withColumn("refusal", refusal).drop("_digest", "_size")
 
 
 def expired(files: DataFrame, now: str, days: int, at: str = "modificationTime") -> DataFrame:

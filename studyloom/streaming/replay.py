@@ -1,38 +1,53 @@
-"""The replay of offline writes as a stream: keyed state holds a row's version and its fields."""
+"""The replay of offline writes as a stream: each micro-batch is decided by the same window as a batch, against the rows that
+earlier micro-batches moved. Spark sorts a row's writes, on disk as needed, so no task holds them all."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import sync
 
 RESULT = "key long, op_id long, status string"
-_STATE = "version timestamp, moved boolean"
-
-
-def replay_stream(ops: DataFrame, server_clock: str, first_version: str) -> DataFrame:
-    """Status of every write of a stream (``key``, ``op_id``, ``client_ts``). Rows begin at ``first_version``; an applied
-    write moves its row to the server clock. Inside a micro-batch writes are ordered by client time, as in a batch; later
-    micro-batches meet the version that the earlier ones left. State is one timestamp a key."""
-    clock, first = pd.Timestamp(server_clock), pd.Timestamp(first_version)
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # A micro-batch's writes of one row are ordered together.
-        rows = pd.concat(list(batches)).sort_values(["client_ts", "op_id"], kind="stable", ignore_index=True)
-        version, moved = state.get if state.exists else (first, False)
-        times = rows["client_ts"]
-        fits = times >= version
-        if not moved and fits.any():
-            # Only the first write that isn't older than the row meets the old version.
-            head = fits.idxmax()
-            fits = (times >= clock) & fits
-            fits[head] = True
-            version, moved = clock, True
-        state.update((version, moved))
-        yield pd.DataFrame({"key": key[0], "op_id": rows["op_id"], "status": fits.map({True: "applied", False: "conflict"})})
-
-    timed = ops.select("key", "op_id", F.col("client_ts").cast("timestamp").alias("client_ts"))
-    return timed.groupBy("key").applyInPandasWithState(decide, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only under a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and known.isDefined():
+        base = known.get()
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='studyloom-')}"
+    return base.rstrip("/")
+
+
+def replay_stream(ops: DataFrame, server_clock: str, first_version: str, folder: str) -> DataFrame:
+    """Status of every write of a stream (``key``, ``op_id``, ``client_ts``), run to the end of what is there. Rows begin at
+    ``first_version``; an applied write moves its row to the server clock. Inside a micro-batch writes are ordered by
+    client time; later micro-batches meet the version that earlier ones left. A micro-batch's results and moved rows are
+    written under its number, so one that runs again writes the same."""
+    spark = ops.sparkSession
+    clock, first = (F.lit(x).cast("timestamp_ntz") for x in (server_clock, first_version))
+
+    def decide(batch: DataFrame, number: int) -> None:
+        moved = spark.read.schema("key long, batch long").parquet(f"{folder}/moved").where(F.col("batch") < number).select("key") if number else None
+        rows = batch.select("key").distinct()
+        if moved is None:
+            rows = rows.withColumn("updated_at", first)
+        else:
+            rows = rows.join(moved.withColumn("_moved", F.lit(True)), "key", "left").select("key", F.when(F.col("_moved"), clock).otherwise(first).alias("updated_at"))
+        done = sync.replay(batch, rows, ["key"], clock, ["op_id"])
+        done.select("key", "op_id", "status").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        again = spark.read.schema(RESULT).parquet(f"{folder}/out/batch={number}")
+        fresh = again.where("status = 'applied'").select("key").distinct()
+        (fresh if moved is None else fresh.join(moved, "key", "left_anti")).write.mode("overwrite").parquet(f"{folder}/moved/batch={number}")
+
+    timed = ops.select("key", "op_id", F.col("client_ts").cast("timestamp_ntz").alias("client_ts"))
+    timed.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(RESULT).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select("key", "op_id", "status")
