@@ -76,9 +76,19 @@ def align(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en") ->
     def groups(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("zf", "zt", "ef", "et"), g, strict=True)) for g in balanced_groups(list(x), list(y)) or []] for x, y in zip(a, b, strict=True)])
 
-    solid = pieces.withColumns({c: F.filter(F.transform(c, X.strip), lambda s: s != "") for c in (zh, en)})
-    solid = solid.where((F.size(zh) > 0) & (F.size(en) > 0))
+    solid = _solid(pieces, zh, en)
     sized = solid.select(*keys, zh, en, groups(F.transform(zh, F.length), F.transform(en, F.length)).alias("_g"))
+    return _pairs_of(sized, keys, zh, en)
+
+
+def _solid(pieces: DataFrame, zh: str, en: str) -> DataFrame:
+    """Pieces with sentences on both sides, blank ones left out."""
+    solid = pieces.withColumns({c: F.filter(F.transform(c, X.strip), lambda s: s != "") for c in (zh, en)})
+    return solid.where((F.size(zh) > 0) & (F.size(en) > 0))
+
+
+def _pairs_of(sized: DataFrame, keys: list[str], zh: str, en: str) -> DataFrame:
+    """Pairs of pieces' groups (``_g``); a piece without groups is one pair of all its text."""
     whole = F.array(F.struct(F.lit(0).alias("zf"), F.size(zh).alias("zt"), F.lit(0).alias("ef"), F.size(en).alias("et")))
     pairs = sized.withColumn("_whole", F.size("_g") == 0).withColumn("_g", F.when(F.col("_whole"), whole).otherwise(F.col("_g"))).select(*keys, zh, en, "_whole", F.posexplode("_g").alias("seq", "g"))
     taken = {s: F.slice(c, F.col(f"g.{s[0]}f") + 1, F.col(f"g.{s[0]}t") - F.col(f"g.{s[0]}f")) for s, c in (("zh", zh), ("en", en))}
@@ -215,6 +225,16 @@ def mapping(raw: Column, n_zh: Column, n_en: Column) -> Column:
     return read(raw, n_zh, n_en)
 
 
+def map_or_align(pieces: DataFrame, keys: list[str], answer: str = "answer", zh: str = "zh", en: str = "en") -> DataFrame:
+    """Pairs of every piece by a model's answer, or by balanced lengths where the answer is wrong or missing: those of
+    :func:`align` with ``error`` (what was wrong; null: the model's mapping was taken)."""
+    solid = _solid(pieces, zh, en).withColumn("_m", mapping(F.coalesce(answer, F.lit("")), F.size(zh), F.size(en)))
+    told = _pairs_of(solid.where("_m.error is null").withColumn("_g", F.col("_m.groups")), keys, zh, en)
+    failed = solid.where("_m.error is not null")
+    balanced = align(failed, keys, zh, en).join(failed.select(*keys, F.col("_m.error").alias("error")), keys)
+    return told.withColumn("error", F.lit(None).cast("string")).unionByName(balanced)
+
+
 def ask_models(pieces: DataFrame, keys: list[str], ask, retries: int = 1, zh: str = "zh", en: str = "en", block: str = "block") -> DataFrame:
     """Answers of a model to every block: ``keys``, ``block``, ``answer`` and ``error``. ``ask`` is a function from a prompt
     to text, called on executors; a wrong answer is asked for again with its error, ``retries`` times."""

@@ -92,6 +92,14 @@ def over_budget(prompt_tokens: Column, limit: Column) -> Column:
     return (limit > 0) & (cost(prompt_tokens, F.lit(CALL_TOKENS)) > limit)
 
 
+def estimated_cost(units: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """``units``, ``prompt_tokens`` and ``cost`` of all units of a job before it runs (token and price columns), from whole sums
+    of tokens by price, so the order of rows doesn't matter."""
+    sums = units.groupBy(*keys, "price_in", "price_out").agg(F.count("*").alias("_n"), F.sum("prompt_tokens").alias("_p"), F.sum("completion_tokens").alias("_c"))
+    money = F.sum((F.col("_p") * F.col("price_in") / 1_000_000 + F.col("_c") * F.col("price_out") / 1_000_000).cast(f"decimal(24,{digits})")).cast("double")
+    return sums.groupBy(*keys).agg(F.sum("_n").alias("units"), F.sum("_p").alias("prompt_tokens"), money.alias("cost"))
+
+
 def recovered(jobs: DataFrame) -> DataFrame:
     """After a restart, jobs that were queued or running are interrupted."""
     return jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "interrupted").otherwise(F.col("status")))

@@ -28,6 +28,11 @@ def replaced(existing: DataFrame, staged: DataFrame, decided: DataFrame, keys: l
     return existing.join(taken, keys, "left_anti").unionByName(staged.join(taken, keys, "left_semi"))
 
 
+def earliest_piece(pieces: DataFrame, keys: list[str], order: list[str], piece: str) -> DataFrame:
+    """The earliest piece of each of ``keys`` (project, file, title)."""
+    return pieces.groupBy(*keys).agg(F.min_by(piece, F.struct(*order)).alias(piece))
+
+
 def next_sort_order(pieces: DataFrame, project: str, order: str = "sort_order") -> DataFrame:
     return pieces.groupBy(project).agg((F.coalesce(F.max(order), F.lit(-1)) + 1).alias("next_sort_order"))
 
@@ -96,6 +101,11 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list[str], values: li
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
+def settings(puts: DataFrame, keys: list[str], order: list[str], values: list[str], name: str = "k", secret: tuple[str, ...] = ("password_hash",)) -> DataFrame:
+    """The last value of each setting; puts of secret ones are refused."""
+    return latest_by_key(puts.where(~F.col(name).isin(*secret)), [*keys, name], order, values)
+
+
 def delete_projects(projects: DataFrame, wanted: DataFrame, jobs: DataFrame, at: str, project: str = "project_id") -> DataFrame:
     """Soft deletion: projects in ``wanted`` without an active job get ``deleted_at``."""
     active = jobs.where(F.col("status").isin("queued", "running")).select(project).distinct()

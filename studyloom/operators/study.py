@@ -29,6 +29,19 @@ def newest(rows: DataFrame, at: str, limit: int = 50) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(at)).limit(min(max(1, limit), 200))
 
 
+def job_list(jobs: DataFrame, status: str | None, project: int | None, limit: int, at: str, order: list[str]) -> DataFrame:
+    """The newest jobs (200 at most: a list is a page by design) of a status and project, if given."""
+    kept = jobs if status is None else jobs.where(F.col("status") == status)
+    kept = kept if project is None else kept.where(F.col("project_id") == project)
+    return kept.orderBy(F.desc_nulls_last(at), *order).limit(min(max(1, limit), 200))
+
+
+def latest_success(jobs: DataFrame, kind: str, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """The last job of a type that succeeded, for each of ``keys``."""
+    last = jobs.where((F.col("status") == "success") & (F.col("type") == kind)).groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))
+    return last.select(*keys, *(F.col(f"_v.{v}").alias(v) for v in values))
+
+
 def projects(rows: DataFrame, include_deleted: bool = False, kind: str | None = None) -> DataFrame:
     """Live projects (or all), of one type if given, newest first."""
     kept = rows if include_deleted else rows.where("deleted_at is null")
@@ -100,8 +113,15 @@ def last_quotes(quotes: DataFrame, node: str = "node_id", order: str = "sort_ord
     return quotes.groupBy(node).agg(F.max_by("quote_text", order).alias("quote_text"), F.max_by("page", order).alias("page"))
 
 
-def flashcards(nodes: DataFrame, quotes: DataFrame, node: str = "node_id") -> DataFrame:
-    """A card for each node with a summary or else a quote: ``question``, ``answer``, ``page``. Nodes with neither have none."""
+def graph_pull(nodes: DataFrame, quotes: DataFrame, node: str = "node_id") -> DataFrame:
+    """Every node with its last quote, if it has one."""
+    return nodes.join(last_quotes(quotes, node), node, "left")
+
+
+def flashcards(nodes: DataFrame, quotes: DataFrame, node: str = "node_id", mastery: str | None = None) -> DataFrame:
+    """A card for each node with a summary or else a quote: ``question``, ``answer``, ``page``; of one level of mastery if
+    given. Nodes with neither text have none."""
+    nodes = nodes if mastery is None else nodes.where(F.col("mastery") == mastery)
     joined = nodes.join(last_quotes(quotes, node), node, "left")
     answer = F.coalesce(F.nullif("card_summary", F.lit("")), F.nullif("quote_text", F.lit("")))
     return joined.withColumn("answer", answer).where("answer is not null").withColumnRenamed("name", "question").drop("card_summary", "quote_text")

@@ -35,14 +35,14 @@ def open_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.open_today(_plans(spark, sf_dir), DAY).select("plan_id", "project_id")
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     level = F.when(F.col("p_size") % 3 == 0, "no").when(F.col("p_size") % 3 == 1, "mid").otherwise("yes")
     summary = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, "")
     return part.select(F.col("p_partkey").alias("node_id"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")).alias("category_id"), F.col("p_name").alias("name"), summary.alias("card_summary"), level.alias("mastery"))
 
 
-def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
     return lines.select(F.col("l_partkey").alias("node_id"), F.concat_ws(" ", "l_returnflag", F.col("l_orderkey").cast("string")).alias("quote_text"), F.col("l_linenumber").alias("page"), F.struct("l_orderkey", "l_linenumber", "l_returnflag").alias("sort_order"))
 
@@ -52,7 +52,7 @@ def mastery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     brands = part.where("p_brand not like '%3'").select(F.col("p_brand").alias("category_id")).distinct()
     types = part.select(F.col("p_type").alias("category_id")).distinct()  # categories without nodes
-    return study.mastery(_nodes(spark, sf_dir), brands.unionByName(types).withColumn("name", F.upper("category_id")))
+    return study.mastery(nodes(spark, sf_dir), brands.unionByName(types).withColumn("name", F.upper("category_id")))
 
 
 def mastery_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,17 +61,17 @@ def mastery_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flashcards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study.flashcards(_nodes(spark, sf_dir), _quotes(spark, sf_dir)).select("node_id", "question", "answer", "page", "mastery")
+    return study.flashcards(nodes(spark, sf_dir), quotes(spark, sf_dir)).select("node_id", "question", "answer", "page", "mastery")
 
 
 def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study.search(_nodes(spark, sf_dir), "ECON", ["name", "card_summary"]).select("node_id", "name")
+    return study.search(nodes(spark, sf_dir), "ECON", ["name", "card_summary"]).select("node_id", "name")
 
 
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project for each size of part."""
-    nodes = _nodes(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("project_id")), "node_id")
-    return study.layout(nodes, ["project_id"], "category_id", ["node_id"], ["category_id"]).select("project_id", "node_id", "column", "row")
+    parts = nodes(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("project_id")), "node_id")
+    return study.layout(parts, ["project_id"], "category_id", ["node_id"], ["category_id"]).select("project_id", "node_id", "column", "row")
 
 
 def project_card(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,3 +118,6 @@ SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS a
 ORACLES["heat30"] = f"""WITH {_CHECKINS}, days AS (SELECT user_id, d::DATE AS date FROM (SELECT DISTINCT user_id FROM checkins) CROSS JOIN generate_series(DATE '{LAST_DAY}' - INTERVAL 29 DAY, DATE '{LAST_DAY}', INTERVAL 1 DAY) AS g(d))
 SELECT user_id, date, least(coalesce(items, 0), 4)::INT AS level FROM days LEFT JOIN checkins USING (user_id, date)"""
 QUERIES = {f.__name__: f for f in (agenda, daily_todo, daily_totals, open_today, mastery_stats, mastery_walk, flashcards, node_search, graph_layout, project_card, heat30, streak)}
+ORACLES["graph_pull"] = f"""WITH {_NODES}, q AS (SELECT l_partkey, arg_max(l_returnflag || ' ' || l_orderkey, (l_orderkey, l_linenumber, l_returnflag)) AS quote_text, arg_max(l_linenumber, (l_orderkey, l_linenumber, l_returnflag)) AS page FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey)
+SELECT node_id, category_id, quote_text, page FROM nodes LEFT JOIN q ON l_partkey = node_id"""
+ORACLES["mastered_cards"] = ORACLES["flashcards"].replace("SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS answer, page, mastery FROM", "SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS answer FROM") + " AND mastery = 'mid'"

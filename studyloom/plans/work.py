@@ -27,7 +27,7 @@ def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", graph.rule_category(RULES, F.col("url"), F.col("url")).alias("category"))
 
 
-def _draft(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def draft(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Customers' orders are units, their lines nodes that link to the next and the first one; categories by flag."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("project"))
     lines = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey")
@@ -41,19 +41,19 @@ def _draft(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _draft(spark, sf_dir)[0].select("project", "node_key", "category_key", "name", F.size("links").alias("links"))
+    return draft(spark, sf_dir)[0].select("project", "node_key", "category_key", "name", F.size("links").alias("links"))
 
 
 def graph_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _draft(spark, sf_dir)[1]
+    return draft(spark, sf_dir)[1]
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(_draft(spark, sf_dir)[0], ["project"], ["unit", "node"])
+    return graph.edges(draft(spark, sf_dir)[0], ["project"], ["unit", "node"])
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, categories = _draft(spark, sf_dir)
+    nodes, categories = draft(spark, sf_dir)
     key = F.col("name").cast("long")
     edits = nodes.select("project", "node_key", (key % 10 == 0).alias("deleted"), F.when(key % 10 == 1, "c001").when(key % 10 == 2, "c999").alias("to_category"), F.when(key % 10 == 3, "  ").when(key % 10 == 4, " new ").when(key % 10 == 5, "").alias("new_name"), F.lit(None).cast("string").alias("new_summary"))
     return graph.apply_edits(nodes.withColumn("edited", F.lit(False)), categories, edits, ["project"], ["unit", "node"])
@@ -140,7 +140,7 @@ def snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("section").agg(F.count("*").alias("rows"), F.countDistinct("key").alias("keys"))
 
 
-_DRAFT = """lines AS (SELECT o_custkey AS project, dense_rank() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) - 1 AS unit, row_number() OVER (PARTITION BY o_custkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS node,
+DRAFT = """lines AS (SELECT o_custkey AS project, dense_rank() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) - 1 AS unit, row_number() OVER (PARTITION BY o_custkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS node,
   l_returnflag || ' ' || l_linestatus AS cname, l_partkey AS part, count(*) OVER (PARTITION BY o_custkey, l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 cats AS (SELECT project, cname AS name, row_number() OVER (PARTITION BY project ORDER BY first) - 1 AS sort_order FROM (SELECT project, cname, min(unit * 1000 + node) AS first FROM lines GROUP BY ALL)),
 nodes AS (SELECT l.*, printf('u%03d:n%02d', unit, node) AS node_key, printf('c%03d', sort_order) AS category_key FROM lines l JOIN cats c ON c.project = l.project AND c.name = cname),
@@ -158,11 +158,11 @@ FROM (SELECT *, NOT refused AND known AND client_ts >= TIMESTAMP '{FIRST}' AS fi
 
 ORACLES = {
     "rule_classify": "SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile' WHEN regexp_matches(url, '/(de|fr)/[0-9]+') THEN 'other' WHEN contains(url, 'example.com') THEN 'com' END AS category FROM pages",
-    "graph_nodes": f"WITH {_DRAFT} SELECT project, node_key, category_key, part::VARCHAR AS name, (SELECT count(*) FROM links x WHERE x.project = n.project AND x.unit = n.unit AND x.node = n.node)::INT AS links FROM nodes n",
-    "graph_categories": f"WITH {_DRAFT} SELECT project, printf('c%03d', sort_order) AS category_key, name, sort_order::INT AS sort_order FROM cats",
-    "graph_edges": f"""WITH {_DRAFT} SELECT project, printf('u%03d:n%02d', unit, node) AS "from", printf('u%03d:n%02d', unit, other) AS "to", reason FROM links QUALIFY row_number() OVER (PARTITION BY project, unit, least(node, other), greatest(node, other) ORDER BY node, l) = 1""",
-    "graph_edit": f"WITH {_DRAFT}, {_EDITED} SELECT project, node_key, name, category_key, edited FROM edited",
-    "graph_edit_totals": f"""WITH {_DRAFT}, {_EDITED}, e AS (SELECT DISTINCT x.project, x.unit, least(x.node, other) AS a, greatest(x.node, other) AS b FROM links x JOIN edited p ON p.project = x.project AND p.unit = x.unit AND p.node = x.node JOIN edited q ON q.project = x.project AND q.unit = x.unit AND q.node = other)
+    "graph_nodes": f"WITH {DRAFT} SELECT project, node_key, category_key, part::VARCHAR AS name, (SELECT count(*) FROM links x WHERE x.project = n.project AND x.unit = n.unit AND x.node = n.node)::INT AS links FROM nodes n",
+    "graph_categories": f"WITH {DRAFT} SELECT project, printf('c%03d', sort_order) AS category_key, name, sort_order::INT AS sort_order FROM cats",
+    "graph_edges": f"""WITH {DRAFT} SELECT project, printf('u%03d:n%02d', unit, node) AS "from", printf('u%03d:n%02d', unit, other) AS "to", reason FROM links QUALIFY row_number() OVER (PARTITION BY project, unit, least(node, other), greatest(node, other) ORDER BY node, l) = 1""",
+    "graph_edit": f"WITH {DRAFT}, {_EDITED} SELECT project, node_key, name, category_key, edited FROM edited",
+    "graph_edit_totals": f"""WITH {DRAFT}, {_EDITED}, e AS (SELECT DISTINCT x.project, x.unit, least(x.node, other) AS a, greatest(x.node, other) AS b FROM links x JOIN edited p ON p.project = x.project AND p.unit = x.unit AND p.node = x.node JOIN edited q ON q.project = x.project AND q.unit = x.unit AND q.node = other)
 SELECT project, categories, (categories - 1)::INT AS last, coalesce(edges, 0) AS edges FROM (SELECT project, count(DISTINCT category_key) AS categories FROM edited GROUP BY project) LEFT JOIN (SELECT project, count(*) AS edges FROM e GROUP BY project) USING (project)""",
     "lww_replay": f"SELECT key, op_id, status FROM ({_lww('', 'event_type IN (' + chr(39) + 'signup' + chr(39) + ', ' + chr(39) + 'error' + chr(39) + ')', 'user_id % 13 <> 0')})",
     "lww_fields": f"SELECT key, event_type AS field, arg_max(value, (client_ts, op_id)) AS value FROM ({_lww('', 'false', 'true')}) WHERE status = 'applied' GROUP BY ALL",

@@ -90,12 +90,18 @@ def page_blocks(pages: DataFrame, keys: list[str], page: str = "page", layout: s
     """Blocks of pages given as layout text and plain text: ``block_no`` over the document, ``page``, ``text``, ``zh_ratio``.
     The texts come from a page reader of one's own, as none is installed here."""
 
-    @F.pandas_udf("array<string>")
-    def merged(groups: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([plain_paragraphs([list(x) for x in g], t or "") for g, t in zip(groups, text, strict=True)], dtype=object)
+    own = pages.select(*keys, F.col(page).alias("page")).schema
+    schema = T.StructType([*own.fields, T.StructField("_n", T.IntegerType()), T.StructField("_text", T.StringType())])
 
-    found = pages.select(*keys, F.col(page).alias("page"), merged(drop_junk_groups(page_groups(F.col(layout))), F.col(plain)).alias("_p"))
-    rows = found.select(*keys, "page", F.posexplode("_p").alias("_n", "_text")).withColumn("_lines", F.split("_text", "\n", -1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [plain_paragraphs(g, t or "") for g, t in zip(batch.column("_g").to_pylist(), batch.column("_t").to_pylist(), strict=True)]
+            at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            texts = [pa.array([n for x in found for n in range(len(x))], pa.int32()), pa.array([t for x in found for t in x], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own.names), *texts], names=schema.names)
+
+    groups = drop_junk_groups(page_groups(F.col(layout)))
+    rows = pages.select(*keys, F.col(page).alias("page"), groups.alias("_g"), F.col(plain).alias("_t")).mapInArrow(run, schema).withColumn("_lines", F.split("_text", "\n", -1))
     kept = F.filter("_lines", lambda x, i: F.get(page_line_reasons(F.col("_lines")), i).isNull())
     rows = rows.withColumn("text", X.strip(F.array_join(kept, "\n"))).where("text <> ''")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("page", "_n")) - 1
@@ -127,6 +133,12 @@ def first_files(files: DataFrame, project: str, order: list[str], sha256: str =
     return first.select(project, sha256, *(F.col(f"_f.{c}").alias(c) for c in rest), "copies")
 
 
+def live_files(files: DataFrame, project: str, order: list[str]) -> DataFrame:
+    """Files that aren't deleted, with their ``place`` in their project's list."""
+    by = Window.partitionBy(project).orderBy(*order)
+    return files.where("deleted_at is null").withColumn("place", (F.row_number().over(by) - 1).cast("int"))
+
+
 def chunk_total(size: Column, chunk: int) -> Column:
     return F.ceil(size / chunk).cast("int")
 
