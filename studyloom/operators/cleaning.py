@@ -25,10 +25,15 @@ def page_line_reasons(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: _reason(x, i, head))
 
 
+def kept_lines(lines: Column) -> Column:
+    """The lines of a page that stay, each judged once."""
+    head = F.get(lines, F.lit(0))
+    return F.filter(lines, lambda x, i: _reason(x, i, head).isNull())
+
+
 def with_clean_lines(pages: DataFrame, lines: str = "lines") -> DataFrame:
     """The pages with ``reasons`` and ``kept``; no shuffle, a page is one row."""
-    reasons = pages.withColumn("reasons", page_line_reasons(F.col(lines)))
-    return reasons.withColumn("kept", F.filter(F.col(lines), lambda x, i: F.get(F.col("reasons"), i).isNull()))
+    return pages.withColumns({"reasons": page_line_reasons(F.col(lines)), "kept": kept_lines(F.col(lines))})
 
 
 def clean_group(lines: Column, edge: Column) -> Column:
@@ -57,5 +62,5 @@ def drop_junk_groups(groups: Column) -> Column:
 
 def page_blocks(pages: DataFrame, keys: list[str], lines: str = "lines") -> DataFrame:
     """One block of the kept lines for each page that has any."""
-    clean = with_clean_lines(pages, lines)
+    clean = pages.withColumn("kept", kept_lines(F.col(lines)))
     return clean.where(F.size("kept") > 0).select(*keys, F.array_join("kept", "\n").alias("text"))

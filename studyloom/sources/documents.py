@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators.cleaning import drop_junk_groups, page_groups, page_line_reasons
+from ..operators.cleaning import drop_junk_groups, kept_lines, page_groups
 
 # File types with a reader, look-ahead of lines and length of the key by which page lines are found again.
 READERS = {".txt": "text", ".md": "text", ".pdf": "pages"}
@@ -102,7 +102,7 @@ def page_blocks(pages: DataFrame, keys: list[str], page: str = "page", layout: s
 
     groups = drop_junk_groups(page_groups(F.col(layout)))
     rows = pages.select(*keys, F.col(page).alias("page"), groups.alias("_g"), F.col(plain).alias("_t")).mapInArrow(run, schema).withColumn("_lines", F.split("_text", "\n", -1))
-    kept = F.filter("_lines", lambda x, i: F.get(page_line_reasons(F.col("_lines")), i).isNull())
+    kept = kept_lines(F.col("_lines"))
     rows = rows.withColumn("text", X.strip(F.array_join(kept, "\n"))).where("text <> ''")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("page", "_n")) - 1
     return rows.select(*keys, number.alias("block_no"), "page", "text", X.clamped_ratio(F.col("text")).alias("zh_ratio"))
