@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, raw_bytes, slices, written
+from .common import free_name, lean, raw_bytes, slices, written
 
 WINDOW = 10
 #: Items are collected in blocks of at most about so many bytes; each block has an automaton of its own.
@@ -256,7 +256,9 @@ def _pairs(flat: list[int]) -> Iterator[tuple[int, int]]:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", min_words: int = WINDOW, coverage: float = 0.5, **settings) -> DataFrame:
     """The documents without their hit spans of at least ``min_words`` words, and without the documents of which more
     than ``coverage`` of the words are hit. Texts without such spans stay as they are."""
-    prefix = "__"
+    prefix = "_"
+    while any(free_name(documents.columns, prefix + f.name) != prefix + f.name for f in _HITS.fields):
+        prefix += "_"
     hits = find_contamination(documents, benchmark, text, prefix=prefix, **settings)
     schema = documents.schema
 
