@@ -10,7 +10,10 @@ documents pass through untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -22,8 +25,11 @@ from pyspark.sql import types as T
 from .common import free_name, lean, raw_bytes, slices, written
 
 WINDOW = 10
-#: Items are collected in blocks of at most about so many bytes; each block has an automaton of its own.
-BLOCK_BYTES = 16 << 20
+#: Words of the items of one pass over the documents. An automaton has at most two states and three edges a word, about
+#: 60 bytes a word in a task.
+BLOCK_WORDS = 1 << 20
+#: Words of one automaton: while it is built, its dictionaries take about 1 kB a word on the driver.
+PART_WORDS = 1 << 17
 
 # Every byte outside words becomes a space, A-Z becomes a-z; bytes from 0x80 on belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -38,29 +44,44 @@ def runs_of(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
 
 
+class _Lists:
+    """Lists of numbers by state, in flat arrays."""
+
+    def __init__(self, lists: dict[int, list[int]]):
+        self.keys = array("i", sorted(lists))
+        self.starts, self.values = array("i", [0]), array("i")
+        for k in self.keys:
+            self.values.extend(lists[k])
+            self.starts.append(len(self.values))
+
+    def __getitem__(self, key: int) -> array:
+        i = bisect_left(self.keys, key)
+        return self.values[self.starts[i] : self.starts[i + 1]]
+
+
 class ItemAutomaton:
-    """Generalised suffix automaton over word ids, with the items of every window."""
+    """Generalised suffix automaton over word ids, with the items of every window. It is built with dictionaries and kept
+    in flat arrays: the edges are sorted numbers of state and word, their targets beside them."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int, list[int]]], window: int = WINDOW):
         self.window = window
-        self.vocab: dict[bytes, int] = {}
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        names, ends = [], []
-        for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
-            if ids:
-                state, path = 0, []
-                for w in ids:
-                    state = self._extend(state, w)
-                    path.append(state)
-                names.append(name)
-                ends.append(path)
-        self.names = names
+        self._step: list[dict[int, int]] = [{}]
+        self._link, self._length = [-1], [0]
+        ends = []
+        for item, ids in items:
+            state, path = 0, []
+            for w in ids:
+                state = self._extend(state, w)
+                path.append(state)
+            ends.append((item, path))
         self._mark(ends)
+        edges = sorted((s << 32 | w, q) for s, out in enumerate(self._step) for w, q in out.items())
+        self.edges, self.targets = array("q", (e for e, _ in edges)), array("i", (q for _, q in edges))
+        self.link, self.length = array("i", self._link), array("i", self._length)
+        del self._step, self._link, self._length
 
     def _extend(self, last: int, w: int) -> int:
-        step, link, length = self.step, self.link, self.length
+        step, link, length = self._step, self._link, self._length
         if (q := step[last].get(w)) is not None:
             return q if length[q] == length[last] + 1 else self._clone(last, q, w)
         new = self._state({}, -1, length[last] + 1)
@@ -76,53 +97,80 @@ class ItemAutomaton:
         return new
 
     def _state(self, step: dict[int, int], link: int, length: int) -> int:
-        self.step.append(step)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.step) - 1
+        self._step.append(step)
+        self._link.append(link)
+        self._length.append(length)
+        return len(self._step) - 1
 
     def _clone(self, p: int, q: int, w: int) -> int:
-        step, link = self.step, self.link
-        copy = self._state(dict(step[q]), link[q], self.length[p] + 1)
+        step, link = self._step, self._link
+        copy = self._state(dict(step[q]), link[q], self._length[p] + 1)
         link[q] = copy
         while p != -1 and step[p].get(w) == q:
             step[p][w] = copy
             p = link[p]
         return copy
 
-    def _mark(self, ends: list[list[int]]) -> None:
+    def _mark(self, ends: list[tuple[int, list[int]]]) -> None:
         """full[state]: the suffix state whose strings include the window ending there; short: whole short items."""
-        n, link, length, window = len(self.step), self.link, self.length, self.window
+        n, link, length, window = len(self._step), self._link, self._length, self.window
         order = sorted(range(n), key=length.__getitem__)
-        self.full = [-1] * n
+        full = [-1] * n
         for s in order:
             if length[s] >= window:
-                self.full[s] = s if length[link[s]] < window else self.full[link[s]]
-        self.items: dict[int, list[int]] = {}
+                full[s] = s if length[link[s]] < window else full[link[s]]
+        items: dict[int, list[int]] = {}
         whole: dict[int, list[int]] = {}
-        for item, path in enumerate(ends):
+        for item, path in ends:
             if len(path) < window:
                 whole.setdefault(path[-1], []).append(item)
-            for s in {self.full[s] for s in path} - {-1}:
-                self.items.setdefault(s, []).append(item)
+            for s in {full[s] for s in path} - {-1}:
+                items.setdefault(s, []).append(item)
         #: short[state]: the longest suffix state that is a whole short item, itself included.
-        self.short, self.whole = [-1] * n, whole
+        short = [-1] * n
         for s in order[1:]:
-            self.short[s] = s if s in whole else self.short[link[s]]
-        self.least = min([window, *(length[s] for s in whole)])
-        grams = sorted({a << 32 | b for p in ends for a, b in self._pairs(p)})
-        self.pairs = np.array(grams, np.int64)
-
-    def _pairs(self, path: list[int]) -> Iterator[tuple[int, int]]:
-        inverse = self._inverse()
-        ids = [inverse[s] for s in path]
-        return zip(ids, ids[1:], strict=False)
-
-    def _inverse(self) -> dict[int, int]:
-        """The word that leads into each state (all edges into a state carry the same word)."""
-        if not hasattr(self, "_into"):
-            self._into = {q: w for edges in self.step for w, q in edges.items()}
-        return self._into
+            short[s] = s if s in whole else short[link[s]]
+        self.full, self.short, self.items, self.whole = array("i", full), array("i", short), _Lists(items), _Lists(whole)
+
+    def _next(self, state: int, w: int) -> int:
+        edge = state << 32 | w
+        i = bisect_left(self.edges, edge)
+        return self.targets[i] if i < len(self.edges) and self.edges[i] == edge else -1
+
+    def stream(self, ids: list[int], first: int, hit: np.ndarray, found: set[int]) -> None:
+        """Marks the hit words of the run ``ids``, which begins at ``first``, and adds the items whose windows occur."""
+        follow, link, length, window = self._next, self.link, self.length, self.window
+        state = matched = 0
+        for i, w in enumerate(ids, first + 1):
+            while (q := follow(state, w)) < 0 and state:
+                state = link[state]
+                matched = length[state]
+            if q >= 0:
+                state, matched = q, matched + 1
+            if matched >= window:
+                hit[i - window : i] = True
+                found.update(self.items[self.full[state]])
+            s = self.short[state]
+            if s == state and matched < length[s]:  # only a shorter string of that state has matched
+                s = self.short[link[s]]
+            while s != -1:
+                hit[i - length[s] : i] = True
+                found.update(self.whole[s])
+                s = self.short[link[s]]
+
+
+class ItemBlock:
+    """Items of a bounded number of words: automata of at most ``part`` words each over one vocabulary. ``items``: names
+    and word lists."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW, part: int = PART_WORDS):
+        self.vocab: dict[bytes, int] = {}
+        self.names = [name for name, _ in items]
+        ids = [[self.vocab.setdefault(w, len(self.vocab)) for w in words] for _, words in items]
+        self.least = min([window, *map(len, ids)])
+        pairs = [np.unique(np.array(x[:-1], np.int64) << 32 | np.array(x[1:], np.int64)) for x in ids]
+        self.pairs = np.unique(np.concatenate([np.empty(0, np.int64), *pairs]))
+        self.automata = [ItemAutomaton(some, window) for some in _filled(enumerate(ids), part)]
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Runs of neighbouring words that can hold a window: all in the vocabulary, each pair of them in an item."""
@@ -141,30 +189,40 @@ class ItemAutomaton:
             runs += [(i, i + 1) for i in np.flatnonzero(alone).tolist()]
         return runs
 
-    def stream(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and the items whose windows occur."""
+    def search(self, words: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Which words are hit, and the names of the items whose windows occur, sorted."""
+        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
         hit, found = np.zeros(len(ids), bool), set()
-        step, link, length, window = self.step, self.link, self.length, self.window
         for a, b in self.candidates(ids):
-            state = matched = 0
-            for i in range(a, b):
-                w = int(ids[i])
-                while state and w not in step[state]:
-                    state = link[state]
-                    matched = length[state]
-                if (q := step[state].get(w)) is not None:
-                    state, matched = q, matched + 1
-                if matched >= window:
-                    hit[i + 1 - window : i + 1] = True
-                    found.update(self.items[self.full[state]])
-                s = self.short[state]
-                if s == state and matched < length[s]:  # only a shorter string of that state has matched
-                    s = self.short[link[s]]
-                while s != -1:
-                    hit[i + 1 - length[s] : i + 1] = True
-                    found.update(self.whole[s])
-                    s = self.short[link[s]]
-        return hit, found
+            run = ids[a:b].tolist()
+            for automaton in self.automata:
+                automaton.stream(run, a, hit, found)
+        return hit, sorted({self.names[f] for f in found} - {None})
+
+
+def _filled(items: Iterable[tuple], limit: int) -> Iterator[list[tuple]]:
+    """Consecutive items in lists whose second fields have at most ``limit`` elements in all, or one item."""
+    held, n = [], 0
+    for item in items:
+        if held and n + len(item[1]) > limit:
+            yield held
+            held, n = [], 0
+        held.append(item)
+        n += len(item[1])
+    if held:
+        yield held
+
+
+def _parts(benchmark: DataFrame, item: str, text: str, window: int, part: int) -> Iterator[tuple[str | None, list[bytes]]]:
+    """Names and words of the items, read partition by partition. An item of more than ``part`` words comes in pieces that
+    overlap by a window less a word, so that they have the same windows."""
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.col(text), "UTF-8").alias("t")).where("t is not null")
+    stride = max(part - window + 1, 1)
+    for r in rows.toLocalIterator():
+        words = words_of(bytes(r.t))
+        for start in range(0, max(len(words) - window + 1, 1), stride):
+            if some := words[start : start + stride + window - 1]:
+                yield r.i, some
 
 
 def _word_spans(text: bytes) -> list[tuple[int, int]]:
@@ -181,22 +239,6 @@ _HITS = T.StructType(
 )
 
 
-class _Blocks:
-    """The items in blocks of about ``limit`` bytes by a checked total; a block is fetched when it is needed."""
-
-    def __init__(self, benchmark: DataFrame, item: str, text: str, limit: int):
-        rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.col(text), "UTF-8").alias("t")).where("t is not null")
-        self.n = (rows.agg(F.sum(F.length("t"))).first()[0] or 0) // limit + 1
-        self.rows = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(self.n)))
-
-    def __len__(self) -> int:
-        return self.n
-
-    def __iter__(self) -> Iterator[list[tuple[str, bytes]]]:
-        for k in range(self.n):
-            yield [(r.i, bytes(r.t)) for r in self.rows.where(self.rows.b == k).collect()]
-
-
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -204,49 +246,67 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_words: int = BLOCK_WORDS,
     keep: list[str] | None = None,
     prefix: str = "",
 ) -> DataFrame:
     """The documents (their columns ``keep``, or all) with ``n_words``, ``hit_spans`` (first and last-plus-one word of each hit run, flattened) and
-    ``item_ids`` (distinct, sorted as strings). One pass, no shuffle; a benchmark above ``block_bytes`` is taken in
-    blocks, each with an automaton below that bound, and the documents are written to the shared folder in between.
-    Columns with the names of the three (after ``prefix``) are replaced."""
-    hits = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in _HITS.fields])
-    keep = [c for c in (documents.columns if keep is None else keep) if c not in hits.names]
-    every = list(dict.fromkeys([*keep, text]))
-    out = documents.select(*every)
-    blocks = _Blocks(benchmark, item_id, item_text, block_bytes)
-    for k, items in enumerate(blocks):
-        automaton = documents.sparkSession.sparkContext.broadcast(ItemAutomaton(items, window))
-        kept = keep if k == len(blocks) - 1 else every
-        schema = T.StructType([*(documents.schema[c] for c in kept), *hits.fields])
-        out = (written(out, "decontam") if k else out).mapInArrow(lean(_pass(automaton, text, bool(k), kept, hits.names)), schema)
-    return out
-
-
-def _pass(shared, text: str, again: bool, keep: list[str], names_out: list[str]):
+    ``item_ids`` (distinct, sorted as strings). One pass without a shuffle for items of up to ``block_words`` words. Of a
+    larger benchmark every block of so many words has a pass over the texts; only hits are written in between and joined
+    to numbered rows. Columns with the names of the three (after ``prefix``) are replaced."""
+    names = [prefix + f.name for f in _HITS]
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in names]
+    part = max(min(PART_WORDS, block_words), window)
+    blocks = _filled(_parts(benchmark, item_id, item_text, window, part), block_words)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return _searched(documents, text, keep, block, window, names)
+    # Rows travel as one column, so that no name of theirs can clash.
+    numbered = written(documents.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text]))).alias("row"), F.monotonically_increasing_id().alias("rid")), "decontam-rows")
+    texts, passes = numbered.select("rid", F.col("row")[text].alias("text")), []
+    while block is not None:
+        hits = _searched(texts, "text", ["rid"], block, window, _HITS.names)
+        passes.append(written(hits if not passes else hits.where("size(hit_spans) > 0"), "decontam-hits"))
+        block, after = after, next(blocks, None)
+    found = reduce(DataFrame.unionByName, passes).groupBy("rid").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    merged = found.mapInArrow(_merge, T.StructType([T.StructField("rid", T.LongType()), *_HITS]))
+    return numbered.join(merged, "rid").select(*(F.col("row")[c].alias(c) for c in keep), *(F.col(f.name).alias(n) for f, n in zip(_HITS, names, strict=True)))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping spans of several passes become runs."""
+    for batch in batches:
+        runs = []
+        for flat in batch.column("hit_spans").to_pylist():
+            spans: list[int] = []
+            for s, e in sorted(_pairs(flat)):
+                if spans and s <= spans[-1]:
+                    spans[-1] = max(spans[-1], e)
+                else:
+                    spans += [s, e]
+            runs.append(spans)
+        yield batch.set_column(batch.schema.get_field_index("hit_spans"), "hit_spans", pa.array(runs, pa.list_(pa.int64())))
+
+
+def _searched(documents: DataFrame, text: str, keep: list[str], items: list[tuple], window: int, names: list[str]) -> DataFrame:
+    """The columns ``keep`` of the documents and what one block of items has in them."""
+    shared = documents.sparkSession.sparkContext.broadcast(ItemBlock(items, window))
+    schema = T.StructType([*(documents.schema[c] for c in keep), *(T.StructField(n, f.dataType) for f, n in zip(_HITS, names, strict=True))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
+        block = shared.value
         for batch in slices(batches, text):
-            n_words, spans, names = [], [], []
-            for i, x in enumerate(raw_bytes(batch.column(text)).to_pylist()):
+            n_words, spans, found = [], [], []
+            for x in raw_bytes(batch.column(text)).to_pylist():
                 words = words_of(x or b"")
+                hit, ids = block.search(words)
                 n_words.append(len(words))
-                hit, found = a.stream(np.fromiter(map(a.vocab.get, words, repeat(-1)), np.int64, len(words)))
-                ids = {a.names[f] for f in found} - {None}
-                if again:
-                    for s, e in _pairs(batch.column(names_out[1])[i].as_py()):
-                        hit[s:e] = True
-                    ids |= set(batch.column(names_out[2])[i].as_py())
                 spans.append(runs_of(hit))
-                names.append(sorted(ids))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                names=[*keep, *names_out],
-            )
+                found.append(ids)
+            hits = (pa.array(v, t) for v, t in zip((n_words, spans, found), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *hits], names=schema.names)
 
-    return run
+    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), schema)
 
 
 def _pairs(flat: list[int]) -> Iterator[tuple[int, int]]:

@@ -55,8 +55,8 @@ def test_odd_texts_short_items_and_blocks(spark, odd, empty):
     bench = table_of(spark, ITEMS, "item_id long, text string")
     docs = [(r[0], r[1]) for r in odd_rows()]
     named = [(i, t) for i, t in ITEMS if i is not None]
-    for block in (1 << 20, 200):
-        hits = decontam.find_contamination(odd, bench.where("item_id is not null"), keep=["doc_id"], block_bytes=block)
+    for block in (1 << 20, 30):
+        hits = decontam.find_contamination(odd, bench.where("item_id is not null"), keep=["doc_id"], block_words=block)
         result = sorted(((r.doc_id, r.n_words, sum(e - s for s, e in zip(r.hit_spans[::2], r.hit_spans[1::2], strict=True)), len(r.item_ids)) for r in hits.collect()), key=str)
         assert result == sorted((b[:4] for b in brute(docs, named)), key=str)
     assert decontam.find_contamination(empty, bench).count() == 0
@@ -70,3 +70,19 @@ def test_removal_keeps_clean_texts(spark):
     docs = table_of(spark, [(1, clean, "en", "s", 1), (2, mixed, "en", "s", 1), (3, passage, "en", "s", 1), (4, None, None, None, None)]).withColumnRenamed("n_chars", "hit_spans")
     left = {r.doc_id: r.text for r in decontam.decontaminate(docs, table_of(spark, [(1, passage)], "item_id long, text string")).collect()}
     assert left == {1: clean, 2: mixed.replace(passage, ""), 4: None}
+
+
+def test_many_passes_equal_one(spark, small):
+    """Blocks smaller than items, so that items come in pieces and documents are hit in several passes."""
+    docs, bench = table(spark, small, "documents"), table(spark, small, "benchmark")
+    one, many = (decontam.find_contamination(docs, bench, keep=["doc_id", "source"], block_words=n) for n in (1 << 20, 500))
+    want = sorted(map(str, one.collect()))
+    assert sorted(map(str, many.collect())) == want and sum("hit_spans=[]" not in r for r in want) > 2
+
+
+def test_a_long_item_in_several_automata():
+    words = [w.encode() for w in prose(11, 3000).split()]
+    block = decontam.ItemBlock([("a", words[:1200]), ("b", words[1191:2100]), ("c", words[2091:])], part=500)
+    assert len(block.automata) == 3
+    hit, names = block.search(words)
+    assert hit.all() and names == ["a", "b", "c"]
