@@ -8,6 +8,7 @@ its bad rate (mean less ``z`` standard deviations) is over ``limit``. Rules go f
 Counts are pre-aggregated by task; joins are on host and domain, where AQE splits hot keys; fitted strengths are one
 row a level. Defined results: a null url, or one without ``://``, has an empty host and path and is judged as the host
 ''; repeated pages count each; pages without a label count for no rate; a repeated label row counts as another outcome;
+a host that is itself a public suffix is its own registered domain;
 without any label every rate is the default of one half and nothing is blocked by reputation; an empty table gives an
 empty result.
 """
@@ -20,6 +21,12 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Public suffixes of several labels under which names are registered. Any other suffix is a last label.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw",
+    "edu.au", "edu.cn", "go.jp", "gov.au", "gov.cn", "gov.uk", "ne.jp", "net.au", "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.nz",
+    "org.uk", "org.za",
+)
 Z, LIMIT = 1.28, 0.35
 STRENGTH = (0.5, 500.0)
 
@@ -43,6 +50,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """The host's suffix, the longest of ``suffixes`` or else its last label, and its registered domain, one label more."""
+    suffix, domain = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    for n in sorted({x.count(".") + 1 for x in suffixes}):  # the longest comes last and outermost
+        end = F.substring_index(host, ".", -n)
+        known = end.isin([x for x in suffixes if x.count(".") + 1 == n])
+        suffix, domain = F.when(known, end).otherwise(suffix), F.when(known, F.substring_index(host, ".", -n - 1)).otherwise(domain)
+    return suffix, domain
+
+
 def _strength(level: DataFrame, name: str) -> DataFrame:
     """One row: the strength of the prior above this level's groups, from the spread of their rates."""
     low, high = STRENGTH
@@ -56,20 +73,20 @@ def _strength(level: DataFrame, name: str) -> DataFrame:
     return s.select(F.coalesce(fitted, F.lit(high)).alias(name))
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", outcome_id: str = "doc_id", bad: Column | None = None, z: float = Z) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", outcome_id: str = "doc_id", bad: Column | None = None, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """A row for each host of ``pages`` (with ``host``): outcomes, bad ones, posterior mean and lower bound."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1) if bad is None else bad
     judged = outcomes.where(bad.isNotNull()).groupBy(F.col(outcome_id).alias("_id")).agg(F.count("*").alias("_n"), F.count_if(bad).alias("_x"))
     counted = pages.select(F.col(page_id).alias("_id"), "host").join(judged, "_id", "left")
     hosts = counted.groupBy("host").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("_x"), F.lit(0)).cast("double").alias("x"))
-    # The registered domain is the last two labels of a host, the suffix the last one.
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    overall = suffixes.agg(F.coalesce(F.sum("x") / F.nullif(F.sum("n"), F.lit(0.0)), F.lit(0.5)).alias("p"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    overall = tops.agg(F.coalesce(F.sum("x") / F.nullif(F.sum("n"), F.lit(0.0)), F.lit(0.5)).alias("p"))
     shrunk = lambda rate, m: (F.col("x") + F.col(m) * F.col(rate)) / (F.col("n") + F.col(m))
     # The overall rate and the strengths are scalar subqueries: aggregates without keys.
-    s = suffixes.withColumns({"p": overall.scalar(), "m": _strength(suffixes, "m").scalar()}).select("suffix", shrunk("p", "m").alias("rate_s"))
+    s = tops.withColumns({"p": overall.scalar(), "m": _strength(tops, "m").scalar()}).select("suffix", shrunk("p", "m").alias("rate_s"))
     d = domains.join(s, "suffix").withColumn("m", _strength(domains, "m").scalar()).select("domain", shrunk("rate_s", "m").alias("rate_d"))
     h = hosts.join(d, "domain").withColumn("m", _strength(hosts, "m").scalar())
     a, b = F.col("m") * F.col("rate_d") + F.col("x"), F.col("m") * (1 - F.col("rate_d")) + F.col("n") - F.col("x")
@@ -95,10 +112,12 @@ WITH parts AS (
 ), judged AS (
   SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE quality = 0 OR toxic = 1) AS x
   FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id
-), hosts AS (
+), ends AS (
   SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(x), 0)::DOUBLE AS x,
-         regexp_extract(host, '[^.]*\\.?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
+         regexp_extract(host, '[^.]*$') AS one, regexp_extract(host, '[^.]*\\.?[^.]*$') AS two, regexp_extract(host, '[^.]*\\.?[^.]*\\.?[^.]*$') AS three
   FROM parts LEFT JOIN judged ON page_id = doc_id GROUP BY host
+), hosts AS (
+  SELECT host, n, x, CASE WHEN two IN {SUFFIXES} THEN three ELSE two END AS domain, CASE WHEN two IN {SUFFIXES} THEN two ELSE one END AS suffix FROM ends
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY suffix),
 overall AS (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0.5) AS p FROM suffixes),

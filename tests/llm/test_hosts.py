@@ -59,3 +59,27 @@ def test_bad_hosts_are_blocked(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(0, 150)], "doc_id long, quality int, toxic int")
     said = {(r.host, r.verdict) for r in hosts.judge(pages, labels).collect()}
     assert said == {("bad.io", "block"), ("good.io", "allow")}
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "www.x.io": ("io", "x.io"), "io": ("io", "io"),
+        "": ("", ""), "xco.uk": ("uk", "xco.uk"), "s3.some.cloud.example": ("some.cloud.example", "s3.some.cloud.example"),
+    }
+    hosts_of = spark.createDataFrame([(h,) for h in want], "host string")
+    got = hosts_of.select("host", *hosts.suffix_and_domain(hosts_of.host, (*hosts.SUFFIXES, "some.cloud.example"))).collect()
+    assert {h: (s, d) for h, s, d in got} == want
+
+
+def test_neighbours_under_a_public_suffix_have_no_common_prior(spark):
+    """Under co.uk, a bad site says nothing of others that a last-two-labels rule would take for its own pages."""
+    sites = [("bad.co.uk", 1, 60), ("good.co.uk", 0, 60), ("new.good.co.uk", 0, 0), ("new.bad.co.uk", 1, 0)]
+    pages, labels = [], []
+    for host, toxic, n in sites:
+        for _ in range(max(n, 1)):
+            pages.append((len(pages), f"http://{host}/"))
+            if n:
+                labels.append((len(pages) - 1, 1, toxic))
+    frame = hosts.with_parts(spark.createDataFrame(pages, "page_id long, url string"))
+    mean = {r.host: r["mean"] for r in hosts.reputations(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert mean["new.good.co.uk"] < 0.2 and mean["new.bad.co.uk"] > 0.8
