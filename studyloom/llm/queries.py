@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table as _table
-from . import bitpack, bpe_counts, decontam, hilbert, hosts, media, packing, simhash, substring_dedup, toxicity
+from . import bitpack, bpe_counts, decontam, hard_negatives, hilbert, hosts, media, oracles, packing, quality_rules, simhash, spelling, substring_dedup, toxicity
 from .common import bounded, shared_path
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
@@ -94,5 +94,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_audio_features, op4_token_counts, op5_toxicity, op6_bit_packing, op7_substring_dedup, op8_hilbert_shards, op9_host_reputation, op10_packing)}
-ORACLES: dict[str, str] = {"op9_host_reputation": hosts.SQL}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), misspelt_every=spelling.MISSPELT_EVERY)
+    return spelling.variants(counts).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are shifted; anchors are the ids divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    mined = hard_negatives.mine(shifted, F.col("id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_audio_features, op4_token_counts, op5_toxicity, op6_bit_packing, op7_substring_dedup, op8_hilbert_shards, op9_host_reputation, op10_packing, op11_spelling_variants, op12_quality_rules, op13_hard_negatives)}
+ORACLES: dict[str, str] = {
+    "op9_host_reputation": hosts.SQL,
+    "op11_spelling_variants": oracles.SPELLING,
+    "op12_quality_rules": oracles.QUALITY,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
+}
