@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,22 @@ def empty(spark) -> DataFrame:
 @pytest.fixture(scope="session")
 def small() -> str:
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sql_rows(small):
+    """Rows of a query's SQL, or of a DataFrame, in one order of columns and rows."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+
+    def rows(source):
+        if isinstance(source, str):
+            got = con.execute(source)
+            names, values = [d[0] for d in got.description], got.fetchall()
+        else:
+            names, values = source.columns, [tuple(r) for r in source.collect()]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        return sorted(names), sorted((tuple(v[i] for i in order) for v in values), key=repr)
+
+    return rows
