@@ -1,15 +1,11 @@
 """Alignment of two ordered sentence lists by balanced lengths, its flags, and the agreement of two alignments.
 
 A piece is one row with both lists, so the dynamic programme runs where the row is, in Arrow batches without a shuffle;
-everything after it is columns. Memory follows the longest piece (a byte for each pair of its sentences).
+everything after it is columns. Memory follows the longest piece (a byte for each pair of its sentences, or ``CELLS``).
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,41 +18,76 @@ MAX_GROUP, MERGE_PENALTY, DRIFT_WEIGHT = 4, 0.4, 0.05
 LOW_CONFIDENCE, LENGTH_TOLERANCE, AGREEMENT_FLOOR, CHUNK = 0.55, 2.0, 0.8, 30
 
 
-def balanced_groups(zh_sizes: list[int], en_sizes: list[int]) -> list[tuple[int, int, int, int]] | None:
-    """Groups (zh from, zh to, en from, en to) of the cheapest monotone alignment, or None. A group costs the distance of
-    its length ratio from the whole text's, the drift of its end, and a penalty for each further sentence. Ties go to the
-    smallest group. A row of the table needs only the four rows before it, so each is computed at once."""
-    n, m = len(zh_sizes), len(en_sizes)
-    if not n or not m:
-        return None
-    zp = np.append(0, np.cumsum(np.maximum(1, zh_sizes))).astype(float)
-    ep = np.append(0, np.cumsum(np.maximum(1, en_sizes))).astype(float)
-    overall = np.log(zp[n] / ep[m])
-    rows = [np.full(m + 1, np.inf)]
-    rows[0][0] = 0.0
-    choice = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        best = np.full(m + 1, np.inf)
-        drift = DRIFT_WEIGHT * np.abs(zp[i] / zp[n] - ep / ep[m])
+#: Cells of the tables that are filled at once.
+CELLS = 1 << 21
+
+
+def _padded(lists: list[list[int]], width: int) -> np.ndarray:
+    """Running sums of sizes (1 at least) of each list, from 0, going on by ones after its end."""
+    sizes = np.ones((len(lists), width), np.int64)
+    lengths = np.array([len(x) for x in lists])
+    sizes[np.arange(width)[None, :] < lengths[:, None]] = np.maximum(1, np.fromiter((v for x in lists for v in x), np.int64, int(lengths.sum())))
+    return np.concatenate([np.zeros((len(lists), 1)), np.cumsum(sizes, axis=1)], axis=1)
+
+
+def _fill(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, int, int, int]] | None]:
+    """The cheapest groups of several pieces, whose tables are filled row by row together. A row needs the four before it
+    only; what stands beyond a piece's own sentences isn't read for it."""
+    n, m, b = np.array([len(x) for x in zh]), np.array([len(x) for x in en]), np.arange(len(zh))
+    zp, ep = _padded(zh, int(n.max())), _padded(en, int(m.max()))
+    z_all, e_all = zp[b, n][:, None], ep[b, m][:, None]
+    overall = np.log(z_all / e_all)
+    width = ep.shape[1]
+    first = np.full((len(zh), width), np.inf)
+    first[:, 0] = 0.0
+    rows = [first]
+    choice = np.zeros((len(zh), zp.shape[1], width), np.int8)
+    for i in range(1, zp.shape[1]):
+        best = np.full((len(zh), width), np.inf)
+        drift = DRIFT_WEIGHT * np.abs(zp[:, i : i + 1] / z_all - ep / e_all)
         for ki in range(1, min(MAX_GROUP, i) + 1):
-            before = rows[i - ki]
-            for kj in range(1, min(MAX_GROUP, m) + 1):
+            before, own = rows[-ki], zp[:, i : i + 1] - zp[:, i - ki : i - ki + 1]
+            for kj in range(1, min(MAX_GROUP, width - 1) + 1):
                 # Both sides leave the start together: column 0 is finite in row 0 alone.
-                cost = before[: m + 1 - kj] + np.abs(np.log((zp[i] - zp[i - ki]) / (ep[kj:] - ep[:-kj])) - overall) + drift[kj:] + MERGE_PENALTY * (ki + kj - 2)
-                better = cost < best[kj:]
-                best[kj:][better] = cost[better]
-                choice[i, kj:][better] = MAX_GROUP * (ki - 1) + kj
-        rows.append(best)
-        if i >= MAX_GROUP:
-            rows[i - MAX_GROUP] = None
-    out, i, j = [], n, m
-    while i or j:
-        if not choice[i, j]:
-            return None
-        ki, kj = divmod(int(choice[i, j]) - 1, MAX_GROUP)
-        out.append((i - ki - 1, i, j - kj - 1, j))
-        i, j = i - ki - 1, j - kj - 1
-    return out[::-1]
+                cost = before[:, : width - kj] + np.abs(np.log(own / (ep[:, kj:] - ep[:, :-kj])) - overall) + drift[:, kj:] + MERGE_PENALTY * (ki + kj - 2)
+                better = cost < best[:, kj:]
+                best[:, kj:][better] = cost[better]
+                choice[:, i, kj:][better] = MAX_GROUP * (ki - 1) + kj
+        rows = [*rows[-MAX_GROUP + 1 :], best]
+    i, j, out = n.copy(), m.copy(), [[] for _ in zh]
+    lost = np.zeros(len(zh), bool)
+    while (going := np.flatnonzero((i + j > 0) & ~lost)).size:
+        step = choice[going, i[going], j[going]].astype(np.int64)
+        lost[going[step == 0]] = True
+        going, step = going[step > 0], step[step > 0]
+        ki, kj = (step - 1) // MAX_GROUP + 1, (step - 1) % MAX_GROUP + 1
+        for p, *group in zip(going.tolist(), (i[going] - ki).tolist(), i[going].tolist(), (j[going] - kj).tolist(), j[going].tolist(), strict=True):
+            out[p].append(tuple(group))
+        i[going] -= ki
+        j[going] -= kj
+    return [None if gone else groups[::-1] for gone, groups in zip(lost, out, strict=True)]
+
+
+def balanced(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, int, int, int]] | None]:
+    """For each piece (sizes of both sides' sentences) the groups (zh from, zh to, en from, en to) of the cheapest monotone
+    alignment, or None. A group costs the distance of its length ratio from the whole text's, the drift of its end, and a
+    penalty for each further sentence; ties go to the smallest group. Pieces of like sizes share padded tables."""
+    out: list = [None] * len(zh)
+    # Beyond the largest group on either side there is no alignment.
+    order = sorted((p for p in range(len(zh)) if zh[p] and en[p] and max(len(zh[p]), len(en[p])) <= MAX_GROUP * min(len(zh[p]), len(en[p]))), key=lambda p: (len(zh[p]), len(en[p])))
+    start = 0
+    while start < len(order):
+        stop, rows, width = start, 0, 0
+        while stop < len(order):
+            rows, width = max(rows, len(zh[order[stop]]) + 1), max(width, len(en[order[stop]]) + 1)
+            if stop > start and (stop - start + 1) * rows * width > CELLS:
+                break
+            stop += 1
+        part = order[start:stop]
+        for p, groups in zip(part, _fill([zh[p] for p in part], [en[p] for p in part]), strict=True):
+            out[p] = groups
+        start = stop
+    return out
 
 
 def solvable(n_zh: Column, n_en: Column) -> Column:
@@ -64,7 +95,7 @@ def solvable(n_zh: Column, n_en: Column) -> Column:
     return (F.greatest(n_zh, n_en) <= MAX_GROUP * F.least(n_zh, n_en)) & (F.least(n_zh, n_en) > 0)
 
 
-_GROUPS = "array<struct<zf int, zt int, ef int, et int>>"
+GROUPS = "array<struct<zf int, zt int, ef int, et int>>"
 
 
 def align(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en") -> DataFrame:
@@ -72,22 +103,28 @@ def align(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en") ->
     ``en_from``, ``en_to``, ``zh``, ``en``, ``how`` (direct, merged, whole) and ``confidence``. A piece that can't be
     balanced is one pair of all its text; a piece with one empty side gives no pairs (:func:`dropped` has its text)."""
 
-    @F.pandas_udf(_GROUPS)
+    solid = solid_sides(pieces, zh, en)
+    return pairs_of(solid.select(*keys, zh, en, balanced_groups(zh, en).alias("_g")), keys, zh, en)
+
+
+def balanced_groups(zh: str, en: str) -> Column:
+    """The groups of two lists of sentences; none if they can't be balanced."""
+
+    @F.pandas_udf(GROUPS)
     def groups(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("zf", "zt", "ef", "et"), g, strict=True)) for g in balanced_groups(list(x), list(y)) or []] for x, y in zip(a, b, strict=True)])
+        found = balanced([list(x) for x in a], [list(x) for x in b])
+        return pd.Series([[dict(zip(("zf", "zt", "ef", "et"), g, strict=True)) for g in x or []] for x in found])
 
-    solid = _solid(pieces, zh, en)
-    sized = solid.select(*keys, zh, en, groups(F.transform(zh, F.length), F.transform(en, F.length)).alias("_g"))
-    return _pairs_of(sized, keys, zh, en)
+    return groups(F.transform(zh, F.length), F.transform(en, F.length))
 
 
-def _solid(pieces: DataFrame, zh: str, en: str) -> DataFrame:
+def solid_sides(pieces: DataFrame, zh: str, en: str) -> DataFrame:
     """Pieces with sentences on both sides, blank ones left out."""
     solid = pieces.withColumns({c: F.filter(F.transform(c, X.strip), lambda s: s != "") for c in (zh, en)})
     return solid.where((F.size(zh) > 0) & (F.size(en) > 0))
 
 
-def _pairs_of(sized: DataFrame, keys: list[str], zh: str, en: str) -> DataFrame:
+def pairs_of(sized: DataFrame, keys: list[str], zh: str, en: str) -> DataFrame:
     """Pairs of pieces' groups (``_g``); a piece without groups is one pair of all its text."""
     whole = F.array(F.struct(F.lit(0).alias("zf"), F.size(zh).alias("zt"), F.lit(0).alias("ef"), F.size(en).alias("et")))
     pairs = sized.withColumn("_whole", F.size("_g") == 0).withColumn("_g", F.when(F.col("_whole"), whole).otherwise(F.col("_g"))).select(*keys, zh, en, "_whole", F.posexplode("_g").alias("seq", "g"))
@@ -109,9 +146,10 @@ def dropped(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en")
     return sides.where("(n_zh = 0) <> (n_en = 0)").select(*keys, F.col("n_zh").alias("dropped_zh"), F.col("n_en").alias("dropped_en"))
 
 
-def flag(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def flag(pairs: DataFrame, keys: list[str], balanced: Column | None = None) -> DataFrame:
     """``pairs`` with ``needs_review``, ``flagged_by`` and lowered ``confidence``: empty sides, and lengths off twice the
-    piece's ratio after its sentence counts; low confidence by merging comes last."""
+    piece's ratio after its sentence counts; low confidence by merging comes last, for pairs by balanced lengths only
+    (``balanced``; None: all are)."""
     by = Window.partitionBy(*keys)
     n_zh, n_en = F.sum(F.length("zh")).over(by), F.sum(F.length("en")).over(by)
     ratio = F.when((n_zh > 0) & (n_en > 0), n_en / n_zh).otherwise(0.0)
@@ -122,7 +160,7 @@ def flag(pairs: DataFrame, keys: list[str]) -> DataFrame:
     off = ~empty & (F.col("_ratio") > 0) & ((own < base / LENGTH_TOLERANCE) | (own > base * LENGTH_TOLERANCE))
     flagged = measured.withColumn("flagged_by", F.when(empty, "empty").when(off, "length_ratio"))
     flagged = flagged.withColumn("confidence", F.when(empty, F.least("confidence", F.lit(0.3))).when(off, F.least("confidence", F.lit(0.4))).otherwise(F.col("confidence")))
-    return flagged.withColumn("flagged_by", F.coalesce("flagged_by", F.when(F.col("confidence") < LOW_CONFIDENCE, "merge"))).withColumn("needs_review", F.col("flagged_by").isNotNull()).drop("_ratio")
+    return flagged.withColumn("flagged_by", F.coalesce("flagged_by", F.when((F.lit(True) if balanced is None else balanced) & (F.col("confidence") < LOW_CONFIDENCE), "merge"))).withColumn("needs_review", F.col("flagged_by").isNotNull()).drop("_ratio")
 
 
 def coverage(pairs: Column, dropped_zh: Column) -> Column:
@@ -161,103 +199,6 @@ def estimated_tokens(pieces: DataFrame, keys: list[str], system: str = "", zh: s
     return parts.select(*keys, total(asked).alias("prompt_tokens"), total(told).alias("completion_tokens"))
 
 
-_FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S)
-_ALIASES = {"zh": ("zh", "zh_indices", "zh_idx"), "en": ("en", "en_indices", "en_idx")}
-
-
-def read_mapping(raw: str, n_zh: int, n_en: int) -> tuple[str | None, list[dict]]:
-    """(error, groups) of a model's answer. Numbers are from 1. Every sentence of both sides is in exactly one group, groups
-    are in order, contiguous and of at most four; anything else is an error, as half a mapping is worse than none."""
-    fenced = _FENCED.search(raw)
-    body = (fenced[1] if fenced else raw).strip()
-    if not body.startswith("["):
-        body = body[body.find("[") : body.rfind("]") + 1] if "[" in body else ""
-    try:
-        items = json.loads(body)
-    except ValueError:
-        return "llm_bad_json", []
-    if not isinstance(items, list):
-        return "llm_bad_json", []
-    out, at = [], {"zh": 0, "en": 0}
-    for item in items:
-        if isinstance(item, dict):
-            sides = {s: next((item[k] for k in names if k in item), None) for s, names in _ALIASES.items()}
-        elif isinstance(item, list) and len(item) == 2:
-            sides = dict(zip(("zh", "en"), item, strict=True))
-        else:
-            return "llm_bad_shape", []
-        spans = {}
-        for s, n in (("zh", n_zh), ("en", n_en)):
-            own = [sides[s]] if isinstance(sides[s], int) else sides[s]
-            try:
-                own = sorted(int(x) - 1 for x in own)
-            except (TypeError, ValueError):
-                return "llm_bad_shape", []
-            if not own:
-                return "llm_bad_shape", []
-            if own[0] < 0 or own[-1] >= n:
-                return "llm_out_of_range", []
-            spans[s] = own
-        for s, own in spans.items():
-            if own[0] < at[s]:
-                return "llm_not_monotonic", []
-        for own in spans.values():
-            if own != list(range(own[0], own[-1] + 1)):
-                return "llm_not_contiguous", []
-            if len(own) > MAX_GROUP:
-                return "llm_oversize", []
-        out.append({"zf": spans["zh"][0], "zt": spans["zh"][-1] + 1, "ef": spans["en"][0], "et": spans["en"][-1] + 1})
-        at = {s: own[-1] + 1 for s, own in spans.items()}
-    if not out:
-        return "llm_empty", []
-    if sum(g["zt"] - g["zf"] for g in out) != n_zh or sum(g["et"] - g["ef"] for g in out) != n_en:
-        return "llm_incomplete", []
-    return None, out
-
-
-def mapping(raw: Column, n_zh: Column, n_en: Column) -> Column:
-    """struct<error, groups> of model answers."""
-
-    @F.pandas_udf(f"error string, groups {_GROUPS}")
-    def read(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_mapping(x, int(y), int(z)) for x, y, z in zip(a, b, c, strict=True)], columns=["error", "groups"])
-
-    return read(raw, n_zh, n_en)
-
-
-def map_or_align(pieces: DataFrame, keys: list[str], answer: str = "answer", zh: str = "zh", en: str = "en") -> DataFrame:
-    """Pairs of every piece by a model's answer, or by balanced lengths where the answer is wrong or missing: those of
-    :func:`align` with ``error`` (what was wrong; null: the model's mapping was taken)."""
-    solid = _solid(pieces, zh, en).withColumn("_m", mapping(F.coalesce(answer, F.lit("")), F.size(zh), F.size(en)))
-    told = _pairs_of(solid.where("_m.error is null").withColumn("_g", F.col("_m.groups")), keys, zh, en)
-    failed = solid.where("_m.error is not null")
-    balanced = align(failed, keys, zh, en).join(failed.select(*keys, F.col("_m.error").alias("error")), keys)
-    return told.withColumn("error", F.lit(None).cast("string")).unionByName(balanced)
-
-
-def ask_models(pieces: DataFrame, keys: list[str], ask, retries: int = 1, zh: str = "zh", en: str = "en", block: str = "block") -> DataFrame:
-    """Answers of a model to every block: ``keys``, ``block``, ``answer`` and ``error``. ``ask`` is a function from a prompt
-    to text, called on executors; a wrong answer is asked for again with its error, ``retries`` times."""
-    told = pieces.select(*keys, block, F.size(zh).alias("n_zh"), F.size(en).alias("n_en"), prompt(F.col(zh), F.col(en), F.col(block) + 1).alias("prompt"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = []
-            for text, a, b in zip(batch["prompt"], batch["n_zh"], batch["n_en"], strict=True):
-                question = text
-                for _ in range(retries + 1):
-                    answer = ask(question)
-                    error, _ = read_mapping(answer, a, b)
-                    if error is None:
-                        break
-                    question = f"{text}\n\n上次输出有误：{error}"
-                answers.append((answer, error))
-            yield batch[[*keys, block]].assign(answer=[x for x, _ in answers], error=[e for _, e in answers])
-
-    schema = told.select(*keys, block, F.lit("").alias("answer"), F.lit("").alias("error")).schema
-    return told.mapInPandas(run, schema)
-
-
 def boundaries(pairs: DataFrame, keys: list[str], zh: str = "zh", seq: str = "seq") -> DataFrame:
     """The places between sentences where an alignment cuts, as running counts of Chinese sentences."""
     by = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
@@ -275,14 +216,3 @@ def agreement_confidence(value: Column, floor: float = AGREEMENT_FLOOR) -> Colum
     line = LOW_CONFIDENCE + (1 - LOW_CONFIDENCE) * (value - floor) / max(1e-9, 1 - floor)
     return F.when(value >= 0.999, 1.0).when(value <= floor, LOW_CONFIDENCE - 0.05).otherwise(line)
 
-
-def apply_agreement(pairs: DataFrame, agreements: DataFrame, keys: list[str], floor: float = AGREEMENT_FLOOR) -> DataFrame:
-    """Confidence by agreement for all pairs but empty ones; at the floor or above, flags by length alone are taken back."""
-    joined = pairs.join(agreements, keys, "left")
-    empty = F.coalesce(F.col("flagged_by") == "empty", F.lit(False))
-    value = F.bround(agreement_confidence(F.col("agreement"), floor), 3)
-    set_ = joined.withColumn("confidence", F.when(empty | F.col("agreement").isNull(), F.col("confidence")).otherwise(value))
-    low = ~empty & F.col("agreement").isNotNull() & (F.col("confidence") < LOW_CONFIDENCE)
-    marked = set_.withColumn("flagged_by", F.coalesce("flagged_by", F.when(low, "agreement")))
-    pardoned = (F.col("agreement") >= floor) & (F.col("flagged_by") == "length_ratio")
-    return marked.withColumn("flagged_by", F.when(F.coalesce(pardoned, F.lit(False)), None).otherwise(F.col("flagged_by"))).withColumn("needs_review", F.col("flagged_by").isNotNull())

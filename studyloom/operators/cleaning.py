@@ -43,15 +43,9 @@ def clean_group(lines: Column, edge: Column) -> Column:
 
 def page_groups(layout: Column) -> Column:
     """Arrays of lines between blank lines of a page's layout text."""
-    lines = F.split(layout, "\n", -1)
-    folded = F.aggregate(
-        lines,
-        F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open")),
-        lambda s, x: F.when(X.is_blank(x), F.struct(F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.array().cast("array<string>").alias("open")))
-        .otherwise(F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(x)).alias("open"))),
-        lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]),
-    )
-    return folded
+    bare = F.array_join(F.transform(F.split(layout, "\n", -1), lambda x: F.when(X.is_blank(x), "").otherwise(x)), "\n")
+    groups = F.split(F.regexp_replace(bare, "^\n+|\n+$", ""), "\n\n+", -1)
+    return F.transform(F.filter(groups, lambda g: g != ""), lambda g: F.split(g, "\n", -1))
 
 
 def drop_junk_groups(groups: Column) -> Column:

@@ -24,9 +24,11 @@ BATCH, OFFSET_MS = 200, 5000
 
 
 def utc(text: Column) -> Column:
-    """A client's time text, with or without a zone, as naive UTC, whatever the session's time zone is."""
+    """A client's time text, with or without a zone, as naive UTC, whatever the session's time zone is: wall times never pass
+    through it, as it may skip an hour or have one twice. Zones count from the moment's microseconds since 1970."""
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))).otherwise(F.try_to_timestamp(text).cast("timestamp_ntz"))
+    moment = F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(F.when(zoned, text))), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.coalesce(moment, F.when(~zoned, text).try_cast("timestamp_ntz"))
 
 
 def client_time(now: Column, offset_ms: int = OFFSET_MS) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import alignment, persistence, quality, study
 from ..session import table
+from . import balance_sql as B
 
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
@@ -146,6 +147,13 @@ FROM ends JOIN orders ON o_orderkey = piece_id GROUP BY piece_id""",
 SELECT outcome, count(*) AS pieces, sum(wiped)::BIGINT AS wiped_edits FROM (SELECT CASE WHEN NOT ok THEN 'rejected' WHEN edits IS NULL THEN 'created' WHEN edits > 0 THEN 'skipped' ELSE 'replaced' END AS outcome, CASE WHEN ok THEN coalesce(edits, 0) ELSE 0 END AS wiped FROM s LEFT JOIN x USING (piece_id)) GROUP BY outcome""",
     "align_chunks": f"""WITH {_TURNS}, n AS (SELECT conv_id, turn, {_segments("zh")}::INT AS n_zh, {_segments("en")}::INT AS n_en FROM turns)
 SELECT *, CASE WHEN n_zh = 0 OR n_en = 0 THEN 1 ELSE greatest(1, least(greatest(ceil(n_zh / 3), ceil(n_en / 3))::INT, n_zh, n_en)) END::INT AS chunks, greatest(n_zh, n_en) <= 4 * least(n_zh, n_en) AND least(n_zh, n_en) > 0 AS solvable FROM n""",
+    "align_regular": f"""WITH RECURSIVE {_TURNS}, {B.sides("turns", ["conv_id", "turn"])}, {B.groups("solid")}, {B.pairs("solid", "groups")}, {B.flagged("paired", "true")}
+SELECT key.conv_id AS conv_id, key.turn AS turn, seq, zh_from, zh_to, en_from, en_to, zh, en, how, confidence, flagged_by, flagged_by IS NOT NULL AS needs_review FROM flagged""",
+    "align_agreement": f"""WITH RECURSIVE {_TURNS}, {B.sides("turns", ["conv_id", "turn"])}, {B.groups("solid")}, {B.pairs("solid", "groups")},
+even AS (SELECT key, unnest(list_transform(range(k), lambda c: {{'seq': c, 'zh': array_to_string(zh[c * (len(zh) // k) + least(c, len(zh) % k) + 1:(c + 1) * (len(zh) // k) + least(c + 1, len(zh) % k)], '')}}), recursive := true) FROM (SELECT *, least(len(zh), len(en)) AS k FROM solid)),
+a AS (SELECT DISTINCT key, sum({B.count("zh")}) OVER (PARTITION BY key ORDER BY seq) AS cut FROM paired), b AS (SELECT DISTINCT key, sum({B.count("zh")}) OVER (PARTITION BY key ORDER BY seq) AS cut FROM even),
+f AS (SELECT key, 2 * count(*) FILTER (WHERE x = 2) / sum(x)::DOUBLE AS agreement FROM (SELECT key, cut, count(*) AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) GROUP BY key)
+SELECT key.conv_id AS conv_id, key.turn AS turn, agreement, CASE WHEN agreement >= 0.999 THEN 1.0 WHEN agreement <= 0.8 THEN 0.55::DOUBLE - 0.05 ELSE 0.55::DOUBLE + (1 - 0.55::DOUBLE) * (agreement - 0.8) / (1.0::DOUBLE - 0.8) END::DOUBLE AS confidence FROM f""",
     "quality_gate": f"""WITH {_TURNS}, m AS (SELECT conv_id, zh, en, 1.0::DOUBLE - turn / 20 AS confidence, turn > 4 AS review, {_cjk("zh")} AS zr, {_cjk("en")} AS er, {_sentences("zh")} AS nz, {_sentences("en")} AS ne,
   NOT regexp_matches(zh, '[^{X.SPACE}]') AS zb, NOT regexp_matches(en, '[^{X.SPACE}]') AS eb FROM turns),
 a AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE zb AND eb) AS be, count(*) FILTER (WHERE zb <> eb) AS os, count(*) FILTER (WHERE length(trim(zh)) < 8 AND length(trim(en)) < 8) AS sh,

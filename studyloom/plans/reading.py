@@ -138,22 +138,6 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("id"), "n", numbered("第").alias("zh"), numbered("no ").alias("en"))
 
 
-def mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of six kinds, of which two are right; wrong ones fall back to balanced lengths."""
-    rows = _sides(spark, sf_dir)
-    ids = F.sequence(F.lit(1), F.col("n"))
-    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-    pair = lambda i: F.concat(F.lit("["), i.cast("string"), F.lit(","), i.cast("string"), F.lit("]"))
-    named = listed(F.transform(ids, lambda i: F.concat(F.lit('{"zh":['), i.cast("string"), F.lit('],"en_indices":'), i.cast("string"), F.lit("}"))))
-    kind = F.col("id") % 6
-    answer = (
-        F.when(kind == 0, F.concat(F.lit("so:\n```json\n"), named, F.lit("\n```"))).when(kind == 1, listed(F.transform(ids, pair))).when(kind == 2, "none").when(kind == 3, listed(F.slice(F.transform(ids, pair), 1, 1)))
-        .when(kind == 4, listed(F.reverse(F.transform(ids, pair)))).otherwise(listed(F.transform(ids, lambda i: pair(i + 1))))
-    )
-    pairs = alignment.map_or_align(rows.withColumn("answer", answer), ["id"])
-    return pairs.select("id", "seq", "zh", "en", "how", "confidence", "error")
-
-
 def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of asking a model to map every piece."""
     return alignment.estimated_tokens(_sides(spark, sf_dir), ["id"])
@@ -217,11 +201,9 @@ ORACLES = {
     "page_json": f"""WITH {_PAGED}, p AS (SELECT doc, page, '{{"page":' || page || ',"blocks":[' || string_agg('{{"order":' || block_no || ',"kind":"body","text":"' || replace(text, chr(10), '\\n') || '","zh_ratio":0.0}}', ',' ORDER BY block_no) || ']}}' AS j FROM numbered GROUP BY doc, page)
 SELECT doc, md5('[' || string_agg(j, ',' ORDER BY page) || ']') AS pages FROM p GROUP BY doc""",
     "page_lines": f"WITH {_LINED} SELECT o_custkey AS doc, o_orderkey AS page, md5(string_agg('line ' || n || ' ' || p, chr(10) ORDER BY n) || CASE WHEN max(n) >= 2 THEN chr(10) || '公众号 x' ELSE '' END) AS text FROM lined JOIN orders ON o_orderkey = o GROUP BY ALL",
-    "mapped_pairs": f"""WITH {_SIDES} SELECT id, (i - 1)::INT AS seq, '第' || printf('%04d', i) || '。' AS zh, 'no ' || printf('%04d', i) || '.' AS en, 'direct' AS how, 1.0::DOUBLE AS confidence,
-  CASE id % 6 WHEN 2 THEN 'llm_bad_json' WHEN 3 THEN CASE WHEN n > 1 THEN 'llm_incomplete' END WHEN 4 THEN CASE WHEN n > 1 THEN 'llm_not_monotonic' END WHEN 5 THEN 'llm_out_of_range' END AS error FROM sides, range(1, n + 1) r(i)""",
     "align_cost": f"WITH {_SIDES}, q AS (SELECT id, n, {_PROMPT} AS t FROM sides) SELECT id, ({_LETTERS} + (length(t) - {_LETTERS}) // 4 + 1)::BIGINT AS prompt_tokens, (n * 16)::BIGINT AS completion_tokens FROM q",
     "align_loss": f"WITH {_SIDES} SELECT id, CASE WHEN id % 3 = 0 THEN n ELSE 0 END AS dropped_zh, 0 AS dropped_en, CASE WHEN id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS coverage FROM sides",
     "graph_answers": f"""WITH {_LINED}, u AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS node, lead(n) OVER (PARTITION BY o ORDER BY n) AS after FROM lined WHERE n % 4 <> 0 AND o % 5 <> 1)
 SELECT o AS project, node::INT AS node, 'p' || p AS name, 'part ' || p AS quote, (CASE WHEN n IN (1, 3) THEN n ELSE 2 END)::INT AS weight, CASE WHEN n % 3 = 1 THEN '乙' ELSE '甲' END AS category, CASE WHEN after = n + 1 THEN (node + 1) || ' next' ELSE '' END AS links FROM u""",
 }
-QUERIES = {f.__name__: f for f in (guide_scan, guide_runs, guide_pieces, guide_backfill, chat_sections, file_blocks, file_texts, readers, page_texts, page_json, page_lines, mapped_pairs, align_cost, align_loss, graph_answers)}
+QUERIES = {f.__name__: f for f in (guide_scan, guide_runs, guide_pieces, guide_backfill, chat_sections, file_blocks, file_texts, readers, page_texts, page_json, page_lines, align_cost, align_loss, graph_answers)}

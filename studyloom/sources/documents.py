@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -15,9 +18,10 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators.cleaning import drop_junk_groups, kept_lines, page_groups
 
-# File types with a reader, look-ahead of lines and length of the key by which page lines are found again.
+# File types with a reader; look-ahead of lines, length of the key by which page lines are found again, and
+# the most characters that one paragraph takes.
 READERS = {".txt": "text", ".md": "text", ".pdf": "pages"}
-LOOK_AHEAD, KEY_LENGTH = 12, 24
+LOOK_AHEAD, KEY_LENGTH, PARAGRAPH_LIMIT = 12, 24, 200_000
 
 
 def extension(path: Column) -> Column:
@@ -65,24 +69,29 @@ _SOLID = re.compile(r"\s+")
 
 
 def plain_paragraphs(groups: list[list[str]], plain: str) -> list[str]:
-    """Paragraph borders of the layout text with the characters of the plain text. Each group's first line is looked for a
-    few lines ahead; on a hit plain lines are taken up to the group's length, else the group's own lines stay."""
-    fold = lambda s: _SOLID.sub("", s)
-    lines, at, out = plain.split("\n"), 0, []
-    folded = [fold(x) for x in lines]
+    """Paragraph borders of the layout text with the characters of the plain text. Lines are found by the beginning of what
+    is left of them without white space, a few lines ahead of the last paragraph's end; the paragraph ends where as many
+    characters have passed as its layout lines hold. Both are binary searches: in the places of each beginning, and in the
+    running lengths. A paragraph that isn't found keeps its layout lines."""
+    solid = lambda s: _SOLID.sub("", s)
+    lines = plain.split("\n")
+    keys = [solid(x) for x in lines]
+    passed = list(accumulate(map(len, keys), initial=0))
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, x in enumerate(keys):
+        places[x[:KEY_LENGTH]].append(i)
+    end, out = 0, []
     for group in groups:
-        wanted, key = sum(len(fold(x)) for x in group), fold(group[0])[:KEY_LENGTH]
-        start = next((i for i in range(at, min(at + LOOK_AHEAD, len(lines))) if key and folded[i][:KEY_LENGTH] == key), None) if plain.strip() else None
-        if start is None:
+        own = list(map(solid, group))
+        known = places.get(own[0][:KEY_LENGTH], ()) if own[0] else ()
+        at = bisect_left(known, end)
+        if at == len(known) or known[at] >= end + LOOK_AHEAD:
             out.append("\n".join(group))
             continue
-        taken, got, at = [], 0, start
-        while at < len(lines) and got < wanted:
-            if folded[at]:
-                taken.append(lines[at])
-                got += len(folded[at])
-            at += 1
-        out.append("\n".join(taken))
+        start = known[at]
+        goal = passed[start] + min(sum(map(len, own)), PARAGRAPH_LIMIT)
+        end = min(bisect_left(passed, goal), len(lines))
+        out.append("\n".join(x for x, key in zip(lines[start:end], keys[start:end], strict=True) if key))
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import text as X
 from studyloom.operators import alignment, graph, jobs, quality, structure, sync
+from studyloom.operators.cleaning import page_groups
 from studyloom.sources import documents as D
 
 SAMPLE = [
@@ -129,13 +130,23 @@ def plain_alignment(zh, en):
 
 def test_alignment_equals_the_plain_table():
     r = random.Random(1)
-    for _ in range(60):
+    many = [[[r.randint(0, 90) for _ in range(r.randint(0, 14))] for _ in range(60)] for _ in range(2)]
+    assert alignment.balanced(*many) == [plain_alignment(*x) if all(x) else None for x in zip(*many, strict=True)]
+    for _ in range(20):
         zh, en = ([r.randint(1, 90) for _ in range(r.randint(1, 14))] for _ in range(2))
-        assert alignment.balanced_groups(zh, en) == plain_alignment(zh, en)
+        assert alignment.balanced([zh], [en]) == [plain_alignment(zh, en)]
     for n, m in ((7, 9), (33, 20), (6, 24), (50, 51)):
-        got = alignment.balanced_groups([23] * n, [77] * m)
+        (got,) = alignment.balanced([[23] * n], [[77] * m])
         assert len(got) == min(n, m) and got[0][0] == got[0][2] == 0 and got[-1][1::2] == (n, m)
-    assert alignment.balanced_groups([5] * 9, [5] * 2) is None and alignment.balanced_groups([], [1]) is None
+    assert alignment.balanced([[5] * 9, []], [[5] * 2, [1]]) == [None, None]
+
+
+def test_tables_are_filled_in_parts(monkeypatch):
+    r = random.Random(2)
+    many = [[[r.randint(1, 60) for _ in range(r.randint(3, 9))] for _ in range(30)] for _ in range(2)]
+    whole = alignment.balanced(*many)
+    monkeypatch.setattr(alignment, "CELLS", 150)
+    assert alignment.balanced(*many) == whole
 
 
 def test_aligned_pairs(spark):
@@ -145,11 +156,6 @@ def test_aligned_pairs(spark):
     assert got[2].needs_review and [tuple(r) for r in alignment.dropped(rows, ["id"]).collect()] == [(3, 0, 1)]
 
 
-@pytest.mark.parametrize(("answer", "error"), [('[{"zh":1,"en":[1]},{"zh":2,"en":[2,3]}]', None), ('x ```json\n[[1,1],[2,[2,3]]]\n``` y', None), ("none", "llm_bad_json"), ("[]", "llm_empty"), ('[{"zh":1,"en":1}]', "llm_incomplete"), ('[{"zh":2,"en":1},{"zh":1,"en":2}]', "llm_not_monotonic"), ('[{"zh":3,"en":1}]', "llm_out_of_range"), ('[{"zh":1,"en":[1,3]}]', "llm_not_contiguous"), ('[{"zh":[],"en":1}]', "llm_bad_shape")])
-def test_mappings(answer, error):
-    assert alignment.read_mapping(answer, 2, 3)[0] == error
-
-
 def test_gate(spark):
     good = [(1, i, "上海是中国最大的城市之一呀" + "很" * (i * 3), "Shanghai is one of the largest cities" + " so" * (i * 3), 1.0, False) for i in range(8)]
     swapped = [(2, i, e, z, c, n) for _, i, z, e, c, n in good]
@@ -173,6 +179,11 @@ def test_graph_answers(spark):
 
 def test_sync_times_and_replay(spark):
     assert [str(x) for x in column(spark, ["2026-09-29T06:00:00.000Z", "2026-09-29T06:00:00", "2026-09-29T08:00:00+02:00"], sync.utc)] == ["2026-09-29 06:00:00"] * 3
+    # An hour that the session's zone skips, and one that it has twice.
+    times = ["2026-03-29T02:30:00", "2026-10-25T01:30:00Z", "2026-10-25T00:30:00Z", "2026-01-01T00:00:00.5-0530", "xZ", None]
+    for zone in ("Europe/Berlin", "America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert column(spark, times, lambda t: sync.utc(t).cast("string")) == ["2026-03-29 02:30:00", "2026-10-25 01:30:00", "2026-10-25 00:30:00", "2026-01-01 05:30:00.5", None, None]
     r = random.Random(2)
     ops = [(k, i, r.randint(0, 20)) for i, k in enumerate(r.choices(range(40), k=400))]
     first = {k: r.randint(0, 12) for k in range(35)}
@@ -194,7 +205,20 @@ def test_files(spark, tmp_path):
     sessions = spark.createDataFrame([("s", 5, "x"), ("t", 0, "y")], "session_id string, size int, sha256 string")
     received = spark.createDataFrame([("s", 1, bytearray(b"cd"))], "session_id string, index int, data binary")
     assert {r.session_id: (r.missing, r.refusal) for r in D.completed(sessions, received, 2).collect()} == {"s": ([0, 2], "chunks"), "t": ([], "checksum")}
+
+
+def test_paragraphs_of_pages(spark):
     assert D.plain_paragraphs([["A  b", "c"], ["zz"]], "noise\nA b\nc\nmore") == ["A b\nc", "zz"]
+    # Blank lines are passed over, not taken; a line twelve ahead isn't found; repeated beginnings are found in turn.
+    assert D.plain_paragraphs([["a b", "c  d"], ["e"]], "a b\n \nc d\ne") == ["a b\nc d", "e"]
+    assert D.plain_paragraphs([["late"]], "\n".join(["x"] * 12 + ["late line"])) == ["late"]
+    assert D.plain_paragraphs([["far"], ["no"]], "\n".join(["x"] * 11 + ["far"])) == ["far", "no"]
+    assert D.plain_paragraphs([["s  1"], ["s  1"], ["s  1"]], "s 1\ns 1") == ["s 1", "s 1", "s  1"]
+    assert D.plain_paragraphs([["x  y"]], "") == ["x  y"] and D.plain_paragraphs([], "x") == []
+    # A paragraph found by its beginning takes lines up to its layout's length.
+    assert D.plain_paragraphs([["0123456789012345678901234 more"]], "012345678901234567890123\n4mo\nre\nnext") == ["012345678901234567890123\n4mo\nre"]
+    rows = spark.createDataFrame([("\n \na  b\nc\n\t\n\nd\n",), ("",), (" \n",), ("x",)], "t string")
+    assert [r[0] for r in rows.select(page_groups(F.col("t"))).collect()] == [[["a  b", "c"], ["d"]], [], [], [["x"]]]
 
 
 def test_jobs(spark):
