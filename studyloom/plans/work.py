@@ -94,11 +94,18 @@ def lww_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lww_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replay as a stream over the events file, run to its end and read back from the shared folder."""
+    """The replay as a stream of four micro-batches, by event ids; it is stopped after two and started again. Every thirteenth
+    user has no row."""
     folder = f"{replay.shared_folder(spark)}/lww-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return replay.replay_stream(_ops(events), CLOCK, FIRST, folder)
+    events = table(spark, sf_dir, "events")
+    ops = _ops(events).select("key", "op_id", "client_ts", F.pmod(F.col("op_id"), F.lit(4)).alias("part"))
+    feed = spark.readStream.schema(ops.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    writes = feed.withColumn("version", F.when(F.col("key") % 13 != 0, F.lit(FIRST).cast("timestamp_ntz")))
+    for half in ((0, 1), (2, 3)):
+        for part in half:
+            ops.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{folder}/in/{part}")
+        done = replay.replay_stream(writes, folder, CLOCK)
+    return done
 
 
 def client_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +173,10 @@ ORACLES = {
 SELECT project, categories, (categories - 1)::INT AS last, coalesce(edges, 0) AS edges FROM (SELECT project, count(DISTINCT category_key) AS categories FROM edited GROUP BY project) LEFT JOIN (SELECT project, count(*) AS edges FROM e GROUP BY project) USING (project)""",
     "lww_replay": f"SELECT key, op_id, status FROM ({_lww('', 'event_type IN (' + chr(39) + 'signup' + chr(39) + ', ' + chr(39) + 'error' + chr(39) + ')', 'user_id % 13 <> 0')})",
     "lww_fields": f"SELECT key, event_type AS field, arg_max(value, (client_ts, op_id)) AS value FROM ({_lww('', 'false', 'true')}) WHERE status = 'applied' GROUP BY ALL",
-    "lww_stream": f"SELECT key, op_id, status FROM ({_lww('', 'false', 'true')})",
+    "lww_stream": """WITH w AS (SELECT user_id AS key, event_id AS op_id, ts, event_id % 4 AS part, ts >= TIMESTAMP '2024-01-05' AS young, ts >= TIMESTAMP '2024-01-15' AS late FROM events),
+m AS (SELECT *, min(part) FILTER (WHERE young) OVER (PARTITION BY key) AS first_part FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, part, young ORDER BY ts, op_id) AS place FROM m)
+SELECT key, op_id, CASE WHEN key % 13 = 0 THEN 'skipped' WHEN young AND (late OR (part = first_part AND place = 1)) THEN 'applied' ELSE 'conflict' END AS status FROM n""",
     "client_pages": "SELECT key, batch, count(*) AS ops, min(event_id) AS least FROM (SELECT user_id AS key, event_id, ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20)::INT AS batch FROM events) GROUP BY ALL",
     "job_progress": f"WITH {_STATES} SELECT job, count(*) AS total, count(*) FILTER (WHERE done) AS done, count(*) FILTER (WHERE NOT done) AS failed, (count(done) * 100 // count(*))::INT AS progress FROM units LEFT JOIN states USING (job, unit) GROUP BY job",
     "job_pending": f"WITH {_STATES} SELECT job, unit FROM units LEFT JOIN states USING (job, unit) WHERE NOT coalesce(done, false)",

@@ -1,16 +1,33 @@
-"""The replay of offline writes as a stream: each micro-batch is decided by the same window as a batch, against the rows that
-earlier micro-batches moved. Spark sorts a row's writes, on disk as needed, so no task holds them all."""
+"""The replay of offline writes as a stream with keyed state: of each row its version, kept between micro-batches.
+
+A row's writes of one micro-batch are decided as one batch of the replay (``operators.sync``), in a single pass that holds
+one write: of those older than the server clock only the first that isn't older than the row is applied, so the earliest
+found so far is held back, and all others are decided as they come. The row's version moves to the server clock; writes
+of later micro-batches meet that version, after a restart from the checkpoint, too.
+
+Writes bring the version that their row has in storage (a join of the stream with the table). A timer drops the state of
+rows without a write for ``idle_seconds``, as the table has their version by then. It counts the times at which writes
+came in (``received_at``), never the clients': a watermark over these would drop late writes unanswered, and every write is answered.
+Without ``idle_seconds`` state stays.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import time
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import sync
-
+#: How far writes may come in out of the order of their ``received_at``.
+OUT_OF_ORDER = "1 minute"
 RESULT = "key long, op_id long, status string"
+#: State stores that hold typed state and timers.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,27 +44,78 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def replay_stream(ops: DataFrame, server_clock: str, first_version: str, folder: str) -> DataFrame:
-    """Status of every write of a stream (``key``, ``op_id``, ``client_ts``), run to the end of what is there. Rows begin at
-    ``first_version``; an applied write moves its row to the server clock. Inside a micro-batch writes are ordered by
-    client time; later micro-batches meet the version that earlier ones left. A micro-batch's results and moved rows are
-    written under its number, so one that runs again writes the same."""
+class Versions(StatefulProcessor):
+    """Decides the writes of a row; holds its version in microseconds."""
+
+    def __init__(self, clock: int | None, idle_seconds: int | None):
+        self.clock, self.idle = clock, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.version = handle.getValueState("version", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        clock = self.clock if self.clock is not None else time.time_ns() // 1000
+        moved = self.version.get()[0] if self.version.exists() else None
+        held, applied, last = None, False, 0
+        for batch in rows:
+            out = []
+            last = max(last, int(batch["received"].max()))
+            for op, at, stored in zip(batch["op_id"].tolist(), batch["at"].tolist(), batch["version"].tolist(), strict=True):
+                if stored is None or stored != stored:
+                    out.append((op, "skipped"))
+                elif at < (stored if moved is None else max(moved, stored)):
+                    out.append((op, "conflict"))
+                elif at >= clock:
+                    applied = True
+                    out.append((op, "applied"))
+                elif held is None or (at, op) < held:
+                    if held is not None:
+                        out.append((held[1], "conflict"))
+                    held = (at, op)
+                else:
+                    out.append((op, "conflict"))
+            if out:
+                yield pd.DataFrame({"key": key[0], "op_id": [op for op, _ in out], "status": [s for _, s in out]})
+        if held is not None:
+            yield pd.DataFrame({"key": [key[0]], "op_id": [held[1]], "status": ["applied"]})
+        if applied or held is not None:
+            self.version.update((clock,))
+        if self.idle is not None and self.version.exists():
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last // 1000 + self.idle * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.version.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def decided(ops: DataFrame, server_clock: str | None = None, idle_seconds: int | None = None) -> DataFrame:
+    """``key``, ``op_id`` and ``status`` of a stream of writes (``key``, ``op_id``, ``client_ts``, ``version``: that of the stored row,
+    null without one; with ``idle_seconds`` also ``received_at``, a timestamp). ``server_clock``: a fixed time in UTC, or
+    none for the executor's."""
+    spark = ops.sparkSession
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+    rows, mode, received = ops, "None", F.lit(0).cast("long")
+    if idle_seconds is not None:
+        rows, mode, received = ops.withWatermark("received_at", OUT_OF_ORDER), "EventTime", F.unix_micros("received_at")
+    rows = rows.select("key", "op_id", micros("client_ts").alias("at"), micros("version").cast("double").alias("version"), received.alias("received"), *(["received_at"] if idle_seconds is not None else []))
+    clock = None if server_clock is None else spark.sql(f"SELECT timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', TIMESTAMP_NTZ '{server_clock}')").first()[0]
+    return rows.groupBy("key").transformWithStateInPandas(Versions(clock, idle_seconds), RESULT, "Append", mode)
+
+
+def replay_stream(ops: DataFrame, folder: str, server_clock: str | None = None, idle_seconds: int | None = None) -> DataFrame:
+    """Runs :func:`decided` to the end of what is there and reads all results. A second run with the same ``folder`` goes on where
+    the first one ended."""
     spark = ops.sparkSession
-    clock, first = (F.lit(x).cast("timestamp_ntz") for x in (server_clock, first_version))
-
-    def decide(batch: DataFrame, number: int) -> None:
-        moved = spark.read.schema("key long, batch long").parquet(f"{folder}/moved").where(F.col("batch") < number).select("key") if number else None
-        rows = batch.select("key").distinct()
-        if moved is None:
-            rows = rows.withColumn("updated_at", first)
-        else:
-            rows = rows.join(moved.withColumn("_moved", F.lit(True)), "key", "left").select("key", F.when(F.col("_moved"), clock).otherwise(first).alias("updated_at"))
-        done = sync.replay(batch, rows, ["key"], clock, ["op_id"])
-        done.select("key", "op_id", "status").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        again = spark.read.schema(RESULT).parquet(f"{folder}/out/batch={number}")
-        fresh = again.where("status = 'applied'").select("key").distinct()
-        (fresh if moved is None else fresh.join(moved, "key", "left_anti")).write.mode("overwrite").parquet(f"{folder}/moved/batch={number}")
-
-    timed = ops.select("key", "op_id", F.col("client_ts").cast("timestamp_ntz").alias("client_ts"))
-    timed.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(RESULT).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select("key", "op_id", "status")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STORE)
+    query = decided(ops, server_clock, idle_seconds).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
+    spark.conf.set(key, before)
+    query.awaitTermination()
+    return spark.read.schema(RESULT).parquet(f"{folder}/out")
