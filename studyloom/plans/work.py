@@ -52,7 +52,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(draft(spark, sf_dir)[0], ["project"], ["unit", "node"])
 
 
-def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, categories = draft(spark, sf_dir)
     key = F.col("name").cast("long")
     edits = nodes.select("project", "node_key", (key % 10 == 0).alias("deleted"), F.when(key % 10 == 1, "c001").when(key % 10 == 2, "c999").alias("to_category"), F.when(key % 10 == 3, "  ").when(key % 10 == 4, " new ").when(key % 10 == 5, "").alias("new_name"), F.lit(None).cast("string").alias("new_summary"))
@@ -60,11 +60,11 @@ def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def graph_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edited(spark, sf_dir)[0].select("project", "node_key", "name", "category_key", "edited")
+    return edited(spark, sf_dir)[0].select("project", "node_key", "name", "category_key", "edited")
 
 
 def graph_edit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, categories, edges = _edited(spark, sf_dir)
+    _, categories, edges = edited(spark, sf_dir)
     a = categories.groupBy("project").agg(F.count("*").alias("categories"), F.max("sort_order").alias("last"))
     return a.join(edges.groupBy("project").agg(F.count("*").alias("edges")), "project", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
 
