@@ -79,6 +79,17 @@ def migrated(done: DataFrame, units: DataFrame, job: str, key: str = "unit_key",
     return joined.select(*(done[c] for c in done.columns if c != key), F.coalesce("_key", done[key]).alias(key)).distinct()
 
 
+def migrated_failures(failures: DataFrame, done: DataFrame, units: DataFrame, job: str, key: str = "unit_key", title: str = "title", place: str = "place") -> DataFrame:
+    """Failures at a resume: those without a key get that of the one unit with their title, or go where no unit or several
+    have it; those of units that are done go; of a unit's several failures, old and new, the last (``place``) stays, so that resuming
+    again and again doesn't add up copies."""
+    single = units.groupBy(job, title).agg(F.count("*").alias("_n"), F.min(key).alias("_key")).where("_n = 1").select(job, title, "_key")
+    known = failures.join(single, [job, title], "left").withColumn(key, F.coalesce(F.nullif(key, F.lit("")), "_key")).drop("_key").where(F.col(key).isNotNull())
+    left = known.join(migrated(done, units, job, key, title).select(job, key), [job, key], "left_anti")
+    last = F.row_number().over(Window.partitionBy(job, key).orderBy(F.desc(place)))
+    return left.withColumn("_n", last).where("_n = 1").drop("_n").select(failures.columns)
+
+
 def budget_stops(costs: DataFrame, job: str, order: list[str], value: str, estimate: str, ratio: float = OVERRUN) -> DataFrame:
     """The first row of each job whose running cost is over ``ratio`` times the estimate; jobs without an estimate never
     stop. ``running``: the cost so far."""

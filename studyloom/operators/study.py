@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -94,18 +94,35 @@ def mastery(nodes: DataFrame, categories: DataFrame, category: str = "category_i
     return rows.withColumn("total", total).withColumn("ratio", F.when(F.col("total") > 0, (F.col("mid") + F.col("yes")) / F.col("total")))
 
 
+LEVELS = ("no", "mid", "yes")
+
+
 def next_mastery(level: Column, correct: Column) -> Column:
-    """A step up or down on no, mid, yes."""
-    place = F.array_position(F.array(*map(F.lit, ("no", "mid", "yes"))), level)
+    """A step up or down on no, mid, yes; null for other levels."""
+    levels = F.array(*map(F.lit, LEVELS))
+    place = F.nullif(F.array_position(levels, level), F.lit(0))
     step = F.when(correct, 1).otherwise(-1)
-    return F.element_at(F.array(*map(F.lit, ("no", "mid", "yes"))), F.greatest(F.lit(1), F.least(F.lit(3), place + step)).cast("int"))
+    return F.when(place.isNotNull(), F.element_at(levels, F.greatest(F.lit(1), F.least(F.lit(3), place + step)).cast("int")))
+
+
+def create_next_mastery(spark: SparkSession, name: str = "next_mastery") -> None:
+    """The step as a SQL function of the session: ``next_mastery(level, correct)``."""
+    listed = ", ".join(f"'{x}'" for x in LEVELS)
+    place = f"array_position(array({listed}), level)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(level STRING, correct BOOLEAN) RETURNS STRING RETURN CASE WHEN {place} > 0 THEN element_at(array({listed}), CAST(greatest(1, least(3, {place} + if(correct, 1, -1))) AS INT)) END")
 
 
 def mastery_walk(answers: DataFrame, keys: list[str], correct: str, order: list[str], start: str = "no") -> DataFrame:
-    """The level after all answers in their order, and how many there were. Steps are added up map-side as functions on
-    the three levels would be, in an ordered fold of each key's answers."""
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct(*order, F.col(correct).alias("_ok")))), F.lit({"no": 0, "mid": 1, "yes": 2}[start]), lambda at, x: F.greatest(F.lit(0), F.least(F.lit(2), at + F.when(x["_ok"], 1).otherwise(-1))))
-    return answers.groupBy(*keys).agg(F.count("*").alias("answers"), F.element_at(F.array(*map(F.lit, ("no", "mid", "yes"))), folded + 1).alias("mastery"))
+    """The level after all answers in their order, and how many there were. Steps are maps of the three levels to themselves, and a
+    run of steps is such a map again: answers are dealt into ranges of ``order``, each range of a key is folded to one map,
+    and only these maps are folded over the ranges. So a key with very many answers is folded by many tasks."""
+    step = lambda at, right: F.greatest(F.lit(0), F.least(F.lit(2), at + F.when(right, 1).otherwise(-1)))
+    dealt = answers.select(*keys, F.struct(*order, F.col(correct).alias("_ok")).alias("_a")).repartitionByRange("_a").withColumn("_range", F.spark_partition_id())
+    same = F.array(*(F.lit(i) for i in range(len(LEVELS))))
+    run = F.aggregate(F.array_sort(F.collect_list("_a")), same, lambda m, x: F.transform(m, lambda at: step(at, x["_ok"])))
+    folded = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("n"), run.alias("map"))
+    level = F.aggregate(F.array_sort(F.collect_list(F.struct("_range", "map"))), F.lit(LEVELS.index(start)), lambda at, x: F.get(x["map"], at))
+    return folded.groupBy(*keys).agg(F.sum("n").cast("long").alias("answers"), F.get(F.array(*map(F.lit, LEVELS)), level).alias("mastery"))
 
 
 def last_quotes(quotes: DataFrame, node: str = "node_id", order: str = "sort_order") -> DataFrame:

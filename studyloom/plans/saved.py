@@ -1,15 +1,17 @@
-"""Queries that write: rules of many projects, saved pieces, saved graphs. Each writes to a folder of its own and reads it back."""
+"""Queries that write: rules of many projects, saved pieces and graphs, snapshots, files. Each writes to a folder of its own and
+reads it back."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, rules
+from ..operators import graph, jobs, rules
 from ..session import table
-from ..sources import projects
+from ..sources import documents as D
+from ..sources import projects, snapshots
 from ..streaming.replay import shared_folder
 from . import pieces, work
 
@@ -98,6 +100,48 @@ def saved_graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_SECTIONS = {"customer": "c_custkey", "nation": "n_nationkey", "orders": "o_orderkey", "part": "p_partkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "snapshot")
+    snapshots.write(snapshots.exported({n: (table(spark, sf_dir, n), [k]) for n, k in _SECTIONS.items()}), path)
+    return path
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export as files, read back."""
+    return snapshots.read_rows(spark, _snapshot(spark, sf_dir)).select("section", "row")
+
+
+def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of each section; ranges of files that overlap, and files that aren't as it says."""
+    path = _snapshot(spark, sf_dir)
+    listed = snapshots.read_manifest(spark, path).withColumns({e: F.regexp_extract(e, "[0-9]+", 0).cast("long") for e in ("first", "last")})
+    by = Window.partitionBy("section").orderBy("first")
+    overlaps = listed.withColumn("over", F.coalesce(F.lag("last").over(by) >= F.col("first"), F.lit(False)))
+    whole = overlaps.groupBy("section").agg(F.sum("rows").cast("long").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"), F.count_if("over").alias("overlaps"))
+    broken = snapshots.damage(spark, path).groupBy("section").agg(F.count("*").alias("damaged"))
+    return whole.join(broken, "section", "left").withColumn("damaged", F.coalesce("damaged", F.lit(0).cast("long")))
+
+
+def storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the files of documents by language, from what the file system says of them."""
+    path = _folder(spark, "texts")
+    table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
+    return D.listed(spark, path).groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
+
+
+def old_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of orders' lines at a resume: every second has no key yet, every third line is done."""
+    unit = jobs.unit_key(F.col("l_linenumber"), F.concat("l_returnflag", "l_linestatus"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.concat("l_returnflag", "l_linestatus").alias("title"), unit.alias("unit_key"), F.col("l_linenumber").cast("long").alias("n"))
+    done = lines.where("n % 3 = 0").select("job", "unit_key")
+    failures = lines.select("job", "title", F.when(F.col("n") % 2 == 0, F.col("unit_key")).alias("unit_key"), F.col("n").alias("place"))
+    again = failures.where("place % 4 = 0").withColumn("place", F.col("place") + 100)
+    return jobs.migrated_failures(failures.unionByName(again), done, lines, "job")
+
+
 _PUTS = """puts AS (SELECT n_nationkey AS k, n_nationkey % 7 AS project_id, 100 - n_nationkey AS place, CASE WHEN n_nationkey % 2 = 0 THEN 'unit_title' ELSE 'file_name' END AS match_on, ['regex', 'contains', 'prefix'][n_nationkey % 3 + 1] AS kind,
   CASE WHEN n_nationkey = 12 THEN '((' WHEN n_nationkey % 3 = 0 THEN '/(de|fr)/[0-9]*' || n_nationkey % 10 || '($|[#?])' WHEN n_nationkey % 3 = 1 THEN 'example.' || ['com', 'net', 'org'][n_nationkey % 4 % 3 + 1] WHEN n_nationkey % 2 = 0 THEN 'https://m.' ELSE 'http://t' END AS pattern,
   n_name AS category, n_nationkey % 6 <> 5 AS enabled FROM nation),
@@ -107,7 +151,15 @@ ruled AS (
 )"""
 _TAKEN = "project % 3 = 0 AND project % 5 <> 0 AND project IN (FROM alive)"
 
+_JSON = {"orders": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate) FROM orders"}
 ORACLES = {
+    "snapshot_rows": " UNION ALL ".join(f"SELECT '{n}' AS section, to_json(t)::VARCHAR AS row FROM ({_JSON.get(n, f'FROM {n}')}) t" for n in _SECTIONS),
+    "snapshot_manifest": " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS rows, min({k})::BIGINT AS first, max({k})::BIGINT AS last, 0::BIGINT AS overlaps, 0::BIGINT AS damaged FROM {n}" for n, k in _SECTIONS.items()),
+    "storage_usage": "SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY 1",
+    "old_failures": """WITH l AS (SELECT l_orderkey AS job, l_returnflag || l_linestatus AS title, printf('%04d', l_linenumber) || ':' || l_returnflag || l_linestatus AS k, l_linenumber AS n FROM lineitem),
+u AS (SELECT job, title, count(*) AS c, min(k) AS k FROM l GROUP BY ALL), f AS (SELECT job, title, CASE WHEN n % 2 = 0 THEN k END AS k, n::BIGINT AS place FROM l UNION ALL SELECT job, title, k, n + 100 FROM l WHERE n % 4 = 0),
+named AS (SELECT f.job, f.title, coalesce(f.k, CASE WHEN c = 1 THEN u.k END) AS unit_key, place FROM f JOIN u ON u.job = f.job AND u.title = f.title)
+SELECT job, title, unit_key, max(place) AS place FROM named WHERE unit_key IS NOT NULL AND (job, unit_key) NOT IN (SELECT (job, k) FROM l WHERE n % 3 = 0) GROUP BY job, title, unit_key""",
     "rules_put": f"WITH {_PUTS} SELECT * FROM ruled",
     "rules_refused": "SELECT 5::BIGINT AS project_id, 88::BIGINT AS place, 'regex' AS refused",
     "rules_classify": f"""WITH {_PUTS}, units AS (SELECT page_id, page_id % 9 AS project_id, CASE WHEN page_id % 11 <> 0 THEN url ELSE '' END AS file_name, url[2:] AS unit_title FROM pages),
@@ -127,4 +179,4 @@ SELECT project, count(*) AS rows, 'nodes' AS "table" FROM kept GROUP BY project
 UNION ALL SELECT project, n, 'categories' FROM cats WHERE NOT ({_TAKEN}) UNION ALL SELECT project, categories, 'categories' FROM totals WHERE {_TAKEN}
 UNION ALL SELECT project, edges, 'edges' FROM old WHERE NOT ({_TAKEN}) UNION ALL SELECT project, edges, 'edges' FROM totals WHERE edges > 0 AND {_TAKEN}""",
 }
-QUERIES = {f.__name__: f for f in (rules_put, rules_refused, rules_classify, saved_pieces, saved_graph, saved_graph_rows)}
+QUERIES = {f.__name__: f for f in (rules_put, rules_refused, rules_classify, saved_pieces, saved_graph, saved_graph_rows, snapshot_rows, snapshot_manifest, storage_usage, old_failures)}

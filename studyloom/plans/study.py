@@ -60,6 +60,14 @@ def mastery_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.mastery_walk(answers, ["user_id"], "correct", ["ts", "event_id"])
 
 
+def mastery_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each answer leads from a level, by the SQL function; every seventh level is unknown."""
+    study.create_next_mastery(spark)
+    level = F.when(F.col("event_id") % 7 != 6, F.element_at(F.array(*map(F.lit, study.LEVELS)), (F.col("event_id") % 3 + 1).cast("int"))).otherwise("none")
+    answers = table(spark, sf_dir, "events").select("event_id", level.alias("level"), (F.col("event_type") != "error").alias("correct"))
+    return answers.select("event_id", F.expr("next_mastery(level, correct)").alias("by_name"), study.next_mastery(F.col("level"), F.col("correct")).alias("by_column"))
+
+
 def flashcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.flashcards(nodes(spark, sf_dir), quotes(spark, sf_dir)).select("node_id", "question", "answer", "page", "mastery")
 
@@ -108,6 +116,7 @@ n AS (SELECT category_id, count(*) FILTER (WHERE mastery = 'no') AS no, count(*)
 SELECT *, no + mid + yes AS total, CASE WHEN no + mid + yes > 0 THEN (mid + yes) / (no + mid + yes) END AS ratio FROM (SELECT coalesce(id, category_id) AS category_id, coalesce(name, '未分类') AS name, coalesce(no, 0) AS no, coalesce(mid, 0) AS mid, coalesce(yes, 0) AS yes FROM n FULL JOIN c ON id = category_id)""",
     "mastery_walk": """SELECT user_id, len(l) AS answers, ['no', 'mid', 'yes'][list_reduce(list_prepend(0, l), lambda a, x: greatest(0, least(2, a + x))) + 1] AS mastery FROM
   (SELECT user_id, list(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END ORDER BY ts, event_id) AS l FROM events WHERE event_type IN ('click', 'purchase', 'error') GROUP BY user_id)""",
+    "mastery_steps": """SELECT event_id, up AS by_name, up AS by_column FROM (SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_type = 'error' THEN ['no', 'no', 'mid'][event_id % 3 + 1] ELSE ['mid', 'yes', 'yes'][event_id % 3 + 1] END AS up FROM events)""",
     "flashcards": f"""WITH {_NODES}, q AS (SELECT l_partkey, arg_max(l_returnflag || ' ' || l_orderkey, (l_orderkey, l_linenumber, l_returnflag)) AS quote, arg_max(l_linenumber, (l_orderkey, l_linenumber, l_returnflag)) AS page FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
 SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS answer, page, mastery FROM nodes LEFT JOIN q ON l_partkey = node_id WHERE coalesce(nullif(card_summary, ''), quote) IS NOT NULL""",
     "node_search": f"WITH {_NODES} SELECT node_id, name FROM nodes WHERE contains(lower(name), 'econ') OR coalesce(contains(lower(card_summary), 'econ'), false)",
@@ -117,7 +126,7 @@ SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS a
 }
 ORACLES["heat30"] = f"""WITH {_CHECKINS}, days AS (SELECT user_id, d::DATE AS date FROM (SELECT DISTINCT user_id FROM checkins) CROSS JOIN generate_series(DATE '{LAST_DAY}' - INTERVAL 29 DAY, DATE '{LAST_DAY}', INTERVAL 1 DAY) AS g(d))
 SELECT user_id, date, least(coalesce(items, 0), 4)::INT AS level FROM days LEFT JOIN checkins USING (user_id, date)"""
-QUERIES = {f.__name__: f for f in (agenda, daily_todo, daily_totals, open_today, mastery_stats, mastery_walk, flashcards, node_search, graph_layout, project_card, heat30, streak)}
+QUERIES = {f.__name__: f for f in (agenda, daily_todo, daily_totals, open_today, mastery_stats, mastery_walk, mastery_steps, flashcards, node_search, graph_layout, project_card, heat30, streak)}
 ORACLES["graph_pull"] = f"""WITH {_NODES}, q AS (SELECT l_partkey, arg_max(l_returnflag || ' ' || l_orderkey, (l_orderkey, l_linenumber, l_returnflag)) AS quote_text, arg_max(l_linenumber, (l_orderkey, l_linenumber, l_returnflag)) AS page FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey)
 SELECT node_id, category_id, quote_text, page FROM nodes LEFT JOIN q ON l_partkey = node_id"""
 ORACLES["mastered_cards"] = ORACLES["flashcards"].replace("SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS answer, page, mastery FROM", "SELECT node_id, name AS question, coalesce(nullif(card_summary, ''), quote) AS answer FROM") + " AND mastery = 'mid'"

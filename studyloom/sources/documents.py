@@ -6,7 +6,8 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 from itertools import accumulate
 
 import pandas as pd
@@ -188,10 +189,69 @@ def completed(sessions: DataFrame, received: DataFrame, chunk: int, session: str
     return joined.withColumn("refusal", refusal).drop("_digest", "_size")
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``length`` and ``modificationTime`` of all files below a path but those without a byte, which Spark's reader
+    leaves out; their content isn't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+
+
 def expired(files: DataFrame, now: str, days: int, at: str = "modificationTime") -> DataFrame:
     """Files of a bin that are older than the days they are kept."""
     return files.where(F.col(at) < F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
 
 
+def purge(spark: SparkSession, path: str, now: str, days: int) -> int:
+    """Delete the files of a bin that are older than ``days`` before ``now`` (UTC), empty ones too; how many went. Names come from the
+    file system one after the other."""
+    limit = (datetime.fromisoformat(now).replace(tzinfo=UTC) - timedelta(days=days)).timestamp() * 1000
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, gone = store.listFiles(root, True), 0
+    while files.hasNext():
+        f = files.next()
+        if f.getModificationTime() < limit:
+            gone += bool(store.delete(f.getPath(), False))
+    return gone
+
+
 def usage_bytes(files: DataFrame, length: str = "length") -> DataFrame:
     return files.agg(F.coalesce(F.sum(length), F.lit(0)).alias("bytes"))
+
+
+#: From a file's bytes to its (page, text) blocks.
+Parser = Callable[[bytes], list[tuple[int, str]]]
+
+
+def read_documents(spark: SparkSession, path: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """``path``, ``block_no``, ``page``, ``text``, ``zh_ratio`` and ``error`` of all files below a path. Text files are read by columns; ``parsers`` are readers of other
+    types by their lower-cased extension, run on executors. A file without a reader has one row with ``no_parser``, one whose
+    reader fails or finds nothing has ``failed: ...`` or ``empty``; neither stops the others. Files without a byte have no row."""
+    every = listed(spark, path).select("path", extension(F.col("path")).alias("ext"))
+    load = lambda exts: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(extension(F.col("path")).isin(*exts)).select("path", extension(F.col("path")).alias("ext"), "content")
+    own = dict(parsers or {})
+    texts = [x for x, reader in READERS.items() if reader == "text" and x not in own]
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("block_no", T.IntegerType()), T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, ext, data in zip(*(batch.column(c).to_pylist() for c in ("path", "ext", "content")), strict=True):
+                try:
+                    found = own[ext](data)
+                except Exception as e:  # a reader's own failure is the file's result
+                    rows.append((name, None, None, None, f"failed: {e}"))
+                    continue
+                rows += [(name, i, page, text, None) for i, (page, text) in enumerate(found)] or [(name, None, None, None, "empty")]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("block_no", pa.int32()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
+
+    columns = [*schema.names[:4], F.when(F.col("text").isNotNull(), X.clamped_ratio(F.col("text"))).alias("zh_ratio"), "error"]
+    out = every.where(~F.col("ext").isin(*texts, *own)).select("path", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:4]), F.lit("no_parser").alias("error"))
+    if texts:
+        files = load(texts)
+        blocks = text_blocks(files, ["path"]).select(*schema.names[:4], F.lit(None).cast("string").alias("error"))
+        whole = files.select("path", decoded(F.col("content")).alias("t"))
+        bare = whole.where(F.coalesce(F.size(X.paragraphs(F.col("t"))), F.lit(0)) <= 0).select("path", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:4]), F.when(F.col("t").isNull(), "failed: encoding").otherwise("empty").alias("error"))
+        out = out.unionByName(blocks).unionByName(bare)
+    if own:
+        out = out.unionByName(load(list(own)).mapInArrow(run, schema))
+    return out.select(*columns)
