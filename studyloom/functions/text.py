@@ -202,3 +202,28 @@ def relative_time(then: Column, now: Column) -> Column:
 
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def whole_json(text: Column) -> Column:
+    """A text as VARIANT if all of it is one JSON value, else null. The parser stops at the end of a value; with something known
+    behind it, nothing else can follow."""
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end of answer"]')))
+    alone = (F.size(F.try_variant_get(both, "$", "array<variant>")) == 2) & (F.try_variant_get(both, "$[1]", "string") == "end of answer")
+    return F.when(alone, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def _near(value: Column) -> Column:
+    """A number without its fraction; those beyond 18 digits are the largest with so many."""
+    return F.greatest(F.lit(-1e18), F.least(F.lit(1e18), F.try_variant_get(value, "$", "double"))).cast("bigint")
+
+
+def whole_number(value: Column) -> Column:
+    """A VARIANT as a whole number if it was written as one (truth values count, 1.0 doesn't), else null."""
+    return F.when(F.schema_of_variant(value).rlike(r"^(BIGINT|BOOLEAN|DECIMAL\((19|[23][0-9]),0\))$"), _near(value))
+
+
+def as_number(value: Column) -> Column:
+    """A VARIANT as a whole number: whole and broken ones, truth values, digits in quotes; null for all else."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    digits = F.when(text.rlike("^ *[+-]?[0-9]+ *$"), F.trim(text).try_cast("bigint"))
+    return F.when(kind.rlike("^(BIGINT|BOOLEAN|DOUBLE|DECIMAL)"), _near(value)).when(kind == "STRING", digits)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,49 +30,25 @@ def json_object(answer: Column) -> Column:
     return F.when(found != "", found)
 
 
-_FIELDS = "categories array<string>, nodes array<struct<raw int, name string, summary string, quote string, weight int, category_index int, links array<struct<index int, reason string>>>>"
-
-
-def read_answer(text: str | None) -> tuple[list[str], list[dict]]:
-    """Categories and nodes of an answer as it is, odd types aside: small Python that only reads JSON."""
-    try:
-        data = json.loads(text or "")
-    except ValueError:
-        return [], []
-    if not isinstance(data, dict):
-        return [], []
-    string = lambda v: v if isinstance(v, str) else "" if v is None else str(v)
-    whole = lambda v: v if isinstance(v, int) else None
-    raw = data.get("categories")
-    categories = [string(c.get("name") if isinstance(c, dict) else c) for c in raw] if isinstance(raw, list) else []
-    found = next((data[k] for k in NODE_NAMES if isinstance(data.get(k), list)), [])
-    nodes = []
-    for i, item in enumerate(found):
-        if not isinstance(item, dict):
-            continue
-        try:
-            weight = int(item.get("weight"))
-        except (TypeError, ValueError):
-            weight = 2
-        links = item.get("links") if isinstance(item.get("links"), list) else []
-        nodes.append({
-            "raw": i, "name": string(item.get("name")), "summary": string(item.get("summary")), "quote": string(item.get("quote")), "weight": weight, "category_index": whole(item.get("category_index")),
-            "links": [{"index": whole(x.get("index")), "reason": string(x.get("reason"))} for x in links if isinstance(x, dict)],
-        })
-    return categories, nodes
-
-
 def answers_to_units(units: DataFrame, answer: str = "answer") -> DataFrame:
-    """Units with ``categories`` and ``nodes`` as a model gave them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            read = [read_answer(x) for x in batch.pop("_json")]
-            yield batch.assign(categories=[c for c, _ in read], nodes=[n for _, n in read])
-
-    rows = units.withColumn("_json", json_object(F.col(answer)))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields]
-    return rows.mapInPandas(run, ", ".join([*kept, _FIELDS]))
+    """Units with ``categories`` and ``nodes`` as a model gave them, read as VARIANT; none of an answer that isn't one object. Things
+    of odd types are left out or empty."""
+    read = units.withColumn("_v", X.whole_json(json_object(F.col(answer))))
+    listed = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    text = lambda v, path="$": F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    value = lambda v, path: F.try_variant_get(v, path, "variant")
+    link = lambda x: F.struct(X.whole_number(value(x, "$.index")).try_cast("int").alias("index"), text(x, "$.reason").alias("reason"))
+    node = lambda n: F.struct(
+        n["raw"].alias("raw"), *(text(n["v"], f"$.{c}").alias(c) for c in ("name", "summary", "quote")), F.coalesce(X.as_number(value(n["v"], "$.weight")).try_cast("int"), F.lit(2)).alias("weight"),
+        X.whole_number(value(n["v"], "$.category_index")).try_cast("int").alias("category_index"), F.coalesce(F.transform(F.filter(listed(n["v"], "$.links"), is_object), link), F.array().cast("array<struct<index:int,reason:string>>")).alias("links"),
+    )
+    found = F.coalesce(*(listed(F.col("_v"), f"$.{name}") for name in NODE_NAMES))
+    placed = F.filter(F.transform(found, lambda v, i: F.struct(i.alias("raw"), v.alias("v"))), lambda n: is_object(n["v"]))
+    kind = "array<struct<raw:int,name:string,summary:string,quote:string,weight:int,category_index:int,links:array<struct<index:int,reason:string>>>>"
+    read = read.withColumn("_nodes", placed)
+    categories = F.transform(listed(F.col("_v"), "$.categories"), lambda c: F.when(is_object(c), text(c, "$.name")).otherwise(text(c)))
+    return read.withColumns({"categories": F.coalesce(categories, F.array().cast("array<string>")), "nodes": F.coalesce(F.transform("_nodes", node), F.array().cast(kind))}).drop("_v", "_nodes")
 
 
 def normal_categories(names: Column) -> Column:

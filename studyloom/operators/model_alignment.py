@@ -64,19 +64,10 @@ def _json_of(answer: Column) -> Column:
     return F.when(F.startswith(body, F.lit("[")), body).otherwise(inner)
 
 
-def _number(v: Column) -> Column:
-    """A number from 1 as a place from 0: whole and broken numbers, truth values, digits in quotes; null for all else."""
-    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    digits = F.when(text.rlike("^ *[+-]?[0-9]+ *$"), F.trim(text).try_cast("bigint"))
-    plain = kind.rlike("^(BIGINT|BOOLEAN|DOUBLE|DECIMAL)")
-    return F.when(plain, F.try_variant_get(v, "$", "double").cast("bigint")).when(kind == "STRING", digits) - 1
-
-
 def _places(v: Column) -> Column:
-    """A side as sorted places: a list, or one whole number; null if it is anything else or holds it."""
-    kind = F.schema_of_variant(v)
-    one = kind.rlike(r"^(BIGINT|BOOLEAN|DECIMAL\([0-9]+,0\))$")
-    listed = F.when(one, F.array(_number(v))).when(F.startswith(kind, F.lit("ARRAY")), F.transform(F.try_variant_get(v, "$", "array<variant>"), _number))
+    """A side as sorted places from 0: a list, or one whole number, of numbers from 1; null if it is anything else or holds it."""
+    one = X.whole_number(v)
+    listed = F.when(one.isNotNull(), F.array(one - 1)).otherwise(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: X.as_number(x) - 1))
     return F.when(~F.exists(listed, lambda x: x.isNull()), F.array_sort(listed))
 
 
@@ -90,10 +81,7 @@ def _sides(item: Column) -> Column:
 def read_mappings(answers: DataFrame, answer: str = "answer", n_zh: str = "n_zh", n_en: str = "n_en") -> DataFrame:
     """``answers`` with ``error`` and ``groups``. Every sentence of both sides is in exactly one group; groups are in order, without gaps
     and of four at most. The first item that is wrong names the error; half a mapping is none."""
-    # The parser stops at the end of a value; with something known behind it, nothing else can follow.
-    whole = F.try_parse_json(F.concat(F.lit("["), _json_of(F.coalesce(answer, F.lit(""))), F.lit(', "end of answer"]')))
-    alone = (F.size(F.try_variant_get(whole, "$", "array<variant>")) == 2) & (F.try_variant_get(whole, "$[1]", "string") == "end of answer")
-    items = F.when(alone, F.try_variant_get(whole, "$[0]", "array<variant>"))
+    items = F.try_variant_get(X.whole_json(_json_of(F.coalesce(answer, F.lit("")))), "$", "array<variant>")
     read = answers.withColumn("_sides", F.transform(items, _sides))
     span = lambda side: F.when(F.size(side) > 0, F.struct(F.get(side, 0).alias("f"), (F.get(side, F.size(side) - 1) + 1).alias("t"), F.size(side).alias("n"), (F.size(F.array_distinct(side)) == F.size(side)).alias("once")))
     read = read.withColumn("_spans", F.transform("_sides", lambda x: F.struct(span(x["zh"]).alias("zh"), span(x["en"]).alias("en"))))

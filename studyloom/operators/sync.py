@@ -84,3 +84,42 @@ def remaining(queue: DataFrame, results: DataFrame, op: str = "op_id", failed_fr
     kept = queue.join(errors.withColumn("_e", F.lit(True)), op, "left")
     unsent = F.lit(False) if failed_from is None else F.coalesce(F.col("batch") >= failed_from, F.lit(False))
     return kept.where(F.coalesce("_e", F.lit(False)) | unsent).drop("_e")
+
+
+def _last(ops: DataFrame, entity: str, order: list[str]) -> tuple[DataFrame, Column]:
+    """The entity's ops as (entity_id, _v: the patch as VARIANT), and their order. Patches that aren't objects change nothing."""
+    own = ops.where(F.col("entity") == entity).select("entity_id", F.struct(*order).alias("_at"), F.try_parse_json("patch").alias("_v"))
+    return own.where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))), F.col("_at")
+
+
+def patched_pieces(pieces: DataFrame, ops: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """A client's pieces after its own writes (``entity``, ``entity_id``, ``patch``: JSON): the last number given as ``last_pos`` and the last truth value
+    given as ``recited``; other types, other fields and unknown pieces change nothing."""
+    own, at = _last(ops, "piece_progress", order)
+    pick = lambda field, kind, types: F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.{field}", "variant")).rlike(f"^({types})"), F.try_variant_get("_v", f"$.{field}", kind))
+    given = {"last_pos": pick("last_pos", "double", "BIGINT|DOUBLE|DECIMAL"), "recited": pick("recited", "boolean", "BOOLEAN")}
+    last = own.groupBy("entity_id").agg(*(F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_{c}") for c, v in given.items()))
+    joined = pieces.join(last, pieces[key].cast("string") == last.entity_id, "left")
+    kinds = dict(pieces.dtypes)
+    return joined.withColumns({c: F.coalesce(F.col(f"_{c}").cast(kinds[c]), F.col(c)) for c in given}).select(*pieces.columns)
+
+
+def patched_checkins(checkins: DataFrame, ops: DataFrame, order: list[str], now: str) -> DataFrame:
+    """A client's check-ins (``date``, ``items``, ``updated_at``): the last write of a day replaces its entry or adds one, with the list it gives or an empty one."""
+    own, at = _last(ops, "checkin", order)
+    items = F.coalesce(F.transform(F.try_variant_get("_v", "$.items_json", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
+    last = own.groupBy("entity_id").agg(F.max_by(items, at).alias("items"))
+    fresh = last.select(F.col("entity_id").cast(dict(checkins.dtypes)["date"]).alias("date"), "items", F.lit(now).cast(dict(checkins.dtypes)["updated_at"]).alias("updated_at"))
+    return checkins.join(fresh.select("date"), "date", "left_anti").unionByName(fresh)
+
+
+def patched_plans(plans: DataFrame, ops: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """A client's plans (``key``, ``row``: all fields as a map of JSON): each field has the value of the last write that gives it, known to the server or
+    not; fields that no write gives stay, unknown plans aren't added."""
+    own, at = _last(ops, "plan", order)
+    each = own.select("entity_id", "_at", F.explode(F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))).alias("f"))
+    fields = each.groupBy("entity_id", F.col("f.key").alias("field")).agg(F.max_by(F.to_json("f.value"), at).alias("value"))
+    patch = fields.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_patch"))
+    joined = plans.join(patch, plans[key].cast("string") == patch.entity_id, "left")
+    kept = F.map_filter("row", lambda k, _: ~F.map_contains_key("_patch", k))
+    return joined.withColumn("row", F.when(F.col("_patch").isNull(), F.col("row")).otherwise(F.map_concat(kept, F.col("_patch")))).select(*plans.columns)

@@ -16,7 +16,7 @@ ANSWERS = [
     (RIGHT, None), (f"x ```json\n{RIGHT}\n``` y [1]", None), (f"so {RIGHT} it is", None), ('[[1,1],[2,[3,2]]]', None), ('[{"zh_indices":[1],"en_idx":1},{"zh_idx":2,"en":["2"," 3 "]}]', None), ('[[1,[1.9]],[[2],[2,3]]]', None),
     ("none", "llm_bad_json"), ("[1", "llm_bad_json"), ("] [", "llm_bad_json"), ('{"zh":1}', "llm_bad_json"), (None, "llm_bad_json"), ('[[1,1]] x', "llm_bad_json"), ("[]", "llm_empty"),
     ('[{"zh":"12","en":[1,2]}]', "llm_bad_shape"), ('[{"zh":{"1":0,"2":0},"en":1}]', "llm_bad_shape"), ('[{"zh":9,"en":[]}]', "llm_bad_shape"), ('[{"zh":[],"en":1}]', "llm_bad_shape"), ('[{"zh":1}]', "llm_bad_shape"), ('[{"zh":null,"zh_idx":1,"en":1}]', "llm_bad_shape"),
-    ("[1,2]", "llm_bad_shape"), ("[[1,1,1]]", "llm_bad_shape"), ('[[1,["x"]]]', "llm_bad_shape"), ("[[1,[null]]]", "llm_bad_shape"), ("[[1,[[1]]]]", "llm_bad_shape"), ("[[1.0,1.5]]", "llm_bad_shape"),
+    ("[1,2]", "llm_bad_shape"), ("[[1,1,1]]", "llm_bad_shape"), ('[[1,["x"]]]', "llm_bad_shape"), ("[[1,[null]]]", "llm_bad_shape"), ("[[1,[[1]]]]", "llm_bad_shape"), ("[[1.0,1]]", "llm_bad_shape"), ("[[1,12345678901234567890]]", "llm_out_of_range"),
     ('[{"zh":3,"en":1}]', "llm_out_of_range"), ('[{"zh":0,"en":1}]', "llm_out_of_range"), ('[[1,[1,4]]]', "llm_out_of_range"), ('[{"zh":2,"en":1},{"zh":1,"en":2}]', "llm_not_monotonic"), ("[[1,1],[2,1]]", "llm_not_monotonic"),
     ('[{"zh":1,"en":[1,3]}]', "llm_not_contiguous"), ("[[1,[1,1]]]", "llm_not_contiguous"), ('[{"zh":1,"en":1}]', "llm_incomplete"), ("[[1,1],[2,2]]", "llm_incomplete"), ("[[1,1],[5,9],[0,0]]", "llm_out_of_range"), ("[[1,1],3,[9,9]]", "llm_bad_shape"),
 ]

@@ -177,6 +177,16 @@ def test_graph_answers(spark):
     assert [tuple(r) for r in graph.edges(merged, ["project"], ["unit", "node"]).collect()] == [(1, "u000:n00", "u000:n01", "k")]
 
 
+def test_odd_graph_answers(spark):
+    answers = [
+        '{"points":[{"name":7,"summary":null,"weight":"3","category_index":1.0,"links":[{"index":true,"reason":5},4,{"index":"1"}]},"x",{"weight":2.9,"category_index":0,"links":{}}],"categories":["a",{"name":"b"},{"x":1},3]}',
+        'so ```json\n{"nodes":{},"items":[{}]}\n``` {', '{"nodes":[]} and {}', "[1]", "", None, '{"nodes":[{"name":"n"}],"points":[{"name":"p"}]}',
+    ]
+    rows = graph.answers_to_units(spark.createDataFrame(list(enumerate(answers)), "i int, answer string")).orderBy("i").collect()
+    got = [(r.categories, [(n.raw, n["name"], n.summary, n.weight, n.category_index, [tuple(x) for x in n.links]) for n in r.nodes]) for r in rows]
+    assert got == [(["a", "b", "", "3"], [(0, "7", "", 3, None, [(1, "5"), (None, "")]), (2, "", "", 2, 0, [])]), ([], [(0, "", "", 2, None, [])]), ([], []), ([], []), ([], []), ([], []), ([], [(0, "n", "", 2, None, [])])]
+
+
 def test_sync_times_and_replay(spark):
     assert [str(x) for x in column(spark, ["2026-09-29T06:00:00.000Z", "2026-09-29T06:00:00", "2026-09-29T08:00:00+02:00"], sync.utc)] == ["2026-09-29 06:00:00"] * 3
     # An hour that the session's zone skips, and one that it has twice.
@@ -226,3 +236,17 @@ def test_jobs(spark):
     assert [r[0] for r in moves.select(jobs.transition(F.col("status"), F.col("action"))).collect()] == ["cancelled", None, "queued", None]
     errors = spark.createDataFrame([(401, "x"), (403, "Access denied"), (429, "quota"), (429, "slow"), (500, ""), (404, "")], "s int, b string")
     assert [r[0] for r in errors.select(jobs.error_class(F.col("s"), F.col("b"))).collect()] == ["key_invalid", "bad_request", "quota_exceeded", "rate_limited", "provider_error", "bad_request"]
+
+
+def test_client_patches(spark):
+    ops = spark.createDataFrame([
+        ("piece_progress", "1", '{"last_pos":3,"recited":true}', 1), ("piece_progress", "1", '{"last_pos":"x","recited":null,"z":1}', 2), ("piece_progress", "1", '{"last_pos":4.0}', 0), ("piece_progress", "9", '{"last_pos":4}', 0), ("piece_progress", "2", "no", 5),
+        ("checkin", "2024-01-01", '{"items_json":["a",1]}', 1), ("checkin", "2024-01-02", '{"items_json":"x"}', 1), ("checkin", "2024-01-03", "{}", 1), ("checkin", "2024-01-03", "[1]", 2),
+        ("plan", "1", '{"title":"t","new":{"a":[1]}}', 1), ("plan", "1", '{"title":null,"status":"s"}', 2), ("plan", "7", '{"title":"q"}', 2), ("goal", "1", '{"title":"g"}', 3), ("plan", "2", None, 3),
+    ], "entity string, entity_id string, patch string, n int")
+    pieces = spark.createDataFrame([(1, 0, False, "t"), (2, 5, True, "u")], "id int, last_pos int, recited boolean, title string")
+    assert sorted(map(tuple, sync.patched_pieces(pieces, ops, ["n"]).collect())) == [(1, 3, True, "t"), (2, 5, True, "u")]
+    days = spark.createDataFrame([("2024-01-01", ["old"], "2020-01-01"), ("2023-01-01", ["old"], "2020-01-01")], "date string, items array<string>, updated_at string")
+    assert sorted(map(tuple, sync.patched_checkins(days, ops, ["n"], "2024-02-02").collect())) == [("2023-01-01", ["old"], "2020-01-01"), ("2024-01-01", ["a", "1"], "2024-02-02"), ("2024-01-02", [], "2024-02-02"), ("2024-01-03", [], "2024-02-02")]
+    plans = spark.createDataFrame([(1, {"title": '"o"', "due": '"d"'}), (2, {"title": '"o"'})], "id int, row map<string,string>")
+    assert sorted((r.id, sorted(r.row.items())) for r in sync.patched_plans(plans, ops, ["n"]).collect()) == [(1, [("due", '"d"'), ("new", '{"a":[1]}'), ("status", '"s"'), ("title", "null")]), (2, [("title", '"o"')])]
