@@ -22,19 +22,20 @@ def _numeral(number) -> F.Column:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, o, part, n, kind, page, text): an order is a piece under a heading, of every fourth order an area's heading
-    comes first, its lines are sentences, Chinese ones before English ones; a note leads each book."""
+    """(doc, o, part, n, block, page, text): an order is a piece under a heading; of every fourth order an area's heading comes first, of
+    every other fourth a zone's. Of every third order the heading stands behind a closing phrase in the same line. Chinese
+    sentences come before English ones, two lines a block; the second English line has some Chinese in it."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("o"), (F.col("o_orderkey") % 50).cast("int").alias("page"), "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("n"), "l_partkey").join(orders, "o")
-    number = _numeral(F.col("o"))
-    row = lambda rows, part, n, kind, text: rows.select("doc", "o", F.lit(part).alias("part"), n.alias("n"), F.lit(kind).alias("kind"), "page", text.alias("text"))
-    place = F.concat(_numeral(F.col("l_partkey")), _numeral(F.col("l_partkey") + 4))
-    zh = F.concat(F.when(F.col("n") == 1, "亲爱的游客朋友们，").otherwise(""), F.lit("我们来到"), place, F.lit("湖 "), F.col("l_partkey").cast("string"), F.lit("。"))
-    en = F.concat(F.when(F.col("n") == 1, "Dear tourists and friends, ").otherwise(""), F.lit("we are at lake "), F.col("l_partkey").cast("string"), F.lit(". "))
+    number, first, part = _numeral(F.col("o")), F.col("n") == 1, F.col("l_partkey").cast("string")
+    row = lambda rows, place, n, block, text: rows.select("doc", "o", F.lit(place).alias("part"), n.alias("n"), block.cast("int").alias("block"), "page", text.alias("text"))
+    zh = F.concat(F.when(first, "亲爱的游客朋友们，").otherwise(""), F.lit("我们来到"), _numeral(F.col("l_partkey")), _numeral(F.col("l_partkey") + 4), F.lit("湖 "), part, F.lit("。"))
+    en = F.concat(F.when(first, "Dear tourists and friends, ").otherwise(""), F.lit("we are at lake "), part, F.when(F.col("n") == 2, " with 李明明").otherwise(""), F.lit(". "))
+    head = F.concat(F.when(F.col("o") % 3 == 0, "再见，谢谢大家！").otherwise(""), F.lit("范文（"), number, F.lit("）"))
     parts = [
-        row(orders.where("o % 4 = 0"), 0, F.lit(0), "area", F.concat(F.lit("（"), number, F.lit("）"), number, F.lit("江讲解"))),
-        row(orders, 1, F.lit(0), "piece", F.concat(F.lit("范文（"), number, F.lit("）"))),
-        row(lines, 2, F.col("n"), "zh", zh), row(lines, 3, F.col("n"), "en", en),
+        row(orders.where("o % 4 = 0"), 0, F.lit(0), F.lit(0), F.concat(F.lit("（"), number, F.lit("）"), number, F.lit("江讲解"))),
+        row(orders.where("o % 4 = 2"), 0, F.lit(0), F.lit(0), F.concat(F.lit("（"), number, F.lit("）"), number, F.lit("湖景区主要景点：甲、乙"))),
+        row(orders, 1, F.lit(0), F.lit(0), head), row(lines, 2, F.col("n"), (F.col("n") - 1) / 2, zh), row(lines, 3, F.col("n"), F.col("n"), en),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -43,9 +44,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line is a block of its own, numbered through the book."""
-    by = Window.partitionBy("doc").orderBy("o", "part", "n")
-    return _lines(spark, sf_dir).withColumn("block_no", (F.row_number().over(by) - 1).cast("int"))
+    """Blocks numbered through the book."""
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("n", "text")))["text"], "\n").alias("text")
+    blocks = _lines(spark, sf_dir).groupBy("doc", "o", "part", "block", "page").agg(text)
+    by = Window.partitionBy("doc").orderBy("o", "part", "block")
+    return blocks.withColumn("block_no", (F.row_number().over(by) - 1).cast("int"))
 
 
 def guide_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,7 @@ def guide_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guide_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of pieces as stored pairs without blocks, which are computed from the pieces' maps."""
     pieces = _pieces(spark, sf_dir).select(F.concat_ws("-", "doc", "piece").alias("id"), F.col("zh").alias("text"), F.col("zh_blocks").alias("owners"))
-    pairs = pieces.select("id", F.posexplode(F.split("text", "\n")).alias("seq", "zh"), F.lit(None).cast("int").alias("block_no"))
+    pairs = pieces.select("id", F.posexplode(F.split("text", "\n+")).alias("seq", "zh"), F.lit(None).cast("int").alias("block_no"))
     return structure.backfill_blocks(pairs, pieces, "id").select("id", "seq", "block_no")
 
 
@@ -169,14 +172,18 @@ def graph_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINED = "lined AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_partkey AS p FROM lineitem)"
 _N = lambda x: f"'{NUMERALS}'[({x}) % 9 + 1]"
 _BOOK = f"""{_LINED}, book AS (
-  SELECT o_custkey AS doc, o_orderkey AS o, 0 AS part, 0 AS n, 'area' AS kind, {_N("o_orderkey")} || '江' AS title, '' AS text FROM orders WHERE o_orderkey % 4 = 0
-  UNION ALL SELECT o_custkey, o_orderkey, 1, 0, 'piece', {_N("o_orderkey")}, '' FROM orders
-  UNION ALL SELECT o_custkey, o, 2, n, 'zh', NULL, CASE WHEN n = 1 THEN '亲爱的游客朋友们，' ELSE '' END || '我们来到' || {_N("p")} || {_N("p + 4")} || '湖 ' || p || '。' FROM lined JOIN orders ON o_orderkey = o
-  UNION ALL SELECT o_custkey, o, 3, n, 'en', NULL, CASE WHEN n = 1 THEN 'Dear tourists and friends, ' ELSE '' END || 'we are at lake ' || p || '. ' FROM lined JOIN orders ON o_orderkey = o
+  SELECT o_custkey AS doc, o_orderkey AS o, 0 AS part, 0 AS n, 0 AS block, 'area' AS kind, {_N("o_orderkey")} || CASE WHEN o_orderkey % 4 = 0 THEN '江' ELSE '湖' END AS title, '' AS text FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_custkey, o_orderkey, 1, 0, 0, 'closing', NULL, '再见，谢谢大家！' FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_custkey, o_orderkey, 1, 1, 0, 'piece', {_N("o_orderkey")}, '' FROM orders
+  UNION ALL SELECT o_custkey, o, 2, n, (n - 1) // 2, 'zh', NULL, CASE WHEN n = 1 THEN '亲爱的游客朋友们，' ELSE '' END || '我们来到' || {_N("p")} || {_N("p + 4")} || '湖 ' || p || '。' FROM lined JOIN orders ON o_orderkey = o
+  UNION ALL SELECT o_custkey, o, 3, n, n, 'en', NULL, CASE WHEN n = 1 THEN 'Dear tourists and friends, ' ELSE '' END || 'we are at lake ' || p || CASE WHEN n = 2 THEN ' with 李明明' ELSE '' END || '. ' FROM lined JOIN orders ON o_orderkey = o
 ), b AS (
-  SELECT *, (o % 50)::INT AS page, row_number() OVER (PARTITION BY doc ORDER BY o, part, n) - 1 AS block_no, count(*) FILTER (WHERE kind IN ('area', 'piece')) OVER (PARTITION BY doc ORDER BY o, part, n) AS section,
-    last_value(CASE WHEN kind = 'area' THEN title END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY o, part, n) AS area FROM book
-), t AS (SELECT *, trim(CASE WHEN n > 1 THEN text WHEN kind = 'zh' THEN text[10:] ELSE text[28:] END) AS cut FROM b WHERE kind IN ('zh', 'en'))"""
+  SELECT *, (o % 50)::INT AS page, (dense_rank() OVER (PARTITION BY doc ORDER BY o, part, block) - 1)::INT AS block_no, (row_number() OVER w - 1)::INT AS place, count(*) FILTER (WHERE kind IN ('area', 'piece')) OVER w AS section,
+    last_value(CASE WHEN kind = 'area' THEN title END IGNORE NULLS) OVER w AS area, last_value(CASE WHEN kind IN ('area', 'piece') THEN kind END IGNORE NULLS) OVER w AS under FROM book WINDOW w AS (PARTITION BY doc ORDER BY o, part, n)
+), t AS (
+  SELECT *, CASE kind WHEN 'en' THEN 'en' ELSE 'zh' END AS lang, dense_rank() OVER (PARTITION BY doc, section ORDER BY CASE kind WHEN 'zh' THEN 0 WHEN 'en' THEN 1 ELSE 2 END) - 1 AS run, CASE WHEN n <> 1 THEN text WHEN kind = 'zh' THEN text[10:] ELSE text[28:] END AS cut
+  FROM b WHERE kind IN ('zh', 'en') OR (kind = 'closing' AND under = 'piece')
+), heads AS (SELECT doc, section, title, area, page FROM b WHERE kind = 'piece')"""
 _SOLID = lambda c: f"length(regexp_replace({c}, '[{X.SPACE}]+', '', 'g'))"
 _SIDES = "sides AS (SELECT l_orderkey AS id, count(*)::INT AS n FROM lineitem GROUP BY 1)"
 _PAGED = f"""{_LINED}, blocks AS (SELECT o_custkey AS doc, o_orderkey AS page, (n - 1) // 3 AS g, string_agg('line ' || n || ' ' || p, chr(10) ORDER BY n) AS text FROM lined JOIN orders ON o_orderkey = o GROUP BY ALL),
@@ -187,12 +194,14 @@ _PROMPT = """'块 1' || chr(10) || chr(10) || '甲方（' || n || '）' || chr(1
   || (SELECT string_agg('[' || i || '] no ' || printf('%04d', i) || '.', chr(10) ORDER BY i) FROM range(1, n + 1) r(i)) || chr(10) || chr(10) || '给出 JSON 数组，每项 {"zh": [...], "en": [...]}，甲方编号全部用到一次。'"""
 _LETTERS = f"length(regexp_replace(t, '[^{X.CJK_LETTERS}]', '', 'g'))"
 ORACLES = {
-    "guide_scan": f"WITH {_BOOK} SELECT doc, block_no AS n, CASE WHEN kind IN ('zh', 'en') THEN 'body' ELSE kind END AS kind, title, section, page, block_no FROM b",
-    "guide_runs": f"WITH {_BOOK} SELECT doc, section, (part - 2)::INT AS run, kind AS lang, min(page) AS page, md5(trim(string_agg(text, chr(10) ORDER BY n))) AS raw, count(*)::INT AS lines FROM b WHERE part > 1 GROUP BY doc, section, part, kind",
-    "guide_pieces": f"""WITH {_BOOK} SELECT doc, section AS piece, CASE WHEN max(area) IS NULL THEN '' ELSE max(area) || '·' END || '范文（' || {_N("max(o)")} || '）' AS title, coalesce(max(area), '') AS area, max(page) AS page, max(page) AS zh_page, max(page) AS en_page,
-  md5(trim(string_agg(CASE WHEN n > 1 THEN text ELSE cut || CASE WHEN kind = 'en' THEN ' ' ELSE '' END END, chr(10) ORDER BY n) FILTER (WHERE kind = 'zh'))) AS zh, md5(trim(string_agg(CASE WHEN n > 1 THEN text ELSE cut || ' ' END, chr(10) ORDER BY n) FILTER (WHERE kind = 'en'))) AS en,
-  {"".join(f"(sum({_SOLID('cut')}) FILTER (WHERE kind = '{s}'))::INT AS {s}_chars, (min(block_no) FILTER (WHERE kind = '{s}'))::INT AS {s}_first, (max(block_no) FILTER (WHERE kind = '{s}'))::INT AS {s}_last, " for s in ("zh", "en")).rstrip(", ")} FROM t GROUP BY doc, section""",
-    "guide_backfill": f"WITH {_BOOK} SELECT doc || '-' || section AS id, (n - 1)::INT AS seq, (n - 1)::INT AS block_no FROM t WHERE kind = 'zh'",
+    "guide_scan": f"WITH {_BOOK} SELECT doc, place AS n, CASE WHEN kind IN ('zh', 'en') THEN 'body' WHEN kind = 'closing' THEN CASE WHEN under = 'piece' THEN 'body' ELSE 'note' END ELSE kind END AS kind, title, section, page, block_no FROM b",
+    "guide_runs": f"WITH {_BOOK} SELECT doc, section, run::INT AS run, lang, min(page) AS page, md5(trim(string_agg(text, chr(10) ORDER BY place))) AS raw, count(*)::INT AS lines FROM t GROUP BY doc, section, run, lang",
+    "guide_pieces": f"""WITH {_BOOK}, runs AS (SELECT doc, section, lang, run, min(page) AS page, trim(string_agg(cut, chr(10) ORDER BY place)) AS text FROM t GROUP BY ALL),
+sides AS (SELECT doc, section, {", ".join(f"md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY run) FILTER (WHERE lang = '{s}'), '')) AS {s}, coalesce(arg_min(page, run) FILTER (WHERE lang = '{s}'), 0) AS {s}_page" for s in ("zh", "en"))} FROM runs GROUP BY ALL),
+chars AS (SELECT doc, section, {", ".join(f"coalesce(sum({_SOLID('cut')}) FILTER (WHERE lang = '{s}'), 0)::INT AS {s}_chars, min(block_no) FILTER (WHERE lang = '{s}') AS {s}_first, max(block_no) FILTER (WHERE lang = '{s}') AS {s}_last" for s in ("zh", "en"))} FROM t GROUP BY ALL)
+SELECT doc, section AS piece, CASE WHEN area IS NULL THEN '' ELSE area || '·' END || '范文（' || title || '）' AS title, coalesce(area, '') AS area, coalesce(nullif(zh_page, 0), nullif(en_page, 0), page) AS page, zh_page, en_page, zh, en, zh_chars, en_chars, zh_first, zh_last, en_first, en_last
+FROM sides JOIN chars USING (doc, section) JOIN heads USING (doc, section)""",
+    "guide_backfill": f"WITH {_BOOK} SELECT doc || '-' || section AS id, (row_number() OVER (PARTITION BY doc, section ORDER BY place) - 1)::INT AS seq, (dense_rank() OVER (PARTITION BY doc, section ORDER BY block_no) - 1)::INT AS block_no FROM t WHERE lang = 'zh'",
     "chat_sections": f"WITH s AS (SELECT conv_id, turn, role || ' ' || turn AS unit_title, regexp_replace(text, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g') AS body FROM conversations) SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS unit, unit_title, md5(body) AS body FROM s WHERE body <> ''",
     "file_blocks": f"WITH {_PARAGRAPHS} SELECT doc_id, count(*) AS blocks, (count(*) - 1)::INT AS last, 0 AS page, round(sum({_ZH_RATIO}), 6) AS ratios FROM kept GROUP BY doc_id",
     "file_texts": f"WITH {_PARAGRAPHS} SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY i)) AS text FROM kept GROUP BY doc_id",

@@ -77,7 +77,7 @@ def test_pairs_and_agreement(spark, pieces):
     by = {k: [r for r in rows if r.id == k] for k in "abcdefghij"}
     assert not by["h"] and not by["i"] and not by["j"]
     # All cuts agree: full confidence, and the long sentence's flag is taken back; by balanced lengths it stays.
-    assert len(rows[2].en) == 50 and [r.flagged_by for r in A.flag(A.align(pieces.where("id = 'a'"), ["id"]), ["id"]).orderBy("seq").collect()] == [None, None, "length_ratio", None, None, None]
+    assert [r.flagged_by for r in A.flag(A.align(pieces.where("id = 'a'"), ["id"]), ["id"]).orderBy("seq").collect()] == [None, None, "length_ratio", None, None, None]
     assert [(r.how, r.confidence, r.agreement, r.needs_review) for r in by["a"]] == [("llm", 1.0, 1.0, False)] * 6
     assert [(r.how, r.error, r.agreement) for r in by["c"]] == [("direct", "auth", None)] * 6
     assert {r.error for r in by["d"] + by["f"]} == {"llm_bad_json"} and {r.how for r in by["b"] + by["e"]} == {"llm"}

@@ -250,3 +250,20 @@ def test_client_patches(spark):
     assert sorted(map(tuple, sync.patched_checkins(days, ops, ["n"], "2024-02-02").collect())) == [("2023-01-01", ["old"], "2020-01-01"), ("2024-01-01", ["a", "1"], "2024-02-02"), ("2024-01-02", [], "2024-02-02"), ("2024-01-03", [], "2024-02-02")]
     plans = spark.createDataFrame([(1, {"title": '"o"', "due": '"d"'}), (2, {"title": '"o"'})], "id int, row map<string,string>")
     assert sorted((r.id, sorted(r.row.items())) for r in sync.patched_plans(plans, ops, ["n"]).collect()) == [(1, [("due", '"d"'), ("new", '{"a":[1]}'), ("status", '"s"'), ("title", "null")]), (2, [("title", '"o"')])]
+
+
+def test_forms_of_headings(spark):
+    """Closings before headings, zones, marks that are trimmed, lines that inherit a language."""
+    lines = [
+        "（一）东湖景区主要景点：塔、桥", "（2）这是一个很长的地方名字用来超过二十个字的说明介绍", "（3）短地讲解（2 题）。", "（4）短地介绍", "范文（三）", "范文 12 ", "说完了，谢谢大家！范文（四）", "Bye. Thank you all!（五）西湖风景区景点", "谢谢大家！再见范文（六）", "范文（七）谢谢大家！范文（八）",
+    ]
+    blocks = spark.createDataFrame([(1, i, 0, t) for i, t in enumerate(lines)], "d int, block_no int, page int, text string")
+    got = [(r.block_no, r.kind, r.title) for r in structure.scan(blocks, ["d"]).orderBy("n").collect()]
+    assert got == [
+        (0, "area", "东湖"), (1, "area", "这是一个很长的地方名字用来超过二十个字的说明"), (2, "area", "短地"), (3, "area", "短地"), (4, "piece", "三"), (5, "piece", "12"), (6, "body", None), (6, "piece", "四"), (7, "body", None), (7, "area", "西湖"), (8, "note", None), (9, "note", None), (9, "piece", "八"),
+    ]
+    trims = ["亲爱的游客朋友们，谢谢大家！我们走。", " Thank you all! 。，— hi ", "hello. Thank you all.", "谢谢大家！", "DEAR TOURISTS AND FRIENDS, go"]
+    assert column(spark, trims, structure.trim_markers) == ["谢谢大家！我们走。", "hi", "hello. Thank you all.", "", "go"]
+    body = ["范文（一）", "中文的一行。", "mostly English with 中文字 in it here", "plain English", "also 中文 in this longer English line", "全是中文"]
+    runs = structure.language_runs(structure.scan(spark.createDataFrame([(1, i, 0, t) for i, t in enumerate(body)], "d int, block_no int, page int, text string"), ["d"]), ["d"])
+    assert [(r.run, r.lang, list(r.line_blocks)) for r in runs.orderBy("run").collect()] == [(0, "zh", [1, 2]), (1, "en", [3, 4]), (2, "zh", [5])]
