@@ -207,9 +207,10 @@ def any_of(tests: list[Column]) -> Column:
 def whole_json(text: Column) -> Column:
     """A text as VARIANT if all of it is one JSON value, else null. The parser stops at the end of a value; with something known
     behind it, nothing else can follow."""
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end of answer"]')))
-    alone = (F.size(F.try_variant_get(both, "$", "array<variant>")) == 2) & (F.try_variant_get(both, "$[1]", "string") == "end of answer")
-    return F.when(alone, F.try_variant_get(both, "$[0]", "variant"))
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end of answer"]'))), "$", "array<variant>")
+    # One list, so that the text is parsed once.
+    alone = lambda v: F.when((F.size(v) == 2) & (F.try_variant_get(F.get(v, 1), "$", "string") == "end of answer"), F.get(v, 0))
+    return F.get(F.transform(F.array(both), alone), 0)
 
 
 def _near(value: Column) -> Column:
