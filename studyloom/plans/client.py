@@ -48,7 +48,14 @@ def client_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.patched_plans(plans, _writes(spark, sf_dir), ["ts", "event_id"]).select("id", F.explode("row").alias("field", "value"))
 
 
+def client_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times that a client gives writes made when the events were: ahead of its clock, in whole seconds, as naive UTC."""
+    made = F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("event_id") % 1000 / 1000)
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(sync.client_time(made), "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+
+
 ORACLES = {
+    "client_times": "SELECT event_id, strftime(date_trunc('second', ts + to_milliseconds(event_id % 1000) + INTERVAL 5 SECOND), '%Y-%m-%d %H:%M:%S.000') AS at FROM events",
     "client_pieces": """WITH v AS (SELECT user_id, event_id AS n, ts FROM events WHERE event_type = 'view'), u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 13 <> 0)
 SELECT u.user_id AS id, coalesce(arg_max(n % 50, (ts, n)) FILTER (WHERE n % 4 <> 0), u.user_id % 7)::INT AS last_pos, coalesce(arg_max(n % 3 = 0, (ts, n)) FILTER (WHERE n % 5 <> 0), false) AS recited FROM u LEFT JOIN v ON v.user_id = u.user_id GROUP BY u.user_id""",
     "client_checkins": """WITH p AS (SELECT strftime(ts::DATE - (user_id % 9)::INT, '%Y-%m-%d') AS date, event_id AS n, ts FROM events WHERE event_type = 'purchase'),
@@ -58,4 +65,4 @@ SELECT date, items, '2024-03-01' AS updated_at FROM l UNION ALL SELECT DISTINCT
 f AS (SELECT user_id, 'title' AS field, '"t' || n || '"' AS value, ts, n FROM c UNION ALL SELECT user_id, 'k' || n % 3, n::VARCHAR, ts, n FROM c), l AS (SELECT user_id, field, arg_max(value, (ts, n)) AS value FROM f GROUP BY ALL)
 SELECT user_id AS id, field, value FROM l UNION ALL SELECT user_id, 'due', '"d"' FROM u UNION ALL SELECT user_id, 'title', '"old"' FROM u WHERE user_id NOT IN (SELECT user_id FROM l)""",
 }
-QUERIES = {f.__name__: f for f in (client_pieces, client_checkins, client_plans)}
+QUERIES = {f.__name__: f for f in (client_pieces, client_checkins, client_plans, client_times)}

@@ -106,6 +106,17 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.gate(rows, ["conv_id"]).select("conv_id", "verdict", F.round("score", 6).alias("score"), F.array_join("issues", ",").alias("issues"))
 
 
+def gate_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over conversations, their first side written in Chinese, whose alignments have an agreement, dropped sentences and warnings, and
+    over some without pairs."""
+    rows = turns(spark, sf_dir).select("conv_id", F.col("turn").alias("seq"), F.regexp_replace("zh_text", "[A-Za-z]", "文").alias("zh"), F.col("en_text").alias("en"), (F.lit(1.0) - F.col("turn") / 20).alias("confidence"), (F.col("turn") > 4).alias("needs_review"))
+    c = F.col("conv_id")
+    known = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    known = known.unionByName(known.where("conv_id % 7 = 0").select((-c - 1).alias("conv_id")))
+    given = known.select("conv_id", F.when(c % 6 != 0, F.pmod(c, F.lit(10)) / 10).alias("agreement"), F.when(c % 9 == 0, 2).otherwise(0).alias("dropped_zh"), F.when(c % 8 == 0, 1).alias("dropped_en"), (c % 5 == 0).cast("int").alias("warnings"))
+    return quality.gate(rows, ["conv_id"], given).select("conv_id", "verdict", F.array_join("issues", ",").alias("issues"))
+
+
 _PAIRS = """pairs AS (SELECT piece_id, pair_key, zh, en, block_no, loc_page, confidence, needs_review, manually_edited, (row_number() OVER (PARTITION BY piece_id ORDER BY l_linenumber, pair_key) - 1)::INT AS seq FROM (
   SELECT l_orderkey AS piece_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS pair_key, l_returnflag || l_partkey AS zh, l_linestatus || ' ' || l_suppkey AS en,
     CASE WHEN l_quantity % 10 <> 0 THEN ascii(l_returnflag) END AS block_no, (l_suppkey % 7)::INT AS loc_page, 1.0::DOUBLE - l_discount AS confidence, l_tax > 0.06 AS needs_review, l_partkey % 5 = 0 AS manually_edited, l_linenumber FROM lineitem))"""
@@ -167,4 +178,9 @@ SELECT conv_id, CASE WHEN be > 0 OR os > 3 OR os > 0.08 * n OR sw > 0 OR nozh >
   CASE WHEN len(sr) >= 3 AND len(list_filter(sr, lambda v: v > greatest(4.0, sm * 3))) > 0.1 * n THEN 'sentence_spike' END, CASE WHEN ex > 0 AND rm > 0 AND len(list_filter(rel, lambda v: v > greatest(4.0, rm * 3) OR v < least(0.25, rm / 3))) > 0.1 * n THEN 'length_outlier' END,
   CASE WHEN len(ls) >= 5 AND p90 < p50 * 1.25 THEN 'length_uniform' END, CASE WHEN len(ls) >= 5 AND p90 >= p50 * 1.25 AND p10 > 0 AND p90 > p10 * 8 THEN 'length_spread' END, CASE WHEN rv > 0 THEN 'low_confidence' END) AS issues FROM c)""",
 }
-QUERIES = {f.__name__: f for f in (piece_pair_counts, pair_page, pair_merge, pair_split, block_units, unit_texts, upsert_guard, align_regular, align_agreement, align_chunks, quality_gate)}
+ORACLES["gate_agreement"] = f"""WITH q AS ({ORACLES["quality_gate"].replace("role, text AS zh,", "role, regexp_replace(text, '[A-Za-z]', '文', 'g') AS zh,")}), k AS (SELECT DISTINCT conv_id FROM conversations), every AS (SELECT conv_id FROM k UNION ALL SELECT -conv_id - 1 FROM k WHERE conv_id % 7 = 0),
+g AS (SELECT e.conv_id AS c, q.conv_id IS NULL AS bare, q.verdict = 'rejected' AS bad, coalesce(issues, '') AS old, CASE WHEN e.conv_id % 6 <> 0 THEN ((e.conv_id % 10 + 10) % 10) / 10 END AS agreement FROM every e LEFT JOIN q ON q.conv_id = e.conv_id),
+i AS (SELECT *, concat_ws(',', CASE WHEN bare THEN 'no_pairs' END, nullif(regexp_replace(old, ',?low_confidence$', ''), ''), CASE WHEN agreement < 0.8 THEN 'low_agreement' END, CASE WHEN old LIKE '%low_confidence' THEN 'low_confidence' END, CASE WHEN c % 5 = 0 THEN 'align' END,
+  CASE WHEN c % 9 = 0 THEN 'dropped_zh' END, CASE WHEN c % 8 = 0 THEN 'dropped_en' END) AS issues FROM g)
+SELECT c AS conv_id, CASE WHEN bare OR bad OR c % 9 = 0 OR c % 8 = 0 THEN 'rejected' WHEN issues <> '' THEN 'degraded' ELSE 'ok' END AS verdict, issues FROM i"""
+QUERIES = {f.__name__: f for f in (piece_pair_counts, pair_page, pair_merge, pair_split, block_units, unit_texts, upsert_guard, align_regular, align_agreement, align_chunks, quality_gate, gate_agreement)}
