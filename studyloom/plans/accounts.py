@@ -10,6 +10,7 @@ from ..operators import graph, jobs, persistence, study, sync
 from ..session import table
 from ..sources import documents as D
 from ..sources import snapshots
+from . import forms as S
 from . import pieces, work
 
 NOW = "2024-01-31 12:00:00"
@@ -176,7 +177,7 @@ def recycle_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as writes of fields to entities, with and without a zone in their time texts."""
     events = table(spark, sf_dir, "events")
-    names = tuple(sync.WRITABLE)
+    names = tuple(S.WRITABLE)
     entity = F.when(F.col("event_id") % 9 == 8, "account").otherwise(_pick(names, F.col("event_id")))
     fields = F.array(_pick(("last_pos", "zh", "title", "mastery", "id"), F.col("event_id")))
     shown = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
@@ -261,9 +262,9 @@ def clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JOBS = f"""jobs AS (SELECT o_orderkey AS job_id, o_custkey AS project_id, [{", ".join(f"'{x}'" for x in _STATUSES)}][o_orderkey % 6 + 1] AS status, [{", ".join(f"'{x}'" for x in _KINDS)}][o_custkey % 3 + 1] AS type,
   o_orderdate AS updated_at, o_orderkey % 11 AS done, o_orderkey % 3 AS failed, o_orderkey % 17 AS total FROM orders)"""
-_TOKENS = f"CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^{X.CJK_LETTERS}]', '', 'g')) + (length(text) - length(regexp_replace(text, '[^{X.CJK_LETTERS}]', '', 'g'))) // 4 + 1 END"
-_WRITABLE = " ".join(f"WHEN '{e}' THEN field IN ({', '.join(repr(f) for f in fields)})" for e, fields in sync.WRITABLE.items())
-_NAMES = ", ".join(f"'{e}'" for e in sync.WRITABLE)
+_TOKENS = f"CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^{S.CJK_LETTERS}]', '', 'g')) + (length(text) - length(regexp_replace(text, '[^{S.CJK_LETTERS}]', '', 'g'))) // 4 + 1 END"
+_WRITABLE = " ".join(f"WHEN '{e}' THEN field IN ({', '.join(repr(f) for f in fields)})" for e, fields in S.WRITABLE.items())
+_NAMES = ", ".join(f"'{e}'" for e in S.WRITABLE)
 ORACLES = {
     "job_moves": f"""WITH {_JOBS} SELECT job_id, CASE WHEN status IN ('queued', 'running', 'interrupted') THEN 'cancelled' END AS cancel, CASE WHEN status IN ('failed', 'cancelled', 'interrupted') THEN 'queued' END AS resume,
   CASE WHEN status = 'success' THEN 100 ELSE ((done + failed) * 100 // greatest(total, 1))::INT END AS percent, CASE WHEN status IN ('queued', 'running') THEN 'interrupted' ELSE status END AS restarted FROM jobs""",
@@ -293,7 +294,7 @@ SELECT o_orderkey AS piece_id, CASE WHEN coalesce(m[1] >= o_orderdate + INTERVAL
     "goals": "SELECT c_custkey AS project_id, CASE WHEN c_custkey % 2 = 0 THEN DATE '2024-06-01' ELSE DATE '2024-12-31' END AS exam_date, CASE WHEN c_custkey % 4 = 0 THEN 'own' ELSE '' END AS note FROM customer",
     "snapshot_start": "SELECT 'projects' AS section, count(*) AS rows, count(*) AS keys, 0::BIGINT AS with_mark FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 'files', count(*), count(*), 0 FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT 'pieces', count(*), count(*), count(*) FROM orders",
     "recycle_bin": "SELECT 'all' AS of, sum(o_orderkey)::BIGINT AS bytes FROM orders UNION ALL SELECT 'purged', coalesce(sum(o_orderkey), 0)::BIGINT FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY",
-    "write_admission": f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 8 THEN 'account' ELSE [{_NAMES}][event_id % {len(sync.WRITABLE)} + 1] END AS entity, ['last_pos', 'zh', 'title', 'mastery', 'id'][event_id % 5 + 1] AS field, date_trunc('second', ts) AS ts FROM events)
+    "write_admission": f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 8 THEN 'account' ELSE [{_NAMES}][event_id % {len(S.WRITABLE)} + 1] END AS entity, ['last_pos', 'zh', 'title', 'mastery', 'id'][event_id % 5 + 1] AS field, date_trunc('second', ts) AS ts FROM events)
 SELECT event_id, CASE WHEN coalesce(CASE entity {_WRITABLE} END, false) THEN 'fine' ELSE 'error' END AS admission, strftime(CASE WHEN event_id % 3 = 1 THEN ts - INTERVAL 2 HOUR ELSE ts END, '%Y-%m-%d %H:%M:%S') AS at FROM e""",
     "category_moves": """WITH c AS (SELECT DISTINCT p_brand AS b FROM part), o AS (SELECT l_partkey AS e, 'Brand#' || (l_suppkey % 50) AS b FROM lineitem)
 SELECT CASE WHEN p_partkey IS NOT NULL AND (c.b IS NULL OR right(c.b, 1) <> right(p_brand, 1)) THEN 'error' ELSE 'fine' END AS outcome, count(*) AS ops FROM o LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = e LEFT JOIN c ON c.b = o.b GROUP BY ALL""",

@@ -1,11 +1,11 @@
 """SQL of the alignment by balanced lengths, as common table expressions over recursive queries.
 
-Everything is spelled out here, limits and weights included, so that it doesn't follow the library's own values.
+Limits and weights are spelled out here, so that it doesn't follow the library's own values.
 """
 
 from __future__ import annotations
 
-_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+from .forms import SPACE as _SPACE
 
 
 def _strip(t: str) -> str:

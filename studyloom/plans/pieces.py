@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import alignment, persistence, quality, study
 from ..session import table
+from . import forms as S
 from . import balance_sql as B
 
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -126,18 +127,18 @@ _TURNS = "turns AS (SELECT conv_id, turn, zh, en FROM (SELECT conv_id, turn, rol
 
 
 def _sentences(c: str) -> str:
-    return f"CASE WHEN NOT regexp_matches({c}, '[^{X.SPACE}]') THEN 1 ELSE greatest(1, length(regexp_replace(regexp_replace({c}, '{X.DIGIT}[.!?]{X.DIGIT}', chr(1), 'g'), '[^。！？.!?]', '', 'g'))) END"
+    return f"CASE WHEN NOT regexp_matches({c}, '[^{S.SPACE}]') THEN 1 ELSE greatest(1, length(regexp_replace(regexp_replace({c}, '{S.DIGIT}[.!?]{S.DIGIT}', chr(1), 'g'), '[^。！？.!?]', '', 'g'))) END"
 
 
 def _segments(c: str) -> str:
-    strip = lambda t: f"regexp_replace({t}, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g')"
+    strip = lambda t: f"regexp_replace({t}, '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g')"
     return f"""(SELECT count(*) FROM (SELECT unnest(string_split(regexp_replace(regexp_replace((SELECT string_agg(CASE WHEN regexp_matches(l, '[。！？!?….]$') THEN l || chr(1) ELSE l END, '' ORDER BY k) FROM
-      (SELECT generate_subscripts(string_split({c}, chr(10)), 1) AS k, {strip(f"unnest(string_split({c}, chr(10)))")} AS l)), '([。！？!?…])', concat('\\1', chr(1)), 'g'), '(\\.)([{X.SPACE}])', concat('\\1', chr(1), '\\2'), 'g'), chr(1))) AS s) WHERE regexp_matches(s, '[^{X.SPACE}]'))"""
+      (SELECT generate_subscripts(string_split({c}, chr(10)), 1) AS k, {strip(f"unnest(string_split({c}, chr(10)))")} AS l)), '([。！？!?…])', concat('\\1', chr(1)), 'g'), '(\\.)([{S.SPACE}])', concat('\\1', chr(1), '\\2'), 'g'), chr(1))) AS s) WHERE regexp_matches(s, '[^{S.SPACE}]'))"""
 
 
 def _cjk(c: str) -> str:
-    solid = f"regexp_replace({c}, '[{X.SPACE}]+', '', 'g')"
-    return f"CASE WHEN {solid} = '' THEN 0.0 ELSE length(regexp_replace({solid}, '[^{X.CJK}]', '', 'g')) / length({solid}) END"
+    solid = f"regexp_replace({c}, '[{S.SPACE}]+', '', 'g')"
+    return f"CASE WHEN {solid} = '' THEN 0.0 ELSE length(regexp_replace({solid}, '[^{S.CJK}]', '', 'g')) / length({solid}) END"
 
 
 ORACLES = {
@@ -166,7 +167,7 @@ a AS (SELECT DISTINCT key, sum({B.count("zh")}) OVER (PARTITION BY key ORDER BY
 f AS (SELECT key, 2 * count(*) FILTER (WHERE x = 2) / sum(x)::DOUBLE AS agreement FROM (SELECT key, cut, count(*) AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) GROUP BY key)
 SELECT key.conv_id AS conv_id, key.turn AS turn, agreement, CASE WHEN agreement >= 0.999 THEN 1.0 WHEN agreement <= 0.8 THEN 0.55::DOUBLE - 0.05 ELSE 0.55::DOUBLE + (1 - 0.55::DOUBLE) * (agreement - 0.8) / (1.0::DOUBLE - 0.8) END::DOUBLE AS confidence FROM f""",
     "quality_gate": f"""WITH {_TURNS}, m AS (SELECT conv_id, zh, en, 1.0::DOUBLE - turn / 20 AS confidence, turn > 4 AS review, {_cjk("zh")} AS zr, {_cjk("en")} AS er, {_sentences("zh")} AS nz, {_sentences("en")} AS ne,
-  NOT regexp_matches(zh, '[^{X.SPACE}]') AS zb, NOT regexp_matches(en, '[^{X.SPACE}]') AS eb FROM turns),
+  NOT regexp_matches(zh, '[^{S.SPACE}]') AS zb, NOT regexp_matches(en, '[^{S.SPACE}]') AS eb FROM turns),
 a AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE zb AND eb) AS be, count(*) FILTER (WHERE zb <> eb) AS os, count(*) FILTER (WHERE length(trim(zh)) < 8 AND length(trim(en)) < 8) AS sh,
   count(*) FILTER (WHERE zr < 0.5 AND er > 0.2) AS sw, count(*) FILTER (WHERE zr < 0.5 AND er <= 0.2) AS nozh, count(*) FILTER (WHERE zr >= 0.5 AND er > 0.2) AS haszh, list_sort(list(greatest(nz / ne, ne / nz))) AS sr,
   list_sort(list(length(en) / length(zh)) FILTER (WHERE zh <> '' AND en <> '')) AS lr, sum(length(en)) / nullif(sum(length(zh)), 0) AS ex, list_sort(list(length(zh)) FILTER (WHERE NOT zb)) AS ls, count(*) FILTER (WHERE review) AS rv,

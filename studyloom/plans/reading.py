@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import alignment, cleaning, graph, structure
 from ..session import table
 from ..sources import documents as D
+from . import forms as S
 
 NUMERALS = "一二三四五六七八九"
 
@@ -184,15 +185,15 @@ _BOOK = f"""{_LINED}, book AS (
   SELECT *, CASE kind WHEN 'en' THEN 'en' ELSE 'zh' END AS lang, dense_rank() OVER (PARTITION BY doc, section ORDER BY CASE kind WHEN 'zh' THEN 0 WHEN 'en' THEN 1 ELSE 2 END) - 1 AS run, CASE WHEN n <> 1 THEN text WHEN kind = 'zh' THEN text[10:] ELSE text[28:] END AS cut
   FROM b WHERE kind IN ('zh', 'en') OR (kind = 'closing' AND under = 'piece')
 ), heads AS (SELECT doc, section, title, area, page FROM b WHERE kind = 'piece')"""
-_SOLID = lambda c: f"length(regexp_replace({c}, '[{X.SPACE}]+', '', 'g'))"
+_SOLID = lambda c: f"length(regexp_replace({c}, '[{S.SPACE}]+', '', 'g'))"
 _SIDES = "sides AS (SELECT l_orderkey AS id, count(*)::INT AS n FROM lineitem GROUP BY 1)"
 _PAGED = f"""{_LINED}, blocks AS (SELECT o_custkey AS doc, o_orderkey AS page, (n - 1) // 3 AS g, string_agg('line ' || n || ' ' || p, chr(10) ORDER BY n) AS text FROM lined JOIN orders ON o_orderkey = o GROUP BY ALL),
 numbered AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY page, g) - 1)::INT AS block_no, page, text FROM blocks)"""
-_ZH_RATIO = f"CASE WHEN length(t) = 0 THEN 0.0 WHEN length(regexp_replace(t, '[^{X.CJK}{X.LATIN}]', '', 'g')) = 0 THEN 1.0 ELSE length(regexp_replace(t, '[^{X.CJK}]', '', 'g')) / length(regexp_replace(t, '[^{X.CJK}{X.LATIN}]', '', 'g')) END::DOUBLE"
-_PARAGRAPHS = f"p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), kept AS (SELECT * FROM p WHERE t <> '')"
+_ZH_RATIO = f"CASE WHEN length(t) = 0 THEN 0.0 WHEN length(regexp_replace(t, '[^{S.CJK}{S.LATIN}]', '', 'g')) = 0 THEN 1.0 ELSE length(regexp_replace(t, '[^{S.CJK}]', '', 'g')) / length(regexp_replace(t, '[^{S.CJK}{S.LATIN}]', '', 'g')) END::DOUBLE"
+_PARAGRAPHS = f"p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), kept AS (SELECT * FROM p WHERE t <> '')"
 _PROMPT = """'块 1' || chr(10) || chr(10) || '甲方（' || n || '）' || chr(10) || (SELECT string_agg('[' || i || '] 第' || printf('%04d', i) || '。', chr(10) ORDER BY i) FROM range(1, n + 1) r(i)) || chr(10) || chr(10) || '乙方（' || n || '）' || chr(10)
   || (SELECT string_agg('[' || i || '] no ' || printf('%04d', i) || '.', chr(10) ORDER BY i) FROM range(1, n + 1) r(i)) || chr(10) || chr(10) || '给出 JSON 数组，每项 {"zh": [...], "en": [...]}，甲方编号全部用到一次。'"""
-_LETTERS = f"length(regexp_replace(t, '[^{X.CJK_LETTERS}]', '', 'g'))"
+_LETTERS = f"length(regexp_replace(t, '[^{S.CJK_LETTERS}]', '', 'g'))"
 ORACLES = {
     "guide_scan": f"WITH {_BOOK} SELECT doc, place AS n, CASE WHEN kind IN ('zh', 'en') THEN 'body' WHEN kind = 'closing' THEN CASE WHEN under = 'piece' THEN 'body' ELSE 'note' END ELSE kind END AS kind, title, section, page, block_no FROM b",
     "guide_runs": f"WITH {_BOOK} SELECT doc, section, run::INT AS run, lang, min(page) AS page, md5(trim(string_agg(text, chr(10) ORDER BY place))) AS raw, count(*)::INT AS lines FROM t GROUP BY doc, section, run, lang",
@@ -202,7 +203,7 @@ chars AS (SELECT doc, section, {", ".join(f"coalesce(sum({_SOLID('cut')}) FILTER
 SELECT doc, section AS piece, CASE WHEN area IS NULL THEN '' ELSE area || '·' END || '范文（' || title || '）' AS title, coalesce(area, '') AS area, coalesce(nullif(zh_page, 0), nullif(en_page, 0), page) AS page, zh_page, en_page, zh, en, zh_chars, en_chars, zh_first, zh_last, en_first, en_last
 FROM sides JOIN chars USING (doc, section) JOIN heads USING (doc, section)""",
     "guide_backfill": f"WITH {_BOOK} SELECT doc || '-' || section AS id, (row_number() OVER (PARTITION BY doc, section ORDER BY place) - 1)::INT AS seq, (dense_rank() OVER (PARTITION BY doc, section ORDER BY block_no) - 1)::INT AS block_no FROM t WHERE lang = 'zh'",
-    "chat_sections": f"WITH s AS (SELECT conv_id, turn, role || ' ' || turn AS unit_title, regexp_replace(text, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g') AS body FROM conversations) SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS unit, unit_title, md5(body) AS body FROM s WHERE body <> ''",
+    "chat_sections": f"WITH s AS (SELECT conv_id, turn, role || ' ' || turn AS unit_title, regexp_replace(text, '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g') AS body FROM conversations) SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS unit, unit_title, md5(body) AS body FROM s WHERE body <> ''",
     "file_blocks": f"WITH {_PARAGRAPHS} SELECT doc_id, count(*) AS blocks, (count(*) - 1)::INT AS last, 0 AS page, round(sum({_ZH_RATIO}), 6) AS ratios FROM kept GROUP BY doc_id",
     "file_texts": f"WITH {_PARAGRAPHS} SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY i)) AS text FROM kept GROUP BY doc_id",
     "readers": "SELECT p_partkey, ['text', 'text', 'pages', 'no_parser', 'no_parser'][p_partkey % 5 + 1] AS reader FROM part",

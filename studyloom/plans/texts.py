@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import cleaning, jobs, quotes
 from ..session import table
 from ..sources import documents as D
+from . import forms as S
 
 PRICES = [("src0", "base", 2.0, 8.0), ("src0", "fast", 0.5, 0.5), ("src1", "base", 12.0, 12.0), ("src1", "large", 1.0, 3.0)]
 
@@ -77,38 +78,38 @@ def _ratio(cjk: str, text: str = "text") -> str:
     return f"length(regexp_replace({text}, '[^{cjk}]', '', 'g'))"
 
 
-_SENTENCES = f"CASE WHEN NOT regexp_matches(text, '[^{X.SPACE}]') THEN 1 ELSE greatest(1, length(regexp_replace(regexp_replace(text, '{X.DIGIT}[.!?]{X.DIGIT}', chr(1), 'g'), '[^。！？.!?]', '', 'g'))) END"
-_TOKENS = f"CASE WHEN length(text) = 0 THEN 0 ELSE {_ratio(X.CJK_LETTERS)} + (length(text) - {_ratio(X.CJK_LETTERS)}) // 4 + 1 END"
-_FOLD = f"regexp_replace(text, '[{X.SPACE}]+', '', 'g')"
+_SENTENCES = f"CASE WHEN NOT regexp_matches(text, '[^{S.SPACE}]') THEN 1 ELSE greatest(1, length(regexp_replace(regexp_replace(text, '{S.DIGIT}[.!?]{S.DIGIT}', chr(1), 'g'), '[^。！？.!?]', '', 'g'))) END"
+_TOKENS = f"CASE WHEN length(text) = 0 THEN 0 ELSE {_ratio(S.CJK_LETTERS)} + (length(text) - {_ratio(S.CJK_LETTERS)}) // 4 + 1 END"
+_FOLD = f"regexp_replace(text, '[{S.SPACE}]+', '', 'g')"
 
 
 def _strip(text: str) -> str:
-    return f"regexp_replace({text}, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g')"
+    return f"regexp_replace({text}, '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g')"
 
 
-_FOLD_ALL = f"replace(translate({_FOLD}, '{X.FULL_WIDTH}', '{X.HALF_WIDTH}'), '…', '...')"
+_FOLD_ALL = f"replace(translate({_FOLD}, '{S.FULL_WIDTH}', '{S.HALF_WIDTH}'), '…', '...')"
 
 ORACLES = {
     "text_profile": f"""
-SELECT doc_id, zh_ratio, CASE WHEN zh_ratio >= {X.ZH_MIN_RATIO} THEN 'zh' ELSE 'en' END AS language, cjk_ratio, sentences, tokens FROM (
-  SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0 WHEN {_ratio(X.CJK)} + {_ratio(X.LATIN)} = 0 THEN 1.0 ELSE {_ratio(X.CJK)} / ({_ratio(X.CJK)} + {_ratio(X.LATIN)}) END::DOUBLE AS zh_ratio,
-    CASE WHEN length({_FOLD}) = 0 THEN 0.0 ELSE {_ratio(X.CJK, _FOLD)} / length({_FOLD}) END::DOUBLE AS cjk_ratio, {_SENTENCES} AS sentences, {_TOKENS} AS tokens FROM documents)""",
+SELECT doc_id, zh_ratio, CASE WHEN zh_ratio >= {S.ZH_MIN_RATIO} THEN 'zh' ELSE 'en' END AS language, cjk_ratio, sentences, tokens FROM (
+  SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0 WHEN {_ratio(S.CJK)} + {_ratio(S.LATIN)} = 0 THEN 1.0 ELSE {_ratio(S.CJK)} / ({_ratio(S.CJK)} + {_ratio(S.LATIN)}) END::DOUBLE AS zh_ratio,
+    CASE WHEN length({_FOLD}) = 0 THEN 0.0 ELSE {_ratio(S.CJK, _FOLD)} / length({_FOLD}) END::DOUBLE AS cjk_ratio, {_SENTENCES} AS sentences, {_TOKENS} AS tokens FROM documents)""",
     "clean_lines": f"""
 WITH pages AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), lined AS (
   SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, lines[1] AS head FROM pages
 ), judged AS (
-  SELECT doc_id, i, line, CASE WHEN regexp_matches(line, '{X.NOISE}') THEN 'noise' WHEN regexp_matches({_strip("line")}, '^(?:{"|".join(X.PAGE_NUMBER)})$') THEN 'page_no'
-    WHEN regexp_matches(lower(head), '{"|".join(X.WATERMARK_HINTS)}') AND line = head THEN 'watermark'
-    WHEN regexp_matches(lower(line), '{"|".join(X.WATERMARK_HINTS)}') AND i <= 3 THEN 'watermark' END AS reason FROM lined
+  SELECT doc_id, i, line, CASE WHEN regexp_matches(line, '{S.NOISE}') THEN 'noise' WHEN regexp_matches({_strip("line")}, '^(?:{"|".join(S.PAGE_NUMBER)})$') THEN 'page_no'
+    WHEN regexp_matches(lower(head), '{"|".join(S.WATERMARK_HINTS)}') AND line = head THEN 'watermark'
+    WHEN regexp_matches(lower(line), '{"|".join(S.WATERMARK_HINTS)}') AND i <= 3 THEN 'watermark' END AS reason FROM lined
 )
 SELECT doc_id, count(*) FILTER (WHERE reason IS NULL) AS kept, count(*) FILTER (WHERE reason = 'noise') AS noise, count(*) FILTER (WHERE reason = 'page_no') AS page_no,
   count(*) FILTER (WHERE reason = 'watermark') AS watermark, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE reason IS NULL), '')) AS digest FROM judged GROUP BY doc_id""",
     "sentence_segments": f"""
 WITH chunks AS (
-  SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS chunk FROM (SELECT doc_id, string_split_regex(text, '\\n[{X.SPACE}]*\\n') AS c FROM documents)
+  SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS chunk FROM (SELECT doc_id, string_split_regex(text, '\\n[{S.SPACE}]*\\n') AS c FROM documents)
 ), lines AS (SELECT doc_id, i, generate_subscripts(l, 1) AS j, {_strip("unnest(l)")} AS line FROM (SELECT doc_id, i, string_split(chunk, chr(10)) AS l FROM chunks)
 ), joined AS (SELECT doc_id, i, string_agg(CASE WHEN regexp_matches(line, '[。！？!?….]$') THEN line || chr(1) ELSE line END, '' ORDER BY j) AS t FROM lines WHERE line <> '' GROUP BY doc_id, i
-), marked AS (SELECT doc_id, i, regexp_replace(regexp_replace(t, '([。！？!?…])', concat('\\1', chr(1)), 'g'), '(\\.)([{X.SPACE}])', concat('\\1', chr(1), '\\2'), 'g') AS t FROM joined
+), marked AS (SELECT doc_id, i, regexp_replace(regexp_replace(t, '([。！？!?…])', concat('\\1', chr(1)), 'g'), '(\\.)([{S.SPACE}])', concat('\\1', chr(1), '\\2'), 'g') AS t FROM joined
 ), parts AS (SELECT doc_id, i, generate_subscripts(p, 1) AS j, {_strip("unnest(p)")} AS s FROM (SELECT doc_id, i, string_split(t, chr(1)) AS p FROM marked)
 ), kept AS (SELECT doc_id, count(*) AS segments, string_agg(s, chr(10) ORDER BY i, j) AS t FROM parts WHERE s <> '' GROUP BY doc_id)
 SELECT d.doc_id, coalesce(segments, 0) AS segments, md5(coalesce(t, '')) AS digest FROM documents d LEFT JOIN kept USING (doc_id)""",
