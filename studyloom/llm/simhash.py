@@ -11,8 +11,8 @@ its neighbours at one bit (outside the agreeing parts), and fingerprints that me
 them, which finds exactly the pairs within two bits. No pair list of a group is ever made.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like others; texts below the
-shingle length are one shingle; equal ids on several rows are one node; an empty table gives an empty result; other
-columns pass through.
+shingle length are one shingle; equal ids on several rows are one node; an empty table gives an empty result; the classes
+are three columns, a filtered table keeps all of its own.
 """
 
 from __future__ import annotations

@@ -1,15 +1,15 @@
-"""Removal of long repeated substrings: sampled, induced suffix sorting over Spark's external sort.
+"""Removal of long repeated substrings, by sampled anchors and hashed names of the runs around them.
 
 The job finds every start of a ``length``-byte string that also starts anywhere else and removes the bytes such strings
-cover. Sorting every suffix of a corpus outside memory moves each byte many times; here, as in induced sorting, only
-sampled suffixes are sorted and the order of the others is induced from them:
+cover. Sorting every suffix of a corpus outside memory moves each byte many times, so this isn't external induced sorting:
+nearly all repeats are settled by names, and suffixes are ordered only in small groups, in memory:
 
 1. Sampling. A string's anchor is its leftmost position with the lowest rolling hash of ``k`` bytes. Anchors depend on
    the string alone, so equal strings have equal anchors at equal offsets. Neighbouring starts share an anchor and make
    a run; there are about 2 runs in ``length`` bytes.
 2. Recursion on names. Runs are named by anchor hash and the hash of all bytes that their strings cover. A name that
    occurs twice settles its runs; an anchor hash with one name only settles its run, too (nothing repeats).
-3. Sorting. What is left is shuffled and sorted by anchor hash (Spark's sort); suffixes at the anchor are ordered in memory
+3. Sorting. What is left is shuffled by anchor hash; suffixes at the anchor are ordered in memory
    inside its small group, and neighbours' common-prefix lengths give classes of equal right contexts of any length. The
    same is done for the reversed text before the anchor.
 4. Induction. For the strings that begin o bytes before the anchor, suffix tuples (left class at o, right class at
