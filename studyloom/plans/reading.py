@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import alignment, cleaning, graph, structure
 from ..session import table
 from ..sources import documents as D
