@@ -8,11 +8,11 @@ descending order, so it needs no padding but for a remainder below the shortest
 
 Every task packs the documents it reads (level 1) and hands on its remainder, less than one shortest window. Groups of
 tasks' remainders are packed together (level 2), so that padding is at most one window for each of those few groups.
-No shuffle moves texts; only remainders (a few pieces a task) move. Windows get step groups of equal token totals:
-within a task, windows of one tier are dealt to steps of ``step_tokens`` tokens.
+No shuffle moves texts; only remainders (a few pieces a task) move. Windows of one tier are dealt to as few step groups
+of at most ``step_tokens`` tokens as hold them, over all tasks, so that groups of a tier differ by one window at most.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; a null document id stays
-null; an empty table gives an empty result.
+null; columns besides id and text are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, raw_bytes, slices, written
@@ -33,6 +33,8 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 #: Remainders of about so many level-1 tasks are packed together.
 FAN_IN = 64
+#: Sequences of one task or group of remainders are numbered in so many bits.
+UNIT_BITS = 36
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
@@ -42,9 +44,8 @@ _ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in _COL
 class Packer:
     """Windows of one task. A piece is [doc, start, ids, document's ids] until its window is full."""
 
-    def __init__(self, tiers: tuple[int, ...], first_sequence: int, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.next, self.step_tokens = tiers, first_sequence, step_tokens
-        self.first = first_sequence
+    def __init__(self, tiers: tuple[int, ...], first_sequence: int):
+        self.tiers, self.next = tiers, first_sequence
         self.open: dict[int, list] = {t: [] for t in tiers}
         self.filled = dict.fromkeys(tiers, 0)
         self.made = dict.fromkeys(tiers, 0)
@@ -70,12 +71,10 @@ class Packer:
             start, ids = start + n, ids[n:]
 
     def _emit(self, pieces: list, tier: int) -> None:
-        group = self.made[tier] * tier // self.step_tokens
+        nth, offset = self.made[tier], 0
         self.made[tier] += 1
-        step = self.first + len(self.tiers) * group + self.tiers.index(tier) if tier in self.tiers else self.first
-        offset = 0
         for doc, start, ids, total in pieces:
-            self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, offset, tier, step))
+            self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, offset, tier, nth))
             offset += len(ids)
         self.next += 1
 
@@ -118,7 +117,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
         for batch in slices(batches, "text", 2 << 20):
             if packer is None:
                 part = batch.column("part")[0].as_py()
-                packer = Packer(tiers, part << 36, step_tokens)
+                packer = Packer(tiers, part << UNIT_BITS)
             texts = [(x or b"").decode("utf-8", "replace") for x in raw_bytes(batch.column("text")).to_pylist()]
             for i, raw in zip(batch.column("doc_id").to_pylist(), model.encode(texts), strict=True):
                 ids = np.frombuffer(raw + end, "<u4")
@@ -137,7 +136,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
 
     def second_level(key, table):
         table = table.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
-        packer = Packer(tiers, (1 << 62) + (key[0].as_py() << 36), step_tokens)
+        packer = Packer(tiers, (1 << 62) + (key[0].as_py() << UNIT_BITS))
         for d, s, raw, n in zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
             packer.add(d, s, np.frombuffer(raw, "<u4"), n)
         if rest := packer.close():
@@ -146,7 +145,23 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
 
     closed = packed.where("ids is null").select(*_COLUMNS)
     opened = packed.where("ids is not null").withColumn("fan", F.expr(f"cast(part div {FAN_IN} as long)"))
-    return closed.unionByName(opened.groupBy("fan").applyInArrow(second_level, PIECE))
+    tails = written(opened.groupBy("fan").applyInArrow(second_level, PIECE), "tails")
+    return _with_step_groups(closed.unionByName(tails), tiers, step_tokens)
+
+
+def _with_step_groups(pieces: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> DataFrame:
+    """``pieces``, whose ``step_group`` counts the windows of a tier within a task, with groups over all tasks. Counts are a row
+    for each task and tier; they are written, so that the join knows their true size."""
+    unit = F.shiftright("sequence_id", UNIT_BITS)
+    counts = written(pieces.groupBy(unit.alias("unit"), F.col("tier").alias("size")).agg((F.max("step_group") + 1).alias("n")), "windows")
+    by = Window.partitionBy("size")
+    before = F.coalesce(F.sum("n").over(by.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("unit", "size", before.alias("before"), F.sum("n").over(by).alias("windows"))
+    placed = placed.withColumn("groups", F.least("windows", F.ceil(F.col("windows") * F.col("size") / step_tokens)))
+    number = F.expr("(before + step_group) * groups div windows")
+    rank = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier")) - 1
+    joined = pieces.join(placed, (unit == F.col("unit")) & (F.col("tier") == F.col("size")))
+    return joined.withColumn("step_group", number * len(tiers) + rank).select(*_COLUMNS)
 
 
 def _with_ids(batch: pa.RecordBatch, ids: list[bytes] | None, part: int) -> pa.RecordBatch:

@@ -144,3 +144,36 @@ def test_packing_of_odd_texts(spark, odd, empty, library):
     assert packing.pack(empty, PATHS[WORD_TOKENIZER], 2).count() == 0
     groups = packing.pack(odd, PATHS[WORD_TOKENIZER], 2, step_tokens=4096).groupBy("step_group").sum("length").collect()
     assert max(r[1] for r in groups) <= 4096
+
+
+def test_step_groups_are_even(spark, small):
+    """Over all tasks, groups of a tier differ by one window and none is over its tokens."""
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs.unionByName(docs).unionByName(docs).repartition(9), PATHS[WORD_TOKENIZER], 2, step_tokens=8192).collect()
+    windows = {}
+    for tier, group, sequence in {(r.tier, r.step_group, r.sequence_id) for r in pieces}:
+        windows.setdefault(tier, {}).setdefault(group, set()).add(sequence)
+    assert len({g for groups in windows.values() for g in groups}) == sum(map(len, windows.values()))
+    for tier, groups in windows.items():
+        sizes = [len(x) for x in groups.values()]
+        assert max(sizes) - min(sizes) <= 1 and max(sizes) * tier <= 8192
+        assert len(sizes) == -(-sum(sizes) * tier // 8192)
+    assert len(windows) == len(packing.TIERS)
+
+
+def test_equal_rows_are_spread_over_files(spark, library):
+    rows = [(7, "one two three")] * 4000 + [(i, f"text {i}") for i in range(2000)] + [(None, None)] * 2000
+    files = bitpack.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATHS[WORD_TOKENIZER], 2, partitions=8)
+    sizes = [r.n_docs for r in files.collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 2500
+    got = [tuple(r) for r in bitpack.read_files(files).orderBy("start").select("doc_id", "ids_crc32").collect()]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    crc = {t: zlib.crc32(ids_of(library, t).tobytes()) for _, t in set(rows)}
+    assert got == [(d, crc[t]) for d, t in want]
+
+
+def test_files_follow_bytes(spark, odd, monkeypatch):
+    monkeypatch.setattr(bitpack, "FILE_BYTES", 2000)
+    size = bitpack.encoded(odd, PATHS[WORD_TOKENIZER], 2).selectExpr("sum(n_ids * bits / 8)").first()[0]
+    files = bitpack.write_files(odd, PATHS[WORD_TOKENIZER], 2, partitions=1)
+    assert size > 6000 and files.count() > 3
