@@ -34,8 +34,8 @@ from .word_ids import encoder
 
 MAGIC = b"SLTB"
 BLOCK_IDS = 1 << 15
-#: A file holds about so many bytes of ids and documents at most; more files are made of a larger corpus.
-FILE_BYTES, FILE_DOCS = 64 << 20, 1 << 20
+#: A file holds the ids of about so many bytes of text, or documents, at most; more files are made of a larger corpus.
+FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 _FOOTER = struct.Struct("<QQQQQQQ")
 
 
@@ -157,53 +157,34 @@ def _open(path: str):
     return where, name
 
 
-def encoded(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document's ids, packed: ``doc_id``, ``h`` (its text's hash), ``nth`` (a number of the row), ``n_ids``, ``bits`` and ``packed``.
-    Written, so that texts are tokenised once and never shuffled."""
-    end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("nth", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("packed", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = encoder(tokenizer), 0
-        bits = bits_for(model.vocab_size)
-        for batch in slices(batches, "text", 2 << 20):
-            texts = [(x or b"").decode("utf-8", "replace") for x in raw_bytes(batch.column("text")).to_pylist()]
-            ids = [np.frombuffer(raw + end, "<u4") for raw in model.encode(texts)]
-            # Numbers of rows tell equal rows apart, so that a range of ids never has to hold all of them.
-            nth = [(part << 36) + seen + i for i, part in enumerate(batch.column("part").to_pylist())]
-            seen += len(ids)
-            columns = (batch.column("doc_id"), batch.column("h"), nth, [len(x) for x in ids], [bits] * len(ids), [pack(x, bits) for x in ids])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    rows = documents.select(F.spark_partition_id().alias("part"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(lean(run), "doc_id long, h long, nth long, n_ids long, bits int, packed binary"), "ids")
-
-
 def write_files(documents: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokenise whole texts and write them in ascending id order, a file for each range of ids. Returns the list of
-    files (``part``, ``path``, ``n_docs``, ``n_ids``), a row for each file. One range shuffle of the packed ids; there are as many
-    ranges as the bytes and documents of all files need, and ``partitions`` (or the session's shuffle partitions) at least."""
+    files (``part``, ``path``, ``n_docs``, ``n_ids``), a row for each file. One range shuffle of the texts, which are smaller in it than
+    a written table of packed ids and its shuffle together; there are as many ranges as the bytes of all texts and the
+    documents need, and ``partitions`` (or the session's shuffle partitions) at least."""
     spark = documents.sparkSession
     folder = shared_path(spark, "tokens")
-    ids = encoded(documents, tokenizer, end_id, doc_id, text)
-    size, docs = ids.agg(F.sum(F.col("n_ids") * F.col("bits") / 8), F.count("*")).first()
-    n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), int((size or 0) // FILE_BYTES) + 1, docs // FILE_DOCS + 1)
+    size, docs = documents.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    n = max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // FILE_BYTES + 1, docs // FILE_DOCS + 1)
+    # Numbers of rows tell equal rows apart, so that a range never has to hold all of them.
+    keyed = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("nth"))
     order = ("doc_id", "h", "nth")
-    rows = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "n_ids", "bits", "packed")
+    rows = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = sink = part = None
-        for batch in slices(batches, "packed"):
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "bits", "packed")]
+        model, writer, sink, part = encoder(tokenizer), None, None, None
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in slices(batches, "text", 2 << 20):
             if writer is None:
                 part = batch.column("part")[0].as_py()
                 where, name = _open(folder)
                 where.create_dir(name, recursive=True)
                 name = f"{name}/part-{part:06d}-{uuid.uuid4().hex}.sltb"
                 sink = where.open_output_stream(name)
-                writer = Writer(sink, columns[2][0], block_ids)
-            for i, count, bits, packed in zip(*columns, strict=True):
-                writer.add(i, unpack(packed, bits, count))
+                writer = Writer(sink, bits_for(model.vocab_size), block_ids)
+            texts = [(x or b"").decode("utf-8", "replace") for x in raw_bytes(batch.column("text")).to_pylist()]
+            for i, raw in zip(batch.column("doc_id").to_pylist(), model.encode(texts), strict=True):
+                writer.add(i, np.frombuffer(raw + end, "<u4"))
         if writer is not None:
             writer.close()
             sink.close()
