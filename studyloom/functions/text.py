@@ -39,6 +39,18 @@ FULL_WIDTH, HALF_WIDTH = "，。！？：；（）“”　—", ',.!?:;()"" -'
 BREAK = "\x01"
 
 
+def once(value: Column) -> Column:
+    """A value that is computed once a row. Spark moves filters below the columns that they look at and puts what makes these
+    into the filter, again for each use; a generated column stays where it is. To be used in ``select`` or ``withColumn``."""
+    return F.explode(F.array(value))
+
+
+def zero_filled(number: Column, width: int) -> Column:
+    """A whole number of ``width`` digits at least, as ``%0<width>d`` writes it."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")

@@ -64,7 +64,8 @@ def checked_nodes(units: DataFrame, keys: list[str], source: str = "body") -> Da
     stands = lambda q: F.contains(F.col("_source"), X.fold_space(q)) | F.contains(F.col("_folded"), X.fold_all(q))
     solid = lambda n: (X.strip(n["name"]) != "") & (X.strip(n["summary"]) != "") & (X.strip(n["quote"]) != "") & stands(X.strip(n["quote"]))
     usable = named.withColumn("_usable", F.filter("nodes", solid)).withColumn("_raws", F.transform("_usable", lambda n: n["raw"]))
-    rows = usable.select(*keys, "categories", "_raws", "_count", F.posexplode("_usable").alias("node", "n"))
+    # ``outer``, as the answers would be read a second time to see which units have nodes.
+    rows = usable.select(*keys, "categories", "_raws", "_count", F.posexplode_outer("_usable").alias("node", "n")).where("node is not null")
     category = F.when(F.col("n.category_index").between(0, F.size("categories") - 1), F.col("n.category_index")).otherwise(0)
     weight = F.when(F.col("n.weight").isin(1, 3), F.col("n.weight")).otherwise(2)
     links = F.filter("n.links", lambda x: x["index"].isNotNull() & (x["index"] >= 0) & (x["index"] < F.col("_count")) & (x["index"] != F.col("n.raw")))
@@ -112,25 +113,32 @@ def rule_rows(rules: list[dict]) -> list[dict]:
 def merge(nodes: DataFrame, keys: list[str], ruled: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, categories) of a draft for each of ``keys`` from units' nodes (``unit``, ``node``, ``category``, ``links``).
     A ruled unit's nodes all get the rule's category. Categories are one by name without white space, in order of first
-    use; nodes get ``node_key`` and ``category_key`` and links to node keys."""
+    use; nodes get ``node_key`` and ``category_key`` and links to node keys. Nodes find their category by windows over their draft, so
+    what made them runs once and they are shuffled once at most; such a sort spills."""
     name = F.coalesce(ruled, F.col("category"), F.lit(UNSORTED)) if ruled is not None else F.coalesce("category", F.lit(UNSORTED))
     named = nodes.withColumns({"_name": name, "_folded": X.fold_space(name), "_at": F.struct("unit", "node")})
     first = named.groupBy(*keys, "_folded").agg(F.min_by("_name", "_at").alias("name"), F.min("_at").alias("_at"))
     placed = first.withColumn("sort_order", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")) - 1)
-    categories = placed.withColumn("category_key", F.format_string("c%03d", "sort_order"))
-    joined = named.join(categories.select(*keys, "_folded", "category_key"), [*keys, "_folded"])
-    key = lambda n: F.format_string("u%03d:n%02d", "unit", n)
+    code = lambda n: F.concat(F.lit("c"), X.zero_filled(n, 3))
+    categories = placed.withColumn("category_key", code(F.col("sort_order")))
+    began = named.withColumn("_began", F.min("_at").over(Window.partitionBy(*keys, "_folded")))
+    joined = began.withColumn("category_key", code(F.dense_rank().over(Window.partitionBy(*keys).orderBy("_began")) - 1))
+    key = lambda n: F.concat(F.lit("u"), X.zero_filled(F.col("unit"), 3), F.lit(":n"), X.zero_filled(n, 2))
     links = F.transform("links", lambda x: F.struct(key(x["to"]).alias("to"), x["reason"].alias("reason")))
     kept = [c for c in nodes.columns if c not in (*keys, "category", "links")]
-    return joined.select(*keys, *kept, key("node").alias("node_key"), "category_key", links.alias("links")), categories.select(*keys, "category_key", "name", "sort_order")
+    return joined.select(*keys, *kept, key(F.col("node")).alias("node_key"), "category_key", links.alias("links")), categories.select(*keys, "category_key", "name", "sort_order")
 
 
 def edges(nodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Edges of node links: both ends exist, none to itself, one for each pair of nodes in either direction: the first, in
-    the order of nodes and their links. Pairs are reduced map-side."""
-    links = nodes.select(*keys, F.struct(*order).alias("_n"), F.col("node_key").alias("from"), F.posexplode("links").alias("_l", "x"))
-    links = links.select(*keys, "_n", "_l", "from", F.col("x.to").alias("to"), F.col("x.reason").alias("reason")).where("`from` <> `to`")
-    known = links.join(nodes.select(*keys, F.col("node_key").alias("to")), [*keys, "to"], "left_semi")
+    the order of nodes and their links. Pairs are reduced map-side. Every node stands once among the links to it, as one without
+    a place, so the nodes needn't be made a second time to see which ends exist."""
+    here = F.struct(F.lit(None).cast("int").alias("l"), F.col("node_key").alias("to"), F.lit(None).cast("string").alias("reason"))
+    placed = F.transform(F.coalesce("links", F.array().cast(nodes.schema["links"].dataType)), lambda x, i: F.struct(i.alias("l"), x["to"].alias("to"), x["reason"].alias("reason")))
+    ends = nodes.select(*keys, F.struct(*order).alias("_n"), F.col("node_key").alias("from"), F.explode_outer(F.concat(F.array(here), placed)).alias("x"))
+    ends = ends.select(*keys, "_n", "from", F.col("x.l").alias("_l"), F.col("x.to").alias("to"), F.col("x.reason").alias("reason"))
+    there = F.max(F.col("_l").isNull()).over(Window.partitionBy(*keys, "to"))
+    known = ends.withColumn("_there", there).where("_there and _l is not null and `from` <> `to`")
     pair = [F.least("from", "to").alias("_a"), F.greatest("from", "to").alias("_b")]
     first = known.groupBy(*keys, *pair).agg(F.min_by(F.struct("from", "to", "reason"), F.struct("_n", "_l")).alias("e"))
     return first.select(*keys, "e.from", "e.to", "e.reason")
@@ -142,19 +150,24 @@ def prune(categories: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame
     return used.withColumn("sort_order", F.row_number().over(Window.partitionBy(*keys).orderBy("sort_order", "category_key")) - 1)
 
 
-def apply_edits(nodes: DataFrame, categories: DataFrame, edits: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, categories, edges) after ``edits`` (``node_key``, ``deleted``, ``to_category``, ``new_name``, ``new_summary``;
+def edited_nodes(nodes: DataFrame, categories: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes after ``edits`` (``node_key``, ``deleted``, ``to_category``, ``new_name``, ``new_summary``;
     nulls leave a thing as it is, and so do empty texts). A text that is blank after trimming deletes the node; unknown
     categories become the first one; edits of unknown nodes do nothing."""
-    firsts = categories.groupBy(*keys).agg(F.min_by("category_key", "sort_order").alias("_first"))
-    known = categories.select(*keys, F.col("category_key").alias("_target"), F.lit(True).alias("_known"))
+    # A draft's categories are a short list; nodes meet them in one join.
+    listed = categories.groupBy(*keys).agg(F.min_by("category_key", "sort_order").alias("_first"), F.collect_set("category_key").alias("_known"))
     joined = nodes.join(edits, [*keys, "node_key"], "left").where(~F.coalesce("deleted", F.lit(False)))
     given = {c: F.nullif(f"new_{c}", F.lit("")) for c in ("name", "summary")}
     joined = joined.withColumns({c: F.when(v.isNotNull(), F.left(X.strip(v), F.lit(n))).otherwise(F.col(c)) for (c, v), n in zip(given.items(), (NAME, SUMMARY), strict=True)} | {"_touched": given["name"].isNotNull() | given["summary"].isNotNull(), "_target": F.coalesce("to_category", "category_key")})
     joined = joined.where(~F.col("_touched") | ((F.col("name") != "") & (F.col("summary") != "")))
-    moved = joined.join(known, [*keys, "_target"], "left").join(firsts, keys, "left")
-    moved = moved.withColumns({"category_key": F.when(F.col("_known"), F.col("_target")).otherwise(F.col("_first")), "edited": F.col("_touched") | F.coalesce("edited", F.lit(False))}).where("category_key is not null")
-    kept = moved.select(*dict.fromkeys([*nodes.columns, "edited"]))
+    moved = joined.join(listed, keys, "left")
+    moved = moved.withColumns({"category_key": F.when(F.array_contains("_known", F.col("_target")), F.col("_target")).otherwise(F.col("_first")), "edited": F.col("_touched") | F.coalesce("edited", F.lit(False))}).where("category_key is not null")
+    return moved.select(*dict.fromkeys([*nodes.columns, "edited"]))
+
+
+def apply_edits(nodes: DataFrame, categories: DataFrame, edits: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, categories, edges) after ``edits`` (:func:`edited_nodes`)."""
+    kept = edited_nodes(nodes, categories, edits, keys)
     return kept, prune(categories, kept, keys), edges(kept, keys, order)
 
 

@@ -218,7 +218,7 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the tables that replace the graphs of the drafts, with distinct ids and texts."""
-    nodes, categories = work.draft(spark, sf_dir)
+    nodes, categories = work.stored_draft(spark, sf_dir)
     full = nodes.withColumns({"quote": F.when(F.col("name").cast("long") % 3 > 0, F.col("name")).otherwise(""), "summary": F.lit("s"), "weight": F.lit(2), "loc_page": (F.col("name").cast("long") % 4).cast("int")})
     out = graph.stored(full, categories, graph.edges(nodes, ["project"], ["unit", "node"]), ["project"])
     count = lambda name, key, extra: out[name].agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.countDistinct(*key).alias("keys"), F.coalesce(extra, F.lit(0)).cast("long").alias("extra"))

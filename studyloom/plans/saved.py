@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, jobs, rules
-from ..session import table
+from ..session import stored, table
 from ..sources import documents as D
 from ..sources import projects, snapshots
 from ..streaming.replay import shared_folder
@@ -75,14 +75,16 @@ def _saved_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All graphs are saved, then the edited ones of every third project; every fifth of these has no file."""
     path, keys = _folder(spark, "graphs"), ["project"]
     more = lambda df: df.withColumns({"quote": F.concat(F.lit("q"), "name"), "loc_page": F.pmod(F.col("weight"), F.lit(4))})
-    nodes, categories = work.draft(spark, sf_dir)
-    nodes = nodes.withColumn("weight", F.col("node") + 1)
-    kept, left, edges = work.edited(spark, sf_dir)
-    kept = kept.withColumn("weight", F.col("node") + 1)
+    nodes, categories = work.stored_draft(spark, sf_dir)
+    # Only every third project is saved again, so no other's edits are made.
+    third = "project % 3 = 0"
+    kept = stored(work.edited(nodes.where(third), categories.where(third)), "edited-nodes")
+    left = graph.prune(categories.where(third), kept, keys)
+    nodes, kept = (df.withColumn("weight", F.col("node") + 1) for df in (nodes, kept))
     drafts = categories.select("project").distinct()
     file = F.when(F.col("project") % 5 != 0, "f")
     projects.save_graph(path, graph.stored(more(nodes), categories, graph.edges(nodes, keys, ["unit", "node"]), keys), drafts.withColumn("file_id", F.lit("f")), "project")
-    projects.save_graph(path, graph.stored(more(kept), left, edges, keys), drafts.where("project % 3 = 0").withColumn("file_id", file), "project")
+    projects.save_graph(path, graph.stored(more(kept), left, graph.edges(kept, keys, ["unit", "node"]), keys), drafts.where(third).withColumn("file_id", file), "project")
     return {name: projects.read(spark, f"{path}/{name}") for name in ("categories", "nodes", "card_quotes", "edges")}
 
 

@@ -48,7 +48,7 @@ def replace(path: str, rows: DataFrame, touched: DataFrame, project: str = "proj
         written = written.unionByName(there.join(touched.select(project).distinct(), project, "left_anti").select(dealt.columns))
     except AnalysisException:  # nothing is stored yet
         pass
-    written.hint("rebalance", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    written.hint("rebalance", "_part").write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
 
 
 def save_pieces(path: str, staged: DataFrame, rows: DataFrame, keys: list[str], project: str = "project_id", edited: str = "manually_edited", overwrite: bool = False) -> DataFrame:
