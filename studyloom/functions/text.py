@@ -35,6 +35,11 @@ NOISE = rf"^[{SPACE}\-=_*#~·—–|]*$"
 # Full-width signs and what they are folded to.
 FULL_WIDTH, HALF_WIDTH = "，。！？：；（）“”　—", ',.!?:;()"" -'
 
+#: The characters of ``SPACE``.
+_SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: CJK characters that aren't white space.
+_CJK_SOLID = CJK_LETTERS + r"\x{3001}-\x{303f}\x{ff00}-\x{ffef}"
+
 #: Marks where lines end a sentence while segments are made; removed again.
 BREAK = "\x01"
 
@@ -53,7 +58,7 @@ def zero_filled(number: Column, width: int) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def fold_space(text: Column) -> Column:
@@ -81,7 +86,12 @@ def _count(text: Column, chars: str) -> Column:
 def zh_ratio(text: Column) -> Column:
     """Chinese (or other CJK) characters among these and Latin letters; 0 for empty texts, 1 without either."""
     zh, en = _count(text, CJK), _count(text, LATIN)
-    return F.when(F.length(text) == 0, 0.0).when(zh + en == 0, 1.0).otherwise(zh / (zh + en))
+    plain = F.when(text.rlike("[A-Za-z]"), 0.0).otherwise(1.0)
+    return F.when(F.length(text) == 0, 0.0).when(_is_ascii(text), plain).when(zh + en == 0, 1.0).otherwise(zh / (zh + en))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def clamped_ratio(text: Column) -> Column:
@@ -98,8 +108,8 @@ def language_of(ratio: Column, threshold: float = ZH_MIN_RATIO) -> Column:
 
 def cjk_ratio(text: Column) -> Column:
     """CJK characters among all that aren't white space; 0 for blank texts."""
-    solid = fold_space(text)
-    return F.when(F.length(solid) == 0, 0.0).otherwise(_count(solid, CJK) / F.length(solid))
+    ratio = F.try_divide(_count(text, _CJK_SOLID), F.length(fold_space(text)))
+    return F.when(_is_ascii(text), 0.0).when(text.isNotNull(), F.coalesce(ratio, F.lit(0.0)))
 
 
 def count_sentences(text: Column) -> Column:

@@ -11,11 +11,8 @@ HEAD_LINES, FOOT_LINES = 1, 2
 
 
 def _reason(line: Column, at: Column, head: Column) -> Column:
-    mark = X.is_watermark(line)
-    return (
-        F.when(X.is_noise(line), "noise").when(X.is_page_number(line), "page_no")
-        .when(head.isNotNull() & X.is_watermark(head) & (line == head), "watermark").when(mark & (at < HEAD_LINES + FOOT_LINES), "watermark")
-    )
+    placed = (at < HEAD_LINES + FOOT_LINES) | (line == head)
+    return F.when(X.is_noise(line), "noise").when(X.is_page_number(line), "page_no").when(placed & X.is_watermark(line), "watermark")
 
 
 def page_line_reasons(lines: Column) -> Column:
@@ -56,5 +53,5 @@ def drop_junk_groups(groups: Column) -> Column:
 
 def page_blocks(pages: DataFrame, keys: list[str], lines: str = "lines") -> DataFrame:
     """One block of the kept lines for each page that has any."""
-    clean = pages.withColumn("kept", kept_lines(F.col(lines)))
+    clean = pages.withColumn("_lines", X.once(F.col(lines))).withColumn("kept", X.once(kept_lines(F.col("_lines"))))
     return clean.where(F.size("kept") > 0).select(*keys, F.array_join("kept", "\n").alias("text"))

@@ -110,10 +110,10 @@ def page_blocks(pages: DataFrame, keys: list[str], page: str = "page", layout: s
             texts = [pa.array([n for x in found for n in range(len(x))], pa.int32()), pa.array([t for x in found for t in x], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own.names), *texts], names=schema.names)
 
-    groups = drop_junk_groups(page_groups(F.col(layout)))
-    rows = pages.select(*keys, F.col(page).alias("page"), groups.alias("_g"), F.col(plain).alias("_t")).mapInArrow(run, schema).withColumn("_lines", F.split("_text", "\n", -1))
+    grouped = pages.select(*keys, F.col(page).alias("page"), X.once(page_groups(F.col(layout))).alias("_groups"), F.col(plain).alias("_t"))
+    rows = grouped.select(*keys, "page", drop_junk_groups(F.col("_groups")).alias("_g"), "_t").mapInArrow(run, schema).withColumn("_lines", F.split("_text", "\n", -1))
     kept = kept_lines(F.col("_lines"))
-    rows = rows.withColumn("text", X.strip(F.array_join(kept, "\n"))).where("text <> ''")
+    rows = rows.withColumn("text", X.once(X.strip(F.array_join(kept, "\n")))).where("text <> ''")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("page", "_n")) - 1
     return rows.select(*keys, number.alias("block_no"), "page", "text", X.clamped_ratio(F.col("text")).alias("zh_ratio"))
 

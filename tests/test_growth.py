@@ -25,3 +25,21 @@ def test_a_draft_is_made_once(spark, name):
 def test_zero_filled(spark):
     rows = spark.range(1).selectExpr("explode(array(0, 7, 99, 100, 12345)) as n").select(X.zero_filled(F.col("n"), 2).alias("s")).collect()
     assert [r.s for r in rows] == ["00", "07", "99", "100", "12345"]
+
+
+def test_ratios_and_ends_by_the_definition(spark):
+    """Short ways (ASCII texts, trimming by a list of characters) against the definition."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [*(f"{c}a {c}b{c}" for c in spaces), *spaces, "", "a", "12", "é", "甲a 乙", "　甲　", "甲乙", "、", "​ x", "甲 a\n", None]
+    cjk = lambda c: any(a <= ord(c) <= b for a, b in ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x3040, 0x30FF), (0xAC00, 0xD7AF), (0x3000, 0x303F), (0xFF00, 0xFFEF)))
+    latin = lambda c: c.isascii() and c.isalpha() or 0xC0 <= ord(c) <= 0x24F
+
+    def wanted(t):
+        if t is None:
+            return None, None, None
+        solid, zh, en = "".join(t.split()), sum(map(cjk, t)), sum(map(latin, t))
+        return t.strip(), sum(map(cjk, solid)) / len(solid) if solid else 0.0, 0.0 if not t else zh / (zh + en) if zh + en else 1.0
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(X.strip(F.col("t")).alias("s"), X.cjk_ratio(F.col("t")).alias("c"), X.zh_ratio(F.col("t")).alias("z")).collect()
+    assert [tuple(r) for r in got] == [wanted(t) for t in texts]
