@@ -13,9 +13,11 @@ their pairs. In a larger one every node meets one node of the bucket, which join
 template, though, are nearly as similar as near copies are, and only what they don't share tells them apart. So nodes of
 crowded buckets are joined once more, exactly, by their rarest shingles: two sets at 0.8 share one of the rarest fifth of
 either (counted among these nodes). A shingle that up to ``CROWD`` nodes hold among their rarest gives all pairs of different
-classes. One that more nodes hold isn't rare at all: it belongs to a large group of edited copies, whose nodes outside
-its commonest class meet ``LEADS`` nodes of that class in each of their buckets. Rows grow with the nodes, not with the pairs
-of a group; only for such groups of more than ``CROWD`` edited copies is it measured (README) and not certain that no link is lost.
+classes. One that more nodes hold isn't rare at all: it belongs to a large group of edited copies. Nodes outside the commonest
+class of their buckets first meet ``LEADS`` nodes of that class, which joins most of such a group; whatever is then still outside the
+commonest class of a shingle meets every node of other classes that holds it (:func:`_rest`), so no link is lost. Pairs that signatures
+rule out aren't verified: of two sets at 0.8, at most a ninth of both sizes together stands in one of them only, and parities
+of these, by places of a hash, differ in no more places than that.
 
 Defined results: null, empty and wordless texts are one class; a text shorter than a shingle is one shingle; one row of
 each class stays, by id (null last), hash of the text and place; other columns pass through.
@@ -38,6 +40,8 @@ from .common import lean, raw_bytes, slices, written
 SHINGLE, SIMILARITY, BANDS, ROWS, SMALL, LEADS, CROWD = 5, 0.8, 16, 4, 16, 8, 64
 #: Pairs of one node that are verified by one task.
 SALT = 64
+#: Bits of a signature, and how many nodes of one shingle's rest are met in one task.
+BITS, BLOCK = 2048, 1024
 
 _SEEDS = np.array([[xxhash.xxh64_intdigest(f"{kind} {i}") | 1 for i in range(BANDS * ROWS)] for kind in ("times", "plus")], np.uint64)
 
@@ -117,6 +121,47 @@ def _rarest(crowd: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     return lists.where(wanted > 0).select("node", "root", "size", F.explode(F.slice("x", 1, wanted)).alias("s")).select("s.key", "node", "root", "size")
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """A bit for each place of a hash: whether it holds an odd number of the set's shingles."""
+    return np.packbits(np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _signed(wanted: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(node, sig) of ``wanted`` (node, rid)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            own = [signature(shingle_set(x)) for x in raw_bytes(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "sig"])
+
+    texts = rows.select("rid", F.col("row")[text].alias("text")).join(wanted, "rid").select("node", "text")
+    return written(texts.mapInArrow(lean(read), "node long, sig binary"), "near-signed")
+
+
+def _rest(held: DataFrame, rows: DataFrame, nodes: DataFrame, text: str) -> DataFrame | None:
+    """Pairs (a, b) of different classes that hold the same shingle: those outside its commonest class, in blocks, with all. ``held``: (key,
+    node, size, root). Sizes and signatures rule pairs out. None if every shingle has one class."""
+    by_class = held.groupBy("key", "root").agg(F.count("*").alias("n"))
+    top = by_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+    met = written(held.join(top.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks")), "key"), "near-rest")
+    if met.isEmpty():
+        return None
+    met = met.join(_signed(met.select("node").distinct().join(nodes.select("node", "rid"), "node"), rows, text), "node")
+    end = lambda df, e, block: df.select("key", block.alias("block"), *(F.col(c).alias(f"{e}_{c}") for c in ("node", "root", "size", "sig")))
+    own = end(met.where("root <> top"), "a", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = end(met, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = own.join(every, ["key", "block"]).where("a_root <> b_root AND 5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(raw_bytes(batch.column(c)).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("a_sig", "b_sig"))
+            sizes = np.asarray(batch.column("a_size")) + np.asarray(batch.column("b_size"))
+            fits = 9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= sizes
+            yield pa.RecordBatch.from_arrays([batch.column("a_node"), batch.column("b_node")], names=["a", "b"]).filter(pa.array(fits))
+
+    return both.select("a_node", "b_node", "a_size", "b_size", "a_sig", "b_sig").mapInArrow(lean(near), "a long, b long")
+
+
 def _tight(nodes: DataFrame) -> DataFrame:
     """Nodes whose fingerprints are within two bits."""
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "near-prints")
@@ -176,14 +221,18 @@ def _classes(rows: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     held = rare.join(rare.groupBy("key").agg(F.count("*").alias("n")), "key")
     met = _pairs_of_small(held.where(F.col("n") <= CROWD))
     # What more nodes hold: those outside their bucket's commonest class meet several nodes of that class.
-    many = written(held.where(F.col("n") > CROWD).select("node").distinct(), "near-many")
+    crowded = written(held.where(F.col("n") > CROWD).select("key", "node", "size"), "near-crowded")
+    many = written(crowded.select("node").distinct(), "near-many")
     placed = placed.join(many, "node")
     by_class = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(lead(i) for i in range(1, LEADS + 1)))).alias("leads"))
     by_class = written(by_class, "near-buckets")
     top = by_class.groupBy("key").agg(F.max(F.struct("n", "root", "leads")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("key", "top.root", "top.leads")
     strays = placed.join(top.withColumnRenamed("root", "top"), "key").where("root <> top")
     met = met.unionByName(strays.select(F.col("node").alias("a"), F.explode("leads").alias("b"))).distinct()
-    return simhash.components(links.unionByName(_verified(met, rows, nodes, text)))
+    links = links.unionByName(_verified(met, rows, nodes, text))
+    roots = written(simhash.components(links), "near-roots")
+    rest = _rest(crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), rows, nodes, text)
+    return roots if rest is None else simhash.components(links.unionByName(_verified(rest, rows, nodes, text)))
 
 
 def drop_near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -82,6 +82,29 @@ def test_pages_of_one_template(spark, small):
     assert len(kept) == 360 and kept == {*range(300), *range(1000, 1120, 2)}
 
 
+def test_few_of_many_that_share_common_shingles_only(spark, small):
+    """Four pages with ten words of their own are similar by 0.811, all others (twelve words) by less than 0.8; whatever they
+    share, all 204 share."""
+    template = prose(510, 90)
+    own = lambda seed, n: " ".join(f"{w}{seed}" for w in prose(seed, n).split())
+    docs = [(i, f"{template} {own(5000 + i, 10 if i % 51 == 17 else 12)}") for i in range(204)]
+    wanted = heads(docs)
+    assert len(wanted) == 201
+    assert stage(spark, table_of(spark, [(d, t, "en", "s", 1) for d, t in docs]).repartition(3), small) == wanted
+
+
+def test_signatures_rule_out_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 40, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[len(x) // 9 :], rng.integers(0, 1 << 63, len(x) // 9).astype(np.uint64)]))
+        apart = len(np.setxor1d(x, y))
+        bits = sum((a ^ b).bit_count() for a, b in zip(near_copies.signature(x), near_copies.signature(y), strict=True))
+        assert near_copies.similarity(x, y) >= 0.8 and bits <= apart and 9 * apart <= len(x) + len(y)
+
+
 def test_null_ids_ties_and_names(spark):
     text = prose(700, 50)
     rows = [(None, text, "a", 1, 2), (5, text, "a", 1, 2), (5, text, "b", 1, 2), (None, prose(701, 50), "a", 1, 2), (None, None, None, None, None), (7, "", "x", 1, 2), (7, edited(prose(702, 200), 50), "x", 1, 2), (8, prose(702, 200), "x", 1, 2)]
