@@ -5,6 +5,7 @@ Patterns are spelled so that Java's and RE2's engines read them alike; white spa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,6 +51,11 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used (also within a list's function)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def zero_filled(number: Column, width: int) -> Column:
     """A whole number of ``width`` digits at least, as ``%0<width>d`` writes it."""
     digits = number.cast("string")
@@ -230,9 +236,8 @@ def whole_json(text: Column) -> Column:
     """A text as VARIANT if all of it is one JSON value, else null. The parser stops at the end of a value; with something known
     behind it, nothing else can follow."""
     both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end of answer"]'))), "$", "array<variant>")
-    # One list, so that the text is parsed once.
     alone = lambda v: F.when((F.size(v) == 2) & (F.try_variant_get(F.get(v, 1), "$", "string") == "end of answer"), F.get(v, 0))
-    return F.get(F.transform(F.array(both), alone), 0)
+    return named(both, alone)
 
 
 def _near(value: Column) -> Column:

@@ -47,7 +47,7 @@ def blocks(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en", s
     """A row for each block: ``keys``, ``block``, the places of its first sentences, ``n_zh``, ``n_en`` and ``prompt``. Both sides are cut
     into the same number of even blocks."""
     k = A.chunk_count(F.size(zh), F.size(en), size)
-    cut = pieces.select(*keys, zh, en, F.posexplode(F.arrays_zip(A.even_chunks(F.size(zh), k).alias("z"), A.even_chunks(F.size(en), k).alias("e"))).alias("block", "c"))
+    cut = pieces.select(*keys, zh, en, F.posexplode_outer(F.arrays_zip(A.even_chunks(F.size(zh), k).alias("z"), A.even_chunks(F.size(en), k).alias("e"))).alias("block", "c")).where("block is not null")
     own = lambda side, c: F.slice(side, F.col(f"c.{c}.offset") + 1, F.col(f"c.{c}.take"))
     return cut.select(
         *keys, "block", F.col("c.z.offset").alias("zh_at"), F.col("c.e.offset").alias("en_at"), F.col("c.z.take").alias("n_zh"), F.col("c.e.take").alias("n_en"),
@@ -58,24 +58,29 @@ def blocks(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en", s
 def _json_of(answer: Column) -> Column:
     """The JSON in an answer: what a fence holds, or all; from the first bracket to the last if it doesn't begin with one."""
     fence = r"(?s)```(?:json)?[" + X.SPACE + "]*(.*?)[" + X.SPACE + "]*```"
-    body = X.strip(F.when(answer.rlike(fence), F.regexp_extract(answer, fence, 1)).otherwise(answer))
-    first, last = F.instr(body, "["), F.length(body) - F.instr(F.reverse(body), "]") + 1
-    inner = F.when((first > 0) & (F.instr(body, "]") > 0) & (last > first), F.substring(body, first, last - first + 1))
-    return F.when(F.startswith(body, F.lit("[")), body).otherwise(inner)
+
+    def inside(body: Column) -> Column:
+        first, last = F.instr(body, "["), F.length(body) - F.instr(F.reverse(body), "]") + 1
+        inner = F.when((first > 0) & (F.instr(body, "]") > 0) & (last > first), F.substring(body, first, last - first + 1))
+        return F.when(F.startswith(body, F.lit("[")), body).otherwise(inner)
+
+    fenced = F.contains(answer, F.lit("```")) & answer.rlike(fence)
+    return X.named(X.strip(F.when(fenced, F.regexp_extract(answer, fence, 1)).otherwise(answer)), inside)
 
 
 def _places(v: Column) -> Column:
     """A side as sorted places from 0: a list, or one whole number, of numbers from 1; null if it is anything else or holds it."""
-    one = X.whole_number(v)
-    listed = F.when(one.isNotNull(), F.array(one - 1)).otherwise(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: X.as_number(x) - 1))
-    return F.when(~F.exists(listed, lambda x: x.isNull()), F.array_sort(listed))
+    several = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: X.as_number(x) - 1)
+    listed = lambda v: X.named(X.whole_number(v), lambda one: F.when(one.isNotNull(), F.array(one - 1)).otherwise(several(v)))
+    whole = lambda places: F.when(~F.exists(places, lambda x: x.isNull()), F.array_sort(places))
+    return X.named(v, lambda v: X.named(listed(v), whole))
 
 
 def _sides(item: Column) -> Column:
     """struct<zh, en> of an item: an object with one of the known names, or a list of two."""
-    pair = F.try_variant_get(item, "$", "array<variant>")
-    side = lambda i, names: _places(F.when(F.size(pair) == 2, F.get(pair, i)).otherwise(F.coalesce(*(F.try_variant_get(item, f"$.{n}", "variant") for n in names))))
-    return F.struct(*(side(i, names).alias(s) for i, (s, names) in enumerate(NAMES.items())))
+    side = lambda pair, i, names: _places(F.when(F.size(pair) == 2, F.get(pair, i)).otherwise(F.coalesce(*(F.try_variant_get(item, f"$.{n}", "variant") for n in names))))
+    both = lambda pair: F.struct(*(side(pair, i, names).alias(s) for i, (s, names) in enumerate(NAMES.items())))
+    return X.named(F.try_variant_get(item, "$", "array<variant>"), both)
 
 
 def read_mappings(answers: DataFrame, answer: str = "answer", n_zh: str = "n_zh", n_en: str = "n_en") -> DataFrame:
