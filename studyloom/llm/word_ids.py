@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: A worker remembers the ids of distinct words in about so many bytes of memory, then forgets them all.
-REMEMBERED = 24 << 20
+REMEMBERED = 72 << 20
 #: Bytes of a remembered word besides its letters and ids (dictionary entry and two objects).
 ENTRY = 190
 LONGEST = 64
@@ -60,13 +60,13 @@ class WordEncoder:
         rest = [i for i, t in enumerate(texts) if t and i not in words]
         for i, got in zip(rest, self.whole.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(got.ids, "<u4").tobytes()
-        known = self.known
-        fresh = self._learn(list({w for ws in words.values() for w in ws if w not in known}))
+        known, every = self.known, set().union(*words.values())
+        fresh = self._learn(list(every.difference(known)))
         more = sum(ENTRY + len(w) + len(x) for w, x in fresh.items() if len(w) <= LONGEST)
         if self.held + more > REMEMBERED:
             known.clear()
             self.held = 0
-            fresh |= self._learn(list({w for ws in words.values() for w in ws if w not in fresh}))
+            fresh |= self._learn(list(every.difference(fresh)))
         if more <= REMEMBERED:
             known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
             self.held += more

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from studyloom.llm import bitpack, bpe_counts, packing
+from studyloom.llm import bitpack, bpe_counts, packing, word_ids
 from studyloom.llm.queries import BYTE_TOKENIZER, WORD_TOKENIZER, op4_token_counts, op6_bit_packing, op10_packing
 from studyloom.llm.word_ids import encoder
 from studyloom.session import table
@@ -177,3 +177,19 @@ def test_files_follow_bytes(spark, odd, monkeypatch):
     size = odd.selectExpr("sum(octet_length(text))").first()[0]
     files = bitpack.write_files(odd, PATHS[WORD_TOKENIZER], 2, partitions=1)
     assert size > 6000 and files.count() > 3
+
+
+def test_common_words_are_learned_once(library, monkeypatch):
+    """Texts with more distinct words than 24 MB hold: what a worker has learned stays; with too little room the ids are the same."""
+    model, learned = word_ids.WordEncoder(PATHS[WORD_TOKENIZER]), []
+    learn = model._learn
+    monkeypatch.setattr(model, "_learn", lambda words: learned.extend(words) or learn(words))
+    names = ["".join(chr(97 + (i >> k) % 16) for k in (0, 4, 8, 12, 16)) for i in range(140_000)]
+    for i in range(0, len(names), 20_000):
+        model.encode([" ".join(["common", *names[i : i + 20_000]])])
+    assert learned.count("common") == 1 and len(learned) == len(set(learned)) and model.held > 24 << 20
+    texts = ["Don't 'rest x's3,4!'s  (end).\nthe\tend", "the end the end don't " + "long" * 30, "é,ß’ the ''s", ""]
+    want = [e.ids for e in library[WORD_TOKENIZER].encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(word_ids, "REMEMBERED", 2000)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)] == want
