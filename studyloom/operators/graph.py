@@ -115,6 +115,23 @@ def merge(nodes: DataFrame, keys: list[str], ruled: Column | None = None) -> tup
     A ruled unit's nodes all get the rule's category. Categories are one by name without white space, in order of first
     use; nodes get ``node_key`` and ``category_key`` and links to node keys. Nodes find their category by windows over their draft, so
     what made them runs once and they are shuffled once at most; such a sort spills."""
+    rows, categories = _placed(nodes, keys, ruled)
+    return rows.drop("sort_order", "first_name"), categories
+
+
+def merged(nodes: DataFrame, keys: list[str], ruled: Column | None = None) -> DataFrame:
+    """The nodes of :func:`merge` with ``sort_order`` and, in the first nodes of a category, its name as ``first_name``: one table to write, from
+    which :func:`categories_of` reads the categories, so that what makes the nodes runs once for both."""
+    return _placed(nodes, keys, ruled)[0]
+
+
+def categories_of(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The categories of nodes as :func:`merged` gives them."""
+    firsts = nodes.where("first_name is not null").groupBy(*keys, "category_key", "sort_order").agg(F.min("first_name").alias("name"))
+    return firsts.select(*keys, "category_key", "name", "sort_order")
+
+
+def _placed(nodes: DataFrame, keys: list[str], ruled: Column | None) -> tuple[DataFrame, DataFrame]:
     name = F.coalesce(ruled, F.col("category"), F.lit(UNSORTED)) if ruled is not None else F.coalesce("category", F.lit(UNSORTED))
     named = nodes.withColumns({"_name": name, "_folded": X.fold_space(name), "_at": F.struct("unit", "node")})
     first = named.groupBy(*keys, "_folded").agg(F.min_by("_name", "_at").alias("name"), F.min("_at").alias("_at"))
@@ -122,11 +139,13 @@ def merge(nodes: DataFrame, keys: list[str], ruled: Column | None = None) -> tup
     code = lambda n: F.concat(F.lit("c"), X.zero_filled(n, 3))
     categories = placed.withColumn("category_key", code(F.col("sort_order")))
     began = named.withColumn("_began", F.min("_at").over(Window.partitionBy(*keys, "_folded")))
-    joined = began.withColumn("category_key", code(F.dense_rank().over(Window.partitionBy(*keys).orderBy("_began")) - 1))
+    joined = began.withColumn("sort_order", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_began")) - 1)
     key = lambda n: F.concat(F.lit("u"), X.zero_filled(F.col("unit"), 3), F.lit(":n"), X.zero_filled(n, 2))
     links = F.transform("links", lambda x: F.struct(key(x["to"]).alias("to"), x["reason"].alias("reason")))
     kept = [c for c in nodes.columns if c not in (*keys, "category", "links")]
-    return joined.select(*keys, *kept, key(F.col("node")).alias("node_key"), "category_key", links.alias("links")), categories.select(*keys, "category_key", "name", "sort_order")
+    own = F.when(F.col("_at").eqNullSafe(F.col("_began")), F.col("_name")).alias("first_name")
+    rows = joined.select(*keys, *kept, key(F.col("node")).alias("node_key"), code(F.col("sort_order")).alias("category_key"), links.alias("links"), "sort_order", own)
+    return rows, categories.select(*keys, "category_key", "name", "sort_order")
 
 
 def edges(nodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -156,7 +175,9 @@ def edited_nodes(nodes: DataFrame, categories: DataFrame, edits: DataFrame, keys
     categories become the first one; edits of unknown nodes do nothing."""
     # A draft's categories are a short list; nodes meet them in one join.
     listed = categories.groupBy(*keys).agg(F.min_by("category_key", "sort_order").alias("_first"), F.collect_set("category_key").alias("_known"))
-    joined = nodes.join(edits, [*keys, "node_key"], "left").where(~F.coalesce("deleted", F.lit(False)))
+    # Edits that leave everything as it is needn't be moved.
+    said = F.coalesce("deleted", F.lit(False)) | F.col("to_category").isNotNull() | (F.coalesce("new_name", F.lit("")) != "") | (F.coalesce("new_summary", F.lit("")) != "")
+    joined = nodes.join(edits.where(said), [*keys, "node_key"], "left").where(~F.coalesce("deleted", F.lit(False)))
     given = {c: F.nullif(f"new_{c}", F.lit("")) for c in ("name", "summary")}
     joined = joined.withColumns({c: F.when(v.isNotNull(), F.left(X.strip(v), F.lit(n))).otherwise(F.col(c)) for (c, v), n in zip(given.items(), (NAME, SUMMARY), strict=True)} | {"_touched": given["name"].isNotNull() | given["summary"].isNotNull(), "_target": F.coalesce("to_category", "category_key")})
     joined = joined.where(~F.col("_touched") | ((F.col("name") != "") & (F.col("summary") != "")))

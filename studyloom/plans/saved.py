@@ -85,8 +85,8 @@ def _saved_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     nodes, kept = (df.withColumn("weight", F.col("node") + 1) for df in (nodes, kept))
     drafts = categories.select("project").distinct()
     file = F.when(F.col("project") % 5 != 0, "f")
-    projects.save_graph(path, graph.stored(more(nodes), categories, graph.edges(nodes, keys, ["unit", "node"]), keys), drafts.withColumn("file_id", F.lit("f")), "project")
-    projects.save_graph(path, graph.stored(more(kept), left, graph.edges(kept, keys, ["unit", "node"]), keys), drafts.where(third).withColumn("file_id", file), "project")
+    projects.save_graph(path, graph.stored(more(nodes), categories, work.edges_of(nodes, nodes), keys), drafts.withColumn("file_id", F.lit("f")), "project")
+    projects.save_graph(path, graph.stored(more(kept), left, work.edges_of(kept, kept), keys), drafts.where(third).withColumn("file_id", file), "project")
     return {name: projects.read(spark, f"{path}/{name}") for name in ("categories", "nodes", "card_quotes", "edges")}
 
 

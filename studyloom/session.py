@@ -44,6 +44,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one task of a shuffle that is dealt by :func:`dealt`.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, table_rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled by ``keys`` into so many tasks that the rows of ``table_rows``, a table as it was read (its files tell how many it
+    has), make at most about ``TASK_ROWS`` a task: a task's memory doesn't follow the input. Small tables keep the session's shuffle
+    partitions."""
+    n = table_rows.count() // TASK_ROWS + 1
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def build_session(app: str = "studyloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the queries are written for (UTC, AQE with skew handling)."""
     builder = SparkSession.builder.appName(app)
