@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph, jobs, persistence, study, sync
-from ..session import table
+from ..session import dealt, table
 from ..sources import documents as D
 from ..sources import snapshots
 from . import forms as S
@@ -56,7 +56,9 @@ def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def done_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old done marks are titles (flag and status of a line); they become keys where a title is one unit's alone."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.concat("l_returnflag", "l_linestatus").alias("title"), jobs.unit_key(F.col("l_linenumber"), F.concat("l_returnflag", "l_linestatus")).alias("unit_key"))
+    every = table(spark, sf_dir, "lineitem")
+    parts = dealt(every.select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("title"), "l_linenumber"), every, "l_orderkey", "title")
+    lines = parts.select(F.col("l_orderkey").alias("job"), "title", jobs.unit_key(F.col("l_linenumber"), F.col("title")).alias("unit_key"))
     done = lines.select("job", F.col("title").alias("unit_key")).distinct()
     return jobs.migrated(done, lines, "job")
 
@@ -217,11 +219,11 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the tables that replace the graphs of the drafts, with distinct ids and texts."""
+    """Rows of the tables that replace the graphs of the drafts, with distinct ids and texts. Ids are compared as their 16 bytes."""
     nodes, categories = work.stored_draft(spark, sf_dir)
     full = nodes.withColumns({"quote": F.when(F.col("name").cast("long") % 3 > 0, F.col("name")).otherwise(""), "summary": F.lit("s"), "weight": F.lit(2), "loc_page": (F.col("name").cast("long") % 4).cast("int")})
-    out = graph.stored(full, categories, graph.edges(nodes, ["project"], ["unit", "node"]), ["project"])
-    count = lambda name, key, extra: out[name].agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.countDistinct(*key).alias("keys"), F.coalesce(extra, F.lit(0)).cast("long").alias("extra"))
+    out = graph.stored(full, categories, work.edges_of(nodes, nodes), ["project"])
+    count = lambda name, key, extra: out[name].agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.countDistinct(*(F.unhex(k) for k in key)).alias("keys"), F.coalesce(extra, F.lit(0)).cast("long").alias("extra"))
     rows = [count("categories", ["category_id"], F.max("sort_order")), count("nodes", ["node_id"], F.sum("weight")), count("card_quotes", ["node_id"], F.sum("page")), count("edges", ["from_node", "to_node"], F.count("reason"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
