@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import alignment, persistence, quality, study
-from ..session import table
+from ..session import dealt, table
 from . import forms as S
 from . import balance_sql as B
 
@@ -16,7 +16,9 @@ _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as pairs: ``seq`` from 0 in a total order, a block by return flag, confidence by discount."""
-    lines = table(spark, sf_dir, "lineitem")
+    every = table(spark, sf_dir, "lineitem")
+    # The few columns move before texts are made of them.
+    lines = dealt(every.select(*_KEY, "l_returnflag", "l_linestatus", "l_discount", "l_tax"), every, "l_orderkey")
     rows = lines.select(
         F.col("l_orderkey").alias("piece_id"), F.concat_ws("-", *(F.col(c).cast("int") if c == "l_quantity" else F.col(c) for c in _KEY)).alias("pair_key"),
         F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("zh"), F.concat_ws(" ", "l_linestatus", F.col("l_suppkey").cast("string")).alias("en"),

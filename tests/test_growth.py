@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from studyloom import plans
+from studyloom import plans, session
 from studyloom.functions import text as X
+from studyloom.operators import graph
+from studyloom.plans import work
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,45 @@ def test_ratios_and_ends_by_the_definition(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select(X.strip(F.col("t")).alias("s"), X.cjk_ratio(F.col("t")).alias("c"), X.zh_ratio(F.col("t")).alias("z")).collect()
     assert [tuple(r) for r in got] == [wanted(t) for t in texts]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_a_stored_draft_is_written_once(spark, monkeypatch):
+    """Categories are read from the written nodes, and stored nodes move once to become edges."""
+    names, stored = [], work.stored
+    monkeypatch.setattr(work, "stored", lambda df, name: names.append(name) or stored(df, name))
+    nodes, categories = work.stored_draft(spark, SF)
+    assert names == ["draft-nodes"] and exchanges(work.edges_of(nodes, nodes)) == 1
+    assert sorted(categories.collect()) == sorted(work.draft(spark, SF)[1].collect())
+
+
+@pytest.mark.parametrize("name", ["graph_nodes", "graph_categories", "pair_split", "done_marks"])
+def test_tasks_follow_the_rows(spark, monkeypatch, name):
+    """A larger table is dealt into more tasks, with the same rows."""
+    usual = sorted(map(repr, plans.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 400)
+    rows = session.table(spark, SF, "lineitem").count()
+    df = plans.QUERIES[name](spark, SF)
+    assert f", {rows // 400 + 1})" in df._jdf.queryExecution().executedPlan().toString() and rows // 400 > 4
+    assert sorted(map(repr, df.collect())) == usual
+
+
+def test_pairs_move_as_few_columns(spark):
+    """Texts of a pair, and its key, are made after its line was moved."""
+    plan = optimized(plans.QUERIES["pair_page"](spark, SF))
+    assert "concat_ws" not in plan[plan.index("RepartitionByExpression") :]
+
+
+def test_ids_are_compared_as_bytes(spark):
+    assert optimized(plans.QUERIES["graph_stored"](spark, SF)).count("unhex") >= 4
+
+
+def test_edits_that_say_nothing_stay_behind(spark):
+    nodes = spark.createDataFrame([(1, f"n{i}", "a", "s", "c0") for i in range(5)], "p int, node_key string, name string, summary string, category_key string")
+    categories = spark.createDataFrame([(1, "c0", 0)], "p int, category_key string, sort_order int")
+    edits = spark.createDataFrame([(1, "n0", None, None, "", None), (1, "n1", False, None, None, ""), (1, "n2", True, None, None, None), (1, "n3", None, "x", None, None), (1, "n4", None, None, None, "t")], "p int, node_key string, deleted boolean, to_category string, new_name string, new_summary string")
+    df = graph.edited_nodes(nodes.withColumn("edited", F.lit(False)), categories, edits, ["p"])
+    assert sorted((r.node_key, r.name, r.summary, r.category_key, r.edited) for r in df.collect()) == [("n0", "a", "s", "c0", False), ("n1", "a", "s", "c0", False), ("n3", "a", "s", "c0", False), ("n4", "a", "t", "c0", True)]
