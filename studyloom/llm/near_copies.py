@@ -15,7 +15,9 @@ crowded buckets are joined once more, exactly, by their rarest shingles: two set
 either (counted among these nodes). A shingle that up to ``CROWD`` nodes hold among their rarest gives all pairs of different
 classes. One that more nodes hold isn't rare at all: it belongs to a large group of edited copies. Nodes outside the commonest
 class of their buckets first meet ``LEADS`` nodes of that class, which joins most of such a group; whatever is then still outside the
-commonest class of a shingle meets every node of other classes that holds it (:func:`_rest`), so no link is lost. Pairs that signatures
+commonest class of a shingle meets every node of other classes that holds it (:func:`_rest`), so no link is lost. Places rule out most of
+these pairs: what stands before the first shared shingle of two sets, rarest first, isn't shared, and of both sizes together four
+ninths must be (``_FITS``). Pairs that signatures
 rule out aren't verified: of two sets at 0.8, at most a ninth of both sizes together stands in one of them only, and parities
 of these, by places of a hash, differ in no more places than that.
 
@@ -43,6 +45,9 @@ SALT = 64
 #: Bits of a signature, and how many nodes of one shingle's rest are met in one task.
 BITS, BLOCK = 2048, 1024
 
+#: Whether two sets whose first shared shingle, rarest first, is at these places (from 0) can share as much as 0.8 asks for.
+_FITS = "9 * least({a}size - {a}place, {b}size - {b}place) >= 4 * ({a}size + {b}size)"
+
 _SEEDS = np.array([[xxhash.xxh64_intdigest(f"{kind} {i}") | 1 for i in range(BANDS * ROWS)] for kind in ("times", "plus")], np.uint64)
 
 
@@ -94,16 +99,16 @@ def _rows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _pairs_of_small(rows: DataFrame) -> DataFrame:
-    """All pairs of each group of ``key`` that aren't of one ``root`` and whose sizes can be similar."""
-    lists = rows.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size")).alias("x"))
-    fits = "q.root <> p.root AND 5 * least(p.size, q.size) >= 4 * greatest(p.size, q.size)"
+    """All pairs of each group of ``key`` that aren't of one ``root`` and whose sizes and places can be similar."""
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", "place")).alias("x"))
+    fits = f"q.root <> p.root AND {_FITS.format(a='p.', b='q.')}"
     pairs = lists.select(F.explode(F.expr(f"flatten(transform(x, (p, i) -> transform(filter(slice(x, i + 2, size(x)), q -> {fits}), q -> struct(p.node as a, q.node as b))))")).alias("p"))
     return pairs.select("p.a", "p.b")
 
 
 def _rarest(crowd: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(key, node, root, size): the rarest shingles of each node of ``crowd`` (node, root, size, rid), as many as a similar set must
-    share one of, without those that no other node holds."""
+    """(key, node, root, size, place): the rarest shingles of each node of ``crowd`` (node, root, size, rid), as many as a similar set must
+    share one of, without those that no other node holds, and their places among all of the node's."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -118,7 +123,8 @@ def _rarest(crowd: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     lists = shared.groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("x"))
     # Of the prefix of size - ceil(0.8 size) + 1 shingles, those held once come first and find nobody.
     wanted = F.expr("size - (4 * size + 4) div 5 + 1 - (size - size(x))").cast("int")
-    return lists.where(wanted > 0).select("node", "root", "size", F.explode(F.slice("x", 1, wanted)).alias("s")).select("s.key", "node", "root", "size")
+    rare = lists.where(wanted > 0).select("node", "root", "size", (F.col("size") - F.size("x")).alias("alone"), F.posexplode(F.slice("x", 1, wanted)).alias("at", "s"))
+    return rare.select("s.key", "node", "root", "size", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -140,17 +146,17 @@ def _signed(wanted: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
 def _rest(held: DataFrame, rows: DataFrame, nodes: DataFrame, text: str) -> DataFrame | None:
     """Pairs (a, b) of different classes that hold the same shingle: those outside its commonest class, in blocks, with all. ``held``: (key,
-    node, size, root). Sizes and signatures rule pairs out. None if every shingle has one class."""
+    node, size, place, root). Sizes, places and signatures rule pairs out. None if every shingle has one class."""
     by_class = held.groupBy("key", "root").agg(F.count("*").alias("n"))
     top = by_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
     met = written(held.join(top.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks")), "key"), "near-rest")
     if met.isEmpty():
         return None
     met = met.join(_signed(met.select("node").distinct().join(nodes.select("node", "rid"), "node"), rows, text), "node")
-    end = lambda df, e, block: df.select("key", block.alias("block"), *(F.col(c).alias(f"{e}_{c}") for c in ("node", "root", "size", "sig")))
+    end = lambda df, e, block: df.select("key", block.alias("block"), *(F.col(c).alias(f"{e}_{c}") for c in ("node", "root", "size", "place", "sig")))
     own = end(met.where("root <> top"), "a", F.pmod(F.xxhash64("node"), F.col("blocks")))
     every = end(met, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    both = own.join(every, ["key", "block"]).where("a_root <> b_root AND 5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)")
+    both = own.join(every, ["key", "block"]).where(f"a_root <> b_root AND {_FITS.format(a='a_', b='b_')}")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +215,7 @@ def _classes(rows: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     sized = keyed.groupBy("key").agg(F.count("*").alias("n"), lead(0).alias("lead")).where("n > 1")
     members = written(keyed.join(sized, "key"), "near-buckets")
     crowd = members.where(F.col("n") > SMALL)
-    pairs = _pairs_of_small(members.where(F.col("n") <= SMALL).withColumn("root", F.col("node")))
+    pairs = _pairs_of_small(members.where(F.col("n") <= SMALL).withColumns({"root": F.col("node"), "place": F.lit(0)}))
     links = _verified(pairs.unionByName(crowd.select(F.col("node").alias("a"), F.col("lead").alias("b"))).unionByName(_tight(nodes)), rows, nodes, text)
     roots = written(simhash.components(links), "near-roots")
     if crowd.isEmpty():
@@ -221,7 +227,7 @@ def _classes(rows: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     held = rare.join(rare.groupBy("key").agg(F.count("*").alias("n")), "key")
     met = _pairs_of_small(held.where(F.col("n") <= CROWD))
     # What more nodes hold: those outside their bucket's commonest class meet several nodes of that class.
-    crowded = written(held.where(F.col("n") > CROWD).select("key", "node", "size"), "near-crowded")
+    crowded = written(held.where(F.col("n") > CROWD).select("key", "node", "size", "place"), "near-crowded")
     many = written(crowded.select("node").distinct(), "near-many")
     placed = placed.join(many, "node")
     by_class = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(lead(i) for i in range(1, LEADS + 1)))).alias("leads"))

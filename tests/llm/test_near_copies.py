@@ -114,3 +114,15 @@ def test_null_ids_ties_and_names(spark):
     # The smallest id stays, null last; of one id and text, one row.
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, text), (None, prose(701, 50)), (7, ""), (7, edited(prose(702, 200), 50))], key=repr)
     assert near_copies.drop_near_copies(df.where("false")).count() == 0
+
+
+def test_places_rule_out_pages_of_one_template(spark, small, monkeypatch):
+    """Pages that share all but 28 of 186 shingles have more of their own first than a similar pair may: none of them meets another,
+    however many there are, and the two that are similar do."""
+    met, rest = [], near_copies._rest
+    monkeypatch.setattr(near_copies, "_rest", lambda *a: met.append(n := rest(*a)) or n)
+    template = prose(520, 190)
+    own = lambda seed, n: " ".join(f"{w}{seed}" for w in prose(seed, n).split())
+    docs = [(i, f"{template} {own(7000 + i, 12 if i < 2 else 40)}") for i in range(200)]
+    assert stage(spark, table_of(spark, [(d, t, "en", "s", 1) for d, t in docs]).repartition(3), small) == heads(docs) == {0, *range(2, 200)}
+    assert all(m is None or m.count() <= 200 for m in met)
