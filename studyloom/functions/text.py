@@ -126,7 +126,7 @@ def count_sentences(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """A CJK letter is a token, four other characters are one, and one more; 0 for empty texts."""
-    cjk = _count(text, CJK_LETTERS)
+    cjk = F.when(_is_ascii(text), 0).otherwise(_count(text, CJK_LETTERS))
     return F.when(F.length(text) == 0, 0).otherwise(cjk + F.floor((F.length(text) - cjk) / 4) + 1).cast("long")
 
 

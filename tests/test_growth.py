@@ -87,3 +87,10 @@ def test_edits_that_say_nothing_stay_behind(spark):
     edits = spark.createDataFrame([(1, "n0", None, None, "", None), (1, "n1", False, None, None, ""), (1, "n2", True, None, None, None), (1, "n3", None, "x", None, None), (1, "n4", None, None, None, "t")], "p int, node_key string, deleted boolean, to_category string, new_name string, new_summary string")
     df = graph.edited_nodes(nodes.withColumn("edited", F.lit(False)), categories, edits, ["p"])
     assert sorted((r.node_key, r.name, r.summary, r.category_key, r.edited) for r in df.collect()) == [("n0", "a", "s", "c0", False), ("n1", "a", "s", "c0", False), ("n3", "a", "s", "c0", False), ("n4", "a", "t", "c0", True)]
+
+
+def test_plain_texts_are_not_searched_for_letters(spark):
+    """Both ratios and the tokens have a short way for ASCII texts."""
+    rows = spark.createDataFrame([("",), ("abcd",), ("甲a1",), ("éééé",), (None,)], "t string")
+    df = rows.select(X.estimate_tokens(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [0, 2, 2, 2, None] and "octet_length" in df._jdf.queryExecution().analyzed().toString()
