@@ -49,6 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is shuffled, never broadcast. For tables that grow with the input: Spark takes a written
+    table's compressed files, and the rows that went into a Python task or an explode, for the size, so one of gigabytes may
+    seem to fit into the driver."""
+    return df.hint("merge")
+
+
 @contextmanager
 def passing(spark: SparkSession, path: str | None = None) -> Iterator[None]:
     """Tables written inside, and the one at ``path``, go when the block ends; what is needed later is written elsewhere

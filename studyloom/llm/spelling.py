@@ -10,7 +10,8 @@ A word's form is its near word with the largest count, if that is at least ``FOR
 factor along a chain of forms, so roots are found in a few rounds, each of which doubles the steps taken.
 
 Runs of letters are counted in the tasks before anything is shuffled. A key's group holds words that differ in one place,
-so its size is bounded by their lengths times the letters; AQE splits what is uneven.
+so its size is bounded by their lengths times the letters; AQE splits what is uneven. All tables grow with the texts, so none
+is broadcast.
 
 Defined results: a null text has no words; rows repeated are counted again; equal counts go to the smaller word by code
 points; a word without near words is its own root; an empty table gives an empty result; other columns take no part.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, raw_bytes, slices, written
+from .common import lean, raw_bytes, shuffled, slices, written
 
 MIN_LENGTH, MIN_COUNT, FORM_TIMES, MISSPELT_EVERY = 7, 2, 10, 31
 #: Distinct words, and their bytes, that a task holds before it hands on their counts.
@@ -126,10 +127,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = words.select("wid", "word").mapInArrow(lean(run), "wid long, key long")
     # Most keys belong to one word only and needn't be joined.
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = written(keys.join(shared, "key"), "spelling-keys")
+    keys = written(keys.join(shuffled(shared), "key"), "spelling-keys")
     left, right = keys.select("key", F.col("wid").alias("a")), keys.select("key", F.col("wid").alias("b"))
-    pairs = written(left.join(right, "key").where("a < b").select("a", "b").distinct(), "spelling-pairs")
-    named = lambda end: words.select(F.col("wid").alias(end), F.col("word").alias(f"word_{end}"))
+    pairs = written(left.join(shuffled(right), "key").where("a < b").select("a", "b").distinct(), "spelling-pairs")
+    named = lambda end: shuffled(words.select(F.col("wid").alias(end), F.col("word").alias(f"word_{end}")))
     whole = pairs.join(named("a"), "a").join(named("b"), "b")
     return whole.where(F.levenshtein("word_a", "word_b", 1) == 1).select("a", "b")
 
@@ -141,8 +142,8 @@ def variants(counts: DataFrame, form_times: int = FORM_TIMES, min_count: int = M
     links = written(near_pairs(words), "spelling-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = words.select(F.col("wid").alias("b"), F.struct((-F.col("n")).alias("less"), "word", "wid").alias("near"))
-    best = both.join(other, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min("near").alias("near"))
-    placed = words.join(best, words.wid == best.a, "left").drop("a").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+    best = both.join(shuffled(other), "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min("near").alias("near"))
+    placed = words.join(shuffled(best), words.wid == best.a, "left").drop("a").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     formed = F.when(-F.col("near.less") >= F.lit(form_times) * F.col("n"), F.col("near"))
     placed = written(placed.withColumn("form", formed).drop("near"), "spelling-forms")
 
@@ -150,12 +151,12 @@ def variants(counts: DataFrame, form_times: int = FORM_TIMES, min_count: int = M
     steps = placed.where("form is not null").select("wid", F.col("form.wid").alias("to"))
     while True:
         further = steps.select(F.col("wid").alias("to"), F.col("to").alias("next"))
-        steps = written(steps.join(further, "to", "left").select("wid", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        steps = written(steps.join(shuffled(further), "to", "left").select("wid", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         if steps.where("moved").isEmpty():
             break
         steps = steps.drop("moved")
-    roots = steps.select("wid", F.col("to").alias("root_id")).join(words.select(F.col("wid").alias("root_id"), F.col("word").alias("root")), "root_id").select("wid", "root")
-    return placed.join(roots, "wid", "left").select(
+    roots = steps.select("wid", F.col("to").alias("root_id")).join(shuffled(words.select(F.col("wid").alias("root_id"), F.col("word").alias("root"))), "root_id").select("wid", "root")
+    return placed.join(shuffled(roots), "wid", "left").select(
         "word",
         "n",
         "n_near",

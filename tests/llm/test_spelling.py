@@ -95,3 +95,18 @@ def test_odd_rows(spark, odd, empty):
 def test_query_equals_sql(spark, small, sql_rows):
     df = op11_spelling_variants(spark, small)
     assert sql_rows(df) == sql_rows(oracles.SPELLING)
+
+
+def test_nothing_that_grows_is_broadcast(spark, small, monkeypatch):
+    """Keys are ten times the words that they are sized by, and files are compressed: no join broadcasts, however small its side seems."""
+    plans, written = [], spelling.written
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(spelling, "written", noted)
+    df = op11_spelling_variants(spark, small)
+    plans.append(("result", df._jdf.queryExecution().executedPlan().toString()))
+    assert {"spelling-keys", "spelling-pairs", "spelling-links", "spelling-forms", "spelling-roots", "result"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
