@@ -120,8 +120,9 @@ def cjk_ratio(text: Column) -> Column:
 
 def count_sentences(text: Column) -> Column:
     """Sentence ends, those between digits left out; one at least."""
-    plain = F.regexp_replace(text, f"{DIGIT}[.!?]{DIGIT}", BREAK)
-    return F.when(is_blank(text), 1).otherwise(F.greatest(F.lit(1), _count(plain, "。！？.!?")))
+    inside = f"{DIGIT}[.!?]{DIGIT}"
+    between = F.when(text.rlike(inside), F.regexp_count(text, F.lit(inside))).otherwise(0)
+    return F.greatest(F.lit(1), _count(text, "。！？.!?") - between)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ everything after it is columns. Memory follows the longest piece (a byte for eac
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ MAX_GROUP, MERGE_PENALTY, DRIFT_WEIGHT = 4, 0.4, 0.05
 LOW_CONFIDENCE, LENGTH_TOLERANCE, AGREEMENT_FLOOR, CHUNK = 0.55, 2.0, 0.8, 30
 
 
-#: Cells of the tables that are filled at once.
-CELLS = 1 << 21
+#: Cells of the tables that are filled at once: a row of all of them should stay in a core's cache.
+CELLS = 1 << 18
 
 
 def _padded(lists: list[list[int]], width: int) -> np.ndarray:
@@ -38,6 +38,7 @@ def _fill(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, int,
     z_all, e_all = zp[b, n][:, None], ep[b, m][:, None]
     overall = np.log(z_all / e_all)
     width = ep.shape[1]
+    taken = [ep[:, kj:] - ep[:, :-kj] for kj in range(1, min(MAX_GROUP, width - 1) + 1)]
     first = np.full((len(zh), width), np.inf)
     first[:, 0] = 0.0
     rows = [first]
@@ -47,12 +48,18 @@ def _fill(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, int,
         drift = DRIFT_WEIGHT * np.abs(zp[:, i : i + 1] / z_all - ep / e_all)
         for ki in range(1, min(MAX_GROUP, i) + 1):
             before, own = rows[-ki], zp[:, i : i + 1] - zp[:, i - ki : i - ki + 1]
-            for kj in range(1, min(MAX_GROUP, width - 1) + 1):
+            for kj, other in enumerate(taken, 1):
                 # Both sides leave the start together: column 0 is finite in row 0 alone.
-                cost = before[:, : width - kj] + np.abs(np.log(own / (ep[:, kj:] - ep[:, :-kj])) - overall) + drift[:, kj:] + MERGE_PENALTY * (ki + kj - 2)
+                cost = own / other
+                np.log(cost, out=cost)
+                cost -= overall
+                np.abs(cost, out=cost)
+                cost += before[:, : width - kj]
+                cost += drift[:, kj:]
+                cost += MERGE_PENALTY * (ki + kj - 2)
                 better = cost < best[:, kj:]
-                best[:, kj:][better] = cost[better]
-                choice[:, i, kj:][better] = MAX_GROUP * (ki - 1) + kj
+                np.copyto(best[:, kj:], cost, where=better)
+                np.copyto(choice[:, i, kj:], np.int8(MAX_GROUP * (ki - 1) + kj), where=better)
         rows = [*rows[-MAX_GROUP + 1 :], best]
     i, j, out = n.copy(), m.copy(), [[] for _ in zh]
     lost = np.zeros(len(zh), bool)
@@ -71,10 +78,13 @@ def _fill(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, int,
 def balanced(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, int, int, int]] | None]:
     """For each piece (sizes of both sides' sentences) the groups (zh from, zh to, en from, en to) of the cheapest monotone
     alignment, or None. A group costs the distance of its length ratio from the whole text's, the drift of its end, and a
-    penalty for each further sentence; ties go to the smallest group. Pieces of like sizes share padded tables."""
+    penalty for each further sentence; ties go to the smallest group. Pieces of like sizes share padded tables, those of the same
+    sizes one result."""
+    sizes = list(zip(map(tuple, zh), map(tuple, en), strict=True))
+    first = {own: p for p, own in reversed(list(enumerate(sizes)))}
     out: list = [None] * len(zh)
     # Beyond the largest group on either side there is no alignment.
-    order = sorted((p for p in range(len(zh)) if zh[p] and en[p] and max(len(zh[p]), len(en[p])) <= MAX_GROUP * min(len(zh[p]), len(en[p]))), key=lambda p: (len(zh[p]), len(en[p])))
+    order = sorted((p for p in first.values() if zh[p] and en[p] and max(len(zh[p]), len(en[p])) <= MAX_GROUP * min(len(zh[p]), len(en[p]))), key=lambda p: (len(zh[p]), len(en[p])))
     start = 0
     while start < len(order):
         stop, rows, width = start, 0, 0
@@ -87,7 +97,7 @@ def balanced(zh: list[list[int]], en: list[list[int]]) -> list[list[tuple[int, i
         for p, groups in zip(part, _fill([zh[p] for p in part], [en[p] for p in part]), strict=True):
             out[p] = groups
         start = stop
-    return out
+    return [out[first[own]] for own in sizes]
 
 
 def solvable(n_zh: Column, n_en: Column) -> Column:
@@ -110,10 +120,13 @@ def align(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en") ->
 def balanced_groups(zh: str, en: str) -> Column:
     """The groups of two lists of sentences; none if they can't be balanced."""
 
-    @F.pandas_udf(GROUPS)
-    def groups(a: pd.Series, b: pd.Series) -> pd.Series:
-        found = balanced([list(x) for x in a], [list(x) for x in b])
-        return pd.Series([[dict(zip(("zf", "zt", "ef", "et"), g, strict=True)) for g in x or []] for x in found])
+    @F.arrow_udf(GROUPS)
+    def groups(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = balanced(a.to_pylist(), b.to_pylist())
+        offsets = np.concatenate([[0], np.cumsum([len(x or ()) for x in found])]).astype(np.int32)
+        places = np.array([g for x in found for g in x or ()], np.int32).reshape(-1, 4)
+        every = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in places.T], ["zf", "zt", "ef", "et"])
+        return pa.ListArray.from_arrays(pa.array(offsets), every)
 
     return groups(F.transform(zh, F.length), F.transform(en, F.length))
 
@@ -124,17 +137,30 @@ def solid_sides(pieces: DataFrame, zh: str, en: str) -> DataFrame:
     return solid.where((F.size(zh) > 0) & (F.size(en) > 0))
 
 
-def pairs_of(sized: DataFrame, keys: list[str], zh: str, en: str) -> DataFrame:
-    """Pairs of pieces' groups (``_g``); a piece without groups is one pair of all its text."""
+def _ratio(n_zh: Column, n_en: Column) -> Column:
+    return F.when((n_zh > 0) & (n_en > 0), n_en / n_zh).otherwise(0.0)
+
+
+def pairs_of(sized: DataFrame, keys: list[str], zh: str, en: str, ratio: str | None = None) -> DataFrame:
+    """Pairs of pieces' groups (``_g``); a piece without groups is one pair of all its text. ``ratio``: the name of a column for
+    what :func:`flag` asks of the piece, the length of all its English to all its Chinese text."""
     whole = F.array(F.struct(F.lit(0).alias("zf"), F.size(zh).alias("zt"), F.lit(0).alias("ef"), F.size(en).alias("et")))
-    pairs = sized.withColumn("_whole", F.size("_g") == 0).withColumn("_g", F.when(F.col("_whole"), whole).otherwise(F.col("_g"))).select(*keys, zh, en, "_whole", F.posexplode("_g").alias("seq", "g"))
-    taken = {s: F.slice(c, F.col(f"g.{s[0]}f") + 1, F.col(f"g.{s[0]}t") - F.col(f"g.{s[0]}f")) for s, c in (("zh", zh), ("en", en))}
+    sized = sized.withColumn("_whole", F.size("_g") == 0).withColumn("_g", F.when(F.col("_whole"), whole).otherwise(F.col("_g")))
+    text = lambda c, f, t, by: F.call_function("array_join", F.slice(c, f + 1, t - f), by)
+    joined = F.when(F.col("_whole"), " ").otherwise("")
+    # Texts are made before the pairs part: else each takes the whole piece's sentences with it.
+    made = F.transform("_g", lambda g: F.struct(g["zf"].alias("zf"), g["zt"].alias("zt"), g["ef"].alias("ef"), g["et"].alias("et"), text(zh, g["zf"], g["zt"], joined).alias("zh"), text(en, g["ef"], g["et"], F.lit(" ")).alias("en")))
+    sized = sized.withColumn("_g", made)
+    if ratio:
+        total = lambda side: F.aggregate(F.transform(F.col(f"_g.{side}"), F.length), F.lit(0).cast("long"), lambda a, n: a + n)
+        sized, keys = sized.withColumn(ratio, _ratio(total("zh"), total("en"))), [*keys, ratio]
+    pairs = sized.select(*keys, "_whole", F.posexplode("_g").alias("seq", "g"))
     extra = (F.col("g.zt") - F.col("g.zf") - 1) + (F.col("g.et") - F.col("g.ef") - 1)
     # Confidence is 1 less 0.12 for each further sentence; as whole hundredths it needs no rounding.
     confidence = F.when(F.col("_whole"), 0.2).otherwise((100 - 12 * extra) / 100)
     return pairs.select(
         *keys, "seq", F.col("g.zf").alias("zh_from"), F.col("g.zt").alias("zh_to"), F.col("g.ef").alias("en_from"), F.col("g.et").alias("en_to"),
-        F.when(F.col("_whole"), F.array_join(taken["zh"], " ")).otherwise(F.array_join(taken["zh"], "")).alias("zh"), F.array_join(taken["en"], " ").alias("en"),
+        F.col("g.zh").alias("zh"), F.col("g.en").alias("en"),
         F.when(F.col("_whole"), "whole").when(extra > 0, "merged").otherwise("direct").alias("how"), confidence.alias("confidence"),
     )
 
@@ -146,21 +172,20 @@ def dropped(pieces: DataFrame, keys: list[str], zh: str = "zh", en: str = "en")
     return sides.where("(n_zh = 0) <> (n_en = 0)").select(*keys, F.col("n_zh").alias("dropped_zh"), F.col("n_en").alias("dropped_en"))
 
 
-def flag(pairs: DataFrame, keys: list[str], balanced: Column | None = None) -> DataFrame:
+def flag(pairs: DataFrame, keys: list[str], balanced: Column | None = None, ratio: str | None = None) -> DataFrame:
     """``pairs`` with ``needs_review``, ``flagged_by`` and lowered ``confidence``: empty sides, and lengths off twice the
     piece's ratio after its sentence counts; low confidence by merging comes last, for pairs by balanced lengths only
-    (``balanced``; None: all are)."""
+    (``balanced``; None: all are). ``ratio``: a column that has the piece's ratio already; it is dropped."""
     by = Window.partitionBy(*keys)
-    n_zh, n_en = F.sum(F.length("zh")).over(by), F.sum(F.length("en")).over(by)
-    ratio = F.when((n_zh > 0) & (n_en > 0), n_en / n_zh).otherwise(0.0)
-    measured = pairs.withColumn("_ratio", ratio)
-    base = F.col("_ratio") * (X.count_sentences(F.col("en")) / X.count_sentences(F.col("zh")))
-    own = F.length("en") / F.length("zh")
+    measured = pairs.withColumnRenamed(ratio, "_ratio") if ratio else pairs.withColumn("_ratio", _ratio(F.sum(F.length("zh")).over(by), F.sum(F.length("en")).over(by)))
+    # Counted once a pair, as several columns ask for it.
+    measured = measured.withColumn("_base", X.once(F.col("_ratio") * (X.count_sentences(F.col("en")) / X.count_sentences(F.col("zh")))))
+    base, own = F.col("_base"), F.length("en") / F.length("zh")
     empty = (F.col("zh") == "") | (F.col("en") == "")
     off = ~empty & (F.col("_ratio") > 0) & ((own < base / LENGTH_TOLERANCE) | (own > base * LENGTH_TOLERANCE))
     flagged = measured.withColumn("flagged_by", F.when(empty, "empty").when(off, "length_ratio"))
     flagged = flagged.withColumn("confidence", F.when(empty, F.least("confidence", F.lit(0.3))).when(off, F.least("confidence", F.lit(0.4))).otherwise(F.col("confidence")))
-    return flagged.withColumn("flagged_by", F.coalesce("flagged_by", F.when((F.lit(True) if balanced is None else balanced) & (F.col("confidence") < LOW_CONFIDENCE), "merge"))).withColumn("needs_review", F.col("flagged_by").isNotNull()).drop("_ratio")
+    return flagged.withColumn("flagged_by", F.coalesce("flagged_by", F.when((F.lit(True) if balanced is None else balanced) & (F.col("confidence") < LOW_CONFIDENCE), "merge"))).withColumn("needs_review", F.col("flagged_by").isNotNull()).drop("_ratio", "_base")
 
 
 def coverage(pairs: Column, dropped_zh: Column) -> Column:

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,26 +70,31 @@ def _json_of(answer: Column) -> Column:
 
 
 def _places(v: Column) -> Column:
-    """A side as sorted places from 0: a list, or one whole number, of numbers from 1; null if it is anything else or holds it."""
-    several = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: X.as_number(x) - 1)
-    listed = lambda v: X.named(X.whole_number(v), lambda one: F.when(one.isNotNull(), F.array(one - 1)).otherwise(several(v)))
-    whole = lambda places: F.when(~F.exists(places, lambda x: x.isNull()), F.array_sort(places))
-    return X.named(v, lambda v: X.named(listed(v), whole))
+    """A side as sorted places from 0: a list, or one whole number, of numbers from 1; anything else, alone or in the list, is a null at its
+    end."""
+    several = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: X.as_number(x) - 1)
+    return F.array_sort(F.coalesce(several, F.array(X.whole_number(v) - 1)))
 
 
-def _sides(item: Column) -> Column:
-    """struct<zh, en> of an item: an object with one of the known names, or a list of two."""
-    side = lambda pair, i, names: _places(F.when(F.size(pair) == 2, F.get(pair, i)).otherwise(F.coalesce(*(F.try_variant_get(item, f"$.{n}", "variant") for n in names))))
-    both = lambda pair: F.struct(*(side(pair, i, names).alias(s) for i, (s, names) in enumerate(NAMES.items())))
-    return X.named(F.try_variant_get(item, "$", "array<variant>"), both)
+def _values(x: Column) -> Column:
+    """struct<zh, en> of an item and the list it may be: an object with one of the known names, or a list of two."""
+    side = lambda i, names: F.when(F.size(x["pair"]) == 2, F.get(x["pair"], i)).otherwise(F.coalesce(*(F.try_variant_get(x["item"], f"$.{n}", "variant") for n in names)))
+    return F.struct(*(side(i, names).alias(s) for i, (s, names) in enumerate(NAMES.items())))
+
+
+def _sides(items: Column) -> Column:
+    """The places of both sides of each item. One list is made after the other, as a value that is named within another is typed anew at
+    each use."""
+    pairs = F.transform(items, lambda item: F.struct(item.alias("item"), F.try_variant_get(item, "$", "array<variant>").alias("pair")))
+    return F.transform(F.transform(pairs, _values), lambda v: F.struct(*(_places(v[s]).alias(s) for s in NAMES)))
 
 
 def read_mappings(answers: DataFrame, answer: str = "answer", n_zh: str = "n_zh", n_en: str = "n_en") -> DataFrame:
     """``answers`` with ``error`` and ``groups``. Every sentence of both sides is in exactly one group; groups are in order, without gaps
     and of four at most. The first item that is wrong names the error; half a mapping is none."""
     items = F.try_variant_get(X.whole_json(_json_of(F.coalesce(answer, F.lit("")))), "$", "array<variant>")
-    read = answers.withColumn("_sides", F.transform(items, _sides))
-    span = lambda side: F.when(F.size(side) > 0, F.struct(F.get(side, 0).alias("f"), (F.get(side, F.size(side) - 1) + 1).alias("t"), F.size(side).alias("n"), (F.size(F.array_distinct(side)) == F.size(side)).alias("once")))
+    read = answers.withColumn("_sides", _sides(items))
+    span = lambda side: F.when((F.size(side) > 0) & F.get(side, F.size(side) - 1).isNotNull(), F.struct(F.get(side, 0).alias("f"), (F.get(side, F.size(side) - 1) + 1).alias("t"), F.size(side).alias("n"), (F.size(F.array_distinct(side)) == F.size(side)).alias("once")))
     read = read.withColumn("_spans", F.transform("_sides", lambda x: F.struct(span(x["zh"]).alias("zh"), span(x["en"]).alias("en"))))
 
     def wrong(x: Column, i: Column) -> Column:
@@ -122,24 +128,23 @@ def ask(asked: DataFrame, keys: list[str], provider: Provider, system: str = "",
     none = F.lit(None).cast("string")
     schema = waiting.select(*own, "attempts", "prompt_tokens", "completion_tokens", none.alias("answer"), none.alias("failed"), none.alias("detail")).schema
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = []
-            for text, last in zip(batch["prompt"], batch["last"], strict=True):
+            for text, last in zip(batch.column("prompt").to_pylist(), batch.column("last").to_pylist(), strict=True):
                 try:
                     told.append((*provider([system, text, *([f"上次的回答无效：{last}。请只给出 JSON 数组。"] if last else [])]), None, None))
                 except ModelError as e:
                     told.append((None, 0, 0, e.kind, e.detail))
             answer, p, c, failed, detail = zip(*told, strict=True) if told else ((),) * 5
-            batch = batch.drop(columns="last")
-            batch["attempts"] += 1
-            batch["prompt_tokens"] += list(p)
-            batch["completion_tokens"] += list(c)
-            yield batch.assign(answer=pd.Series(answer, dtype=object), failed=pd.Series(failed, dtype=object), detail=pd.Series(detail, dtype=object))
+            more = {"attempts": pa.scalar(1, pa.int32()), "prompt_tokens": pa.array(p, pa.int64()), "completion_tokens": pa.array(c, pa.int64())}
+            columns = {n: batch.column(n) for n in own} | {n: pc.add(batch.column(n), x) for n, x in more.items()}
+            columns |= {n: pa.array(x, pa.string()) for n, x in (("answer", answer), ("failed", failed), ("detail", detail))}
+            yield pa.RecordBatch.from_pydict(columns)
 
     settled = None
     for attempt in range(retries + 1):
-        told = stored(waiting.mapInPandas(put, schema), "answers")
+        told = stored(waiting.mapInArrow(put, schema), "answers")
         read = read_mappings(told).withColumns({"error": F.coalesce("failed", "error"), "groups": F.when(F.col("failed").isNull(), F.col("groups"))})
         again = F.lit(attempt < retries) & F.when(F.col("failed").isNull(), F.col("error").isNotNull()).otherwise(F.col("failed").isin(*TRANSIENT))
         read = stored(read.withColumn("again", again), "mappings")
@@ -164,7 +169,8 @@ def stitched(mapped: DataFrame, keys: list[str]) -> DataFrame:
 
 def _cuts(groups: Column, zh: str) -> Column:
     """Running counts of Chinese sentences after each group; a piece without groups is one."""
-    each = F.when(F.size(groups) > 0, F.transform(groups, lambda g: X.count_sentences(F.array_join(F.slice(zh, g["zf"] + 1, g["zt"] - g["zf"]), "")))).otherwise(F.array(X.count_sentences(F.array_join(zh, " "))))
+    text = lambda g: F.array_join(F.slice(zh, g["zf"] + 1, g["zt"] - g["zf"]), "")
+    each = F.when(F.size(groups) > 0, F.transform(F.transform(groups, text), X.count_sentences)).otherwise(F.array(X.count_sentences(F.array_join(zh, " "))))
     start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("n"))
     return F.aggregate(each, start, lambda a, x: F.struct(F.concat(a["cuts"], F.array(a["n"] + x)).alias("cuts"), (a["n"] + x).alias("n")), lambda a: a["cuts"])
 
@@ -174,16 +180,19 @@ def pairs(pieces: DataFrame, keys: list[str], provider: Provider, system: str =
 
     Pairs by the model have ``how`` = ``llm`` and the confidence that the agreement of both alignments gives; at the floor or
     above, flags by length alone are taken back, below it all pairs need review."""
-    solid = A.solid_sides(pieces, zh, en).select(*keys, zh, en)
+    # Written once, as blocks and pairs are made of it.
+    solid = stored(A.solid_sides(pieces, zh, en).select(*keys, zh, en, A.balanced_groups(zh, en).alias("_balanced")), "pieces")
     told = stitched(ask(blocks(solid, keys, zh, en, size), keys, provider, system, retries), keys)
-    both = solid.withColumn("_balanced", A.balanced_groups(zh, en)).join(told.select(*keys, "error", F.col("groups").alias("_told")), keys)
-    both = both.withColumns({"_a": _cuts(F.col("_told"), zh), "_b": _cuts(F.col("_balanced"), zh)})
-    agreement = 2 * F.size(F.array_intersect("_a", "_b")) / (F.size("_a") + F.size("_b"))
-    both = both.select(*keys, zh, en, "error", F.coalesce("_told", "_balanced").alias("_g"), F.when(F.col("error").isNull(), agreement).alias("agreement"))
-    made = A.pairs_of(both, [*keys, "error", "agreement"], zh, en)
+    both = solid.join(told.select(*keys, "error", F.col("groups").alias("_told")), keys)
+    met = lambda c: 2 * F.size(F.array_intersect(c["a"], c["b"])) / (F.size(c["a"]) + F.size(c["b"]))
+    agreement = X.named(F.struct(_cuts(F.col("_told"), zh).alias("a"), _cuts(F.col("_balanced"), zh).alias("b")), met)
+    # The same groups have the same cuts.
+    agreement = F.when(F.col("error").isNull(), F.when(F.col("_told") == F.col("_balanced"), 1.0).otherwise(agreement))
+    both = both.select(*keys, zh, en, "error", F.coalesce("_told", "_balanced").alias("_g"), X.once(agreement).alias("agreement"))
+    made = A.pairs_of(both, [*keys, "error", "agreement"], zh, en, ratio="_ratio")
     by_model = F.col("agreement").isNotNull()
     made = made.withColumns({"how": F.when(by_model, "llm").otherwise(F.col("how")), "confidence": F.when(by_model, 0.0).otherwise(F.col("confidence"))})
-    return _agreed(A.flag(made, keys, balanced=~by_model), floor)
+    return _agreed(A.flag(made, keys, balanced=~by_model, ratio="_ratio"), floor)
 
 
 def _agreed(flagged: DataFrame, floor: float) -> DataFrame:

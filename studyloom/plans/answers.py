@@ -39,14 +39,14 @@ def scripted(messages: list[str]) -> tuple[str, int, int]:
     if kind == 3:
         raise M.ModelError("auth", "no key")
     answer = {
-        0: f"Here:\n```json\n{json.dumps([{'zh_indices': [i], 'en': i} for i in range(1, n + 1)])}\n```",
-        1: json.dumps(ones),
-        2: json.dumps(twos) if again else "no list",
-        4: json.dumps(ones[::-1]),
-        5: f"so {json.dumps(twos)} it is",
-        6: json.dumps(ones[: n - 1] if block == 2 else ones),
-        7: json.dumps([{"zh": str(i), "en": [i]} for i in range(1, n + 1)]),
-    }[kind]
+        0: lambda: f"Here:\n```json\n{json.dumps([{'zh_indices': [i], 'en': i} for i in range(1, n + 1)])}\n```",
+        1: lambda: json.dumps(ones),
+        2: lambda: json.dumps(twos) if again else "no list",
+        4: lambda: json.dumps(ones[::-1]),
+        5: lambda: f"so {json.dumps(twos)} it is",
+        6: lambda: json.dumps(ones[: n - 1] if block == 2 else ones),
+        7: lambda: json.dumps([{"zh": str(i), "en": [i]} for i in range(1, n + 1)]),
+    }[kind]()
     return answer, len(question), len(answer)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from studyloom import plans, session
 from studyloom.functions import text as X
-from studyloom.operators import graph
+from studyloom.operators import alignment, graph
 from studyloom.plans import work
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +97,34 @@ def test_plain_texts_are_not_searched_for_letters(spark):
     rows = spark.createDataFrame([("",), ("abcd",), ("甲a1",), ("éééé",), (None,)], "t string")
     df = rows.select(X.estimate_tokens(F.col("t")).alias("n"))
     assert [r.n for r in df.collect()] == [0, 2, 2, 2, None] and "octet_length" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_pieces_are_made_once_and_pairs_need_no_window(spark):
+    """Answers meet written pieces; the ratio of a piece is made of its own row before its pairs part."""
+    plan = optimized(plans.QUERIES["mapped_pairs"](spark, SF))
+    assert "l_orderkey" not in plan and "Window" not in plan
+
+
+def test_sentences_of_a_pair_are_counted_once(spark):
+    assert optimized(plans.QUERIES["align_regular"](spark, SF)).count("[。！？.!?]+") == 2
+
+
+def test_sentence_counts_by_the_definition(spark):
+    texts = ["", " \n", "1.5", "1.2.3", "a.b", "3!4?5.", "٣.٤", "x。1.2！?", "1..2", "no 0001.", "第12号0001。", "　", "a", "1.2 3.4", None]
+    texts += ["".join(p) for n in (1, 2, 3, 4) for p in product("1.!。 ", repeat=n)]
+
+    def wanted(t):
+        marks = re.sub(r"[。！？.!?]", "", ends := re.sub(r"\d[.!?]\d", "\x01", t or ""))
+        return max(1, len(ends) - len(marks))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.count_sentences(F.col("t")).alias("n"))
+    assert [(r.t, r.n) for r in df.collect()] == [(t, wanted(t)) for t in texts]
+
+
+def test_pieces_of_the_same_sizes_are_aligned_once(monkeypatch):
+    filled, fill = [], alignment._fill
+    monkeypatch.setattr(alignment, "_fill", lambda zh, en: filled.append(len(zh)) or fill(zh, en))
+    zh, en = [[5, 6, 7], [9, 2], [5, 6, 7], [1], [], [5, 6, 7]], [[11, 12, 13], [4, 18], [11, 12, 13], [1, 1, 1, 1, 1], [3], [14, 12, 10, 20]]
+    got = alignment.balanced(zh, en)
+    assert sum(filled) == 3 and got[0] == got[2] and got[3] is None and got[4] is None
+    assert got == [alignment.balanced([z], [e])[0] for z, e in zip(zh, en, strict=True)]
