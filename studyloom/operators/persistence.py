@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def outcomes(staged: DataFrame, existing: DataFrame, keys: list[str], overwrite: bool = False) -> DataFrame:
+def outcomes(staged: DataFrame, existing: DataFrame, keys: list[str], overwrite: bool = False, also: tuple[Column, ...] = ()) -> DataFrame:
     """``staged`` pieces (``ok``: passed the gate) with ``outcome``: rejected, skipped (there are hand edits that would be
-    lost), replaced or created, and ``wiped_edits``. ``existing``: ``manual_edits`` of each stored piece."""
-    there = existing.groupBy(*keys).agg(F.max("manual_edits").alias("_edits"))
+    lost), replaced or created, and ``wiped_edits``. ``existing``: ``manual_edits`` of each stored piece. ``also``: aggregates of
+    these that come along."""
+    there = existing.groupBy(*keys).agg(F.max("manual_edits").alias("_edits"), *also)
     joined = staged.join(there, keys, "left")
     edits = F.coalesce("_edits", F.lit(0))
     guarded = F.lit(not overwrite) & (edits > 0)

@@ -74,3 +74,30 @@ def test_rejected_graphs(spark, tmp_path):
     done = projects.save_graph(f"file://{tmp_path}/g", {"nodes": nodes}, drafts)
     assert {(r.project_id, r.outcome, r.reason) for r in done.collect()} == {(1, "replaced", None), (2, "rejected", "graph_no_file"), (3, "rejected", "graph_empty")}
     assert [r.node_id for r in projects.read(spark, f"file://{tmp_path}/g/nodes").collect()] == ["n"]
+
+
+def test_pieces_meet_what_is_stored_by_one_shuffle(spark, tmp_path, monkeypatch):
+    plans, overwrite = [], projects._overwrite
+    monkeypatch.setattr(projects, "_overwrite", lambda path, rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or overwrite(path, rows))
+    monkeypatch.setattr(projects, "replace", None)
+    path = f"file://{tmp_path}/one"
+    rows = spark.range(60).selectExpr("cast(id % 20 % 7 as int) as project_id", "cast(id % 20 as int) as piece_id", "cast(id as int) as seq", "'a' as zh", "false as manually_edited")
+    staged = rows.selectExpr("project_id", "piece_id", "piece_id % 3 > 0 as ok").distinct()
+    for keys in (["piece_id"], ["project_id", "piece_id"]):
+        projects.save_pieces(path, staged, rows, keys)
+    assert [p.count("Exchange ") for p in plans] == [1, 1]
+    assert sorted(projects.read(spark, path).select(*rows.columns).collect()) == sorted(rows.where("piece_id % 3 > 0").collect())
+
+
+def test_pieces_that_moved(spark, tmp_path):
+    """A piece that is saved under another project leaves the projects that are touched, and stays in the others; pieces that aren't staged stay."""
+    path, schema = f"file://{tmp_path}/moved", "project_id int, piece_id int, seq int, zh string, manually_edited boolean"
+    table = lambda rows: spark.createDataFrame(rows, schema)
+    ok = lambda rows: spark.createDataFrame([(*r, True) for r in rows], "project_id int, piece_id int, ok boolean")
+    before = [(1, 7, 0, "a", False), (1, 8, 0, "b", False), (2, 7, 0, "c", False), (3, 7, 0, "d", False), (3, 9, 0, "e", False), (4, 5, 0, "f", True)]
+    projects.replace(path, table(before), spark.range(1, 5).selectExpr("cast(id as int) as project_id"))
+    done = projects.save_pieces(path, ok([(5, 7), (1, 6), (3, 4), (4, 5)]), table([(5, 7, 0, "new", False), (1, 6, 0, "g", False), (3, 4, 0, "h", False), (4, 5, 0, "no", False), (1, 99, 0, "unstaged", False)]), ["piece_id"])
+    assert {(r.piece_id, r.outcome, r.wiped_edits) for r in done.collect()} == {(7, "replaced", 0), (6, "created", 0), (4, "created", 0), (5, "skipped", 1)}
+    assert set(done.columns) == {"project_id", "piece_id", "ok", "outcome", "wiped_edits"}
+    got = sorted(tuple(r) for r in projects.read(spark, path).select(*schema.replace(" int", "").replace(" string", "").replace(" boolean", "").split(", ")).collect())
+    assert got == [(1, 6, 0, "g", False), (1, 8, 0, "b", False), (2, 7, 0, "c", False), (3, 4, 0, "h", False), (3, 9, 0, "e", False), (4, 5, 0, "f", True), (5, 7, 0, "new", False)]
