@@ -95,7 +95,12 @@ def read_mappings(answers: DataFrame, answer: str = "answer", n_zh: str = "n_zh"
     items = F.try_variant_get(X.whole_json(_json_of(F.coalesce(answer, F.lit("")))), "$", "array<variant>")
     read = answers.withColumn("_sides", _sides(items))
     span = lambda side: F.when((F.size(side) > 0) & F.get(side, F.size(side) - 1).isNotNull(), F.struct(F.get(side, 0).alias("f"), (F.get(side, F.size(side) - 1) + 1).alias("t"), F.size(side).alias("n"), (F.size(F.array_distinct(side)) == F.size(side)).alias("once")))
-    read = read.withColumn("_spans", F.transform("_sides", lambda x: F.struct(span(x["zh"]).alias("zh"), span(x["en"]).alias("en"))))
+    # Most answers are right: their places are all numbers in order, in groups that aren't empty or too large. Only the others are searched for
+    # what is wrong.
+    every = lambda s, n: (F.col(n) > 0) & (F.flatten(F.col(f"_sides.{s}")) == F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)).cast("long") - 1))
+    fits = F.forall("_sides", lambda x: F.size(x["zh"]).between(1, A.MAX_GROUP) & F.size(x["en"]).between(1, A.MAX_GROUP))
+    read = read.withColumn("_right", F.coalesce(fits & every("zh", n_zh) & every("en", n_en), F.lit(False)))
+    read = read.withColumn("_spans", F.when(~F.col("_right"), F.transform("_sides", lambda x: F.struct(span(x["zh"]).alias("zh"), span(x["en"]).alias("en")))))
 
     def wrong(x: Column, i: Column) -> Column:
         before = F.get("_spans", i - 1)
@@ -111,12 +116,13 @@ def read_mappings(answers: DataFrame, answer: str = "answer", n_zh: str = "n_zh"
     total = lambda s: F.aggregate("_spans", F.lit(0), lambda a, x: a + x[s]["n"])
     read = read.withColumn("_wrong", F.get(F.filter(F.transform("_spans", wrong), lambda e: e.isNotNull()), 0))
     error = (
-        F.when(F.col("_sides").isNull(), "llm_bad_json").when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.size("_sides") == 0, "llm_empty")
+        F.when(F.col("_right"), None).when(F.col("_sides").isNull(), "llm_bad_json").when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.size("_sides") == 0, "llm_empty")
         .when((total("zh") != F.col(n_zh)) | (total("en") != F.col(n_en)), "llm_incomplete")
     )
-    groups = F.transform("_spans", lambda x: F.struct(*(x[s][e].cast("int").alias(f"{s[0]}{e}") for s in ("zh", "en") for e in ("f", "t"))))
+    ends = lambda side: ((F.get(side, 0), "f"), (F.get(side, F.size(side) - 1) + 1, "t"))
+    groups = F.transform("_sides", lambda x: F.struct(*(place.cast("int").alias(f"{s[0]}{e}") for s in ("zh", "en") for place, e in ends(x[s]))))
     read = read.withColumn("error", error)
-    return read.withColumn("groups", F.when(F.col("error").isNull(), groups)).drop("_sides", "_spans", "_wrong")
+    return read.withColumn("groups", F.when(F.col("error").isNull(), groups)).drop("_sides", "_right", "_spans", "_wrong")
 
 
 def ask(asked: DataFrame, keys: list[str], provider: Provider, system: str = "", retries: int = RETRIES) -> DataFrame:
@@ -183,7 +189,8 @@ def pairs(pieces: DataFrame, keys: list[str], provider: Provider, system: str =
     # Written once, as blocks and pairs are made of it.
     solid = stored(A.solid_sides(pieces, zh, en).select(*keys, zh, en, A.balanced_groups(zh, en).alias("_balanced")), "pieces")
     told = stitched(ask(blocks(solid, keys, zh, en, size), keys, provider, system, retries), keys)
-    both = solid.join(told.select(*keys, "error", F.col("groups").alias("_told")), keys)
+    # Never broadcast: pieces and answers grow with the input, and their files are many times smaller than their rows.
+    both = solid.join(told.select(*keys, "error", F.col("groups").alias("_told")).hint("merge"), keys)
     met = lambda c: 2 * F.size(F.array_intersect(c["a"], c["b"])) / (F.size(c["a"]) + F.size(c["b"]))
     agreement = X.named(F.struct(_cuts(F.col("_told"), zh).alias("a"), _cuts(F.col("_balanced"), zh).alias("b")), met)
     # The same groups have the same cuts.

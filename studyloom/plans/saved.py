@@ -62,7 +62,7 @@ def saved_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "pieces")
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("piece_id"), F.col("o_custkey").alias("project_id"))
     # Written once, as five plans read it.
-    rows = stored(pieces.pairs(spark, sf_dir).select("piece_id", "seq", "zh", "en", "confidence", "manually_edited").join(owner, "piece_id"), "pairs")
+    rows = stored(pieces.pairs(spark, sf_dir).select("piece_id", "seq", "zh", "en", "confidence", "manually_edited").join(owner, "piece_id"), "pairs", "zstd")
     rows = rows.select("project_id", "piece_id", "seq", "zh", "en", "confidence", "manually_edited")
     first = rows.where("piece_id % 3 <> 0")
     projects.replace(path, first, first.select("project_id").distinct())

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the folder that all executors share (spark.checkpoint.dir) and read it again, so that what made it
     runs once. Only a local master may go without that setting."""
     spark = df.sparkSession
@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         base = f"file://{tempfile.mkdtemp(prefix='studyloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

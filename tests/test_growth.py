@@ -105,6 +105,10 @@ def test_pieces_are_made_once_and_pairs_need_no_window(spark):
     assert "l_orderkey" not in plan and "Window" not in plan
 
 
+def test_pieces_and_answers_are_not_broadcast(spark):
+    assert "Broadcast" not in plans.QUERIES["mapped_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sentences_of_a_pair_are_counted_once(spark):
     assert optimized(plans.QUERIES["align_regular"](spark, SF)).count("[。！？.!?]+") == 2
 

@@ -93,3 +93,11 @@ def test_agreement_between(spark):
 
 def test_no_pieces(spark, pieces):
     assert M.pairs(pieces.where("false"), ["id"], script).count() == 0
+
+
+def test_right_answers_are_not_searched(spark):
+    """What is wrong is looked for in wrong answers alone, and no block without sentences counts as mapped."""
+    answers = [(RIGHT, 2, 3), ("[[1,1],[2,2]]", 2, 2), ("[[[2,1],[1,2]]]", 2, 2), ("[[1,1],[0,0]]", 0, 0), ("[[1,1]]", 1, 0), ("[[1,[]],[2,[1,2]]]", 2, 2), ("[[1,1],[1,2]]", 2, 2), ("[[1,1],[2,null]]", 2, 2)]
+    df = M.read_mappings(spark.createDataFrame([(i, *a) for i, a in enumerate(answers)], "i int, answer string, n_zh int, n_en int"))
+    assert "_right" in df._jdf.queryExecution().optimizedPlan().toString() and "_right" not in df.columns
+    assert [r.error for r in df.orderBy("i").collect()] == [None, None, None, "llm_out_of_range", "llm_out_of_range", "llm_bad_shape", "llm_not_monotonic", "llm_bad_shape"]
